@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing
+from . import minhash, mixing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_noisy_or_toxicity": toxicity.op6_noisy_or_toxicity,
     "op7_fast_sketch_dedup": minhash.op7_fast_sketch_dedup,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
 }
