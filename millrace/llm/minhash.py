@@ -9,7 +9,8 @@ with the concentration of t independent samples. R coordinates of equal value ma
 Links: texts with equal shingle sets are one class. A bucket (band, value) of several classes links each of them
 with its first, a star, never all pairs: every class first tries the star it shares most bands with, then, where
 components still differ, the others. Buckets that then still hold several components are compared block by
-block on their sketches, whole, and pairs that may reach the threshold are verified too. Every link is
+block on their sketches, whole, and every pair that may reach the threshold is verified in place, so pairs are never
+rows. Every link is
 confirmed on the full sets. Components come from min-label propagation with shortcuts over the confirmed links.
 
 Scale: a row for each class and band (16 bytes) is the largest shuffle. Copies collapse before it, by an aggregate
@@ -144,40 +145,91 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (k[-1], lead[-1], out_last)
 
 
-def _contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, side, rep, comp, sketch) sorted by grp: pairs of different components whose sketches may reach the threshold."""
-
-    def pairs(k, side, rep, comp, sk):
-        a = np.flatnonzero(side != 1)
-        b = np.flatnonzero(side != 0)
-        for i in a:
-            js = b[(comp[b] != comp[i]) & ((side[b] == 1) | (rep[b] > rep[i]))]
-            if len(js):
-                same = (sk[js] == sk[i]).sum(1)
-                for j in js[same >= MAYBE * T]:
-                    yield min(rep[i], rep[j]), max(rep[i], rep[j])
-
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str], wide: dict) -> Iterator[list]:
+    """The columns of each run of equal grp; ``wide`` says how to read binary columns."""
     held: list = []
-
-    def flush():
-        k, side, rep, comp, sk = (np.concatenate(x) for x in zip(*held))
-        found = set(pairs(k, side, rep, comp, sk))
-        held.clear()
-        if found:
-            x = np.array(sorted(found), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
-
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [column(b, n).to_numpy() for n in ("grp", "side", "rep", "comp")] + [np.frombuffer(b"".join(column(b, "sketch").to_pylist()), np.uint8).reshape(-1, T)]
+        cols = [wide[n](column(b, n)) if n in wide else column(b, n).to_numpy() for n in names]
         cut = np.concatenate([[0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1, [b.num_rows]])
         for i, j in zip(cut, cut[1:]):
-            if held and held[-1][0][-1] != cols[0][i]:
-                yield from flush()
+            if held and held[0][0][0] != cols[0][i]:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
             held.append([c[i:j] for c in cols])
     if held:
-        yield from flush()
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _sketches_of(c: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, T)
+
+
+def _sets_of(c: pa.Array) -> np.ndarray:
+    out = np.empty(len(c), object)
+    out[:] = [np.frombuffer(x, np.int64) for x in c.to_pylist()]
+    return out
+
+
+def _candidates(side, rep, comp, sk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row i that pairs: the rows j of other components that may link with it, and their equal coordinates."""
+    for i in np.flatnonzero(side != 1):
+        js = np.flatnonzero((comp != comp[i]) & (side != 0 if side[i] == 0 else rep > rep[i]))
+        if len(js):
+            same = (sk[js] == sk[i]).sum(1)
+            yes = same >= MAYBE * T
+            if yes.any():
+                yield i, js[yes], same[yes]
+
+
+def _contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (grp, side, rep, comp, sketch) sorted by grp, those that may link with one of another component."""
+    for grp, side, rep, comp, sk in _groups(batches, ["grp", "side", "rep", "comp", "sketch"], {"sketch": _sketches_of}):
+        hit = np.zeros(len(rep), bool)
+        for i, js, _ in _candidates(side, rep, comp, sk):
+            hit[i] = True
+            hit[js] = True
+        if hit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (grp, side, rep, comp)], ["grp", "side", "rep", "comp"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) among rows (grp, side, rep, comp, sketch, set) sorted by grp. Likely pairs come first, and a pair
+    that links so far connect is not verified again; every other candidate is, on full sets."""
+    refused: set[tuple[int, int]] = set()
+    for _, side, rep, comp, sk, sets in _groups(batches, ["grp", "side", "rep", "comp", "sketch", "set"], {"sketch": _sketches_of, "set": _sets_of}):
+        root = {int(c): int(c) for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        todo = sorted((-int(n), int(i), int(j)) for i, js, same in _candidates(side, rep, comp, sk) for j, n in zip(js, same))
+        found = []
+        for _, i, j in todo:
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            pair = (min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j])))
+            if a == b or pair in refused:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if PART * both >= SHARE * (len(sets[i]) + len(sets[j]) - both):
+                root[max(a, b)] = min(a, b)
+                found.append(pair)
+            elif len(refused) < 1 << 18:  # a memory of refusals only spares repeated work
+                refused.add(pair)
+        if found:
+            x = np.array(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        c = column(b, "shingles")
+        at, flat = c.offsets.to_numpy(), c.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([column(b, "rep"), pa.array([flat[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], ["rep", "set"])
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -264,11 +316,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grp = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") < F.col("other"), 0).when(F.col("mine") > F.col("other"), 1).otherwise(2)
     member = member.select(grp.alias("grp"), side.cast("int").alias("side"), "rep", "comp", "sketch")
-    maybe = member.repartition("grp").sortWithinPartitions("grp").mapInArrow(_contested, "a long, b long").distinct()
-    maybe = save(maybe.join(shared_bands.select("a", "b"), ["a", "b"], "left_anti"), "maybe")
-    last = save(_verified(maybe, sets), "links")
-    if not last.isEmpty():
-        labels = components(near, links.union(last))
+    contested = save(member.repartition("grp").sortWithinPartitions("grp").mapInArrow(_contested, "grp long, side int, rep long, comp long"), "contested")
+    if not contested.isEmpty():
+        whole = sets.mapInArrow(_packed, "rep long, set binary").join(classes.select("rep", "sketch"), "rep")
+        rows = contested.join(whole, "rep").select("grp", "side", "rep", "comp", "sketch", "set")
+        last = save(rows.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_settled, "a long, b long"), "links")
+        if not last.isEmpty():
+            labels = components(near, links.union(last))
 
     klass = classes.join(labels, "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
     out = described.select("doc_id", *key).join(klass, key, "left")
