@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, toxicity
+from . import minhash, mixing, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_noisy_or_toxicity": toxicity.op6_noisy_or_toxicity,
     "op7_fast_sketch_dedup": minhash.op7_fast_sketch_dedup,
+    "op8_randomness_battery": secret_scan.op8_randomness_battery,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
 }
 
