@@ -1,12 +1,53 @@
-"""The corpus pipeline: stages over documents, each calling one operator of ``millrace.llm``."""
+"""The corpus pipeline: stages over documents, each calling one operator of ``millrace.llm``.
+
+Each stage takes all rows its predecessor kept. All but the last return the columns of documents:
+
+1. toxicity: documents whose score is 0.5 or more go.
+2. near_dedup: of each component of near-duplicates the document with the least id stays; blank ones are not
+   duplicates of anything. A row without doc_id stays; of rows that share an id and are kept, each stays.
+3. secrets: every span found is replaced by a mark; n_chars follows. No document goes.
+4. mixing: each source is taken up to its target; a document that is taken k times is there k times, in training order.
+5. packing: the pieces of all documents and their bins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import minhash, mixing, packing, secret_scan, toxicity
+from millrace.llm.common import of_columns, save, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, carry=COLUMNS).filter("predicted = 0").select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = minhash.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    docs = of_columns(docs, *COLUMNS)
+    return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(docs.withColumn("was", F.col("text").isNull()), carry=("was", "lang", "source", "n_chars"))
+    out = secret_scan.redact(found)
+    touched = F.size("spans") > 0
+    return out.select("doc_id", F.when(~F.col("was"), F.col("text")).alias("text"), "lang", "source", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.training_order(docs, COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
-from millrace.llm.common import save, table
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_copies), ("secrets", redact_secrets), ("mixing", mix), ("packing", pack)]
 
 #: No SQL expresses these stages; tests hold them against brute force.
 ORACLE_SQL = None

@@ -76,7 +76,7 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), weights=WEIGHTS, m
     """A row for each document: doc_id, source, size, source_size, target, passes, taken, start (words of its
     source before it, in a pass), klass, and the columns of ``carry``."""
     order = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
-    flat = of_columns(docs, "doc_id", "source", *dict.fromkeys(["text", *carry]))
+    flat = of_columns(docs, *dict.fromkeys(["doc_id", "source", "text", *carry]))
     full = flat.select("doc_id", "source", size_of().alias("size"), order.alias("h"), *[c for c in carry if c not in ("doc_id", "source")])
     sized = full.select("doc_id", "source", "size", "h")
     if not carry:
