@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, language_id, minhash, mixing, packing, secret_scan, token_store, toxicity
+from . import context_tree, fingerprint, language_id, minhash, mixing, packing, secret_scan, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_tokens": token_store.op1_huffman_tokens,
     "op2_viterbi_language": language_id.op2_viterbi_language,
+    "op3_consistent_sampling": fingerprint.op3_consistent_sampling,
     "op4_conflict_best_fit": packing.op4_conflict_best_fit,
     "op5_context_tree_score": context_tree.op5_context_tree_score,
     "op6_noisy_or_toxicity": toxicity.op6_noisy_or_toxicity,
