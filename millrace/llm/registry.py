@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, fingerprint, language_id, minhash, mixing, packing, secret_scan, token_store, toxicity
+from . import context_tree, fingerprint, language_id, media, minhash, mixing, packing, secret_scan, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_tokens": token_store.op1_huffman_tokens,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_noisy_or_toxicity": toxicity.op6_noisy_or_toxicity,
     "op7_fast_sketch_dedup": minhash.op7_fast_sketch_dedup,
     "op8_randomness_battery": secret_scan.op8_randomness_battery,
+    "op9_lossless_webp": media.op9_lossless_webp,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
 }
 
