@@ -15,8 +15,8 @@ def t_two_sided(r2: Column, n: Column) -> Column:
     """The two-sided p of a slope from r squared of n points: the finite series for integer degrees of freedom
     (Abramowitz and Stegun 26.7.3, 26.7.4)."""
     df = n - 2
-    t = F.sqrt(r2 * df / (1 - r2))
-    theta = F.atan(t / F.sqrt(df.cast("double")))
+    t = F.sqrt(r2 * df / F.nullif(1 - r2, F.lit(0.0)))
+    theta = F.atan(t / F.sqrt(F.greatest(df, F.lit(1)).cast("double")))
     cos2 = F.cos(theta) * F.cos(theta)
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
@@ -84,10 +84,11 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """The bounds of the Wilson interval; null for n = 0."""
-    p = hits / F.nullif(n, F.lit(0))
+    n = F.nullif(n, F.lit(0))
+    p = hits / n
     mid = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / (1 + z * z / n)
-    return mid - half, mid + half
+    return F.when(mid.isNotNull(), F.greatest(mid - half, F.lit(0.0))), F.when(mid.isNotNull(), F.least(mid + half, F.lit(1.0)))
 
 
 def macro_auc(scores: DataFrame, label: str = "label") -> DataFrame:
