@@ -142,3 +142,20 @@ def windows(items: Column, size: int = 512, step: int = 128) -> Column:
     n = F.size(items)
     starts = F.sequence(F.lit(0), F.floor((F.greatest(n - size, F.lit(0)) + step - 1) / step).cast("int"))
     return F.transform(starts, lambda i: F.slice(items, i * step + 1, F.lit(size)))
+
+
+def code_tokens(text: Column, signs: bool = False) -> Column:
+    """Identifiers of code for sequence models, with brackets and semicolons if ``signs``."""
+    return F.regexp_extract_all(text, F.lit(r"[A-Za-z_]\w*" + (r"|[{}();]" if signs else "")), F.lit(0))
+
+
+def padded(items: Column, size: int, fill: Column) -> Column:
+    """The first ``size`` items, filled up at the end."""
+    return F.concat(F.slice(items, F.lit(1), F.lit(size)), F.array_repeat(fill, F.greatest(F.lit(0), size - F.size(items))))
+
+
+def mean_of(parts: Column, width: int) -> Column:
+    """The element-wise mean of an array of vectors of one width; null if there are none."""
+    n = F.size(parts)
+    total = F.aggregate(parts, F.array_repeat(F.lit(0.0), width), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return F.when(n > 0, F.transform(total, lambda x: x / n))

@@ -44,6 +44,16 @@ def predict(name: str, train: DataFrame, test: DataFrame, tau: float = vectors.T
     return out.select("vec_id", "label4", padded.alias("probability")).withColumn("predicted", vectors.threshold("probability", tau))
 
 
+def compare(train: DataFrame, test: DataFrame, names=CLASSIFIERS, **how) -> DataFrame:
+    """Metrics of several classifiers on one split, best f1 first; the features are computed once."""
+    train, test = train.cache(), test.cache()
+    rows = [vectors.detection_metrics(predict(n, train, test, **how), "label4", "predicted").withColumn("classifier", F.lit(n)) for n in names]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.orderBy(F.coalesce("f1", F.lit(0.0)).desc(), "classifier")
+
+
 def leave_one_out(vecs: DataFrame, k: int = vectors.K) -> DataFrame:
     """Retrieval alone, all folds in one plan: each vector votes among neighbours of other projects; metrics by project."""
     near = vectors.top_k(vecs, vecs, k, F.col("project") != F.col("p_"))

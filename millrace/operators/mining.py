@@ -45,13 +45,30 @@ def keyword_signals(df: DataFrame, key: str, text: Column, layer: int, keywords=
     return rows.select(key, "x.category", F.lit("keyword").alias("source"), F.lit(layer).alias("layer"), F.array_join("x.evidence", "|").alias("evidence"))
 
 
+def rules_of(taxonomy: DataFrame) -> tuple[list[tuple], list[tuple]]:
+    """Keywords and diff patterns of a taxonomy (``sources.readers.taxonomy``) in the form of the built-in ones. A taxonomy is
+    configuration, so its rows come to the driver and become literals of the plan; patterns that don't compile are
+    left out, and those of sub-patterns stop a dot at a line end."""
+    keywords, patterns = [], []
+    for r in taxonomy.orderBy("category", "kind", "side", "ordinal", "pattern").collect():
+        try:
+            taxonomy.sparkSession._jvm.java.util.regex.Pattern.compile("(?dU)" + r["pattern"])
+        except Exception:  # the engine's pattern syntax decides
+            continue
+        if r["kind"] == "keyword":
+            keywords.append((r["category"], r["ordinal"], r["pattern"]))
+        else:
+            patterns.append((r["category"], r["ordinal"], r["side"], r["pattern"], "m" if r["kind"] == "sub" else "ms"))
+    return keywords, patterns
+
+
 def diff_signals(df: DataFrame, key: str, diff: str = "diff", layer: int = 3, patterns=R.DIFF_PATTERNS) -> DataFrame:
     """Structural signals: patterns on both sides of a diff, or two or more on one side (partial)."""
     d = df.select(key, F.array_join(side(F.col(diff), "-"), "\n").alias("gone"), F.array_join(side(F.col(diff), "+"), "\n").alias("come"))
-    groups: dict[str, list[tuple[str, str]]] = {}
-    for c, _, s, p in patterns:
-        groups.setdefault(c, []).append((s, p))
-    found = [F.struct(F.lit(c).alias("category"), F.filter(F.array(*[F.when(R.has("gone" if s == "before" else "come", p, "ms"), F.lit(f"{s}:{p}")) for s, p in ps]), lambda x: x.isNotNull()).alias("evidence")) for c, ps in groups.items()]
+    groups: dict[str, list[tuple[str, str, str]]] = {}
+    for c, _, s, p, *flags in patterns:
+        groups.setdefault(c, []).append((s, p, flags[0] if flags else "ms"))
+    found = [F.struct(F.lit(c).alias("category"), F.filter(F.array(*[F.when(R.has("gone" if s == "before" else "come", p, f), F.lit(f"{s}:{p}")) for s, p, f in ps]), lambda x: x.isNotNull()).alias("evidence")) for c, ps in groups.items()]
     rows = d.select(key, F.explode(F.array(*found)).alias("x")).select(key, "x.category", "x.evidence")
     both = F.exists("evidence", lambda e: e.startswith("before:")) & F.exists("evidence", lambda e: e.startswith("after:"))
     kind = F.when(both, "structural").when(F.size("evidence") >= 2, "structural_partial")
@@ -149,3 +166,23 @@ def traceability(repo: Column, commit: Column, number: str = "pr_number", title:
     link = F.concat(F.lit("https://github.com/"), repo, F.lit("/commit/"), commit)
     pr = F.concat(F.lit("PR #"), F.col(number).cast("string"), F.lit(" · "), F.substring(title, 1, 80), F.lit(" | PR: "), F.col(url), F.lit(" | Commit: "), link)
     return F.when(F.col(number).isNotNull(), pr).otherwise(F.concat(F.lit("Commit: "), link))
+
+
+def with_project(df: DataFrame, projects: DataFrame, path: str = "repo") -> DataFrame:
+    """df with project: the name that ``projects`` (path, project) gives to a repository, else its last path segment."""
+    known = projects.select(F.col("path").alias("p_"), F.col("project").alias("n_"))
+    out = df.join(known, F.col(path) == F.col("p_"), "left")
+    return out.select(*[df[c] for c in df.columns], F.coalesce("n_", F.element_at(F.split(path, "/", -1), -1)).alias("project"))
+
+
+def overlay(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Columns of both by key; where both have a column, the right value wins unless it is null or the row is absent."""
+    r = right.select(F.col(key), *[F.col(c).alias(f"_r_{c}") for c in right.columns if c != key])
+    both = left.join(r, key, "left")
+    shared = [c for c in right.columns if c != key]
+    return both.select(key, *[F.coalesce(f"_r_{c}", c).alias(c) if c in shared else F.col(c) for c in left.columns if c != key], *[F.col(f"_r_{c}").alias(c) for c in shared if c not in left.columns])
+
+
+def allowed(df: DataFrame, projects: list[str], column: str = "project") -> DataFrame:
+    """Rows of the named projects; no names, all rows."""
+    return df.filter(F.col(column).isin(*projects)) if projects else df

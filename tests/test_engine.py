@@ -167,3 +167,36 @@ def test_readers_and_writers(spark, tmp_path):
     assert sorted((r.pair_id, r.structural_changes or "") for r in back.collect()) == [("1", "a|b"), ("2", "")]
     both = readers.union_all([pairs.select("pair_id"), spark.range(1)])
     assert both.columns == ["pair_id", "id"] and both.count() == 3
+
+
+def test_taxonomy_rules_and_lookups(spark, tmp_path):
+    tax = {"taxonomy": {"memory": {"subcategories": {"leak": {"commit_keywords": ["Leak", "bad("], "structural_patterns_before": [r"\.put\("], "structural_patterns_after": [r"\.remove\("], "sub_patterns": {"k": {"patterns_before": ["a.b"], "patterns_after": []}}}}}}}
+    (tmp_path / "t.json").write_text(json.dumps(tax))
+    keywords, patterns = mining.rules_of(readers.taxonomy(spark, str(tmp_path / "t.json")))
+    assert keywords == [("memory.leak", 0, "Leak")] and len(patterns) == 3
+    d = spark.createDataFrame([("c", "a leak", "-m.put(a\n-b)\n+m.remove(a)"), ("d", "none", "-m.put(a)\n-a b"), ("e", None, None)], "k string, message string, diff string")
+    assert [r.k for r in mining.keyword_signals(d, "k", F.col("message"), 1, keywords).collect()] == ["c"]
+    got = {r.k: (r.source, r.evidence) for r in mining.diff_signals(d, "k", patterns=patterns).collect()}
+    assert got == {"c": ("structural", r"after:\.remove\(|before:\.put\("), "d": ("structural_partial", r"before:\.put\(|before:a.b")}
+    p = mining.with_project(spark.createDataFrame([("x/y",), ("u/v/w",)], "repo string"), spark.createDataFrame([("x/y", "Y")], "path string, project string"))
+    assert sorted(r.project for r in p.collect()) == ["Y", "w"]
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, "z", 5)], "k int, v string, n int")
+    assert sorted(map(tuple, mining.overlay(left, right, "k").collect())) == [(1, "z", 5), (2, "b", None)]
+    assert one(spark, T.code_tokens(F.col("s"), True), s="if (a_1) { b(); }") == ["if", "(", "a_1", ")", "{", "b", "(", ")", ";", "}"]
+    assert one(spark, T.padded(T.code_tokens(F.col("s")), 3, F.lit("")), s="a b") == ["a", "b", ""]
+
+
+def test_command_line(spark, tmp_path):
+    from millrace.__main__ import main
+
+    (tmp_path / "a.diff").write_text("+++ b/A.java\n@@ -1 +1,4 @@\n+int f(Lock l) {\n+  synchronized (l) { Thread.sleep(1); }\n+  return 1;\n+}\n")
+    args = ["screen", "--diff", str(tmp_path / "a.diff"), "--output", str(tmp_path / "r")]
+    assert main([*args, "--fail-on-fault"]) == 1 and main(args) == 0
+    assert main(["screen", "--diff", str(tmp_path / "none"), "--output", str(tmp_path / "x")]) == 2
+    c = spark.createDataFrame([("h", "o/r", "fix memory leak", "-m.put(a)\n+m.remove(a)", ["A.java"]), ("n", "o/r", "docs", "", [])], "commit_hash string, repo string, message string, diff string, files array<string>")
+    c.write.parquet(str(tmp_path / "c"))
+    assert main(["mine", "--commits", str(tmp_path / "c"), "--fault-filter", "ML", "--output", str(tmp_path / "m")]) == 0
+    assert [r.commit_hash for r in spark.read.json(str(tmp_path / "m" / "candidates")).collect()] == ["h"]
+    (tmp_path / "p.json").write_text(json.dumps({"pairs": [{"pair_id": "1", "before_source": "synchronized (a) {\n m.put(1);\n}", "after_source": "m.put(1);\nm.clear();"}, {"pair_id": "2"}]}))
+    assert main(["detect", "--method-pairs", str(tmp_path / "p.json"), "--output", str(tmp_path / "d")]) == 0
+    assert spark.read.json(str(tmp_path / "d" / "totals")).first().multi == 1
