@@ -1,8 +1,9 @@
 """Token ids in files, by canonical length-limited Huffman codes.
 
-Texts are encoded by a tokenizer of the tokenizers library, and an end id closes each. Words recur, so a word that a
-worker has met is not encoded again: a boundary before a blank that a visible character follows never changes
-the tokens on either side, and the pieces between such boundaries are encoded one for all.
+Texts are encoded by a tokenizer of the tokenizers library, and an end id closes each. Pieces recur, so one that a
+worker has met is not encoded again: a cut before a blank or after a single line end, if a visible character
+follows, or between a letter and a mark never changes the tokens on either side, and what lies between cuts is
+encoded one for all.
 
 Code: counts of ids over all documents, lengths limited by package-merge, canonical codes. Files: a folder with
 ``blocks`` (Parquet, a folder for each range of doc_id, ascending; rows ascending), ``code`` (the length of each
@@ -29,73 +30,148 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, drop, new_path, of_columns, pieces, save, table
+from .common import column, drop, new_path, of_columns, pieces, save, spans_hash, table, utf8
 
 END_ID = 2
 MAX_BITS = 18
 STEP = 128
 BLOCK_IDS = 1 << 18
-CACHE_WORDS = 400_000
-_UNSAFE = re.compile(r" \s| $")
-_SAFE = re.compile(r"(?= \S)")
+#: Pieces that a worker keeps, some 30 bytes each.
+CACHE_PIECES = 2_500_000
+#: Pieces that are encoded as one text; longer texts are slower for the library.
+JOINED = 32
+#: Bytes of text that are encoded at once; small, as two workers share an executor with its heap.
+ENCODE_BYTES = 1 << 20
+#: ASCII blanks and control separators, and the first bytes of all other blanks.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[ord(c) for c in ".,!?;:"]] = True
+
+
+class _Pool:
+    """Ids of pieces of text by the pieces' hashes: sorted keys over one run of ids."""
+
+    def __init__(self, dtype: str):
+        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, dtype), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return at, (self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool))
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        """New keys, ascending, with a run of ids and where in it those of each key are."""
+        if self.used + len(ids) > len(self.ids):
+            grown = np.zeros(max(2 * len(self.ids), self.used + len(ids)), self.ids.dtype)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : self.used + len(ids)] = ids
+        to = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.length = np.insert(self.keys, to, keys), np.insert(self.start, to, self.used + begin), np.insert(self.length, to, length)
+        self.used += len(ids)
 
 
 class Encoder:
-    """Whole texts to ids, as bytes of ``dtype``; equal to the tokenizer's own result on each text."""
+    """Whole texts to ids; equal to the tokenizer's own result on each text. Pieces are keyed by 64-bit hashes."""
 
-    def __init__(self, path: str, dtype: str = "<u2"):
+    def __init__(self, path: str, end_id: int, dtype: str = "<u2"):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.words = Tokenizer.from_file(path), dtype, {}
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = re.compile("|".join(re.escape(t.content) for t in added)) if added else None
+        self.tokenizer, self.end_id, self.dtype, self.pool = Tokenizer.from_file(path), end_id, dtype, _Pool(dtype)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Bytes of each id: a byte-level vocabulary spells a byte by one character.
         self.size = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.size[i] = len(token)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word after a blank. Words are encoded joined; ids are dealt out by their bytes."""
-        out: dict[str, bytes] = {}
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            ids = self.ids([" " + " ".join(part)])[0]
-            end = np.cumsum([len(w.encode()) + 1 for w in part])
-            cut = np.searchsorted(np.cumsum(self.size[ids]), end) + 1
-            raw, at, width = ids.tobytes(), 0, ids.itemsize
-            for w, c in zip(part, cut.tolist()):
-                out[w] = raw[at * width : c * width]
-                at = c
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, whole = [], []
-        for k, x in enumerate(texts):
-            if self.special and self.special.search(x):
-                whole.append(k)
-                split.append(None)
-            elif _UNSAFE.search(x):
-                p = _SAFE.split(x)
-                split.append([p[0], *[y[1:] for y in p[1:]]])
-            else:
-                split.append(x.split(" "))
-        words = self.words
-        new = {w for p in split if p for w in p[1:] if w not in words}
-        odd = [w for w in new if w[-1:].isspace() or " " in w]  # hold blanks of their own: one by one
-        fresh = self.learn(sorted(new.difference(odd)))
-        for w, ids in zip(odd, self.ids([" " + w for w in odd])):
-            fresh[w] = ids.tobytes()
-        if len(words) + len(fresh) <= CACHE_WORDS:
-            words.update(fresh)
-            look = words.__getitem__
-        else:
-            def look(w: str) -> bytes:
-                return words[w] if w in words else fresh[w]
-        heads = self.ids([p[0] if p else texts[k] for k, p in enumerate(split)])
-        return [h.tobytes() + b"".join(map(look, p[1:])) if p else h.tobytes() for h, p in zip(heads, split)]
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each piece where its own begin and how many they are. Pieces that may stand side by side are encoded
+        joined, some at a time, and ids are dealt out by bytes; a line end parts those that would merge."""
+        begin, length = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        blank = [k for k, x in enumerate(pieces) if x[:1] == b" "]
+        solid = [k for k, x in enumerate(pieces) if x[:1] != b" " and x and not _BLANK[x[0]] and not _BLANK[x[-1]]]
+        alone = sorted(set(range(len(pieces))).difference(blank, solid))
+        flat, used = [], 0
+        for which, gap in ((blank, b""), (solid, b"\n")):
+            if not which:
+                continue
+            own = [pieces[k] for k in which]
+            ids = np.concatenate(self.ids([gap.join(own[i : i + JOINED]).decode() for i in range(0, len(own), JOINED)]))
+            size = np.array([len(x) for x in own], np.int64)
+            after = np.full(len(own), len(gap), np.int64)
+            after[JOINED - 1 :: JOINED] = 0
+            after[-1] = 0
+            end = np.cumsum(size + after) - after
+            place = np.cumsum(self.size[ids])
+            begin[which] = used + np.searchsorted(place, end - size, "right")
+            length[which] = np.searchsorted(place, end) + 1 + used - begin[which]
+            flat.append(ids)
+            used += len(ids)
+        for k, ids in zip(alone, self.ids([pieces[k].decode() for k in alone])):
+            begin[k], length[k] = used, len(ids)
+            flat.append(ids)
+            used += len(ids)
+        return np.concatenate(flat), begin, length
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a UTF-8 buffer, each with the end id, and their n+1 offsets."""
+        n, count = len(data), len(at) - 1
+        follows = np.zeros(n, bool)  # whether a visible character of a kind that is safe to cut at comes next
+        follows[:-1] = ~_BLANK[data[1:]]
+        last = at[1:][np.diff(at) > 0] - 1
+        follows[last] = False
+        solid = np.zeros(n, bool)
+        solid[1:] = ~_BLANK[data[:-1]]
+        cut = (data == 32) & follows
+        line = np.flatnonzero((data == 10) & follows & solid)
+        cut[line + 1] = True
+        cut[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+        cut[at[:-1][np.diff(at) > 0]] = True
+        raw = data.tobytes()
+        odd = sorted({int(np.searchsorted(at, m.start(), "right")) - 1 for s in self.special for m in re.finditer(re.escape(s), raw)})
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], n)[: len(start)]
+        keys = spans_hash(data, start, end)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        change = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
+        distinct, first = ordered[change], order[change]  # ascending: lookups walk through memory
+        pool = self.pool
+        spot, hit = pool.find(distinct)
+        if not hit.all():
+            new = np.flatnonzero(~hit)
+            learnt = self.learn([raw[i:j] for i, j in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            if len(pool.keys) + len(new) > CACHE_PIECES:  # full: these serve this batch alone
+                side = _Pool(self.dtype)
+                keep = spot[hit]
+                a, b = pool.start[keep], pool.length[keep].astype(np.int64)
+                gather = np.repeat(a - np.cumsum(b) + b, b) + np.arange(int(b.sum()))
+                side.add(distinct[hit], pool.ids[gather], np.cumsum(b) - b, b)
+                pool = side
+            pool.add(distinct[new], *learnt)
+            spot, _ = pool.find(distinct)
+        whole = np.empty(len(keys), np.int64)
+        whole[order] = spot[np.cumsum(change) - 1]
+        spot = whole
+        piece = np.searchsorted(start, at)  # of each text's first piece
+        begin, length = pool.start[spot], pool.length[spot].astype(np.int64)
+        ends = pool.used
+        ids = np.append(pool.ids[:ends], np.array([self.end_id], self.dtype))
+        begin, length = np.insert(begin, piece[1:], ends), np.insert(length, piece[1:], 1)
+        offset = np.concatenate([[0], np.cumsum(length)])
+        out = ids[np.repeat(begin - offset[:-1], length) + np.arange(int(offset[-1]))]
+        own = offset[piece + np.arange(count + 1)]
+        if odd:
+            parts = [out[i:j] for i, j in zip(own, own[1:])]
+            for k, x in zip(odd, self.ids([raw[at[k] : at[k + 1]].decode() for k in odd])):
+                parts[k] = np.append(x, np.array([self.end_id], self.dtype))
+            out, own = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return out, own
 
 
 _ENCODERS: dict = {}
@@ -103,19 +179,18 @@ _ENCODERS: dict = {}
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:
     """doc_id, n_tokens, ids (binary, ``dtype``) of each document; ids end with ``end_id``."""
-    tail = np.array([end_id], dtype).tobytes()
-    width = np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        key = path, dtype
-        encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(path, dtype))
+        key = path, end_id, dtype
+        encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(*key))
         for batch in batches:
-            for p in pieces(batch):
-                out = [x + tail for x in encoder.encode([x or "" for x in column(p, "text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([column(p, "doc_id"), pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for p in pieces(batch, limit=ENCODE_BYTES):
+                ids, at = encoder.encode(*utf8(column(p, "text")))
+                binary = pa.Array.from_buffers(pa.binary(), p.num_rows, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([column(p, "doc_id"), pa.array(np.diff(at)), binary], ["doc_id", "n_tokens", "ids"])
 
     return of_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -124,6 +199,7 @@ def counts_of(tokens: DataFrame, vocabulary: int, dtype: str = "<u2") -> np.ndar
     """How often each id occurs in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # a worker that has encoded gives that memory back
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
             total += np.bincount(np.frombuffer(b"".join(column(b, "ids").to_pylist()), dtype), minlength=vocabulary)
@@ -177,24 +253,22 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def put_bits(ids: np.ndarray, at: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The documents ids[at[i]:at[i+1]], each from a byte's start: bytes, byte offsets of documents (n+1), and
-    each id's bit offset within its document."""
-    length = lengths[ids].astype(np.int64)
-    end = np.cumsum(length)
-    total = np.concatenate([[0], end])
+    the bits before each id (n+1 of them) without the fill at the ends of documents."""
+    total = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(lengths[ids], out=total[1:], dtype=np.int64)
     bits = total[at[1:]] - total[at[:-1]]
     starts = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
-    within = total[:-1] - np.repeat(total[at[:-1]], np.diff(at))
-    place = within + np.repeat(starts[:-1] * 8, np.diff(at))
     words = np.zeros(int(starts[-1]) // 8 + 2, np.uint64)
     if len(ids):
-        w, shift = place >> 6, 64 - (place & 63) - length
-        code = codes[ids]
-        first = np.where(shift >= 0, code << np.maximum(shift, 0).astype(np.uint64), code >> np.maximum(-shift, 0).astype(np.uint64))
-        cut = np.concatenate([[0], np.flatnonzero(w[1:] != w[:-1]) + 1])
-        words[w[cut]] = np.bitwise_or.reduceat(first, cut)
-        over = np.flatnonzero(shift < 0)
-        words[w[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
-    return words.astype(">u8").view(np.uint8)[: int(starts[-1])], starts, within
+        place = total[:-1] + np.repeat(starts[:-1] * 8 - total[at[:-1]], np.diff(at))
+        w, offset = place >> 6, (place & 63).astype(np.uint64)
+        top = (codes << (np.uint64(64) - np.maximum(lengths, 1).astype(np.uint64)))[ids]  # from the highest bit on
+        cut = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        words[w[cut]] = np.bitwise_or.reduceat(top >> offset, cut)
+        last = np.append(cut[1:], len(ids)) - 1  # only a word's last id can reach into the next
+        over = last[offset[last] + lengths[ids[last]] > 64]
+        words[w[over] + 1] |= top[over] << (np.uint64(64) - offset[over])
+    return words.astype(">u8").view(np.uint8)[: int(starts[-1])], starts, total
 
 
 def prefix_table(lengths: np.ndarray, limit: int) -> np.ndarray:
@@ -245,13 +319,15 @@ def write(tokens: DataFrame, path: str, vocabulary: int, dtype: str = "<u2", lim
     bounds = np.unique(np.array(bounds or [], np.int64))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # a worker that has encoded gives that memory back
         for batch in batches:
             for p in pieces(batch, "ids"):
                 n = column(p, "n_tokens").to_numpy()
                 at = np.concatenate([[0], np.cumsum(n)])
-                data, starts, within = put_bits(np.frombuffer(b"".join(column(p, "ids").to_pylist()), dtype), at, lengths, codes)
+                data, starts, total = put_bits(np.frombuffer(b"".join(column(p, "ids").to_pylist()), dtype), at, lengths, codes)
                 per, size = _checkpoints(n)
-                spots = within[np.repeat(at[:-1], per) + np.arange(len(size)) * STEP - np.repeat((np.cumsum(per) - per) * STEP, per)].astype("<u4").tobytes()
+                first = np.repeat(at[:-1], per)
+                spots = (total[first + np.arange(len(size)) * STEP - np.repeat((np.cumsum(per) - per) * STEP, per)] - total[first]).astype("<u4").tobytes()
                 cut = np.concatenate([[0], np.cumsum(per)]) * 4
                 raw = data.tobytes()
                 doc = column(p, "doc_id").fill_null(low).to_numpy()
@@ -261,6 +337,7 @@ def write(tokens: DataFrame, path: str, vocabulary: int, dtype: str = "<u2", lim
                 )
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # a worker that has encoded gives that memory back
         held: list[tuple] = []
         state = {"part": None, "before": 0, "ids": 0}
 
@@ -312,6 +389,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     starts = {r.part: r.start for r in spark.read.schema("part int, docs long, ids long, start long").parquet(f"{path}/index").collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # a worker that has encoded gives that memory back
         lookup = prefix_table(lengths, limit)
         for b in batches:
             for part, before, doc, n, marks, payload in zip(*[column(b, c).to_pylist() for c in ("part", "before", "doc_ids", "n_tokens", "marks", "payload")], strict=True):
