@@ -324,6 +324,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not last.isEmpty():
             labels = components(near, links.union(last))
 
+    for done in (stars, near, sets, contested):  # labels and classes are written; these are read no more
+        drop(done)
     klass = classes.join(labels, "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
     out = described.select("doc_id", *key).join(klass, key, "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
