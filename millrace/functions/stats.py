@@ -48,7 +48,7 @@ def signed_rank(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -
     live = nz.filter("d != 0")
     ranked = live.withColumn("same", F.count("*").over(by)).withColumn("rank", F.rank().over(order) + (F.col("same") - 1) / 2)
     g = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max("zeros").alias("zeros"), F.count("*").cast("int").alias("m"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w"), F.max("same").alias("tied"), F.sum(F.col("same") * F.col("same") - 1).cast("double").alias("ties"))
-    total = d.groupBy(*keys).agg(F.count("*").cast("int").alias("n_"))
+    total = d.groupBy(*keys).agg(F.count("*").alias("n_"))
     m = F.col("m")
     full = m * (m + 1) / 2
     start = F.transform(F.sequence(F.lit(0), full.cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
