@@ -142,7 +142,7 @@ def consecutive(docs: DataFrame, work, schema: str, shards: int | None = None) -
                     closed = True
                 else:
                     ids.append(i)
-                if closed or held > CHUNK_BYTES // 2 and len(texts) > 1:
+                if closed or held > CHUNK_BYTES and len(texts) > 1:
                     yield work(texts, ids if closed else ids[:-1])
                     texts, ids = ([], []) if closed else (texts[-1:], ids[-1:])
                     held = sum(map(len, texts))

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import Words, column, crc_mod, mix, of_columns, pieces, spans_hash, table, text_words, utf8
 
 BUCKETS = 1 << 20
-MAX_DOCS = 6_000
+MAX_DOCS = 4_000
+#: Features that a pass over the sample holds at once.
+RUN = 1 << 21
 STEPS = 150
 #: Bytes of the beginnings of words that are features; the word itself is one too.
 PREFIXES = (4, 5, 6, 7)
@@ -87,17 +89,23 @@ def fit(feature: np.ndarray, owner: np.ndarray, at: np.ndarray, label: np.ndarra
     weights, bias = np.zeros(BUCKETS), BIAS
     if n == 0 or label.min() == label.max():
         return weights, bias
-    seen = np.bincount(feature, minlength=BUCKETS)
+    seen = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(feature), RUN):
+        seen += np.bincount(feature[i : i + RUN], minlength=BUCKETS)
     keep = seen[feature] >= 3
     feature, owner = feature[keep], owner[keep]
     square, b_square = np.full(BUCKETS, 1e-8), 1e-8
     share = np.where(label == 1, np.clip(0.5 * (label == 0).sum() / (label == 1).sum(), 1.0, 3.0), 1.0) / n
     for step in range(steps):
-        z = np.bincount(owner, weights[feature], s) + bias
+        z = np.full(s, bias)
+        for i in range(0, len(feature), RUN):
+            z += np.bincount(owner[i : i + RUN], weights[feature[i : i + RUN]], s)
         total = np.maximum(np.add.reduceat(softplus(z), at[:-1]), 1e-9)
         slope = share * np.where(label == 1, -1 / np.expm1(np.minimum(total, 50)), 1.0)
         g = np.repeat(slope, np.diff(at)) / (1 + np.exp(-np.clip(z, -50, 50)))
-        grad = np.bincount(feature, g[owner], BUCKETS)
+        grad = np.zeros(BUCKETS)
+        for i in range(0, len(feature), RUN):
+            grad += np.bincount(feature[i : i + RUN], g[owner[i : i + RUN]], BUCKETS)
         square += grad * grad
         rate = 0.5 / np.sqrt(square)
         weights -= rate * grad
@@ -142,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple
     n = rows["n"].to_numpy()[order]
     per = np.frombuffer(b"".join(rows["per"][i].as_py() for i in order), np.int32)
     at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    del raw, rows
     return fit(feature, np.repeat(np.arange(len(per), dtype=np.int32), per), at, (label[order] > 0).astype(np.int64))
 
 
