@@ -4,14 +4,17 @@ Text: words in lower case (A-Z alone), one blank between two, then one end symbo
 symbols. Each byte is eight binary decisions; every decision has its own tree of contexts of 0 to ``DEPTH``
 bytes. A node mixes the Krichevsky-Trofimov estimate of its own counts, by half, with the product over its
 children; the posterior of these mixtures, given all training texts, is the frozen model. A context is a node
-if it holds at least 2**(-k/4) of all training bytes, for the largest whole k that gives at most ``NODES`` nodes; what a node's
-other contexts saw is one further child, so no count is lost, and the table has at most ``NODES`` rows of 1 KB.
+if it holds at least ``LEAST`` training bytes, however large the corpus, so nodes grow with it; what a node's other
+contexts saw is one further child, so no count is lost.
 
 Base: log10((c + 1) / (N + V + 1)) summed over the tokens. Words that hold at least 1/``COMMON`` of all training
 tokens (at most ``COMMON`` of them) are looked up in memory; counts of all others come by an exact join.
 
 Scale: two passes over the texts. Tasks merge counts before the shuffle, which grows with the corpus, not with
-its square; the driver gets nodes and common words only, both bounded. Words are keyed by 64-bit hashes.
+its square. Subtrees below the nearest ``CUT`` bytes are built where their counts lie, and leave sums for each context of
+CUT - 1 bytes (at most 65,536) to the driver, which mixes the rest; each gram then gets its log probability. Grams that
+hold at least 1/``GRAMS`` of all bytes (at most ``GRAMS`` of them) are looked up in memory, all others by an exact join,
+as words are. Words are keyed by 64-bit hashes.
 
 Null or blank text: the end alone. Null doc_id: counts as the empty id. Repeated rows: each is learnt from and
 scored. No training texts: every byte has probability 1/256 and N, V are 0. Empty table: no rows.
@@ -24,16 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Words, column, crc_mod, of_columns, pieces, save, table, text_words
 
 DEPTH = 5
-NODES = 40_000
+LEAST = 32
+CUT = 3
+#: Grams of whole subtrees that are built at once.
+RUN = 30_000
 ROWS_AT_ONCE = 2048
 COMMON = 1 << 22
+GRAMS = 1 << 23
 END = 10
 END_KEY = 1
 HOLD = 3 << 20
@@ -103,26 +110,29 @@ class _Counter:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counters = _Counter(), _Counter()
+    counters = [_Counter() for _ in range(3)]  # words and grams that are learnt, grams that are not
 
-    def out(kind: int) -> pa.RecordBatch:
-        keys, ns = counters[kind].merged()
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(ns.astype(np.int64))], ["kind", "key", "n"])
+    def rows(kind: int, keys: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
+        n = ns.astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), min(kind, 1), np.int32)), pa.array(keys), pa.array(n if kind < 2 else 0 * n), pa.array(n)], ["kind", "key", "n", "every"])
 
     for batch in batches:
-        for p in pieces(batch):
-            w = text_words(p)
-            counters[0].add(np.append(w.hash.view(np.int64), np.full(p.num_rows, END_KEY, np.int64)))
-            counters[1].add(grams(*byte_stream(w))[0])
-            for kind in (0, 1):
-                if counters[kind].held > HOLD:
-                    keys, ns = counters[kind].merged()
-                    if len(keys) > HOLD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(ns.astype(np.int64))], ["kind", "key", "n"])
-                    else:
-                        counters[kind].put(keys, ns)
-    yield out(0)
-    yield out(1)
+        learnt = column(batch, "learnt")
+        for part, kinds in ((batch.filter(learnt), (0, 1)), (batch.filter(pc.invert(learnt)), (2,))):
+            for p in pieces(part):
+                w = text_words(p, hashed=0 in kinds)
+                if 0 in kinds:
+                    counters[0].add(np.append(w.hash.view(np.int64), np.full(p.num_rows, END_KEY, np.int64)))
+                counters[kinds[-1]].add(grams(*byte_stream(w))[0])
+                for kind in kinds:
+                    if counters[kind].held > HOLD:
+                        keys, ns = counters[kind].merged()
+                        if len(keys) > HOLD // 2:
+                            yield rows(kind, keys, ns)
+                        else:
+                            counters[kind].put(keys, ns)
+    for kind in range(3):
+        yield rows(kind, *counters[kind].merged())
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -149,7 +159,10 @@ def _by_rows(f, n: np.ndarray) -> np.ndarray:
 def _evidence(n: np.ndarray) -> np.ndarray:
     def part(n: np.ndarray) -> np.ndarray:
         a, b = _bits(n.astype(np.float64))
-        return log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1)
+        out, seen = np.zeros(a.shape), a + b > 0
+        a, b = a[seen], b[seen]
+        out[seen] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1)
+        return out
 
     return _by_rows(part, n)
 
@@ -177,96 +190,203 @@ def _rows(p: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """contexts: the sorted keys of each depth's nodes; first: the number of each depth's first row; table: log10
-    probabilities of the bytes in each row. A row of depth below DEPTH is that of the node's other contexts."""
-
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]]):
-        """nodes: for each depth (gram keys, counts) of its nodes."""
-        self.contexts, counts = [], []
+    """The nodes of depths ``lo`` and more. contexts: the sorted keys of each depth's nodes; first: the number of each
+    depth's first row; below: log evidence at each binary node of depth lo; table: log10 probabilities of the bytes in
+    each row. A row of a node with children is that of its other contexts."""
+
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], lo: int = 0, inner: tuple[np.ndarray, np.ndarray] | None = None):
+        """nodes: for each depth (gram keys, counts) of its nodes. inner: for each context of the last depth the
+        counts and the evidence of children that are kept elsewhere. The table of lo > 0 comes by ``down``."""
+        self.lo, self.contexts, counts = lo, [], []
         for keys, ns in nodes:
             ctx, at = np.unique(keys >> 8, return_inverse=True)
-            n = np.zeros((len(ctx), 256), np.float64 if len(counts) < DEPTH else np.float32)
-            n[at, keys & 255] = ns
             self.contexts.append(ctx)
-            counts.append(n)
+            counts.append(np.bincount(at * 256 + (keys & 255), ns, len(ctx) * 256).reshape(-1, 256))
         self.first = np.concatenate([[0], np.cumsum([len(c) for c in self.contexts])])
+        self.table = np.full((1, 256), -np.log10(256), np.float32)
         if not len(self.contexts[0]):
-            self.table = np.full((1, 256), -np.log10(256), np.float32)
+            self.below = np.zeros((0, 255))
             return
-        parents, others, weights = [None], [], [None] * (DEPTH + 1)
-        for d in range(DEPTH):
-            up = np.searchsorted(self.contexts[d], self.contexts[d + 1] & ((1 << 8 * d) - 1))
+        parents, others, weights = [None], [], []
+        for d in range(len(counts) - 1):
+            up = np.searchsorted(self.contexts[d], self.contexts[d + 1] & ((1 << 8 * (lo + d)) - 1))
             parents.append(up)
             other = counts[d].copy()
             np.subtract.at(other, up, counts[d + 1])
             others.append(np.maximum(other, 0))
-        below = None
-        for d in range(DEPTH - 1, -1, -1):
-            own, split = _evidence(counts[d]), _evidence(others[d])
-            up = parents[d + 1]
-            for i in range(0, len(up), ROWS_AT_ONCE):
-                j = i + ROWS_AT_ONCE
-                np.add.at(split, up[i:j], _evidence(counts[d + 1][i:j]) if d == DEPTH - 1 else below[i:j])
-            below = np.logaddexp(own, split) + np.log(0.5)
-            weights[d] = np.exp(own + np.log(0.5) - below).astype(np.float32)
-            del own, split
-        weights[DEPTH] = np.float32(1)
-        del below
-        rows, acc, rem = [], None, None
-        for d in range(DEPTH + 1):
-            a, r = (np.float32(0), np.float32(1)) if d == 0 else (acc[parents[d]], rem[parents[d]])
+        others.append(np.maximum(counts[-1] - inner[0], 0) if inner else None)
+        for d in range(len(counts) - 1, -1, -1):
+            own = _evidence(counts[d])
+            if others[d] is None:
+                self.below = own
+                weights.insert(0, np.float32(1))
+                continue
+            split = _evidence(others[d])
+            if d == len(counts) - 1:
+                split += inner[1]
+            else:
+                np.add.at(split, parents[d + 1], self.below)
+            self.below = np.logaddexp(own, split) + np.log(0.5)
+            weights.insert(0, np.exp(own + np.log(0.5) - self.below).astype(np.float32))
+        self._built = parents, counts, others, weights
+        if not lo:
+            self.down(np.float32(0), np.float32(1))
+
+    def down(self, acc: np.ndarray, rem: np.ndarray) -> None:
+        """Fills the table, given the mixture so far and the weight that remains for each context of depth lo; acc
+        and rem are then those of the last depth."""
+        parents, counts, others, weights = self.__dict__.pop("_built")
+        rows = []
+        for d in range(len(counts)):
+            a, r = (acc, rem) if d == 0 else (acc[parents[d]], rem[parents[d]])
             acc = a + r * weights[d] * _estimate(counts[d])
             rem = r * (1 - weights[d])
-            rows.append(_rows(acc if d == DEPTH else acc + rem * _estimate(others[d])))
-            counts[d] = weights[d] = None
-            if d < DEPTH:
-                others[d] = None
-        self.table = np.concatenate(rows)
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each key's byte in its context."""
-        row = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys)) if len(self.contexts[0]) else np.zeros(0, np.int64)
-        for d in range(1, DEPTH + 1):
-            ctx = self.contexts[d]
+            rows.append(_rows(acc if others[d] is None else acc + rem * _estimate(others[d])))
+            counts[d] = others[d] = None
+        self.table, self.acc, self.rem = np.concatenate(rows), acc, rem
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of the deepest node of each key's context, -1 if none is here."""
+        row = np.full(len(keys), -1)
+        live = np.arange(len(keys))
+        for d, ctx in enumerate(self.contexts):
             if not len(ctx) or not len(live):
                 break
-            want = keys[live] >> 8 & ((1 << 8 * d) - 1)
+            want = keys[live] >> 8 & ((1 << 8 * (self.lo + d)) - 1)
             at = np.minimum(np.searchsorted(ctx, want), len(ctx) - 1)
             hit = ctx[at] == want
             live = live[hit]
             row[live] = self.first[d] + at[hit]
-        return self.table[row, keys & 255]
+        return row
 
-
-def train(docs: DataFrame, nodes: int = NODES) -> tuple[Tree, DataFrame, int, int]:
-    """The tree, the table of token counts (key, n), N and V, from the texts of ``docs``."""
-    counted = docs.select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counted = save(counted, "counts")
-    words, full = counted.filter("kind = 0").select("key", "n"), counted.filter("kind = 1").select("key", "n")
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each key's byte in its context."""
+        return self.table[np.maximum(self.find(keys), 0), keys & 255]
+
+
+def subtrees(keys: np.ndarray, ns: np.ndarray, least: int) -> Tree:
+    """The nodes of CUT bytes and more, from all grams of their contexts."""
+    nodes = []
+    for d in range(CUT, DEPTH + 1):
+        gram = keys & ((1 << 8 * (d + 1)) - 1)
+        _, at = np.unique(gram >> 8, return_inverse=True)
+        on = (ns > 0) & (np.bincount(at, ns, 1)[at] >= least)
+        nodes.append((gram[on], ns[on]))
+    return Tree(nodes, CUT)
+
+
+def _context(depth: int):
+    return F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are sorted by their context of CUT bytes, in runs of whole contexts."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[pa.RecordBatch, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+        c = column(t, "ctx").to_numpy()
+        return t, np.flatnonzero(c[1:] != c[:-1]) + 1
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= RUN:
+            t, cuts = joined()
+            i = 0
+            while len(cuts := cuts[cuts > i]):
+                j = int(cuts[max(np.searchsorted(cuts, i + RUN, "right") - 1, 0)])
+                yield t.slice(i, j - i)
+                i = j
+            held.append(t.slice(i))
+    if held:
+        yield joined()[0]
+
+
+def top_tree(rows: pa.Table, least: int) -> Tree:
+    """The nodes of less than CUT bytes, from the sums for each context of CUT - 1 bytes."""
+    ctx = rows["ctx"].to_numpy()
+    sums = np.frombuffer(b"".join(rows["sums"].to_pylist()), np.float64).reshape(len(ctx), 767)
+    keys = (ctx[:, None] << 8 | np.arange(256)).reshape(-1)
+    own = sums[:, :256].reshape(-1)
+    nodes = []
+    for d in range(CUT):
+        gram = keys & ((1 << 8 * (d + 1)) - 1)
+        _, at = np.unique(gram >> 8, return_inverse=True)
+        on = (own > 0) & (np.bincount(at, own, 1)[at] >= (least if d else 1))
+        nodes.append((gram[on], own[on]))
+    last = np.unique(nodes[-1][0] >> 8)
+    order = np.argsort(ctx)
+    picked = sums[order[np.searchsorted(ctx[order], last)]] if len(last) else np.zeros((0, 767))
+    return Tree(nodes, 0, (picked[:, 256:512], picked[:, 512:]))
+
+
+def train(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, int, int]:
+    """The table of grams (key, every, score), that of token counts (key, n), N and V. The model is that of the texts
+    of ``docs``, of those with ``learnt`` if there is such a column; only grams of ``docs`` have a score."""
+    learnt = F.col("learnt") if "learnt" in docs.columns else F.lit(True)
+    counted = docs.select("text", learnt.alias("learnt")).mapInArrow(_count, "kind int, key long, n long, every long")
+    counted = save(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "counts")
+    words, full = counted.filter("kind = 0").select("key", "n"), counted.filter("kind = 1")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    bytes_ = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    low = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")) for d in range(DEPTH + 1)])
-    every = full.select("n", F.explode(low).alias("x")).groupBy("x.depth", "x.gram").agg(F.sum("n").alias("n")).withColumn("ctx", F.shiftright("gram", 8))
-    level = F.ceil(4 * F.log2(F.lit(float(max(bytes_, 1))) / F.col("held"))).cast("int")
-    levels = every.groupBy("depth", "ctx").agg(F.sum("n").alias("held")).groupBy(level.alias("k")).count().collect()  # a few hundred rows
-    fits = max((k for k, _ in levels if sum(n for j, n in levels if j <= k) <= nodes), default=0)
-    every = every.withColumn("held", F.sum("n").over(W.partitionBy("depth", "ctx"))).filter(level <= fits)  # at most 256 rows a group
-    got = every.select("depth", "gram", "n").toArrow()
-    depth, gram, n = (got[c].to_numpy() for c in ("depth", "gram", "n"))
-    return Tree([(gram[depth == d], n[depth == d].astype(np.float64)) for d in range(DEPTH + 1)]), words, total, distinct
-
-
-def score(docs: DataFrame, model: tuple[Tree, DataFrame, int, int], common: int = COMMON) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each row of ``docs``."""
-    tree, words, total, distinct = model
+    full = full.select(_context(CUT).alias("ctx"), "key", "n", "every").repartition("ctx").sortWithinPartitions("ctx")
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _runs(batches):
+            keys, ns = column(b, "key").to_numpy(), column(b, "n").to_numpy().astype(np.float64)
+            tree = subtrees(keys, ns, least)
+            low = (1 << 8 * (CUT - 1)) - 1
+            ctx, at = np.unique(keys >> 8 & low, return_inverse=True)
+            sums = np.zeros((len(ctx), 767))
+            inside = np.isin(keys >> 8 & ((1 << 8 * CUT) - 1), tree.contexts[0])
+            spot = at * 256 + (keys & 255)
+            sums[:, :256] = np.bincount(spot, ns, len(ctx) * 256).reshape(-1, 256)
+            sums[:, 256:512] = np.bincount(spot[inside], ns[inside], len(ctx) * 256).reshape(-1, 256)
+            np.add.at(sums[:, 512:], np.searchsorted(ctx, tree.contexts[0] & low), tree.below)
+            yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array([x.tobytes() for x in sums], pa.binary())], ["ctx", "sums"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ctx, sums = None, np.zeros(767)
+        for b in batches:
+            for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ctx, sums = c, sums + np.frombuffer(x, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([ctx], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["ctx", "sums"])
+
+    schema = "ctx long, sums binary"
+    top = top_tree(full.mapInArrow(up, schema).groupBy("ctx").applyInArrow(together, schema).toArrow(), least)  # at most 65,536 rows
+    shared = docs.sparkSession.sparkContext.broadcast(top)
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = shared.value
+        for b in _runs(batches):
+            keys = column(b, "key").to_numpy()
+            out = top.score(keys)
+            tree = subtrees(keys, column(b, "n").to_numpy().astype(np.float64), least)
+            if len(tree.contexts[0]):
+                up = np.searchsorted(top.contexts[-1], tree.contexts[0] & ((1 << 8 * (CUT - 1)) - 1))
+                tree.down(top.acc[up], top.rem[up])
+                row = tree.find(keys)
+                out = np.where(row < 0, out, tree.table[row, keys & 255])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), column(b, "every"), pa.array(out.astype(np.float32))], ["key", "every", "score"])
+
+    return save(full.mapInArrow(down, "key long, every long, score float"), "grams"), words, total, distinct
+
+
+def score(docs: DataFrame, model: tuple[DataFrame, DataFrame, int, int], common: int = COMMON, common_grams: int = GRAMS) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of each row of ``docs``,
+    whose texts are among those that ``train`` was given."""
+    scored, words, total, distinct = model
     top = words.filter(F.col("n") * common >= total).orderBy("key").toArrow()  # at most ``common`` rows
+    positions = scored.agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
+    often = scored.filter(F.col("every") * common_grams >= positions).select("key", "score").toArrow()  # at most ``common_grams`` rows
+    often = often.sort_by("key")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tree, top["key"].to_numpy(), top["n"].to_numpy()))
+    shared = spark.sparkContext.broadcast((often["key"].to_numpy(), often["score"].to_numpy(), top["key"].to_numpy(), top["n"].to_numpy()))
     ground = float(total + distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, ns = shared.value
+        gram_keys, gram_worth, keys, ns = shared.value
         worth = np.log10((ns + 1) / ground)
         for batch in batches:
             for p in pieces(batch):
@@ -274,7 +394,13 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame, int, int], common: int
                 n = p.num_rows
                 key, at = grams(*byte_stream(w))
                 codes, distinct_keys = pd.factorize(key)
-                sums = np.add.reduceat(tree.score(distinct_keys).astype(np.float64)[codes], at[:-1])
+                spot = np.minimum(np.searchsorted(gram_keys, distinct_keys), max(len(gram_keys) - 1, 0))
+                found = gram_keys[spot] == distinct_keys if len(gram_keys) else np.zeros(len(distinct_keys), bool)
+                worth_of = np.zeros(len(distinct_keys))
+                worth_of[found] = gram_worth[spot[found]]
+                sums = np.add.reduceat(worth_of[codes], at[:-1])
+                lost = np.flatnonzero(~found[codes])
+                lost_doc = np.searchsorted(at, lost, "right") - 1
                 count = np.diff(w.at)
                 doc = np.append(np.repeat(np.arange(n), count), np.arange(n))
                 h = np.append(w.hash.view(np.int64), np.full(n, END_KEY, np.int64))
@@ -283,12 +409,14 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame, int, int], common: int
                 base = np.bincount(doc[hit], worth[spot[hit]], n).astype(np.float64)  # of ints if nothing is known
                 known = np.bincount(doc[hit], minlength=n)
                 rid = column(p, "rid").to_numpy()
-                rest = int((~hit).sum())
+                rest = int((~hit).sum()) + len(lost)
+                kinds = np.repeat(np.array([0, 1], np.int32), [rest - len(lost), len(lost)])
                 nothing = pa.nulls(rest, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.append(rid, rid[doc[~hit]])),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(h[~hit])]),
+                        pa.array(np.concatenate([rid, rid[doc[~hit]], rid[lost_doc]])),
+                        pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(kinds)]),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.append(h[~hit], key[lost]))]),
                         pa.concat_arrays([pa.array(count + 1), nothing]),
                         pa.concat_arrays([pa.array(known), nothing]),
                         pa.concat_arrays([pa.array(base), pa.nulls(rest, pa.float64())]),
@@ -296,21 +424,24 @@ def score(docs: DataFrame, model: tuple[Tree, DataFrame, int, int], common: int
                         pa.concat_arrays([pa.array(np.diff(at)), nothing]),
                         pa.concat_arrays([column(p, "doc_id").cast(pa.int64()), nothing]),
                     ],
-                    ["rid", "key", "n_tokens", "known", "base", "score", "n_bytes", "doc_id"],
+                    ["rid", "kind", "key", "n_tokens", "known", "base", "score", "n_bytes", "doc_id"],
                 )
 
     flat = of_columns(docs, "doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
-    rows = flat.mapInArrow(run, "rid long, key long, n_tokens long, known long, base double, score double, n_bytes long, doc_id long")
-    rare = words.filter(F.col("n") * common < total).select(F.col("key").alias("k_"), F.col("n").alias("c"))
-    joined = rows.join(rare, rows.key == rare.k_, "left")
-    worth = F.when(F.col("key").isNotNull(), F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(ground))).otherwise(F.col("base"))
-    found = F.when(F.col("key").isNotNull(), F.when(F.col("c").isNotNull(), 1).otherwise(0)).otherwise(F.col("known"))
-    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(found).cast("long").alias("n_known"), F.sum(worth).alias("base_score"), F.max("score").alias("score"), F.max("n_bytes").alias("n_bytes"))
+    rows = flat.mapInArrow(run, "rid long, kind int, key long, n_tokens long, known long, base double, score double, n_bytes long, doc_id long")
+    rare = words.filter(F.col("n") * common < total).select(F.lit(0).alias("kind_"), F.col("key").alias("k_"), F.log10((F.col("n") + 1) / F.lit(ground)).alias("w"))
+    rare = rare.union(scored.filter(F.col("every") * common_grams < positions).select(F.lit(1), "key", F.col("score").cast("double")))
+    joined = rows.join(rare, (rows.key == rare.k_) & (rows.kind == rare.kind_), "left")
+    word, gram = F.coalesce(F.col("kind") == 0, F.lit(False)), F.coalesce(F.col("kind") == 1, F.lit(False))
+    worth = F.when(word, F.coalesce("w", F.log10(1 / F.lit(ground)))).when(gram, 0.0).otherwise(F.col("base"))
+    found = F.when(word, F.col("w").isNotNull().cast("int")).when(gram, 0).otherwise(F.col("known"))
+    gained = F.when(gram, F.coalesce("w", F.raise_error(F.lit("a text that train was not given")).cast("double"))).otherwise(F.coalesce("score", F.lit(0.0)))
+    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(found).cast("long").alias("n_known"), F.sum(worth).alias("base_score"), F.round(F.sum(gained), 8).alias("score"), F.max("n_bytes").alias("n_bytes"))
     bits = -F.col("score") / F.col("n_bytes") * float(np.log2(10))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), F.round("base_score", 8).alias("base_score"), "score", "n_bytes", bits.alias("bits_per_byte"))
 
 
 def op5_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = of_columns(table(spark, sf_dir, "documents"), "doc_id", "text")
-    out = score(docs, train(docs.filter(crc_mod(7) != 2)))
+    out = score(docs, train(docs.withColumn("learnt", crc_mod(7) != 2)))
     return out.select("doc_id", (crc_mod(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")

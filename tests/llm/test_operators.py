@@ -431,3 +431,29 @@ def test_op10_schedule_inverse(spark):
                     m = min(t, t2)
                     done += (m - t1) * (r1 + r1 + (r2 - r1) * (m - t1) / (t2 - t1)) / 2
             assert abs(done / area - x) < 1e-9
+
+
+def test_op5_nodes_grow_with_the_corpus(spark):
+    """A context seen often enough is a node however large the rest is; subtrees and rare grams give the whole tree's scores."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join("".join(rng.choice(letters, 6)) for _ in range(6000)) for _ in range(30)] + ["quartz jumps " * 64]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = np.concatenate([context_tree.grams(*context_tree.byte_stream(Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))))[0] for t in texts])
+    key, n = np.unique(keys, return_counts=True)
+    nodes = []
+    for d in range(context_tree.DEPTH + 1):
+        gram = key & ((1 << 8 * (d + 1)) - 1)
+        ctx, at = np.unique(gram >> 8, return_inverse=True)
+        on = np.bincount(at, n)[at] >= context_tree.LEAST
+        nodes.append((gram[on], n[on].astype(float)))
+    whole = context_tree.Tree(nodes)
+    model = context_tree.train(docs)
+    got = {r.key: r.score for r in model[0].collect()}
+    assert sorted(got) == key.tolist()
+    assert np.allclose([got[k] for k in key.tolist()], whole.score(key), atol=1e-4)
+    assert int.from_bytes(b"quart", "big") in whole.contexts[5]
+    a = context_tree.score(docs, model).select("doc_id", "n_tokens", "n_known", "score").collect()
+    b = context_tree.score(docs, model, common_grams=1000).select("doc_id", "n_tokens", "n_known", "score").collect()
+    by = {r.doc_id: r for r in b}
+    assert all((r.n_tokens, r.n_known) == (by[r.doc_id].n_tokens, by[r.doc_id].n_known) and abs(r.score - by[r.doc_id].score) < 1e-5 for r in a)
