@@ -6,7 +6,8 @@ the script in training are its candidates. Its score for a language is the log-l
 words of a text, and runs of one label are its spans. A text's language is the one that holds most bytes.
 
 Fit: n-gram counts of at most about ``MAX_DOCS`` labelled documents, chosen by a hash of doc_id, in a table of fixed
-size. Scoring reads each text once, whole, without a shuffle; texts of a batch step through Viterbi side by side.
+size. Languages share them evenly, so each keeps about ``MAX_DOCS`` / languages documents, or all if it has less, however
+large the others are. Scoring reads each text once, whole, without a shuffle; texts of a batch step through Viterbi side by side.
 
 Null text or one without a letter: ``und``, score 0, no spans. Words without a letter take no side. Null lang: not
 learnt from. No labels at all: ``und`` everywhere. Ties: the label that sorts first. Repeated rows: one by one.
@@ -78,6 +79,16 @@ def _languages(docs: DataFrame) -> DataFrame:
     return of_columns(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(5) != 0))
 
 
+def shares(sizes: dict[str, int], max_docs: int) -> dict[str, float]:
+    """The share of each language's documents that is learnt from: as many of each, as far as it has them."""
+    out, left = {}, max_docs
+    for k, x in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        take = min(sizes[x], max(1, left // (len(sizes) - k)))
+        out[x] = take / sizes[x]
+        left -= take
+    return out
+
+
 class Model:
     """names, weights (BUCKETS x languages, log-likelihoods), uses (languages x scripts)."""
 
@@ -93,7 +104,6 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     rows = _languages(docs)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     names = sorted(sizes)
-    share = min(1.0, max_docs / max(1, sum(sizes.values())))
     number = {x: i for i, x in enumerate(names)}
     width = len(names)
 
@@ -108,7 +118,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
                 key, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    upto = [F.lit(y) for x, share in shares(sizes, max_docs).items() for y in (x, int(share * (1 << 30)) + 1)]
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.create_map(*upto)[F.col("lang")]) if upto else rows
     total = picked.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS
     flat = np.zeros(width * (BUCKETS + SCRIPTS))
     flat[total["key"].to_numpy()] = total["n"].to_numpy()

@@ -457,3 +457,15 @@ def test_op5_nodes_grow_with_the_corpus(spark):
     b = context_tree.score(docs, model, common_grams=1000).select("doc_id", "n_tokens", "n_known", "score").collect()
     by = {r.doc_id: r for r in b}
     assert all((r.n_tokens, r.n_known) == (by[r.doc_id].n_tokens, by[r.doc_id].n_known) and abs(r.score - by[r.doc_id].score) < 1e-5 for r in a)
+
+
+def test_op2_small_language_is_learnt(spark):
+    """The sample keeps a language of few documents beside one of very many."""
+    assert language_id.shares({"en": 10_000_000, "xx": 800, "yy": 5}, 12_000) == {"yy": 1.0, "xx": 1.0, "en": 11_195 / 10_000_000}
+    assert language_id.shares({"en": 50, "xx": 8}, 12_000) == {"en": 1.0, "xx": 1.0}
+    rows = [(i, "this is english text and words", "en") for i in range(3000)] + [(5000 + i, "zyx wqo zyx kwo qzy", "xx") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, max_docs=20)
+    assert model.names == ["en", "xx"] and model.uses[:, 1].all()
+    got = language_id.label(spark.createDataFrame([(1, "kwo zyx wqo zyx"), (2, "english words and text")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["xx", "en"]
