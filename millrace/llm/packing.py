@@ -2,7 +2,7 @@
 
 A document is cut into full pieces, each a bin of its own, and a rest. The rests, longest first, go to the tightest
 bin that has room and no conflict: a bin holds one document of a source and one of a duplicate cluster at most
-(without a given cluster, equal texts are one). Bins stand in residual order and carry bitmaps of their sources
+(near copies as ``minhash.near_duplicates`` finds them; without any given, equal texts are one). Bins stand in residual order and carry bitmaps of their sources
 and clusters; from the first residual that is large enough the search goes on through its successors until a
 compatible bin is found, and skips a residual all of whose bins hold the document's source or cluster.
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import of_columns, table
+from .minhash import near_duplicates
 from .mixing import size_of
 
 CAPACITY = 2048
@@ -90,12 +91,25 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int
     return out
 
 
-def pack(docs: DataFrame, cluster: str | None = None, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """doc_id, source, piece (from 0), start (word of the document), length, bin, bin_start (word of the bin)."""
+def _by_text():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """same, near: the hash of each text that has near copies, and the least of those of its component."""
+    found = near_duplicates(of_columns(docs, "text").select(_by_text().alias("doc_id"), "text"))
+    return found.filter("component_id != doc_id").select(F.col("doc_id").alias("same"), F.col("component_id").alias("near")).dropDuplicates(["same"])
+
+
+def pack(docs: DataFrame, cluster: str | None = None, capacity: int = CAPACITY, shard: int = SHARD, copies: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, piece (from 0), start (word of the document), length, bin, bin_start (word of the bin).
+    copies: what ``near_copies`` found, where no cluster is given."""
     d = of_columns(docs, *dict.fromkeys(["doc_id", "source", "text", *([cluster] if cluster else [])]))
-    group = F.xxhash64(F.col(cluster)) if cluster else F.xxhash64(F.coalesce("text", F.lit("")))
+    group = F.xxhash64(F.col(cluster)) if cluster else _by_text()
     shards = max(1, -(-docs.count() // shard))
     light = d.select("doc_id", "source", size_of().alias("size"), group.alias("cluster"))
+    if copies is not None:
+        light = light.join(copies, light.cluster == copies.same, "left").withColumn("cluster", F.coalesce("near", "cluster"))
     light = light.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,4 +137,5 @@ def pack(docs: DataFrame, cluster: str | None = None, capacity: int = CAPACITY,
 
 
 def op4_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, copies=near_copies(docs))

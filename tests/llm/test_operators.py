@@ -469,3 +469,15 @@ def test_op2_small_language_is_learnt(spark):
     assert model.names == ["en", "xx"] and model.uses[:, 1].all()
     got = language_id.label(spark.createDataFrame([(1, "kwo zyx wqo zyx"), (2, "english words and text")], "doc_id long, text string"), model).collect()
     assert [r.lang_pred for r in got] == ["xx", "en"]
+
+
+def test_op4_near_copies_are_apart(spark, tmp_path):
+    words = "a document that is long enough to have many shingles in common with another one which differs in one word at its end or in case".split()
+    texts = [" ".join(words), " ".join([*words[:-1], "blank"]), "  ".join(words).upper(), "something else of no likeness at all to the others here"]
+    rows = [(i, x, "en", f"s{i}", len(x)) for i, x in enumerate(texts)] + [(None, texts[0], "en", "s9", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collect(spark, "op4_conflict_best_fit", str(tmp_path))
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.bin].append(r.source)
+    assert len(got) == 5 and all(len(set(x) - {"s3"}) <= 1 for x in bins.values())
