@@ -71,4 +71,7 @@ BENCH = """SELECT l_partkey AS entry, CASE WHEN l_linenumber % 2 = 1 THEN 'buggy
   row_number() OVER (PARTITION BY l_partkey, l_linenumber % 2 ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS ordinal,
   l_quantity * CASE WHEN l_linenumber % 2 = 0 AND l_partkey % 3 = 0 THEN 3.0 ELSE 1.0 END AS value FROM lineitem"""
 
+#: The message with its whole body, for Spark. MSG, which the SQL of the other engine holds, ends the body after 40 characters.
+WHOLE_MSG = MSG.replace("substr(coalesce(text, ''), 1, 40)", "coalesce(text, '')")
+
 VIEWS = {"v_code": CODE, "v_msg": MSG, "v_diff": DIFF, "v_series": SERIES, "v_bench": BENCH}
