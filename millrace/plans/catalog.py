@@ -289,7 +289,7 @@ PRS = "SELECT 'c' || (o_orderkey * 3)::VARCHAR AS commit_hash, o_orderkey AS pr_
 
 
 def _prs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 3000")
+    o = table(spark, sf_dir, "orders")  # all of them; PRS, the SQL of the other engine, holds those below 3,000
     return o.select(F.concat(F.lit("c"), (F.col("o_orderkey") * 3).cast("string")).alias("commit_hash"), F.col("o_orderkey").alias("pr_number"), F.concat(F.lit("https://example.org/pull/"), F.col("o_orderkey").cast("string")).alias("pr_url"), F.concat(F.lit("Change "), F.col("o_orderpriority")).alias("pr_title"), (F.col("o_orderstatus") == "F").alias("merged"))
 
 

@@ -23,3 +23,9 @@ def by_id(spark, where, name, column):
 def test_terms_far_into_a_message(spark, where):
     assert by_id(spark, where, "stage1_category", "category")[7] is not None
     assert by_id(spark, where, "stage2_reject", "rejected") == {7: False, 19: True, 9003: by_id(spark, where, "stage2_reject", "rejected")[9003]}
+
+
+def test_pull_requests_of_late_orders(spark, where):
+    assert by_id(spark, where, "pr_lookup", "pr_number")[9003] == 3001
+    assert [r.doc_id for r in catalog.QUERIES["merged_only"](spark, where).collect()] == [9003]
+    assert "PR #3001" in by_id(spark, where, "pr_details", "details")[9003]
