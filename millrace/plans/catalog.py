@@ -615,7 +615,8 @@ PARSED = "CASE WHEN contains(upper(answer), 'LOCK_CONTENTION') THEN 0 WHEN conta
 
 
 def _answers(spark, sf_dir):
-    return spark.sql(ANSWERS.format("{c}"), c=table(spark, sf_dir, "conversations"))
+    whole = ANSWERS.replace("substr(coalesce(text, ''), 1, 30)", "coalesce(text, '')")  # ANSWERS, the SQL of the other engine, ends texts after 30 characters
+    return spark.sql(whole.format("{c}"), c=table(spark, sf_dir, "conversations"))
 
 
 @query(f"WITH a AS ({ANSWERS.format('conversations')}) SELECT conv_id, turn, {PARSED} AS label FROM a")

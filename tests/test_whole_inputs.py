@@ -29,3 +29,8 @@ def test_pull_requests_of_late_orders(spark, where):
     assert by_id(spark, where, "pr_lookup", "pr_number")[9003] == 3001
     assert [r.doc_id for r in catalog.QUERIES["merged_only"](spark, where).collect()] == [9003]
     assert "PR #3001" in by_id(spark, where, "pr_details", "details")[9003]
+
+
+def test_label_far_into_an_answer(spark, where):
+    assert [r.label for r in catalog.QUERIES["llm_parse"](spark, where).collect()] == [1]
+    assert [r.predicted for r in catalog.QUERIES["vote_mode"](spark, where).collect()] == [1]
