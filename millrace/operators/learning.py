@@ -18,9 +18,9 @@ def estimator(name: str, width: int, rows: int, trees: int = 300, seed: int = 42
     if name == "forest":
         return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=12, seed=seed, weightCol="weight", labelCol="label4")
     if name == "logistic":
-        return LogisticRegression(regParam=1.0 / max(rows, 1), maxIter=100, labelCol="label4", family="multinomial")
+        return LogisticRegression(regParam=1.0 / max(rows, 1), maxIter=1000, labelCol="label4", family="multinomial")
     if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[width, 512, 256, 4], maxIter=30, seed=seed, labelCol="label4")
+        return MultilayerPerceptronClassifier(layers=[width, 512, 256, 4], maxIter=200, seed=seed, labelCol="label4")
     raise ValueError(f"no classifier {name}; known are {CLASSIFIERS}")
 
 

@@ -191,7 +191,7 @@ def _evaluate(name: str, **how) -> Query:
     return run
 
 
-QUERIES["forest_eval"] = _evaluate("forest", trees=60)
+QUERIES["forest_eval"] = _evaluate("forest")
 QUERIES["logreg_eval"] = _evaluate("logistic")
 QUERIES["mlp_eval"] = _evaluate("mlp")
 

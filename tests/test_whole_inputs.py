@@ -2,6 +2,7 @@
 
 import pytest
 
+from millrace.operators import learning
 from millrace.plans import catalog
 
 
@@ -34,3 +35,13 @@ def test_pull_requests_of_late_orders(spark, where):
 def test_label_far_into_an_answer(spark, where):
     assert [r.label for r in catalog.QUERIES["llm_parse"](spark, where).collect()] == [1]
     assert [r.predicted for r in catalog.QUERIES["vote_mode"](spark, where).collect()] == [1]
+
+
+def test_models_of_full_size(spark, monkeypatch):
+    assert learning.estimator("forest", 70, 10).getNumTrees() == 300
+    assert (learning.estimator("logistic", 70, 10).getMaxIter(), learning.estimator("mlp", 70, 10).getMaxIter()) == (1000, 200)
+    used = {}
+    monkeypatch.setattr(learning, "predict", lambda *a, **how: used.update(how) or (_ for _ in ()).throw(KeyError))
+    with pytest.raises(KeyError):
+        catalog.QUERIES["forest_eval"](spark, "/root/testdata/sf0.001")
+    assert used.get("trees", 300) == 300
