@@ -6,9 +6,11 @@ maximal runs of bytes outside 0x20 and 0x09-0x0D; ``lower`` maps A-Z alone.
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +30,24 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset on one machine, as in tests, a temporary one. A cluster
+    that names no folder is refused: its executors wouldn't see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="millrace-"))
         base = f"file://{_LOCAL[0]}"
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
@@ -48,12 +57,46 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE[:] = [x for x in _MADE if x.rsplit("/", 1)[1] != path.rstrip("/").rsplit("/", 1)[1]]
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table that ``save`` wrote and nothing reads any more."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def made() -> list[str]:
+    """The folders under the shared one that this process made and that are still there."""
+    return list(_MADE)
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that nothing reads any more."""
+    for path in paths:
+        _delete(spark, path)
+
+
+def release() -> None:
+    """Gives the memory that a pass has freed back to the system: idle workers stand beside those of the next stage."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def through(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow``, after whose last batch a worker gives its memory back."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(lean, schema)
 
 
 def of_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -69,6 +112,16 @@ def of_columns(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"_{i}").alias(n) for i, n in zip(picked, names, strict=True)])
 
 
+def placed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """These columns and ``name``, which no two rows share: a row's file and its place there. What isn't just a read of files is
+    written first."""
+    files = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and df.inputFiles()
+    if not files or "_metadata" in [c.lower() for c in df.columns]:
+        df = save(of_columns(df, *columns), "rows")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return of_columns(df.drop(name).withColumn(name, place), *columns, name)
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n+1 offsets of its values; nulls are empty."""
     if col.null_count:
@@ -160,9 +213,3 @@ def crc_mod(n: int, doc_id: str = "doc_id"):
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
-
-
-def schema_of(ddl: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, column, crc_mod, of_columns, pieces, save, table, text_words
+from .common import Words, column, crc_mod, of_columns, pieces, save, table, text_words, through
 
 DEPTH = 5
 LEAST = 32
@@ -326,7 +326,7 @@ def train(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, in
     """The table of grams (key, every, score), that of token counts (key, n), N and V. The model is that of the texts
     of ``docs``, of those with ``learnt`` if there is such a column; only grams of ``docs`` have a score."""
     learnt = F.col("learnt") if "learnt" in docs.columns else F.lit(True)
-    counted = docs.select("text", learnt.alias("learnt")).mapInArrow(_count, "kind int, key long, n long, every long")
+    counted = through(docs.select("text", learnt.alias("learnt")), _count, "kind int, key long, n long, every long")
     counted = save(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every")), "counts")
     words, full = counted.filter("kind = 0").select("key", "n"), counted.filter("kind = 1")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -354,7 +354,7 @@ def train(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, in
         yield pa.RecordBatch.from_arrays([pa.array([ctx], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["ctx", "sums"])
 
     schema = "ctx long, sums binary"
-    top = top_tree(full.mapInArrow(up, schema).groupBy("ctx").applyInArrow(together, schema).toArrow(), least)  # at most 65,536 rows
+    top = top_tree(through(full, up, schema).groupBy("ctx").applyInArrow(together, schema).toArrow(), least)  # at most 65,536 rows
     shared = docs.sparkSession.sparkContext.broadcast(top)
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +370,7 @@ def train(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, in
                 out = np.where(row < 0, out, tree.table[row, keys & 255])
             yield pa.RecordBatch.from_arrays([pa.array(keys), column(b, "every"), pa.array(out.astype(np.float32))], ["key", "every", "score"])
 
-    return save(full.mapInArrow(down, "key long, every long, score float"), "grams"), words, total, distinct
+    return save(through(full, down, "key long, every long, score float"), "grams"), words, total, distinct
 
 
 def score(docs: DataFrame, model: tuple[DataFrame, DataFrame, int, int], common: int = COMMON, common_grams: int = GRAMS) -> DataFrame:
@@ -428,7 +428,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame, int, int], common:
                 )
 
     flat = of_columns(docs, "doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
-    rows = flat.mapInArrow(run, "rid long, kind int, key long, n_tokens long, known long, base double, score double, n_bytes long, doc_id long")
+    rows = through(flat, run, "rid long, kind int, key long, n_tokens long, known long, base double, score double, n_bytes long, doc_id long")
     rare = words.filter(F.col("n") * common < total).select(F.lit(0).alias("kind_"), F.col("key").alias("k_"), F.log10((F.col("n") + 1) / F.lit(ground)).alias("w"))
     rare = rare.union(scored.filter(F.col("every") * common_grams < positions).select(F.lit(1), "key", F.col("score").cast("double")))
     joined = rows.join(rare, (rows.key == rare.k_) & (rows.kind == rare.kind_), "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, column, mix, of_columns, table
+from .common import CHUNK_BYTES, Words, column, mix, of_columns, table, through
 
 SAMPLES = 64
 PAIRS_AT_ONCE = 1 << 15
@@ -147,7 +147,7 @@ def consecutive(docs: DataFrame, work, schema: str, shards: int | None = None) -
                     texts, ids = ([], []) if closed else (texts[-1:], ids[-1:])
                     held = sum(map(len, texts))
 
-    return rows.mapInArrow(run, schema)
+    return through(rows, run, schema)
 
 
 def _pack(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, column, crc_mod, mix, of_columns, pieces, table, text_words, utf8
+from .common import Words, column, crc_mod, mix, of_columns, pieces, table, text_words, through, utf8
 
 MAX_DOCS = 12_000
 BUCKETS = 1 << 17
@@ -120,7 +120,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
 
     upto = [F.lit(y) for x, share in shares(sizes, max_docs).items() for y in (x, int(share * (1 << 30)) + 1)]
     picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.create_map(*upto)[F.col("lang")]) if upto else rows
-    total = picked.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS
+    total = through(picked, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS
     flat = np.zeros(width * (BUCKETS + SCRIPTS))
     flat[total["key"].to_numpy()] = total["n"].to_numpy()
     return Model(names, flat[: width * BUCKETS].reshape(width, BUCKETS).T if width else np.zeros((BUCKETS, 0)), flat[width * BUCKETS :].reshape(width, SCRIPTS))
@@ -238,7 +238,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
         if waiting:
             yield flush()
 
-    return of_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return through(of_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def op2_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:

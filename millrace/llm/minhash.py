@@ -6,20 +6,26 @@ a document leaves once all its coordinates are filled, so every coordinate fills
 with the concentration of t independent samples. R coordinates of equal value make a band; a pair of similarity
 0.75 shares none of the 54 bands of 6 with a chance of 2.5e-5.
 
-Links: texts with equal shingle sets are one class. A bucket (band, value) of several classes links each of them
-with its first, a star, never all pairs: every class first tries the star it shares most bands with, then, where
-components still differ, the others. Buckets that then still hold several components are compared block by
-block on their sketches, whole, and every pair that may reach the threshold is verified in place, so pairs are never
-rows. Every link is
-confirmed on the full sets. Components come from min-label propagation with shortcuts over the confirmed links.
-
-Scale: a row for each class and band (16 bytes) is the largest shuffle. Copies collapse before it, by an aggregate
-that combines map-side. Full sets exist only for classes that share a bucket, found by a bit filter of fixed
-size and an exact join. All intermediate tables are in the shared folder; the driver holds counts only.
-
-Null or blank text: no shingles, its own component. Repeated rows: each is returned. Null doc_id: returned as
-its own component (null), linked with nothing. Fewer than five words: the whole sequence is the one shingle.
-Very long text: its whole set takes part. Empty table: no rows. Other columns are left out.
+Links: texts with equal shingle sets are one class, numbered in a written table. A bucket (band, value) of several classes
+links each of them with its first, a star, never all pairs: every class first tries the star it shares most bands with,
+then, where components still differ, the others. In buckets that then still hold several components, every pair of classes
+of different components is compared on its sketches in the first bucket that the two share, and each pair that may reach
+the threshold is confirmed on full sets, so no pair is compared twice. Components come from min-label propagation
+with shortcuts over the confirmed links. A pair of similarity 0.75 is lost with a chance of at most 5e-5: 2.5e-5 that
+it shares no band, and 2e-5 that fewer than ``MAYBE`` of its coordinates agree, if no chain of links joins it otherwise.
+
+Scale: a row for each class and band (16 bytes) is the largest shuffle; a group of near copies is spread over 54 buckets
+and more, which stream through their tasks. Copies collapse before it, by an aggregate that combines map-side, and classes
+of many copies are joined by a broadcast of at most ``HEAVY`` rows. Full sets exist only for classes that share a bucket,
+found by a bit filter, sized by their number up to 64 MB, and an exact join. A contested bucket is compared by blocks of
+``BLOCK`` classes; candidates among them go on in parts of at most ``PART_BYTES`` of full sets a side, or one set, so a
+task's memory is bounded. All intermediate tables are in the shared folder and are deleted once read; the driver holds
+counts and the filter only.
+
+Null or blank text: no shingles, its own component. Repeated rows: each is returned. Several texts with one doc_id: each
+row belongs to its own text's component. Null doc_id: returned as its own component (null), linked with nothing. Fewer
+than five words: the whole sequence is the one shingle. Very long text: its whole set takes part. Empty table: no rows.
+Other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, drop, mix, of_columns, pieces, save, table, text_words
+from .common import column, drop, mix, of_columns, pieces, save, table, text_words, through
 
 SHINGLE, BANDS, ROWS = 5, 54, 6
 T = BANDS * ROWS
@@ -39,8 +45,13 @@ T = BANDS * ROWS
 PART, SHARE = 100, 75
 #: Least share of equal coordinates at which a pair in a contested bucket is verified: over 4 deviations below 0.75.
 MAYBE = 0.65
-BLOCK = 512
-FILTER_BITS = 1 << 25
+BLOCK = 2048
+PART_BYTES = 4 << 20
+#: A class of more than 1/HEAVY of all rows is heavy.
+HEAVY = 4096
+#: Bits of the filter: some for each class, in chunks that are made apart.
+BITS_EACH, MAX_BITS, CHUNK_BITS = 16, 1 << 29, 1 << 16
+SET = ["n_shingles", "s1", "s2"]
 _ODD = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -89,11 +100,12 @@ def sketches(flat: np.ndarray, at: np.ndarray, t: int = T) -> np.ndarray:
 
 
 def band_keys(sk: np.ndarray) -> np.ndarray:
+    """A key for each band of each sketch; its low 6 bits are the band's number."""
     x = sk.reshape(len(sk), BANDS, ROWS)
     h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), x.shape[:2]).copy()
     for k in range(ROWS):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[:, :, k])
-    return h.view(np.int64)
+    return (h & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def _fixed(a: np.ndarray) -> pa.Array:
@@ -102,20 +114,25 @@ def _fixed(a: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1) * raw.shape[1]).astype(np.int32)), pa.py_buffer(raw.tobytes())])
 
 
+def set_hashes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each set."""
+    cum = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat + salt))]) for salt in _ODD[:2]]
+    return np.stack([c[at[1:]] - c[at[:-1]] for c in cum]).view(np.int64)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for p in pieces(batch, limit=1 << 20):
+        ids = [c for c in batch.schema.names if c != "text"]
+        for p in pieces(batch):
             flat, at = shingle_sets(p)
             n = np.diff(at)
             some = n > 0
             sk = sketches(flat, np.concatenate([[0], np.cumsum(n[some])]))
-            cum = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat + salt))]) for salt in _ODD[:2]]
-            sets = np.stack([c[at[1:]] - c[at[:-1]] for c in cum]).view(np.int64)
             keys = pa.array([None] * len(n), pa.binary()), pa.array([None] * len(n), pa.binary())
             if some.any():
                 spot = pa.array(np.where(some, np.cumsum(some) - 1, 0), mask=~some)
                 keys = tuple(_fixed(x).take(spot) for x in (band_keys(sk), (mix(sk) & np.uint64(255)).astype(np.uint8)))
-            yield pa.RecordBatch.from_arrays([column(p, "doc_id"), pa.array(n.astype(np.int64)), pa.array(sets[0]), pa.array(sets[1]), *keys], ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*[column(p, c) for c in ids], pa.array(n.astype(np.int64)), *map(pa.array, set_hashes(flat, at)), *keys], [*ids, *SET, "bands", "sketch"])
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +162,22 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (k[-1], lead[-1], out_last)
 
 
+def _sketches_of(c: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, T)
+
+
+def _longs_of(c: pa.Array) -> np.ndarray:
+    """Views of binary values as 64-bit integers."""
+    _, offsets, data = c.buffers()
+    at = np.frombuffer(offsets, np.int32)[c.offset : c.offset + len(c) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    out = np.empty(len(c), object)
+    out[:] = [raw[i:j].view(np.int64) for i, j in zip(at, at[1:])]
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str], wide: dict) -> Iterator[list]:
-    """The columns of each run of equal grp; ``wide`` says how to read binary columns."""
+    """The columns of each run of equal values of the first; ``wide`` says how to read binary columns."""
     held: list = []
     for b in batches:
         if not b.num_rows:
@@ -162,44 +193,75 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str], wide: dict) ->
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _sketches_of(c: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, T)
-
-
-def _sets_of(c: pa.Array) -> np.ndarray:
-    out = np.empty(len(c), object)
-    out[:] = [np.frombuffer(x, np.int64) for x in c.to_pylist()]
+def _candidates(side, comp, sk, band) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row i, rows j of other components that may link with it and share no earlier band, and their equal coordinates.
+    Rows of side 2 pair among themselves, those of side 0 with those of side 1."""
+
+    def look(i: int, js: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if not len(js):
+            return
+        equal = sk[js] == sk[i]
+        same = np.count_nonzero(equal, axis=1)
+        yes = same >= MAYBE * T
+        if yes.any():
+            first = equal[yes].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[i]
+            if first.any():
+                yield i, js[yes][first], same[yes][first]
+
+    own = np.flatnonzero(side == 2)
+    own = own[np.argsort(comp[own], kind="stable")]
+    after = np.searchsorted(comp[own], comp[own], "right")
+    for i, k in zip(own, after):
+        yield from look(int(i), own[k:])
+    other = np.flatnonzero(side == 1)
+    other = other[np.argsort(comp[other], kind="stable")]
+    left = np.flatnonzero(side == 0)
+    lo, hi = (np.searchsorted(comp[other], comp[left], x) for x in ("left", "right"))
+    for i, a, b in zip(left, lo, hi):
+        yield from look(int(i), np.concatenate([other[:a], other[b:]]))
+
+
+def _parts(size: np.ndarray) -> np.ndarray:
+    """Numbers of runs of sets, each of at most PART_BYTES or one set."""
+    out, held, part = np.zeros(len(size), np.int64), 0, 0
+    for k, n in enumerate(size.tolist()):
+        if held and held + 8 * n > PART_BYTES:
+            part, held = part + 1, 0
+        held += 8 * n
+        out[k] = part
     return out
 
 
-def _candidates(side, rep, comp, sk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row i that pairs: the rows j of other components that may link with it, and their equal coordinates."""
-    for i in np.flatnonzero(side != 1):
-        js = np.flatnonzero((comp != comp[i]) & (side != 0 if side[i] == 0 else rep > rep[i]))
-        if len(js):
-            same = (sk[js] == sk[i]).sum(1)
-            yes = same >= MAYBE * T
-            if yes.any():
-                yield i, js[yes], same[yes]
-
-
 def _contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (grp, side, rep, comp, sketch) sorted by grp, those that may link with one of another component."""
-    for grp, side, rep, comp, sk in _groups(batches, ["grp", "side", "rep", "comp", "sketch"], {"sketch": _sketches_of}):
-        hit = np.zeros(len(rep), bool)
-        for i, js, _ in _candidates(side, rep, comp, sk):
-            hit[i] = True
-            hit[js] = True
-        if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (grp, side, rep, comp)], ["grp", "side", "rep", "comp"])
+    """Of rows (grp, side, rep, comp, band, n_shingles, sketch) sorted by grp, those that may link with one of another
+    component: rows (grp, rep, comp, partners, agree) of groups whose sets fit in memory, each with the reps it may link with."""
+    for grp, side, rep, comp, band, size, sk in _groups(batches, ["grp", "side", "rep", "comp", "band", "n_shingles", "sketch"], {"sketch": _sketches_of}):
+        found = [(np.full(len(js), i), js, same) for i, js, same in _candidates(side, comp, sk, band)]
+        if not found:
+            continue
+        i, j, same = (np.concatenate(x) for x in zip(*found))
+        hit = np.unique(np.concatenate([i, j]))
+        part = np.zeros(len(rep), np.int64)
+        part[hit] = _parts(size[hit])
+        cell = part[i] * (part[hit[-1]] + 1) + part[j]
+        order = np.lexsort((i, cell))
+        i, j, same, cell = i[order], j[order], same[order], cell[order]
+        cut = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        for a, b in zip(cut, np.append(cut[1:], len(cell))):
+            rows = np.unique(np.concatenate([i[a:b], j[a:b]]))
+            at = np.searchsorted(i[a:b], rows, "left"), np.searchsorted(i[a:b], rows, "right")
+            partners = [rep[j[a + x : a + y]].astype(np.int64).tobytes() for x, y in zip(*at)]
+            agree = [same[a + x : a + y].astype(np.int64).tobytes() for x, y in zip(*at)]
+            name = mix(grp[:1].view(np.uint64) + cell[a : a + 1].astype(np.uint64) * _ODD[2]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, len(rows))), pa.array(rep[rows]), pa.array(comp[rows]), pa.array(partners, pa.binary()), pa.array(agree, pa.binary())], ["grp", "rep", "comp", "partners", "agree"])
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) among rows (grp, side, rep, comp, sketch, set) sorted by grp. Likely pairs come first, and a pair
-    that links so far connect is not verified again; every other candidate is, on full sets."""
-    refused: set[tuple[int, int]] = set()
-    for _, side, rep, comp, sk, sets in _groups(batches, ["grp", "side", "rep", "comp", "sketch", "set"], {"sketch": _sketches_of, "set": _sets_of}):
-        root = {int(c): int(c) for c in comp}
+    """Links (a, b) among rows (grp, rep, comp, partners, agree, set) sorted by grp. Likely pairs come first, and a pair that
+    links so far connect is not verified again; every other candidate is, on full sets."""
+    wide = dict.fromkeys(["partners", "agree", "set"], _longs_of)
+    for _, rep, comp, partners, agree, sets in _groups(batches, ["grp", "rep", "comp", "partners", "agree", "set"], wide):
+        root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:
             while root[c] != c:
@@ -207,19 +269,19 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = root[c]
             return c
 
-        todo = sorted((-int(n), int(i), int(j)) for i, js, same in _candidates(side, rep, comp, sk) for j, n in zip(js, same))
+        by = np.argsort(rep, kind="stable")
+        i = np.repeat(np.arange(len(rep)), [len(x) for x in partners])
+        j = by[np.searchsorted(rep[by], np.concatenate(partners))]
         found = []
-        for _, i, j in todo:
-            a, b = find(int(comp[i])), find(int(comp[j]))
-            pair = (min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j])))
-            if a == b or pair in refused:
+        for k in np.argsort(-np.concatenate(agree), kind="stable").tolist():
+            x, y = int(i[k]), int(j[k])
+            a, b = find(int(comp[x])), find(int(comp[y]))
+            if a == b:
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if PART * both >= SHARE * (len(sets[i]) + len(sets[j]) - both):
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if PART * both >= SHARE * (len(sets[x]) + len(sets[y]) - both):
                 root[max(a, b)] = min(a, b)
-                found.append(pair)
-            elif len(refused) < 1 << 18:  # a memory of refusals only spares repeated work
-                refused.add(pair)
+                found.append((int(rep[x]), int(rep[y])))
         if found:
             x = np.array(found, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
@@ -232,6 +294,26 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(b, "rep"), pa.array([flat[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], ["rep", "set"])
 
 
+def _bits(slots: DataFrame, size: int) -> np.ndarray:
+    """The filter with the bits of ``slots`` (x) set; made by chunks, of which there are at most MAX_BITS / CHUNK_BITS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = np.sort(column(b, "x").to_numpy())
+            chunk, first = np.unique(x // CHUNK_BITS, return_index=True)
+            for c, part in zip(chunk.tolist(), np.split(x, first[1:])):
+                at = part % CHUNK_BITS
+                np.bitwise_or.at(held.setdefault(c, np.zeros(CHUNK_BITS // 8, np.uint8)), at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["chunk", "bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    rows = through(slots.repartition(F.floor(F.col("x") / CHUNK_BITS)), run, "chunk long, bits binary").toArrow()
+    for c, raw in zip(rows["chunk"].to_pylist(), rows["bits"]):
+        out[c * CHUNK_BITS // 8 : (c + 1) * CHUNK_BITS // 8] = np.frombuffer(raw.as_buffer(), np.uint8)
+    return out
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(rep, comp): comp is the least rep reachable over links (a, b). Each round takes the least label of all
     neighbours and then the label's own label, so chains shorten by powers."""
@@ -268,68 +350,98 @@ def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter("ca != cb").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    docs = of_columns(docs, "doc_id", "text")
-    described = save(docs.mapInArrow(_describe, "doc_id long, n_shingles long, s1 long, s2 long, bands binary, sketch binary"), "described")
-    key = ["n_shingles", "s1", "s2"]
-    have = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = save(have.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    rows = classes.select("rep", "bands").mapInArrow(_explode, "bucket long, rep long")
-    stars = save(rows.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_stars, "bucket long, leader long, rep long"), "stars")
-
-    near = save(stars.select("rep").distinct(), "near")
-    slot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    for word, value in near.select(slot.alias("x")).groupBy(F.shiftright("x", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 31 as int)))").alias("v")).toPandas().itertuples(index=False):
-        bits[word] = value
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """(rep, shingles) of the classes ``near``."""
+    size = CHUNK_BITS
+    while size < min(BITS_EACH * near.count(), MAX_BITS):
+        size *= 2
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(_bits(near.select(F.col("least").alias("doc_id")).select(slot.alias("x")), size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
+        given: set[tuple] = set()  # a text that recurs under one doc_id is given once
         for batch in batches:
             x = column(batch, "x").to_numpy()
-            batch = batch.filter(pa.array((held[x >> 5] >> (x & 31).astype(np.uint32)) & np.uint32(1) == 1))
-            for p in pieces(batch):
+            for p in pieces(batch.filter(pa.array((held[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1))):
                 flat, at = shingle_sets(p)
-                yield pa.RecordBatch.from_arrays([column(p, "doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))], ["doc_id", "shingles"])
-
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("x")).mapInArrow(sets_of, "doc_id long, shingles array<long>")
-    wanted = near.join(classes, "rep").select("rep", "n_shingles", "s1", "s2")
-    sets = save(texts.join(wanted, texts.doc_id == wanted.rep).filter(F.size("shingles") == F.col("n_shingles")).dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
+                keys = np.stack([np.diff(at), *set_hashes(flat, at)])
+                new = np.zeros(p.num_rows, bool)
+                for k, name in enumerate(zip(column(p, "doc_id").to_pylist(), *keys.tolist())):
+                    if name[1] and name not in given:
+                        given.add(name)
+                        new[k] = True
+                sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([column(p, "doc_id"), *map(pa.array, keys), sets], ["doc_id", *SET, "shingles"]).filter(pa.array(new))
+
+    texts = through(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("x")), run, "doc_id long, n_shingles long, s1 long, s2 long, shingles array<long>")
+    found = texts.join(near, SET).filter("doc_id = least").dropDuplicates(SET).select("rep", "shingles")
+    sets = save(found, "sets")
+    shared.destroy()
+    return sets
+
+
+def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text). kept: whether doc_id is that of its
+    component; given a ``key`` column that no two rows share, it is returned too, and just one row of a component is kept:
+    that of the least (doc_id, key)."""
+    ids = ["doc_id", *([key] if key else [])]
+    docs = of_columns(docs, *ids, "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*ids).schema)
+    described = save(through(docs, _describe, f"{kinds}, n_shingles long, s1 long, s2 long, bands binary, sketch binary"), "described")
+    ident = F.struct(*ids) if key else F.col("doc_id")
+    have = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = have.groupBy(*SET).agg(F.min("doc_id").alias("least"), F.min(ident).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    rows = through(classes.select("rep", "bands"), _explode, "bucket long, rep long")
+    stars = save(through(rows.repartition("bucket").sortWithinPartitions("bucket", "rep"), _stars, "bucket long, leader long, rep long"), "stars")
 
+    near = save(stars.select("rep").distinct().join(classes, "rep").select("rep", *SET, "least", "first", "sketch"), "near")
+    sets = _sets(docs, near.select("rep", *SET, "least"))
     shared_bands = save(stars.filter("leader != rep").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).count(), "edges")
     best = shared_bands.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
-    links = save(_verified(best, sets), "links")
-    labels = components(near, links)
-    more = save(_verified(_open(shared_bands.select("a", "b"), labels), sets), "links")
-    links = links.union(more)
-    if not more.isEmpty():
+    tried = [save(_verified(best, sets), "links")]
+    labels = components(near, tried[0])
+    tried.append(save(_verified(_open(shared_bands.select("a", "b"), labels), sets), "links"))
+    links = tried[0].union(tried[1])
+    if not tried[1].isEmpty():
+        drop(labels)
         labels = components(near, links)
 
     member = stars.select("bucket", "rep").join(labels, "rep")
     per = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("bucket", "n")
-    member = member.join(per, "bucket").join(classes.select("rep", "sketch"), "rep")
+    member = member.join(per, "bucket").join(near.select("rep", "n_shingles", "sketch"), "rep")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     member = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     grp = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") < F.col("other"), 0).when(F.col("mine") > F.col("other"), 1).otherwise(2)
-    member = member.select(grp.alias("grp"), side.cast("int").alias("side"), "rep", "comp", "sketch")
-    contested = save(member.repartition("grp").sortWithinPartitions("grp").mapInArrow(_contested, "grp long, side int, rep long, comp long"), "contested")
+    member = member.select(grp.alias("grp"), side.cast("int").alias("side"), "rep", "comp", F.col("bucket").bitwiseAND(F.lit(63)).cast("int").alias("band"), "n_shingles", "sketch")
+    contested = save(through(member.repartition("grp").sortWithinPartitions("grp"), _contested, "grp long, rep long, comp long, partners binary, agree binary"), "contested")
     if not contested.isEmpty():
-        whole = sets.mapInArrow(_packed, "rep long, set binary").join(classes.select("rep", "sketch"), "rep")
-        rows = contested.join(whole, "rep").select("grp", "side", "rep", "comp", "sketch", "set")
-        last = save(rows.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_settled, "a long, b long"), "links")
-        if not last.isEmpty():
-            labels = components(near, links.union(last))
-
-    for done in (stars, near, sets, contested):  # labels and classes are written; these are read no more
+        rows = contested.join(through(sets, _packed, "rep long, set binary"), "rep").select("grp", "rep", "comp", "partners", "agree", "set")
+        tried.append(save(through(rows.repartition("grp").sortWithinPartitions("grp", "rep"), _settled, "a long, b long"), "links"))
+        if not tried[2].isEmpty():
+            drop(labels)
+            labels = components(near, links.union(tried[2]))
+
+    whole = labels.join(near.select("rep", "least", "first"), "rep").groupBy("comp").agg(F.min("least").alias("component_id"), F.min("first").alias("winner"))
+    klass = classes.select("rep", *SET, "least", "first", "copies").join(labels.join(whole, "comp").select("rep", "component_id", "winner"), "rep", "left")
+    klass = klass.select(*SET, "copies", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("winner", "first").alias("winner"))
+    klass = save(klass, "components")
+    for done in (classes, stars, near, sets, shared_bands, labels, contested, *tried):
+        drop(done)
+    total = klass.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    heavy = F.broadcast(klass.filter(F.col("copies") * HEAVY > total).drop("copies"))  # fewer than HEAVY rows
+    light = klass.filter(F.col("copies") * HEAVY <= total).drop("copies")
+    have = have.select(*ids, *SET)
+    alone = described.filter("n_shingles = 0 OR doc_id IS NULL").select(*ids, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = have.join(heavy, SET).unionByName(have.join(heavy, SET, "left_anti").join(light, SET))
+    out = save(found.select(*ids, "n_shingles", "component_id", (ident == F.col("winner")).alias("kept")).union(alone), "near-duplicates")
+    for done in (described, klass):
         drop(done)
-    klass = classes.join(labels, "rep", "left").select(*key, F.coalesce("comp", "rep").alias("comp"))
-    out = described.select("doc_id", *key).join(klass, key, "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out
 
 
 def op7_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, drop, new_path, of_columns, pieces, save, spans_hash, table, utf8
+from .common import column, drop, new_path, of_columns, pieces, save, spans_hash, table, through, utf8
 
 END_ID = 2
 MAX_BITS = 18
@@ -192,7 +192,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, dtype: str = "<u2
                 binary = pa.Array.from_buffers(pa.binary(), p.num_rows, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([column(p, "doc_id"), pa.array(np.diff(at)), binary], ["doc_id", "n_tokens", "ids"])
 
-    return of_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return through(of_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids binary")
 
 
 def counts_of(tokens: DataFrame, vocabulary: int, dtype: str = "<u2") -> np.ndarray:
@@ -207,7 +207,7 @@ def counts_of(tokens: DataFrame, vocabulary: int, dtype: str = "<u2") -> np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
     out = np.zeros(vocabulary, np.int64)
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = through(tokens.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return out
 
@@ -365,8 +365,9 @@ def write(tokens: DataFrame, path: str, vocabulary: int, dtype: str = "<u2", lim
         if held:
             yield flush()
 
-    coded = tokens.mapInArrow(code, "doc_id long, n_tokens long, part int, bits binary, spots binary")
-    blocks = coded.repartition(shards, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "bits").mapInArrow(block, "part int, before long, doc_ids array<long>, n_tokens array<long>, marks binary, payload binary")
+    coded = through(tokens, code, "doc_id long, n_tokens long, part int, bits binary, spots binary")
+    rows = coded.repartition(shards, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "bits")
+    blocks = through(rows, block, "part int, before long, doc_ids array<long>, n_tokens array<long>, marks binary, payload binary")
     blocks.write.partitionBy("part").parquet(f"{path}/blocks")
     spark.createDataFrame([(limit, bytearray(lengths.tobytes()))], "bits int, lengths binary").coalesce(1).write.parquet(f"{path}/code")
     rows = sorted(_blocks(spark, path).groupBy("part").agg(F.sum(F.size("doc_ids")).alias("docs"), F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids")).collect())
@@ -404,7 +405,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(starts[part] + before + at[:-1]), pa.array(n), last], ["doc_id", "start", "n_tokens", "ids"])
 
     kind = "ids_crc32 long" if digest else "ids array<long>"
-    return _blocks(spark, path).mapInArrow(run, f"doc_id long, start long, n_tokens long, {kind}")
+    return through(_blocks(spark, path), run, f"doc_id long, start long, n_tokens long, {kind}")
 
 
 def op1_huffman_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

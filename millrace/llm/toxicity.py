@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, column, crc_mod, mix, of_columns, pieces, spans_hash, table, text_words, utf8
+from .common import Words, column, crc_mod, mix, of_columns, pieces, spans_hash, table, text_words, through, utf8
 
 BUCKETS = 1 << 20
 MAX_DOCS = 4_000
@@ -125,11 +125,11 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(s.owner, kind="stable")
             owner, feature = s.owner[order], s.feature[order]
             cut = np.searchsorted(owner, s.at)
-            for i in range(p.num_rows):
-                yield pa.RecordBatch.from_arrays(
-                    [column(p, "toxic").slice(i, 1), pa.array([int(s.at[i + 1] - s.at[i])], pa.int32()), pa.array([feature[cut[i] : cut[i + 1]].astype(np.int32).tobytes()], pa.binary()), pa.array([np.bincount(owner[cut[i] : cut[i + 1]] - s.at[i], minlength=s.at[i + 1] - s.at[i]).astype(np.int32).tobytes()], pa.binary())],
-                    ["toxic", "n", "feature", "per"],
-                )
+            per = np.bincount(owner, minlength=int(s.at[-1])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [column(p, "toxic"), pa.array(np.diff(s.at).astype(np.int32)), pa.array([feature[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([per[i:j].tobytes() for i, j in zip(s.at, s.at[1:])], pa.binary())],
+                ["toxic", "n", "feature", "per"],
+            )
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, float]:
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
     labels = labels.filter(picked).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = of_columns(docs, "doc_id", "text").filter(picked & (crc_mod(5) != 0))
-    rows = texts.join(labels, "doc_id").select("doc_id", "text", "toxic").mapInArrow(_featurize, "toxic int, n int, feature binary, per binary").toArrow()  # bounded by max_docs
+    rows = through(texts.join(labels, "doc_id").select("doc_id", "text", "toxic"), _featurize, "toxic int, n int, feature binary, per binary").toArrow()  # bounded by max_docs
     if not rows.num_rows:
         return np.zeros(BUCKETS), BIAS
     raw = [x.as_py() for x in rows["feature"]]
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], carry: tuple[str, ..
     keep = list(dict.fromkeys(["doc_id", *carry]))
     fields = {f.name: f for f in flat.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int, n_offending long, top_start long, top_end long"
-    return flat.mapInArrow(run, schema)
+    return through(flat, run, schema)
 
 
 def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
