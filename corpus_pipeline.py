@@ -3,8 +3,9 @@
 Each stage takes all rows its predecessor kept. All but the last return the columns of documents:
 
 1. toxicity: documents whose score is 0.5 or more go.
-2. near_dedup: of each component of near-duplicates the document with the least id stays; blank ones are not
-   duplicates of anything. A row without doc_id stays; of rows that share an id and are kept, each stays.
+2. near_dedup: of each component of near-duplicates one row stays, of the least id (of several such rows the first one
+   written); blank texts are not duplicates of anything, and rows without doc_id stay. Rows that share an id are judged
+   one by one, each by its own text.
 3. secrets: every span found is replaced by a mark; n_chars follows. No document goes.
 4. mixing: each source is taken up to its target; a document that is taken k times is there k times, in training order.
 5. packing: the pieces of all documents and their bins.
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import minhash, mixing, packing, secret_scan, toxicity
-from millrace.llm.common import of_columns, save, table
+from millrace.llm.common import forget, made, placed, save, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    docs = of_columns(docs, *COLUMNS)
-    return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+    rows = placed(docs, "place", *COLUMNS)
+    gone = minhash.near_duplicates(rows, key="place").filter("NOT kept").select(F.col("place").alias("gone"))
+    return rows.join(gone, rows.place == gone.gone, "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, first = table(spark, sf_dir, "documents"), len(made())
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = save(docs, name)
+            forget(spark, made()[first:-1])  # what the stage read is read no more
     return docs
