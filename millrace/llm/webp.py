@@ -47,45 +47,48 @@ def _reversed(code: int, n: int) -> int:
     return int(format(code, f"0{n}b")[::-1], 2) if n else 0
 
 
+_MIRROR: dict[int, np.ndarray] = {}
+
+
+def _mirror(n: int) -> np.ndarray:
+    """All numbers of n bits, their bits in reverse order."""
+    if n not in _MIRROR:
+        out = np.zeros(1, np.int64)
+        for _ in range(n):
+            out = np.concatenate([2 * out, 2 * out + 1])
+        _MIRROR[n] = out
+    return _MIRROR[n]
+
+
 class Prefix:
-    """A canonical prefix code; a code with one symbol takes no bits."""
+    """A canonical prefix code; a code with one symbol takes no bits. table: for every ``width`` bits, symbol * 16 + length."""
 
     def __init__(self, lengths: np.ndarray):
-        self.lengths = lengths
         used = np.flatnonzero(lengths)
         if len(used) == 0:
             raise ValueError("a prefix code without symbols")
         self.only = int(used[0]) if len(used) == 1 else -1
-        self.table: list[int] = []
-        self.width = int(lengths.max())
-        if self.only < 0:
-            if int((1 << (self.width - lengths[used].astype(np.int64))).sum()) != 1 << self.width:
+        self.width = 0 if self.only >= 0 else int(lengths.max())
+        if self.only >= 0:
+            self.table = np.array([self.only << 4], np.int32)
+        else:
+            used = used[np.argsort(lengths[used], kind="stable")]
+            size = lengths[used].astype(np.int64)
+            span = 1 << (self.width - size)
+            if int(span.sum()) != 1 << self.width:
                 raise ValueError("an incomplete prefix code")
-        self._filled = False
-
-    def fill(self) -> None:
-        self._filled = True
-        self.table = [0] * (1 << self.width)
-        codes = canonical(self.lengths)
-        for s in np.flatnonzero(self.lengths).tolist():
-            n = int(self.lengths[s])
-            for i in range(_reversed(int(codes[s]), n), 1 << self.width, 1 << n):
-                self.table[i] = s << 4 | n
+            self.table = np.repeat(used << 4 | size, span).astype(np.int32)[_mirror(self.width)]
+        self.quick: list[int] = []
 
     def read(self, bits: Bits) -> int:
         if self.only >= 0:
             return self.only
-        if not self._filled:
-            self.fill()
-        hit = self.table[bits.peek(self.width)]
+        if not self.quick:
+            self.quick = self.table.tolist()
+        hit = self.quick[bits.peek(self.width)]
         bits.at += hit & 15
         return hit >> 4
 
-    def flat(self) -> int:
-        """The length of all codes if they are alike and all below 256, else -1."""
-        used = self.lengths[self.lengths > 0]
-        return int(used[0]) if self.only < 0 and (used == used[0]).all() and not self.lengths[256:].any() else -1
-
 
 def _read_prefix(bits: Bits, size: int, seen: dict) -> Prefix:
     start = bits.at
@@ -121,7 +124,7 @@ def _read_prefix(bits: Bits, size: int, seen: dict) -> Prefix:
                 i += n
     out = Prefix(lengths)
     n, bits.at = bits.at - start, start
-    if len(seen) < 4096:
+    if n <= 64 and len(seen) < 4096:  # short ones recur
         seen.setdefault((size, bits.peek(64)), []).append((n, bits.peek(n), out))
     bits.at += n
     return out
@@ -134,24 +137,138 @@ def _value(prefix: int, bits: Bits) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _flat_pixels(bits: Bits, codes: list[Prefix], n: int) -> np.ndarray | None:
-    """All pixels at once if the four codes have one length each and no references: ARGB words."""
-    widths = [c.flat() for c in codes[:4]]
-    if min(widths) < 0:
-        return None
-    total = sum(widths)
-    out = np.zeros(n, np.uint32)
-    for lo in range(0, n, 1 << 18):
-        m = min(n - lo, 1 << 18)
-        at = bits.at + lo * total
-        raw = np.frombuffer(bits.data, np.uint8)[at >> 3 : (at + m * total + 7) >> 3]
-        flat = np.unpackbits(raw, bitorder="little")[at & 7 :][: m * total].reshape(m, total)
-        i = 0
-        for c, k, shift in zip(codes, widths, (8, 16, 0, 24)):
-            rank = np.packbits(flat[:, i : i + k], axis=1)[:, 0] >> (8 - k)
-            out[lo : lo + m] |= np.flatnonzero(c.lengths).astype(np.uint32)[rank] << np.uint32(shift)
-            i += k
-    bits.at += n * total
+#: Bits of a stream that are looked at together.
+WINDOW = 1 << 20
+
+
+def _numbers(raw: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n bits (24 at most) at each place of a stream of bytes."""
+    i = at >> 3
+    word = raw[i].astype(np.int64) | raw[i + 1].astype(np.int64) << 8 | raw[i + 2].astype(np.int64) << 16 | raw[i + 3].astype(np.int64) << 24
+    return word >> (at & 7) & ((1 << n) - 1)
+
+
+def _values(prefix: np.ndarray, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances of prefixes whose extra bits are at ``at``, and the bits after those."""
+    extra = np.maximum((prefix - 2) >> 1, 0)
+    base = np.where(prefix < 4, prefix, (2 + (prefix & 1)) << extra)
+    return base + _numbers(raw, at, extra) + 1, at + extra
+
+
+def _symbols(bits: Bits, codes: list[Prefix], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pixels (literals), counts of pixels (1 for a literal) and distance codes (0 for a literal) of n pixels and whose code
+    has no cache. What follows each bit of a window, if a symbol began there, is looked up for all bits at once; then the
+    symbols are those that the first one leads to."""
+    green, far = codes[0], codes[4]
+    others = list(zip(codes[1:4], (16, 0, 24)))
+    if all(c.only >= 0 for c in codes[:4]) and green.only < 256:
+        word = sum(c.only << k for c, k in [(green, 8), *others])
+        return np.full(n, word, np.uint32), np.ones(n, np.int64), np.zeros(n, np.int64)
+    if green.only >= 256:
+        raise ValueError("a reference outside the image")
+    raw = np.frombuffer(bits.data, np.uint8)
+    end = 8 * (len(raw) - 8)
+    raw = np.concatenate([raw, np.zeros(64, np.uint8)])
+    margin = 15 * 5 + 48
+    pixels, counts, dists, left, at = [], [], [], n, bits.at
+    while left > 0:
+        if at >= end:
+            raise ValueError("the bit stream ends early")
+        lo = at >> 3
+        size = min(WINDOW, end - 8 * lo + 8)  # places where a symbol may begin
+        own = raw[lo : lo + (size + margin >> 3) + 4].astype(np.int32)
+        word = own[:-3] | own[1:-2] << 8 | own[2:-1] << 16
+        window = (word[:, None] >> np.arange(8, dtype=np.int32)).reshape(-1)
+
+        def look(code: Prefix, place: np.ndarray | slice) -> np.ndarray:
+            return code.table[window[place] & ((1 << code.width) - 1)]
+
+        hit = look(green, slice(0, size))
+        after = np.arange(size, dtype=np.int32) + (hit & 15)
+        refers = np.flatnonzero(hit >= 256 << 4)
+        if any(c.only < 0 for c, _ in others):
+            where = np.flatnonzero(hit < 256 << 4)
+            place = after[where]
+            for c, _ in others:
+                place = place + (look(c, place) & 15)
+            after[where] = place
+        if len(refers):
+            prefix = (hit[refers] >> 4) - 256
+            if prefix.max() >= 24:
+                raise ValueError("a symbol beyond the alphabet")
+            place = after[refers] + np.maximum((prefix - 2) >> 1, 0)
+            distance = look(far, place)
+            after[refers] = place + (distance & 15) + np.maximum(((distance >> 4) - 2) >> 1, 0)
+        follow = np.append(after, np.arange(size, size + 256, dtype=np.int32))  # what lies beyond stays there
+        two = follow[follow]
+        four = two[two]
+        far_on, path, place = memoryview(four[four]), [], at - 8 * lo
+        while place < size:
+            path.append(place)
+            place = far_on[place]
+        path = np.array(path, np.int64)
+        path = np.stack([path, two[path], four[path], two[four[path]]], 1)
+        path = np.stack([path, follow[path]], 2).reshape(-1)
+        path = path[: np.searchsorted(path, size)]
+        sym = (hit[path] >> 4).astype(np.int64)
+        count, dist, pixel = np.ones(len(path), np.int64), np.zeros(len(path), np.int64), np.zeros(len(path), np.uint32)
+        place = path + (hit[path] & 15)
+        refers = np.flatnonzero(sym >= 256)
+        literal = np.flatnonzero(sym < 256)
+        if len(refers):
+            base = 8 * lo
+            count[refers], q = _values(sym[refers] - 256, raw, base + place[refers])
+            distance = look(far, q - base)
+            dist[refers], _ = _values(distance >> 4, raw, q + (distance & 15))
+        value = sym[literal] << 8
+        place = place[literal]
+        for c, shift in others:
+            found = look(c, place)
+            value |= (found >> 4).astype(np.int64) << shift
+            place = place + (found & 15)
+        pixel[literal] = value
+        total = np.cumsum(count)
+        keep = int(np.searchsorted(total, left, "left")) + 1
+        if keep <= len(path):  # the last symbol is here
+            if total[keep - 1] != left:
+                raise ValueError("a reference outside the image")
+            at = 8 * lo + int(follow[path[keep - 1]])
+            left = 0
+        else:
+            at, left = 8 * lo + int(follow[path[-1]]), left - int(total[-1])
+        pixels.append(pixel[:keep])
+        counts.append(count[:keep])
+        dists.append(dist[:keep])
+    bits.at = at
+    return np.concatenate(pixels), np.concatenate(counts), np.concatenate(dists)
+
+
+_NEAR_X, _NEAR_Y = (np.array(x, np.int64) for x in zip(*NEAR))
+
+
+def _plain_pixels(bits: Bits, codes: list[Prefix], width: int, n: int) -> np.ndarray:
+    """The ARGB words of an image with one group of codes and no cache."""
+    pixel, count, code = _symbols(bits, codes, n)
+    refers = np.flatnonzero(code)
+    if not len(refers):
+        return pixel
+    near = np.minimum(code[refers], 120) - 1
+    dist = np.where(code[refers] > 120, code[refers] - 120, np.maximum(_NEAR_X[near] + _NEAR_Y[near] * width, 1))
+    start = np.cumsum(count) - count
+    if (dist > start[refers]).any():
+        raise ValueError("a reference outside the image")
+    out = np.repeat(pixel, count)
+    size = count[refers]
+    own = np.repeat(start[refers] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    source = np.arange(n)
+    source[own] = own - np.repeat(dist, size)
+    at = source[own]
+    while True:  # references to references: each round doubles the way that is followed
+        back = source[at]
+        if np.array_equal(back, at):
+            break
+        source[own] = at = back
+    out[own] = out[at]
     return out
 
 
@@ -170,8 +287,8 @@ def _read_image(bits: Bits, width: int, height: int, main: bool, seen: dict) ->
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_prefix(bits, s, seen) for s in sizes] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache_bits and (out := _flat_pixels(bits, codes[0], n)) is not None:
-        return out
+    if groups == 1 and not cache_bits:
+        return _plain_pixels(bits, codes[0], width, n)
     pixels = [0] * n
     cache = [0] * (1 << cache_bits)
     shift = 32 - cache_bits
@@ -565,45 +682,241 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int
     return _riff(out.bytes())
 
 
-_HEADS: dict[bytes, tuple[np.ndarray, int]] = {}
-
-
-def _flat_codes(alphabet: bytes) -> tuple[np.ndarray, int]:
-    """The bits of the five prefix codes for samples from ``alphabet`` (2**k bytes, ascending), and k."""
-    if alphabet not in _HEADS:
-        if len(_HEADS) >= 4096:
-            _HEADS.clear()
-        k = len(alphabet).bit_length() - 1
-        out = Out()
-        out.put(0, 2)  # neither a colour cache nor groups
-        for size in (280, 256, 256, 256):
-            lengths = np.zeros(size, np.uint8)
-            lengths[np.frombuffer(alphabet, np.uint8)] = k
-            _put_prefix(out, lengths)
-        _put_prefix(out, np.zeros(40, np.uint8))
-        _HEADS[alphabet] = np.concatenate(out.parts), k
-    return _HEADS[alphabet]
-
-
-def encode_samples(samples: np.ndarray, width: int, more: bytes = b"") -> bytes:
-    """A lossless WebP file of a long run of RGBA samples: every sample takes log2 of the number of distinct ones (rounded
-    up to a power of 2) bits, by prefix codes of one length, and is decoded without a loop."""
-    height = len(samples) // (4 * width)
-    seen = np.zeros(256, bool)
-    seen[samples] = True
-    k = max(1, int(seen.sum() - 1).bit_length())
-    spare = np.flatnonzero(~seen)[: (1 << k) - int(seen.sum())]
-    seen[spare] = True
-    rank = (np.cumsum(seen) - 1).astype(np.uint8)
-    head, k = _flat_codes(np.flatnonzero(seen).astype(np.uint8).tobytes())
-    start = np.concatenate([*_start(width, height).parts, np.zeros(1, np.uint8), head])
-    order = samples.reshape(-1, 4)[:, [1, 0, 2, 3]].reshape(-1)
-    parts, carry = [], start
-    for i in range(0, len(order), 1 << 20):
-        piece = np.unpackbits((rank[order[i : i + (1 << 20)]] << (8 - k))[:, None], axis=1, count=k).reshape(-1)
-        piece = np.concatenate([carry, piece])
-        whole = len(piece) // 8 * 8
-        parts.append(np.packbits(piece[:whole], bitorder="little").tobytes())
-        carry = piece[whole:]
-    parts.append(np.packbits(carry, bitorder="little").tobytes())
-    return _riff(b"".join(parts), more)
+#: Bytes that a reference repeats at least and at most; longest codes; how far a reference reaches.
+LEAST, MOST, LIMIT, REACH = 5, 4096, 13, (1 << 20) - 121
+#: A fixed code for code lengths 0 to LIMIT and runs of zeros: four bits each.
+_LENGTHS = (*range(LIMIT + 1), 17, 18)
+#: Samples that are searched for repeats together.
+SPAN = 1 << 20
+
+
+def _split_values(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefixes, extra bits and their numbers of lengths or distances."""
+    v = v.astype(np.int64) - 1
+    top = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> np.maximum(top - 1, 0) & 1)), v & ((1 << extra) - 1), extra
+
+
+class _Tokens:
+    """Literals and references of runs of samples: sym of the green code, distance prefix (-1: none), and their extra bits."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        n = len(data)
+        key = data.astype(np.int64) << 20
+        for k in range(1, LEAST):
+            key[: n - k] |= data[k:].astype(np.int64) << (8 * k + 20)
+        key |= np.arange(n)
+        key = np.delete(key, np.maximum(at[1:, None] - np.arange(1, LEAST), at[:-1, None]).reshape(-1))  # nothing is repeated across an end
+        key.sort()
+        same = np.flatnonzero(key[1:] >> 20 == key[:-1] >> 20)
+        a, b = key[same] & 0xFFFFF, key[same + 1] & 0xFFFFF
+        del key
+        owner = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+        here = (owner[a] == owner[b]) & (b - a <= REACH)
+        back = np.zeros(n + 1, np.int32)
+        back[b[here]] = (b - a)[here]
+        # a run of places of one distance is one repeat: each of them repeats as far as the run goes
+        cut = np.flatnonzero(back[1:] != back[:-1]) + 1
+        start = np.concatenate([[0], cut]) if n else cut[:0]
+        end = np.append(cut, n + 1)[: len(start)]
+        some = back[start] > 0
+        start, end = start[some], end[some]
+        began, stop = start.tolist(), end.tolist()
+        refs, length, at_ = [], [], 0
+        for i, j in zip(began, stop):
+            i = i if i > at_ else at_
+            while i < j:
+                m = j - i + LEAST - 1
+                m = m if m < MOST else MOST
+                refs.append(i)
+                length.append(m)
+                i += m
+                at_ = i
+        refs, length = np.array(refs, np.int64), np.array(length, np.int64)
+        cover = np.zeros(n + 1, np.int32)
+        cover[refs] += 1
+        np.subtract.at(cover, refs + length, 1)
+        literal = np.cumsum(cover[:n]) == 0
+        literal[refs] = True
+        where = np.flatnonzero(literal)
+        spot = np.searchsorted(where, refs)
+        self.doc = owner[where].astype(np.int64)
+        self.sym, self.extra, self.bits = data[where].astype(np.int64), np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+        prefix, self.extra[spot], self.bits[spot] = _split_values(length)
+        self.sym[spot] = 256 + prefix
+        self.far, self.far_extra, self.far_bits = np.full(len(where), -1), np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+        self.far[spot], self.far_extra[spot], self.far_bits[spot] = _split_values(back[refs].astype(np.int64) + 120)
+
+
+def code_lengths_of(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """Optimal lengths of at most ``limit`` bits for each row of counts, by package-merge on all rows side by side."""
+    rows, size = counts.shape
+    n = (counts > 0).sum(1)
+    wide = max(2, int(n.max(initial=0)))
+    if wide > 1 << limit:
+        raise ValueError(f"{wide} symbols need more than {limit} bits")
+    weight = np.where(counts > 0, counts, np.inf)
+    order = np.argsort(weight, 1, kind="stable")[:, :wide]
+    leaf = np.take_along_axis(weight, order, 1)
+    merged, marks = np.zeros((rows, 0)), []
+    for _ in range(limit):
+        pack = merged[:, : merged.shape[1] // 2 * 2].reshape(rows, -1, 2).sum(2)
+        both = np.concatenate([leaf, pack], 1)
+        by = np.argsort(both, 1, kind="stable")
+        merged = np.take_along_axis(both, by, 1)
+        marks.append(np.cumsum(by < wide, 1))
+    take, own = np.maximum(2 * n - 2, 0), np.zeros((rows, wide), np.int64)
+    for mark in reversed(marks):
+        take = np.minimum(take, mark.shape[1])
+        leaves = np.where(take > 0, np.take_along_axis(mark, np.maximum(take - 1, 0)[:, None], 1)[:, 0], 0)
+        own += np.arange(wide) < leaves[:, None]
+        take = 2 * (take - leaves)
+    own[n == 1, 0] = 1
+    out = np.zeros((rows, size), np.int64)
+    np.put_along_axis(out, order, np.where(np.isfinite(leaf), own, 0), 1)
+    return out
+
+
+def codes_of(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """The canonical codes of each row of lengths, first bit lowest."""
+    rank = np.where(lengths > 0, lengths, limit + 1)
+    order = np.argsort(rank, 1, kind="stable")
+    size = np.take_along_axis(rank, order, 1)
+    span = np.where(size <= limit, 1 << np.maximum(limit - size, 0), 0)
+    first = np.cumsum(span, 1) - span
+    out = np.zeros(lengths.shape, np.int64)
+    np.put_along_axis(out, order, _mirror(limit)[np.where(size <= limit, first, 0)], 1)
+    return out  # bits of the mirrored number beyond the length are zero
+
+
+def _length_items(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, values and bit numbers that write each row of lengths: the fixed code, then lengths and runs of zeros."""
+    rows, size = lengths.shape
+    flat = lengths.reshape(-1)
+    change = np.append(True, flat[1:] != flat[:-1])
+    change[::size] = True
+    start = np.flatnonzero(change)
+    count, value = np.diff(np.append(start, len(flat))), flat[start]
+    full = np.where(value == 0, count // 138, 0)
+    rest = count - 138 * full
+    alone = np.where((value > 0) | (rest < 3), rest, 0)
+    last = (value == 0) & (rest >= 3)
+    n = full + alone + last
+    run = np.repeat(np.arange(len(start)), n)
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    long = nth < full[run]
+    tail = ~long & last[run]
+    extra = np.where(long, 127, np.where(tail, np.where(rest[run] >= 11, rest[run] - 11, rest[run] - 3), 0))
+    eleven = long | tail & (rest[run] >= 11)
+    code = np.where(eleven, 15, np.where(tail, 14, value[run]))
+    items = _mirror(4)[code] | extra << 4, 4 + np.where(eleven, 7, np.where(tail, 3, 0))
+    head = [(15 << 1, 5), (sum((4 if k in _LENGTHS else 0) << 3 * i for i, k in enumerate(LENGTH_ORDER[:12])), 36), (sum((4 if k in _LENGTHS else 0) << 3 * i for i, k in enumerate(LENGTH_ORDER[12:])), 21), (0, 1)]
+    which = np.concatenate([np.repeat(np.arange(rows), len(head)), start[run] // size])
+    order = np.argsort(which, kind="stable")
+    return which[order], np.concatenate([np.tile([v for v, _ in head], rows), items[0]])[order], np.concatenate([np.tile([k for _, k in head], rows), items[1]])[order]
+
+
+def _write(doc: np.ndarray, value: np.ndarray, bits: np.ndarray, base: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Puts items (at most 57 bits), in the order of their documents, into a stream of 64-bit words from each document's
+    bit ``base`` on; returns the bits after."""
+    total = np.cumsum(bits) - bits
+    count = np.bincount(doc, minlength=len(base))
+    first = np.append(total, bits.sum())[np.cumsum(count) - count]
+    at = total - first[doc] + base[doc]
+    shift = (at & 63).astype(np.uint64)
+    np.bitwise_or.at(words, at >> 6, value.astype(np.uint64) << shift)
+    over = np.flatnonzero(shift.astype(np.int64) + bits > 64)
+    np.bitwise_or.at(words, (at[over] >> 6) + 1, value[over].astype(np.uint64) >> (np.uint64(64) - shift[over]))
+    return base + np.bincount(doc, bits, len(base)).astype(np.int64)
+
+
+def _palette(samples: np.ndarray, width: int) -> tuple[np.ndarray, int, list[tuple[int, int]]]:
+    """Samples of at most 16 kinds as indices, several to a byte: packed samples, their width, and the transform's items."""
+    kinds = np.flatnonzero(np.bincount(samples, minlength=256))
+    rank = np.zeros(256, np.uint8)
+    rank[kinds] = np.arange(len(kinds))
+    pack = _pack_bits(len(kinds))
+    step = 8 >> pack
+    wide = -(-width // (1 << pack))
+    grid = np.zeros((len(samples) // width, wide << pack), np.uint8)
+    grid[:, :width] = rank[samples].reshape(-1, width)
+    packed = np.bitwise_or.reduce([grid[:, k :: 1 << pack] << (k * step) for k in range(1 << pack)]).reshape(-1)
+    steps = np.diff(kinds, prepend=0).astype(np.uint32) << np.uint32(8)
+    steps[0] |= np.uint32(0xFF000000)
+    out = Out()
+    out.put(1, 1)
+    out.put(PALETTE, 2)
+    out.put(len(kinds) - 1, 8)
+    _put_image(out, steps, len(kinds), False)
+    flat = np.concatenate(out.parts)
+    parts = [flat[i : i + 48] for i in range(0, len(flat), 48)]
+    return packed, wide, [(int((x.astype(np.int64) << np.arange(len(x))).sum()), len(x)) for x in parts]
+
+
+def encode_samples(runs: list[np.ndarray], widths: list[int], more: list[bytes]) -> list[bytes]:
+    """A lossless WebP file for each run of samples (a multiple of its width): opaque pixels whose green is the sample. Samples
+    take prefix codes from their counts, repeats of LEAST samples and more are references, and runs of at most 16
+    kinds of samples have a palette, whose indices share bytes. All runs are coded side by side."""
+    count = len(runs)
+    heads: list[list[tuple[int, int]]] = []
+    samples = []
+    for x, w in zip(runs, widths):
+        head = [(0x2F, 8), (w - 1, 14), (len(x) // w - 1, 14), (0, 4)]
+        if len(np.flatnonzero(np.bincount(x[: 1 << 16], minlength=256))) <= 16 and len(np.flatnonzero(np.bincount(x, minlength=256))) <= 16:
+            x, w, extra = _palette(x, w)
+            head += extra
+        samples.append(x)
+        heads.append([*head, (0, 3)])  # no more transforms, no cache, one group of codes
+    spans, at = [], 0
+    pieces = [(k, x[i : i + SPAN]) for k, x in enumerate(samples) for i in range(0, len(x), SPAN)]
+    while at < len(pieces):  # whole runs together as far as SPAN goes; a longer one piece by piece
+        stop, held = at + 1, len(pieces[at][1])
+        while stop < len(pieces) and held + len(pieces[stop][1]) <= SPAN:
+            held += len(pieces[stop][1])
+            stop += 1
+        spans.append(pieces[at:stop])
+        at = stop
+
+    def tokens():
+        for span in spans:
+            t = _Tokens(np.concatenate([x for _, x in span]), np.concatenate([[0], np.cumsum([len(x) for _, x in span])]))
+            t.doc = np.array([k for k, _ in span])[t.doc]
+            yield t
+
+    few = sum(map(len, samples)) <= 4 * SPAN
+    greens, fars, kept = np.zeros((count, 280), np.int64), np.zeros((count, 40), np.int64), []
+    for t in tokens():
+        greens += np.bincount(t.doc * 280 + t.sym, minlength=count * 280).reshape(count, 280)
+        on = t.far >= 0
+        fars += np.bincount(t.doc[on] * 40 + t.far[on], minlength=count * 40).reshape(count, 40)
+        if few:
+            kept.append(t)
+    fars[fars.sum(1) == 0, 0] = 1
+    green, far = code_lengths_of(greens), code_lengths_of(fars)
+    green_code, far_code = codes_of(green), codes_of(far)
+    first = np.repeat(np.arange(count), [len(h) for h in heads]), *np.array([i for h in heads for i in h], np.int64).T
+    middle = np.arange(count), np.full(count, 0x7FD << 8 | 1 << 4 | 1), np.full(count, 19)  # red and blue 0, alpha 255
+    parts = [first, _length_items(green), middle, _length_items(far)]
+    green, far = (np.where((x > 0).sum(1, keepdims=True) == 1, 0, x) for x in (green, far))  # of one symbol: no bits
+    size = sum(np.bincount(d, b, count) for d, _, b in parts) + (greens * green).sum(1) + (fars * far).sum(1)
+    prefix = np.arange(280) - 256
+    size += (greens * np.where(prefix >= 4, (prefix - 2) >> 1, 0)).sum(1) + (fars * np.where(np.arange(40) >= 4, (np.arange(40) - 2) >> 1, 0)).sum(1)
+    size = -(-size.astype(np.int64) // 8)
+    start = np.concatenate([[0], np.cumsum(size)])
+    words = np.zeros(int(start[-1]) // 8 + 3, np.uint64)
+    base = start[:-1] * 8
+    for doc, value, bits in parts:
+        base = _write(doc, value, bits, base, words)
+    for t in kept or tokens():
+        value, bits = green_code[t.doc, t.sym] * (green[t.doc, t.sym] > 0), green[t.doc, t.sym]
+        value, bits = value | t.extra << bits, bits + t.bits
+        on = np.flatnonzero(t.far >= 0)
+        d, f = t.doc[on], t.far[on]
+        value[on] |= far_code[d, f] * (far[d, f] > 0) << bits[on]
+        bits[on] += far[d, f]
+        value[on] |= t.far_extra[on] << bits[on]
+        bits[on] += t.far_bits[on]
+        base = _write(t.doc, value, bits, base, words)
+    raw = words.astype("<u8").tobytes()
+    return [_riff(raw[i:j], m) for i, j, m in zip(start, start[1:], more)]

@@ -379,14 +379,68 @@ def test_op9_decoder(transforms, cache, references, groups):
             assert np.array_equal(webp.decode(webp.encode(px, transforms, cache, references, groups)), px)
 
 
-def test_op9_damaged_files_and_large_payloads(spark):
-    good = media.store(media.payload_of(b"hello"))
-    rows = [(1, bytearray(good)), (2, None), (3, bytearray(b"nonsense")), (4, bytearray(good[:20]))]
+def test_op9_damaged_files_and_large_payloads(spark, monkeypatch):
+    good = media.store([media.payload_of(b"hello")])[0]
+    rows = [(1, bytearray(good)), (2, None), (3, bytearray(b"nonsense")), (4, bytearray(good[:20])), (5, bytearray(good[:60])), (6, bytearray(b""))]
     got = {r.doc_id: r for r in media.read_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
-    assert (got[1].width, got[1].height, bytes(got[1].pixels)[:5]) == (16, 1, b"hello")
-    assert all(got[i].pixels is None and got[i].reason for i in (2, 3, 4))
-    big = media.payload_of(b"ab" * 700_000)
-    assert np.array_equal(media.load(media.store(big))[1], big)
+    assert (got[1].width, got[1].height, bytes(got[1].pixels)[1:20:4]) == (64, 1, b"hello")
+    assert all(got[i].pixels is None and got[i].reason for i in (2, 3, 4, 6))
+    rng = np.random.default_rng(1)
+    big = media.payload_of(b"ab" * 700_000 + rng.integers(0, 256, 900_001).astype(np.uint8).tobytes() + b"the end " * 1000)
+    assert np.array_equal(media.load(media.store([big])[0])[1], big)
+    monkeypatch.setattr(media, "SIDE", 8)  # several files in one
+    part = big[1_399_000:1_403_200]
+    assert np.array_equal(media.load(media.store([part])[0])[1], part) and media.store([part])[0].count(b"RIFF") == -(-len(part) // 64)
+
+
+def test_op9_coding_side_by_side():
+    """All kinds of samples, coded together: what is read back is what was written, and equal payloads have equal files."""
+    rng = np.random.default_rng(2)
+    texts = [b"", b"a", b"ab", b"\0" * 700, bytes(range(256)), b"0123" * 999, ("é漢🙂 " * 50).encode(), b"x" * 9000]
+    texts += [bytes(rng.choice(list(b"abcdefgh ijklmnop.\n"), int(rng.integers(0, 3000))).astype(np.uint8)) for _ in range(60)]
+    texts += [b" ".join(texts[-1].split()[:40]) * 3, rng.integers(0, 256, 5000).astype(np.uint8).tobytes()]
+    payloads = [media.payload_of(x) for x in texts]
+    files = media.store(payloads)
+    assert all(np.array_equal(media.load(f)[1], x) for f, x in zip(files, payloads))
+    assert files == [media.store([x])[0] for x in payloads]
+
+
+def test_op9_files_use_the_format(spark, small_dir, monkeypatch):
+    """The query's files are smaller than their payloads by prefix codes from counts, references and palettes, and are read by the general path."""
+    seen = collections.Counter()
+    symbols, undo = webp._symbols, webp._undo_palette
+
+    def spy(bits, codes, n):
+        out = symbols(bits, codes, n)
+        seen["references"] += int((out[2] > 0).sum())
+        seen["lengths"] += len(np.unique(codes[0].table & 15)) > 2
+        return out
+
+    monkeypatch.setattr(webp, "_symbols", spy)
+    monkeypatch.setattr(webp, "_undo_palette", lambda *a: seen.update(["palette"]) or undo(*a))
+    texts = [(r.text or "").encode() for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()] + [b"", b"10110"]
+    payloads = [media.payload_of(x) for x in texts]
+    files = media.store(payloads)
+    assert all(np.array_equal(media.load(f)[1], x) for f, x in zip(files, payloads))
+    assert seen["references"] > len(texts) and seen["lengths"] >= 0.9 * len(texts) and seen["palette"] >= 2
+    assert sum(map(len, files)) < 0.6 * sum(map(len, payloads))
+    got = {r.doc_id: r for r in collect(spark, "op9_lossless_webp", small_dir)}
+    assert sum(r.media_bytes for r in got.values()) < 0.6 * sum(r.payload_bytes for r in got.values())
+
+
+def test_op9_lengths_of_many_codes():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 2000, (50, 280)) * (rng.random((50, 280)) < rng.random((50, 1)))
+    counts[0], counts[1] = 0, 0
+    counts[1, 7] = 5
+    counts[2, :60] = (1.7 ** np.arange(60)).astype(np.int64)
+    got = webp.code_lengths_of(counts)
+    for row, lengths in zip(counts, got):
+        want = token_store.code_lengths(row, webp.LIMIT)
+        assert (row * lengths).sum() == (row * want.astype(np.int64)).sum() and ((lengths > 0) == (row > 0)).all() and lengths.max() <= webp.LIMIT
+        codes = webp.codes_of(lengths[None])[0]
+        plain = token_store.canonical(lengths.astype(np.uint8))
+        assert all(codes[k] == webp._reversed(int(plain[k]), int(lengths[k])) for k in np.flatnonzero(lengths))
 
 
 def test_op10_targets_and_order(spark, odd_dir, odd_rows):
