@@ -1,6 +1,7 @@
 """Languages of texts and of their spans: script ranges, word scores, Viterbi.
 
-Each word (a run of visible characters) has a script mask by the ranges of its characters; the languages that use
+Each word (a run of visible characters) has a script mask by the ranges of its letters (Unicode category L, so neither digits
+nor signs nor marks); the languages that use
 the script in training are its candidates. Its score for a language is the log-likelihood of its byte 1- to
 4-grams, word edges included, relative to the likeliest language. Viterbi with a penalty for each switch labels the
 words of a text, and runs of one label are its spans. A text's language is the one that holds most bytes.
@@ -16,6 +17,7 @@ Null doc_id: like any other. Empty table: no rows. Other columns are left out.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,20 +36,31 @@ WORST = -8.0
 USES = 0.01
 BATCH_WORDS = 1 << 20
 
-#: First code point of each range and its script; fixed by Unicode's blocks. 0: none.
+#: First code point of each range and its script; fixed by Unicode's blocks. 0: letters of all other scripts.
 RANGES = ((0x0, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xC0, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 0), (0x900, 7), (0x980, 8), (0xE00, 9), (0xE80, 0), (0x10A0, 10), (0x1100, 11), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 12), (0x3100, 0), (0x3400, 13), (0xA000, 0), (0xAC00, 11), (0xD7B0, 0), (0xF900, 13), (0xFB00, 0))
-_FIRST = np.array([a for a, _ in RANGES])
-_BIT = np.array([1 << s if s else 0 for _, s in RANGES], np.int32)
 SCRIPTS = 14
+#: Beyond this code point no letters are assigned.
+POINTS = 0x40000
+_SCRIPT: list[np.ndarray] = []
+
+
+def script_of() -> np.ndarray:
+    """For each code point the bit of its script if it is a letter (Unicode category L), else 0."""
+    if not _SCRIPT:
+        letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(POINTS)), bool, POINTS)
+        first = np.array([a for a, _ in RANGES])
+        script = np.array([k for _, k in RANGES])[np.searchsorted(first, np.arange(POINTS), "right") - 1]
+        _SCRIPT.append(np.where(letter, 1 << script, 0).astype(np.int32))
+    return _SCRIPT[0]
 
 
 def script_bits(data: np.ndarray) -> np.ndarray:
-    """For each byte that begins a character, the bit of its script; 0 elsewhere."""
+    """For each byte that begins a letter, the bit of its script; 0 elsewhere."""
     pad = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
     n = len(data)
     a, b, c, d = pad[:n], pad[1 : n + 1] & 63, pad[2 : n + 2] & 63, pad[3 : n + 3] & 63
     point = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 31) << 6 | b, np.where(a < 0xF0, (a & 15) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d)))
-    bits = _BIT[np.searchsorted(_FIRST, point, "right") - 1]
+    bits = script_of()[np.minimum(point, POINTS - 1)]
     bits[(a & 0xC0) == 0x80] = 0
     return bits
 
@@ -114,7 +127,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
                 lang = np.repeat(np.array([number[x] for x in column(p, "lang").to_pylist()], np.int64), np.diff(w.at))
                 g = Grams(w)
                 keys = [lang[word] * BUCKETS + bucket for word, bucket in g.parts]
-                keys += [width * BUCKETS + lang[(g.mask >> s & 1) == 1] * SCRIPTS + s for s in range(1, SCRIPTS)]
+                keys += [width * BUCKETS + lang[(g.mask >> s & 1) == 1] * SCRIPTS + s for s in range(SCRIPTS)]
                 key, n = np.unique(np.concatenate(keys), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
@@ -137,7 +150,7 @@ def word_scores(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
             total[word[cut]] += np.add.reduceat(model.weights[bucket], cut, axis=0)
     seen = g.mask != 0
     allowed = np.zeros((d, width), bool)
-    for s in range(1, SCRIPTS):
+    for s in range(SCRIPTS):
         on = (g.mask >> s & 1) == 1
         if on.any():
             allowed[on] |= model.uses[:, s]
@@ -154,12 +167,12 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
     size = np.diff(at)
     order = np.argsort(-size, kind="stable")
     size, first = size[order], at[:-1][order]
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), np.int16)
     steps = int(size[0]) if len(size) else 0
     if not steps:
         return out
     live = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
-    final = np.zeros(len(size), np.int8)
+    final = np.zeros(len(size), np.int16)
     back = []
     v = np.zeros((scores.shape[1], live[0]), np.float32)
     for t in range(steps):
@@ -167,7 +180,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
         if n < v.shape[1]:
             final[n : v.shape[1]] = v[:, n:].argmax(0)
             v = v[:, :n]
-        best = v.argmax(0).astype(np.int8)
+        best = v.argmax(0).astype(np.int16)
         other = v.max(0) - np.float32(switch)
         back.append((v < other, best))
         v = np.maximum(v, other) + scores[first[:n] + t].T
@@ -200,7 +213,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
             letters = np.concatenate([x[7] for x in waiting])
             waiting.clear()
             at = np.concatenate([[0], np.cumsum(count)])
-            best = viterbi(score, at) if width else np.zeros(len(score), np.int8)
+            best = viterbi(score, at) if width else np.zeros(len(score), np.int16)
             n = len(count)
             doc = np.repeat(np.arange(n), count)
             weight = np.bincount(doc * max(width, 1) + best, size * seen, n * max(width, 1)).reshape(n, -1)
@@ -228,8 +241,6 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
                 count = np.diff(w.at)
                 base = np.repeat(chars[utf8(column(p, "text"))[1][:-1]], count)
                 letters = np.bincount(np.repeat(np.arange(p.num_rows), count), seen, p.num_rows) > 0
-                for k in np.flatnonzero(~letters & (count > 0)):  # scripts outside the ranges have letters too
-                    letters[k] = any(c.isalpha() for c in column(p, "text")[int(k)].as_py())
                 waiting.append((column(p, "doc_id"), score, seen, chars[w.start] - base, chars[w.end] - base, w.end - w.start, count, letters))
                 if sum(len(x[1]) for x in waiting) >= BATCH_WORDS:
                     yield flush()

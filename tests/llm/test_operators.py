@@ -160,6 +160,72 @@ def test_op2_viterbi_brute_force():
             assert abs(worth(got[a:b]) - best) < 1e-3
 
 
+def test_op2_letters_by_category():
+    """Every code point: a letter has one script's bit, all else has none."""
+    import unicodedata
+
+    for lo in range(0, 0x110000, 0x8000):
+        points = [c for c in range(lo, lo + 0x8000) if not 0xD800 <= c < 0xE000]
+        raw = [chr(c).encode() for c in points]
+        if not raw:
+            continue
+        at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        bits = language_id.script_bits(np.frombuffer(b"".join(raw), np.uint8))
+        assert ((bits[at[:-1]] != 0) == [unicodedata.category(chr(c))[0] == "L" for c in points]).all()
+        assert np.count_nonzero(bits) == np.count_nonzero(bits[at[:-1]])
+        for c, b in list(zip(points, bits[at[:-1]]))[::97]:
+            script = [k for first, k in language_id.RANGES if first <= c][-1]
+            assert b in (0, 1 << script)
+
+
+def test_op2_no_letter_is_und(spark):
+    rows = [(i, "this is english text and words", "en") for i in range(30)] + [(50 + i, "это русский текст", "ru") for i in range(30)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["×", "÷ ×", "٣", "\u0301", "123", "´ ˘", "x", "ⴰ", "𐌰 𐌱", None, ""]
+    got = language_id.label(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in got] == [True] * 6 + [False] * 3 + [True] * 2
+    assert all(r.spans == [] and r.score == 0 for r in got if r.lang_pred == "und")
+
+
+def test_op2_word_scores_by_brute_force():
+    """Log-likelihoods of a word's byte n-grams with its edges, barred languages, and what is relative to the best."""
+    rng = np.random.default_rng(4)
+    names = ["a", "b", "c"]
+    scripts = np.zeros((3, language_id.SCRIPTS))
+    scripts[0, 1], scripts[1, 1], scripts[1, 3], scripts[2, 3] = 90, 50, 50, 100
+    model = language_id.Model(names, rng.integers(0, 50, (language_id.BUCKETS, 3)).astype(float), scripts)
+    texts = ["word Wörter слово", "x", "a1б", "漢字 12", "longerword"]
+    raw = [t.encode() for t in texts]
+    w = Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64), hashed=False)
+    got, seen = language_id.word_scores(w, model)
+    uses = [{1}, {1, 3}, {3}]
+    at = 0
+    for t in texts:
+        for word in t.encode().lower().split():
+            total = np.zeros(3)
+            for k in range(1, language_id.GRAMS + 1):
+                padded = b" " + word + b" " if k > 1 else word
+                for i in range(len(padded) - k + 1):
+                    gram = int.from_bytes(padded[i : i + k][::-1], "little")
+                    bucket = int(language_id.mix(np.array([gram + (k << 40)], np.uint64))[0] % np.uint64(language_id.BUCKETS))
+                    total += model.weights[bucket]
+            have = {3 if "а" <= c <= "я" else 13 if c > "\u3400" else 1 for c in word.decode() if c.isalpha()}
+            allowed = np.array([bool(u & have) for u in uses])
+            allowed = allowed if allowed.any() else np.ones(3, bool)
+            want = np.where(allowed, np.maximum(0.5 * (total - total[allowed].max()), language_id.WORST), 3 * language_id.WORST)
+            assert seen[at] == bool(have)
+            assert np.allclose(got[at], want if have else 0, atol=2e-3), (word, got[at], want)
+            at += 1
+    assert at == len(got)
+
+
+def test_op2_two_hundred_languages():
+    at = np.array([0, 3])
+    scores = np.full((3, 200), -9.0, np.float32)
+    scores[:, 150] = 0
+    assert language_id.viterbi(scores, at).tolist() == [150] * 3
+
+
 def test_op2_held_out_accuracy(spark):
     got = {r.doc_id: r for r in collect(spark, "op2_viterbi_language", "/root/testdata/sf0.01")}
     lang = dict(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect())
