@@ -11,8 +11,9 @@ Base: log10((c + 1) / (N + V + 1)) summed over the tokens. Words that hold at le
 tokens (at most ``COMMON`` of them) are looked up in memory; counts of all others come by an exact join.
 
 Scale: two passes over the texts. Tasks merge counts before the shuffle, which grows with the corpus, not with
-its square. Subtrees below the nearest ``CUT`` bytes are built where their counts lie, and leave sums for each context of
-CUT - 1 bytes (at most 65,536) to the driver, which mixes the rest; each gram then gets its log probability. Grams that
+its square. Subtrees below the nearest ``CUT`` bytes are built where their counts lie, as the binary nodes that their grams
+reach, and leave sums for each context of CUT - 1 bytes (at most 65,536) to the driver, which mixes the rest; each gram
+then gets its log probability. Grams that
 hold at least 1/``GRAMS`` of all bytes (at most ``GRAMS`` of them) are looked up in memory, all others by an exact join,
 as words are. Words are keyed by 64-bit hashes.
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Words, column, crc_mod, of_columns, pieces, save, table, text_words, through
 
 DEPTH = 5
-LEAST = 32
+LEAST = 2
 CUT = 3
 #: Grams of whole subtrees that are built at once.
 RUN = 30_000
@@ -189,27 +190,36 @@ def _rows(p: np.ndarray) -> np.ndarray:
     return _by_rows(part, p)
 
 
+def _last(keys: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest bytes of each key, which has 8 at most."""
+    return keys if n > 7 else keys & ((1 << 8 * n) - 1)
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """The contexts of grams."""
+    return keys >> 8 & ((1 << 56) - 1)
+
+
 class Tree:
-    """The nodes of depths ``lo`` and more. contexts: the sorted keys of each depth's nodes; first: the number of each
-    depth's first row; below: log evidence at each binary node of depth lo; table: log10 probabilities of the bytes in
-    each row. A row of a node with children is that of its other contexts."""
+    """The nodes of the first depths. contexts: the sorted keys of each depth's nodes; first: the number of each depth's first
+    row; table: log10 probabilities of the bytes in each row; acc, rem: the mixture so far and the weight that remains at the
+    binary nodes of the last depth. A row of a node with children is that of its other contexts."""
 
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], lo: int = 0, inner: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], inner: tuple[np.ndarray, np.ndarray] | None = None):
         """nodes: for each depth (gram keys, counts) of its nodes. inner: for each context of the last depth the
-        counts and the evidence of children that are kept elsewhere. The table of lo > 0 comes by ``down``."""
-        self.lo, self.contexts, counts = lo, [], []
+        counts and the evidence of children that are kept elsewhere."""
+        self.contexts, counts = [], []
         for keys, ns in nodes:
-            ctx, at = np.unique(keys >> 8, return_inverse=True)
+            ctx, at = np.unique(_before(keys), return_inverse=True)
             self.contexts.append(ctx)
             counts.append(np.bincount(at * 256 + (keys & 255), ns, len(ctx) * 256).reshape(-1, 256))
         self.first = np.concatenate([[0], np.cumsum([len(c) for c in self.contexts])])
         self.table = np.full((1, 256), -np.log10(256), np.float32)
         if not len(self.contexts[0]):
-            self.below = np.zeros((0, 255))
             return
         parents, others, weights = [None], [], []
         for d in range(len(counts) - 1):
-            up = np.searchsorted(self.contexts[d], self.contexts[d + 1] & ((1 << 8 * (lo + d)) - 1))
+            up = np.searchsorted(self.contexts[d], self.contexts[d + 1] & ((1 << 8 * d) - 1))
             parents.append(up)
             other = counts[d].copy()
             np.subtract.at(other, up, counts[d + 1])
@@ -218,31 +228,22 @@ class Tree:
         for d in range(len(counts) - 1, -1, -1):
             own = _evidence(counts[d])
             if others[d] is None:
-                self.below = own
+                below = own
                 weights.insert(0, np.float32(1))
                 continue
             split = _evidence(others[d])
             if d == len(counts) - 1:
                 split += inner[1]
             else:
-                np.add.at(split, parents[d + 1], self.below)
-            self.below = np.logaddexp(own, split) + np.log(0.5)
-            weights.insert(0, np.exp(own + np.log(0.5) - self.below).astype(np.float32))
-        self._built = parents, counts, others, weights
-        if not lo:
-            self.down(np.float32(0), np.float32(1))
-
-    def down(self, acc: np.ndarray, rem: np.ndarray) -> None:
-        """Fills the table, given the mixture so far and the weight that remains for each context of depth lo; acc
-        and rem are then those of the last depth."""
-        parents, counts, others, weights = self.__dict__.pop("_built")
-        rows = []
+                np.add.at(split, parents[d + 1], below)
+            below = np.logaddexp(own, split) + np.log(0.5)
+            weights.insert(0, np.exp(own + np.log(0.5) - below).astype(np.float32))
+        rows, acc, rem = [], np.float32(0), np.float32(1)
         for d in range(len(counts)):
             a, r = (acc, rem) if d == 0 else (acc[parents[d]], rem[parents[d]])
             acc = a + r * weights[d] * _estimate(counts[d])
             rem = r * (1 - weights[d])
             rows.append(_rows(acc if others[d] is None else acc + rem * _estimate(others[d])))
-            counts[d] = others[d] = None
         self.table, self.acc, self.rem = np.concatenate(rows), acc, rem
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -252,7 +253,7 @@ class Tree:
         for d, ctx in enumerate(self.contexts):
             if not len(ctx) or not len(live):
                 break
-            want = keys[live] >> 8 & ((1 << 8 * (self.lo + d)) - 1)
+            want = keys[live] >> 8 & ((1 << 8 * d) - 1)
             at = np.minimum(np.searchsorted(ctx, want), len(ctx) - 1)
             hit = ctx[at] == want
             live = live[hit]
@@ -264,15 +265,109 @@ class Tree:
         return self.table[np.maximum(self.find(keys), 0), keys & 255]
 
 
-def subtrees(keys: np.ndarray, ns: np.ndarray, least: int) -> Tree:
-    """The nodes of CUT bytes and more, from all grams of their contexts."""
-    nodes = []
-    for d in range(CUT, DEPTH + 1):
-        gram = keys & ((1 << 8 * (d + 1)) - 1)
-        _, at = np.unique(gram >> 8, return_inverse=True)
-        on = (ns > 0) & (np.bincount(at, ns, 1)[at] >= least)
-        nodes.append((gram[on], ns[on]))
-    return Tree(nodes, CUT)
+_SMALL = 1 << 16
+_HALVES: list[np.ndarray] = []
+
+
+def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The Krichevsky-Trofimov evidence of a zeros and b ones."""
+    if not _HALVES:
+        _HALVES.extend([log_gamma(np.arange(_SMALL) + 0.5), log_gamma(np.arange(2 * _SMALL) + 1.0)])
+    half, one = _HALVES
+    if len(a) and max(a.max(), b.max()) >= _SMALL:
+        return log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1.0)
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    return half[a] + half[b] - np.log(np.pi) - one[a + b]
+
+
+class _Binary:
+    """The binary nodes at one bit of the bytes after all contexts of one depth: node of each key, one key of each node,
+    zeros and ones there, and whether the context is a node of the tree."""
+
+    def __init__(self, gram: np.ndarray, order: np.ndarray, ns: np.ndarray, bit: int):
+        which = gram >> (8 - bit)
+        start = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        self.node = np.empty(len(gram), np.int32)
+        self.node[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(gram))))
+        self.first = order[start]
+        total = np.add.reduceat(ns, start)
+        self.ones = np.add.reduceat(np.where(gram >> (7 - bit) & 1, ns, 0), start)
+        self.zeros = total - self.ones
+        self.on = np.ones(len(start), bool)
+
+
+class Subtrees:
+    """The nodes of CUT bytes and more, from all grams of their contexts; what no gram reaches is not kept."""
+
+    def __init__(self, keys: np.ndarray, ns: np.ndarray, least: int):
+        self.keys, self.ns = keys, ns
+        self.levels: list[list[_Binary]] = []
+        self.alive = []  # for each depth whether each key's context is a node
+        for d in range(CUT, DEPTH + 1):
+            gram = _last(keys, d + 1)
+            order = np.argsort(gram)
+            level = [_Binary(gram[order], order, ns[order], bit) for bit in range(8)]
+            whole = level[0].zeros + level[0].ones >= least
+            alive = whole[level[0].node]
+            for x in level:
+                x.on = alive[x.first]
+            self.levels.append(level)
+            self.alive.append(alive)
+        below = [None] * 8
+        for level, under in zip(self.levels[::-1], [None, *self.levels[:0:-1]]):
+            for bit, x in enumerate(level):
+                own = _kt(x.zeros, x.ones)
+                x.estimate = (x.ones + 0.5) / (x.zeros + x.ones + 1)
+                if under is None:
+                    x.weight, x.other, below[bit] = np.ones(len(own)), x.estimate, own
+                    continue
+                y = under[bit]
+                n, parent, on = len(own), x.node[y.first][y.on], y.on
+                zeros = x.zeros - np.bincount(parent, y.zeros[on], n).astype(np.int64)
+                ones = x.ones - np.bincount(parent, y.ones[on], n).astype(np.int64)
+                split = _kt(zeros, ones) + np.bincount(parent, below[bit][on], n)
+                x.other = (ones + 0.5) / (zeros + ones + 1)
+                both = np.logaddexp(own, split) + np.log(0.5)
+                x.weight, below[bit] = np.exp(own + np.log(0.5) - both), both
+        self.below = below
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of CUT - 1 bytes, and for each the counts of bytes, those in nodes, and the nodes' evidence."""
+        ctx, at = np.unique(self.keys >> 8 & ((1 << 8 * (CUT - 1)) - 1), return_inverse=True)
+        n = len(ctx)
+        spot, inside = at * 256 + (self.keys & 255), self.alive[0]
+        out = np.zeros((n, 767))
+        out[:, :256] = np.bincount(spot, self.ns, n * 256).reshape(-1, 256)
+        out[:, 256:512] = np.bincount(spot[inside], self.ns[inside], n * 256).reshape(-1, 256)
+        for bit, (x, below) in enumerate(zip(self.levels[0], self.below)):
+            key = x.first[x.on]
+            place = at[key] * 255 + (1 << bit) - 1 + ((self.keys[key] & 255) >> (8 - bit))
+            out[:, 512:] += np.bincount(place, below[x.on], n * 255).reshape(-1, 255)
+        return ctx, out
+
+    def score(self, top: Tree) -> np.ndarray:
+        """log10 probability of each key's byte in its context."""
+        out = top.score(self.keys)
+        live = np.flatnonzero(self.alive[0])
+        if not len(live):
+            return out
+        byte = self.keys[live] & 255
+        up = np.searchsorted(top.contexts[-1], self.keys[live] >> 8 & ((1 << 8 * (CUT - 1)) - 1))
+        worth = np.zeros(len(live))
+        for bit in range(8):
+            column = (1 << bit) - 1 + (byte >> (8 - bit))
+            acc, rem = top.acc[up, column].astype(np.float64), top.rem[up, column].astype(np.float64)
+            p = acc
+            for level, alive in zip(self.levels, self.alive):
+                on, x = alive[live], level[bit]
+                node = x.node[live]
+                acc = np.where(on, acc + rem * x.weight[node] * x.estimate[node], acc)
+                rem = np.where(on, rem * (1 - x.weight[node]), rem)
+                p = np.where(on, acc + rem * x.other[node], p)
+            p = np.clip(p, 1e-7, 1 - 1e-7)
+            worth += np.log10(np.where(byte >> (7 - bit) & 1, p, 1 - p))
+        out[live] = worth
+        return out
 
 
 def _context(depth: int):
@@ -319,7 +414,7 @@ def top_tree(rows: pa.Table, least: int) -> Tree:
     last = np.unique(nodes[-1][0] >> 8)
     order = np.argsort(ctx)
     picked = sums[order[np.searchsorted(ctx[order], last)]] if len(last) else np.zeros((0, 767))
-    return Tree(nodes, 0, (picked[:, 256:512], picked[:, 512:]))
+    return Tree(nodes, (picked[:, 256:512], picked[:, 512:]))
 
 
 def train(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, int, int]:
@@ -334,16 +429,7 @@ def train(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, in
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _runs(batches):
-            keys, ns = column(b, "key").to_numpy(), column(b, "n").to_numpy().astype(np.float64)
-            tree = subtrees(keys, ns, least)
-            low = (1 << 8 * (CUT - 1)) - 1
-            ctx, at = np.unique(keys >> 8 & low, return_inverse=True)
-            sums = np.zeros((len(ctx), 767))
-            inside = np.isin(keys >> 8 & ((1 << 8 * CUT) - 1), tree.contexts[0])
-            spot = at * 256 + (keys & 255)
-            sums[:, :256] = np.bincount(spot, ns, len(ctx) * 256).reshape(-1, 256)
-            sums[:, 256:512] = np.bincount(spot[inside], ns[inside], len(ctx) * 256).reshape(-1, 256)
-            np.add.at(sums[:, 512:], np.searchsorted(ctx, tree.contexts[0] & low), tree.below)
+            ctx, sums = Subtrees(column(b, "key").to_numpy(), column(b, "n").to_numpy(), least).sums()
             yield pa.RecordBatch.from_arrays([pa.array(ctx), pa.array([x.tobytes() for x in sums], pa.binary())], ["ctx", "sums"])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,15 +446,8 @@ def train(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, in
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = shared.value
         for b in _runs(batches):
-            keys = column(b, "key").to_numpy()
-            out = top.score(keys)
-            tree = subtrees(keys, column(b, "n").to_numpy().astype(np.float64), least)
-            if len(tree.contexts[0]):
-                up = np.searchsorted(top.contexts[-1], tree.contexts[0] & ((1 << 8 * (CUT - 1)) - 1))
-                tree.down(top.acc[up], top.rem[up])
-                row = tree.find(keys)
-                out = np.where(row < 0, out, tree.table[row, keys & 255])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), column(b, "every"), pa.array(out.astype(np.float32))], ["key", "every", "score"])
+            out = Subtrees(column(b, "key").to_numpy(), column(b, "n").to_numpy(), least).score(top)
+            yield pa.RecordBatch.from_arrays([column(b, "key"), column(b, "every"), pa.array(out.astype(np.float32))], ["key", "every", "score"])
 
     return save(through(full, down, "key long, every long, score float"), "grams"), words, total, distinct
 
@@ -415,8 +494,8 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame, int, int], common:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([rid, rid[doc[~hit]], rid[lost_doc]])),
-                        pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(kinds)]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.append(h[~hit], key[lost]))]),
+                        pa.array(np.append(np.full(n, 2, np.int32), kinds)),
+                        pa.array(np.concatenate([rid, h[~hit], key[lost]])),  # a text's own row joins nothing, wherever it goes
                         pa.concat_arrays([pa.array(count + 1), nothing]),
                         pa.concat_arrays([pa.array(known), nothing]),
                         pa.concat_arrays([pa.array(base), pa.nulls(rest, pa.float64())]),
@@ -432,7 +511,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame, int, int], common:
     rare = words.filter(F.col("n") * common < total).select(F.lit(0).alias("kind_"), F.col("key").alias("k_"), F.log10((F.col("n") + 1) / F.lit(ground)).alias("w"))
     rare = rare.union(scored.filter(F.col("every") * common_grams < positions).select(F.lit(1), "key", F.col("score").cast("double")))
     joined = rows.join(rare, (rows.key == rare.k_) & (rows.kind == rare.kind_), "left")
-    word, gram = F.coalesce(F.col("kind") == 0, F.lit(False)), F.coalesce(F.col("kind") == 1, F.lit(False))
+    word, gram = F.col("kind") == 0, F.col("kind") == 1
     worth = F.when(word, F.coalesce("w", F.log10(1 / F.lit(ground)))).when(gram, 0.0).otherwise(F.col("base"))
     found = F.when(word, F.col("w").isNotNull().cast("int")).when(gram, 0).otherwise(F.col("known"))
     gained = F.when(gram, F.coalesce("w", F.raise_error(F.lit("a text that train was not given")).cast("double"))).otherwise(F.coalesce("score", F.lit(0.0)))

@@ -563,12 +563,12 @@ def test_op5_nodes_grow_with_the_corpus(spark):
     key, n = np.unique(keys, return_counts=True)
     nodes = []
     for d in range(context_tree.DEPTH + 1):
-        gram = key & ((1 << 8 * (d + 1)) - 1)
-        ctx, at = np.unique(gram >> 8, return_inverse=True)
-        on = np.bincount(at, n)[at] >= context_tree.LEAST
+        gram = context_tree._last(key, d + 1)
+        ctx, at = np.unique(context_tree._before(gram), return_inverse=True)
+        on = np.bincount(at, n)[at] >= 32
         nodes.append((gram[on], n[on].astype(float)))
     whole = context_tree.Tree(nodes)
-    model = context_tree.train(docs)
+    model = context_tree.train(docs, 32)
     got = {r.key: r.score for r in model[0].collect()}
     assert sorted(got) == key.tolist()
     assert np.allclose([got[k] for k in key.tolist()], whole.score(key), atol=1e-4)
