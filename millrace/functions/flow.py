@@ -104,6 +104,7 @@ def profile(source: Column) -> Column:
     )
 
 
+# Ids, thresholds, parents and categories.
 #: id -> (condition on profiles b and a as SQL of both engines, parents, categories).
 FINDINGS = {
     "DF:ML+LC": ("b.lock_acquires > a.lock_acquires AND b.collection_adds > 0 AND b.collection_removes = 0 AND (a.collection_removes > 0 OR a.has_eviction OR a.has_bounding)", ("memory", "synchronization"), ("memory.memory_leak", "synchronization.inefficient_synchronization")),

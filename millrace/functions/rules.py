@@ -1,6 +1,6 @@
 """Rule sets as data, and builders that turn them into Spark columns or DuckDB conditions.
 
-Patterns are searched with ``.`` matching line ends where a rule set says so; see FLAGS.
+Patterns are searched with ``.`` matching line ends where a rule set says so.
 """
 
 from __future__ import annotations

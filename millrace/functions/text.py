@@ -5,15 +5,25 @@ Null text gives null, or an empty list where a list is returned.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that look like method names but are not.
 MINING_SKIPS = ("if", "for", "while", "switch", "catch")
 SCREEN_SKIPS = ("if", "for", "while", "switch", "catch", "try", "else")
-#: A declaration in one line whose blanks are single: modifiers and type, then a name and a bracket.
-DECLARATION = r"[A-Za-z0-9_<>\[\], ]+ (\w+) ?\("
-_LINE_LIMIT = 400
+# Words that can stand before a declaration.
+MODIFIERS = ("public", "private", "protected", "static", "synchronized", "final")
+_WORD, _BLANK, _TYPE = r"[\p{L}\p{N}_]", r"[\s\p{Z}]", r"[\p{L}\p{N}_<>\[\],\s\p{Z}]"
+#: What stands before a bracket: words, types and blanks; a name at its end with a blank before it; a name before a bracket.
+BEFORE_BRACKET = f"({_TYPE}+)\\("
+LAST_NAME = f"{_BLANK}({_WORD}+){_BLANK}*\\z"
+NAMED_BRACKET = f"{_BLANK}({_WORD}+){_BLANK}*\\("
+#: A modifier or a blank, and something after it.
+MODIFIED = f"(?s)(?:{'|'.join(MODIFIERS)}|{_BLANK})."
+# Fixed value: a line that declares a method, its name and its parameters.
+METHOD = r"^\s*(?:public|private|protected)?\s*(?:static\s+)?(?:synchronized\s+)?(?:final\s+)?(?:\w+(?:<[^>]+>)?)\s+(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[^{]+)?\s*\{"
 
 
 def lines(text: Column) -> Column:
@@ -68,22 +78,26 @@ def changed_files(diff: Column, suffix: str = ".java") -> Column:
     return F.transform(heads, lambda x: F.substring(x, 7, 1 << 30))
 
 
-def _tidy(line: Column) -> Column:
-    """Blanks collapsed and length bounded: the declaration pattern must not meet long runs of blanks."""
-    return F.substring(F.regexp_replace(line, r"\s+", " "), 1, _LINE_LIMIT)
+def _declared(text: Column, most: Callable[[Column], Column]) -> Column:
+    """Names before brackets, in order, whose text before the blank and the name satisfies ``most``. Every character is
+    looked at a fixed number of times, however long a line is."""
+    before = F.regexp_extract_all(text, F.lit(BEFORE_BRACKET.replace("+)", "++)")), F.lit(1))
+    found = F.transform(before, lambda x: F.struct(F.regexp_extract(x, LAST_NAME, 1).alias("name"), F.regexp_replace(x, LAST_NAME, "").alias("rest")))
+    return F.transform(F.filter(found, lambda x: (x["name"] != "") & most(x["rest"])), lambda x: x["name"])
 
 
-def declared(line: Column) -> Column:
-    tidy = _tidy(line)
-    return F.when(F.contains(tidy, F.lit("(")), F.regexp_extract(tidy, DECLARATION, 1)).otherwise("")
+def declared(text: Column) -> Column:
+    """All names that a type, or anything else than a bracket, stands before."""
+    return _declared(text, lambda rest: rest != "")
 
 
 def changed_methods(diff: Column) -> Column:
-    """Names in hunk contexts and in declarations on changed lines; sorted and distinct."""
-    heads = F.transform(F.filter(lines(diff), lambda x: x.startswith("@@")), lambda x: F.regexp_extract(_tidy(x), r"^@@.* (\w+) ?\(", 1))
+    """Names in hunk contexts, and the first in each changed line that a modifier or a blank precedes; sorted and distinct."""
+    heads = F.transform(F.filter(lines(diff), lambda x: x.startswith("@@")), lambda x: F.try_element_at(F.regexp_extract_all(x, F.lit(NAMED_BRACKET), F.lit(1)), F.lit(-1)))
     edits = F.filter(lines(diff), lambda x: (x.startswith("+") & ~x.startswith("+++")) | (x.startswith("-") & ~x.startswith("---")))
-    names = F.array_except(F.transform(edits, lambda x: declared(F.substring(x, 2, 1 << 30))), F.array(*[F.lit(w) for w in MINING_SKIPS]))
-    return F.array_sort(F.filter(F.array_distinct(F.concat(heads, names)), lambda x: x != ""))
+    first = F.transform(edits, lambda x: F.get(_declared(x, lambda rest: rest.rlike(MODIFIED)), 0))
+    names = F.array_except(first, F.array(*[F.lit(w) for w in MINING_SKIPS]))
+    return F.array_sort(F.filter(F.array_distinct(F.concat(heads, names)), lambda x: x.isNotNull()))
 
 
 def braces(line: Column) -> Column:
@@ -99,7 +113,7 @@ def method_body(source: Column, name: Column) -> Column:
     start = F.struct(F.lit(False).alias("active"), F.lit(False).alias("done"), F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit("").alias("body")).cast(_BODY)
 
     def step(a: Column, line: Column) -> Column:
-        begins = declared(line) == name
+        begins = F.array_contains(declared(line), name)
         depth = a["depth"] + braces(line)
         taken = F.struct(F.lit(True), ~(F.lit(True) & (a["n"] == 0)) & (depth <= 0), depth.cast("int"), a["n"] + 1, F.when(a["n"] == 0, line).otherwise(F.concat(a["body"], F.lit("\n"), line))).cast(_BODY)
         return F.when(a["done"] | (~a["active"] & ~begins), a).otherwise(taken)
@@ -107,7 +121,6 @@ def method_body(source: Column, name: Column) -> Column:
     return F.aggregate(lines(source), start, step, lambda a: F.when(a["n"] >= 2, a["body"]).otherwise(""))
 
 
-_METHOD = r"^\s*(?:public|private|protected)?\s*(?:static\s+)?(?:synchronized\s+)?(?:final\s+)?(?:\w+(?:<[^>]+>)?)\s+(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[^{]+)?\s*\{"
 _SCAN = "struct<depth:int,end:int>"
 
 
@@ -124,7 +137,7 @@ def methods(source: Column) -> Column:
             return F.when(a["end"] >= 0, a).otherwise(F.struct(depth.cast("int"), F.when((depth == 0) & (j > i), j).otherwise(-1)).cast(_SCAN))
 
         end = F.aggregate(F.sequence(i, F.size(ls) - 1), begin, step, lambda a: F.when(a["end"] < 0, i).otherwise(a["end"]))
-        name, params = F.regexp_extract(line, _METHOD, 1), F.regexp_extract(line, _METHOD, 2)
+        name, params = F.regexp_extract(line, METHOD, 1), F.regexp_extract(line, METHOD, 2)
         return F.struct(
             name.alias("name"),
             F.concat(F.lit("Unknown."), name, F.lit("("), params, F.lit(")")).alias("signature"),
@@ -133,7 +146,7 @@ def methods(source: Column) -> Column:
             F.array_join(F.slice(ls, i + 1, end - i + 1), "\n").alias("source"),
         )
 
-    found = F.transform(ls, lambda line, i: F.when(line.rlike(_METHOD), one(line, i)))
+    found = F.transform(ls, lambda line, i: F.when(line.rlike(METHOD), one(line, i)))
     return F.filter(found, lambda x: x.isNotNull())
 
 

@@ -40,7 +40,7 @@ def added_hunks(diff: Column) -> Column:
 def screened_methods(diffs: DataFrame, key: str, diff: str = "diff") -> DataFrame:
     """key, file, method, code: bodies of two lines or more of the methods that added lines declare."""
     h = diffs.select(key, F.explode(added_hunks(F.col(diff))).alias("h")).select(key, "h.file", "h.code")
-    names = F.array_except(F.array_distinct(F.transform(lines(F.col("code")), declared)), F.array(F.lit(""), *[F.lit(w) for w in SCREEN_SKIPS]))
+    names = F.array_except(declared(F.col("code")), F.array(*[F.lit(w) for w in SCREEN_SKIPS]))
     m = h.select(key, "file", "code", F.explode(names).alias("method"))
     return m.select(key, "file", "method", method_body(F.col("code"), F.col("method")).alias("code")).filter("code != ''")
 

@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A synthetic view over the tables of ``sf_dir``."""
     tables = {t: table(spark, sf_dir, t) for t in ("part", "documents", "events", "lineitem") if f" {t}" in corpus.VIEWS[name]}
-    text = (corpus.WHOLE_MSG if name == "v_msg" else corpus.VIEWS[name]).replace("{", "{{").replace("}", "}}")
+    text = corpus.VIEWS[name].replace("{", "{{").replace("}", "}}")
     for t in tables:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(text, **tables)
@@ -285,11 +285,11 @@ def issue_labels(spark, sf_dir):
     return mining.with_issues(view(spark, sf_dir, "v_msg"), "doc_id", F.col("subject"), issues).select("doc_id", "n_ids", _join("labels").alias("labels"))
 
 
-PRS = "SELECT 'c' || (o_orderkey * 3)::VARCHAR AS commit_hash, o_orderkey AS pr_number, 'https://example.org/pull/' || o_orderkey::VARCHAR AS pr_url, 'Change ' || o_orderpriority AS pr_title, o_orderstatus = 'F' AS merged FROM orders WHERE o_orderkey < 3000"
+PRS = "SELECT 'c' || (o_orderkey * 3)::VARCHAR AS commit_hash, o_orderkey AS pr_number, 'https://example.org/pull/' || o_orderkey::VARCHAR AS pr_url, 'Change ' || o_orderpriority AS pr_title, o_orderstatus = 'F' AS merged FROM orders"
 
 
 def _prs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")  # all of them; PRS, the SQL of the other engine, holds those below 3,000
+    o = table(spark, sf_dir, "orders")
     return o.select(F.concat(F.lit("c"), (F.col("o_orderkey") * 3).cast("string")).alias("commit_hash"), F.col("o_orderkey").alias("pr_number"), F.concat(F.lit("https://example.org/pull/"), F.col("o_orderkey").cast("string")).alias("pr_url"), F.concat(F.lit("Change "), F.col("o_orderpriority")).alias("pr_title"), (F.col("o_orderstatus") == "F").alias("merged"))
 
 
@@ -442,16 +442,19 @@ def changed_files(spark, sf_dir):
     return view(spark, sf_dir, "v_diff").select("pair_key", _join(T.changed_files(F.col("diff"))).alias("files"))
 
 
-DECL = r"regexp_extract(regexp_replace(substr(x, 2), '\s+', ' ', 'g')[1:400], '[A-Za-z0-9_<>\[\], ]+ (\w+) ?\(', 1)"
+def _names_sql(x: str, most: str) -> str:
+    """Names before brackets in ``x``; ``most``: what r, the text before the blank and the name, has to satisfy."""
+    found = f"list_transform(regexp_extract_all({x}, '{T.BEFORE_BRACKET}', 1), lambda b: {{'n': regexp_extract(b, '{T.LAST_NAME}', 1), 'r': regexp_replace(b, '{T.LAST_NAME}', '')}})"
+    return f"list_transform(list_filter({found}, lambda y: y.n <> '' AND {most}), lambda y: y.n)"
 
 
-@query(_with("v_diff") + rf"""SELECT pair_key, array_to_string(list_sort(list_distinct(list_filter(list_concat(list_transform(list_filter({LINES}, lambda x: starts_with(x, '@@')), lambda x: regexp_extract(regexp_replace(x, '\s+', ' ', 'g')[1:400], '^@@.* (\w+) ?\(', 1)),
-  list_filter(list_transform(list_filter({LINES}, lambda x: (starts_with(x, '+') AND NOT starts_with(x, '+++')) OR (starts_with(x, '-') AND NOT starts_with(x, '---'))), lambda x: {DECL}), lambda n: n NOT IN ('if', 'for', 'while', 'switch', 'catch'))), lambda n: n <> ''))), '|') AS methods FROM v_diff""")
+@query(_with("v_diff") + rf"""SELECT pair_key, array_to_string(list_sort(list_distinct(list_filter(list_concat(list_transform(list_filter({LINES}, lambda x: starts_with(x, '@@')), lambda x: regexp_extract_all(x, '{T.NAMED_BRACKET}', 1)[-1]),
+  list_filter(list_transform(list_filter({LINES}, lambda x: (starts_with(x, '+') AND NOT starts_with(x, '+++')) OR (starts_with(x, '-') AND NOT starts_with(x, '---'))), lambda x: {_names_sql('x', f"regexp_matches(y.r, '{T.MODIFIED}')")}[1]), lambda n: n NOT IN ('if', 'for', 'while', 'switch', 'catch'))), lambda n: n IS NOT NULL))), '|') AS methods FROM v_diff""")
 def changed_methods(spark, sf_dir):
     return view(spark, sf_dir, "v_diff").select("pair_key", _join(T.changed_methods(F.col("diff"))).alias("methods"))
 
 
-METHOD = r"^\s*(?:public|private|protected)?\s*(?:static\s+)?(?:synchronized\s+)?(?:final\s+)?(?:\w+(?:<[^>]+>)?)\s+(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[^{]+)?\s*\{"
+METHOD = T.METHOD
 
 
 def _methods_sql(side: str, name: str) -> str:
@@ -610,13 +613,12 @@ def pattern_baseline(spark, sf_dir):
     return view(spark, sf_dir, "v_code").select("pair_key", fusion.baseline_label(F.col("before_source")).alias("predicted"))
 
 
-ANSWERS = "SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'Lock_Contention. ' WHEN 1 THEN 'memory_leak' WHEN 2 THEN 'RESOURCE_LEAK!' WHEN 3 THEN 'This looks unsafe' ELSE '' END || substr(coalesce(text, ''), 1, 30) AS answer FROM {0}"
+ANSWERS = "SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'Lock_Contention. ' WHEN 1 THEN 'memory_leak' WHEN 2 THEN 'RESOURCE_LEAK!' WHEN 3 THEN 'This looks unsafe' ELSE '' END || coalesce(text, '') AS answer FROM {0}"
 PARSED = "CASE WHEN contains(upper(answer), 'LOCK_CONTENTION') THEN 0 WHEN contains(upper(answer), 'MEMORY_LEAK') THEN 1 WHEN contains(upper(answer), 'RESOURCE_LEAK') THEN 2 ELSE 3 END"
 
 
 def _answers(spark, sf_dir):
-    whole = ANSWERS.replace("substr(coalesce(text, ''), 1, 30)", "coalesce(text, '')")  # ANSWERS, the SQL of the other engine, ends texts after 30 characters
-    return spark.sql(whole.format("{c}"), c=table(spark, sf_dir, "conversations"))
+    return spark.sql(ANSWERS.format("{c}"), c=table(spark, sf_dir, "conversations"))
 
 
 @query(f"WITH a AS ({ANSWERS.format('conversations')}) SELECT conv_id, turn, {PARSED} AS label FROM a")
@@ -743,10 +745,10 @@ def wilson_rejection(spark, sf_dir):
 
 # ---- screening -----------------------------------------------------------------------------------------------------
 
-ADDED = "array_to_string(list_transform(list_filter(string_split(after_source, chr(10)), lambda x: true), lambda x: x), chr(10))"
-SCREEN = _with("v_code") + r""", sn AS (SELECT pair_key, file_path AS file, after_source AS code, list_filter(list_distinct(list_transform(string_split(after_source, chr(10)), lambda x: regexp_extract(regexp_replace(x, '\s+', ' ', 'g')[1:400], '[A-Za-z0-9_<>\[\], ]+ (\w+) ?\(', 1))), lambda n: n NOT IN ('', 'if', 'for', 'while', 'switch', 'catch', 'try', 'else')) AS names FROM v_code),
-s0 AS (SELECT pair_key, file, code, unnest(names) AS method FROM sn), s1 AS (SELECT pair_key, file, method, unnest(string_split(code, chr(10))) AS l, generate_subscripts(string_split(code, chr(10)), 1) AS i FROM s0),
-s2 AS (SELECT *, length(l) - length(replace(l, '{', '')) - length(l) + length(replace(l, '}', '')) AS d, min(CASE WHEN regexp_extract(regexp_replace(l, '\s+', ' ', 'g')[1:400], '[A-Za-z0-9_<>\[\], ]+ (\w+) ?\(', 1) = method THEN i END) OVER (PARTITION BY pair_key, file, method) AS b FROM s1),
+SCREEN = _with("v_code") + f""", sn AS (SELECT pair_key, file_path AS file, after_source AS code, list_filter(list_distinct({_names_sql("after_source", "y.r <> ''")}), lambda n: n NOT IN ('if', 'for', 'while', 'switch', 'catch', 'try', 'else')) AS names FROM v_code),
+ln AS (SELECT pair_key, l, i, {_names_sql("l", "y.r <> ''")} AS said FROM (SELECT pair_key, unnest(string_split(after_source, chr(10))) AS l, generate_subscripts(string_split(after_source, chr(10)), 1) AS i FROM v_code)),
+s0 AS (SELECT pair_key, file, code, unnest(names) AS method FROM sn), s1 AS (SELECT pair_key, file, method, l, i, said FROM s0 JOIN ln USING (pair_key)),
+s2 AS (SELECT *, length(l) - length(replace(l, '{{', '')) - length(l) + length(replace(l, '}}', '')) AS d, min(CASE WHEN list_contains(said, method) THEN i END) OVER (PARTITION BY pair_key, file, method) AS b FROM s1),
 s3 AS (SELECT *, sum(d) OVER (PARTITION BY pair_key, file, method ORDER BY i) AS depth FROM s2 WHERE i >= b), s4 AS (SELECT *, min(CASE WHEN i > b AND depth <= 0 THEN i END) OVER (PARTITION BY pair_key, file, method) AS e FROM s3),
 sm AS (SELECT pair_key, file, method, string_agg(l, chr(10) ORDER BY i) AS code FROM s4 WHERE e IS NULL OR i <= e GROUP BY ALL HAVING count(*) >= 2)"""
 

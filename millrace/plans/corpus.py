@@ -53,7 +53,7 @@ CODE = f"""SELECT p_partkey AS pair_key, p_brand AS repo, 'c' || CAST(p_partkey
   'Unknown.m(int x)' AS signature, 'm' AS method_name, CAST(i AS INT) AS template, replace(b, '~', chr(10)) AS before_source, replace(a, '~', chr(10)) AS after_source
   FROM part JOIN (VALUES {_values((i, b, a) for i, (b, a) in enumerate(TEMPLATES))}) AS t(i, b, a) ON p_partkey % {len(TEMPLATES)} = i"""
 
-MSG = f"""SELECT doc_id, 'c' || CAST(doc_id AS STRING) AS commit_hash, source AS repo, s || ' ' || CAST(doc_id AS STRING) AS subject, substr(coalesce(text, ''), 1, 40) AS body
+MSG = f"""SELECT doc_id, 'c' || CAST(doc_id AS STRING) AS commit_hash, source AS repo, s || ' ' || CAST(doc_id AS STRING) AS subject, coalesce(text, '') AS body
   FROM documents JOIN (VALUES {_values(enumerate(MESSAGES))}) AS t(i, s) ON doc_id % {len(MESSAGES)} = i"""
 
 DIFF = f"""SELECT pair_key, commit_hash, file_path, '--- a/' || file_path || chr(10) || '+++ b/' || file_path || chr(10) || '@@ -' || CAST(pair_key % 90 + 1 AS STRING) || ',3 +' || CAST(pair_key % 90 + 1 AS STRING)
@@ -71,7 +71,4 @@ BENCH = """SELECT l_partkey AS entry, CASE WHEN l_linenumber % 2 = 1 THEN 'buggy
   row_number() OVER (PARTITION BY l_partkey, l_linenumber % 2 ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS ordinal,
   l_quantity * CASE WHEN l_linenumber % 2 = 0 AND l_partkey % 3 = 0 THEN 3.0 ELSE 1.0 END AS value FROM lineitem"""
 
-#: The message with its whole body, for Spark. MSG, which the SQL of the other engine holds, ends the body after 40 characters.
-WHOLE_MSG = MSG.replace("substr(coalesce(text, ''), 1, 40)", "coalesce(text, '')")
-
 VIEWS = {"v_code": CODE, "v_msg": MSG, "v_diff": DIFF, "v_series": SERIES, "v_bench": BENCH}
