@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import rules as R
-from .operators import fusion, learning, mining, screening, validation, vectors
+from .functions import stats
+from .operators import extraction, fusion, learning, mining, screening, validation, vectors
 from .sources import readers
 
 
@@ -27,6 +28,16 @@ def mine(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def extract(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Candidates (JSON), contents (repo, revision, file_path, content) and diffs (repo, commit_hash, file_path, diff) to method pairs."""
+    found = readers.json_rows(spark, a.candidates, "candidates", readers.CANDIDATE)
+    missing = {c: F.lit("") for c in ("pr_url", "pr_title") if c not in found.columns}
+    pairs = extraction.method_pairs(found.withColumns(missing) if missing else found, spark.read.parquet(a.contents), spark.read.parquet(a.diffs)).persist()
+    readers.write_report({"pairs": pairs, "metadata": extraction.report(pairs, a.max_tokens), "counts": extraction.counts(pairs)}, a.output)
+    readers.write_csv(pairs, f"{a.output}/csv", ["pair_id", "repo", "commit_hash", "file_path", "class_name", "method_name", "fault_category", "candidate_parents", "confidence", "before_source", "after_source", "pr_details", "pr_number", "pr_url"])
+    return 0
+
+
 def detect(spark: SparkSession, a: argparse.Namespace) -> int:
     """Method pairs to fused results and a report."""
     pairs = readers.json_rows(spark, a.method_pairs, "pairs", readers.PAIR).drop("structural_changes", "multi_fault_signals")
@@ -46,27 +57,60 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
     else:
         v = validation.resource_verdict(series, spark.read.parquet(a.findings))
     done = validation.disposition(v.withColumn("reason", F.lit(None).cast("string")))
-    readers.write_report({"verdicts": done, "summary": validation.rejection(done)}, a.output)
+    sections = {"verdicts": done, "summary": validation.rejection(done)}
+    if a.finalize_annotations:
+        marks = readers.code_csv(spark, a.finalize_annotations, "pair_id string, annotator_a int, annotator_b int")
+        sections |= {"agreement": stats.kappa(marks, "annotator_a", "annotator_b"), "agreed": marks.filter("annotator_a = 1 AND annotator_b = 1")}
+    readers.write_report(sections, a.output)
     return 0
 
 
 def classify(spark: SparkSession, a: argparse.Namespace) -> int:
     """Vectors (vec_id, embedding, label) to metrics on a held-out split, and by project if asked for."""
     v = vectors.labelled(spark.read.parquet(a.embeddings), a.seed, a.train_ratio)
-    train, test = v.filter("in_train"), v.filter("NOT in_train")
-    m = vectors.feature_vector(v, vectors.retrieval_features(vectors.top_k(v, train, a.k)))
-    out = learning.predict(a.clf, m.join(train.select("vec_id"), "vec_id"), m.join(test.select("vec_id"), "vec_id"), a.tau)
+    train = v.filter("in_train")
+    m = vectors.feature_vector(v, vectors.retrieval_features(vectors.top_k(v, train, a.k))).persist()
+    model = learning.fit(a.clf, m.filter("in_train"))
+    out = learning.apply(model, m.filter("NOT in_train"), a.tau).select("vec_id", "label4", "probability", "predicted").persist()
+    if a.model_out:
+        learning.save(model, a.model_out)
+        readers.write_vectors(train, f"{a.model_out}-index")
     sections = {"predictions": out, "metrics": vectors.detection_metrics(out, "label4", "predicted"), "categories": vectors.per_category(out, "label4", "predicted")}
     if a.lopo:
-        sections["projects"] = learning.leave_one_out(v, a.k)
+        folds = learning.leave_one_project_out(v, a.clf, a.k, a.tau).persist()
+        sections |= {"projects": folds, "average": learning.average(folds), "retrieval": learning.leave_one_out(v, a.k)}
+    if a.compare:
+        sections["comparison"] = learning.compare(m.filter("in_train"), m.filter("NOT in_train"), tau=a.tau)
     readers.write_report(sections, a.output)
     return 0
 
 
+def baselines(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Labelled vectors, and if given labelled code and an analyser's findings, to the metrics of each baseline, best first."""
+    v = vectors.labelled(spark.read.parquet(a.embeddings), a.seed, a.train_ratio).persist()
+    done = {}
+    for name, d in {"vectors": v, **{p.rstrip("/").rsplit("/", 1)[-1]: vectors.labelled(spark.read.parquet(p), a.seed, a.train_ratio) for p in a.extra_embeddings or []}}.items():
+        flat = d.withColumnRenamed("embedding", "features").persist()
+        done[f"{name}, forest without retrieval"] = learning.predict("forest", flat.filter("in_train"), flat.filter("NOT in_train"), 0.0)
+    votes = vectors.majority(vectors.top_k(v.filter("NOT in_train"), v.filter("in_train"), a.k), "vec_id", "neighbour_label", "rank")
+    done["retrieval votes"] = v.select("vec_id", "label4").join(votes, "vec_id")
+    if a.code:  # source, label
+        done["patterns"] = spark.read.parquet(a.code).select(F.col("label").alias("label4"), fusion.baseline_label(F.col("source")).alias("predicted"))
+    if a.findings:  # rule, label
+        done["analyser"] = spark.read.parquet(a.findings).select(F.col("label").alias("label4"), fusion.finding_label(F.col("rule")).alias("predicted"))
+    ranked = readers.union_all([vectors.detection_metrics(d, "label4", "predicted").withColumn("baseline", F.lit(n)) for n, d in done.items()])
+    readers.write_report({"baselines": ranked.orderBy(F.coalesce("f1", F.lit(0.0)).desc(), "baseline")}, a.output)
+    return 0
+
+
 def screen(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Diff files to verdicts by the pattern baseline."""
+    """Diff files to verdicts: by a stored model, its index and vectors of the methods (code, embedding), else by patterns."""
     m = screening.screened_methods(readers.diffs(spark, a.diff).withColumnRenamed("file", "diff_file"), "diff_file")
-    v = screening.verdicts(m.withColumn("label", fusion.baseline_label(F.col("code"))).withColumn("confidence", F.lit(1.0))).cache()
+    if a.model:
+        v = screening.by_model(m, spark.read.parquet(a.vectors), spark.read.parquet(f"{a.model}-index"), learning.load(a.model), a.k, a.tau)
+    else:
+        v = m.withColumn("label", fusion.baseline_label(F.col("code"))).withColumn("confidence", F.lit(1.0))
+    v = screening.verdicts(v, tau=a.tau).persist()
     report = screening.screen_report(v)
     readers.write_report({"methods": v, "summary": report}, a.output)
     return screening.exit_code(report, a.fail_on_fault)
@@ -86,9 +130,11 @@ def parser() -> argparse.ArgumentParser:
     need = {"required": True}
     add(mine, commits=need, config={}, pull_requests={}, projects={"nargs": "*"}, min_confidence={"default": "low", "choices": mining.CONFIDENCES}, fault_filter={"default": "all"}, no_merge_filter={"action": "store_true"})
     add(detect, method_pairs=need)
-    add(validate, series=need, kind={"choices": ("lock", "memory", "resource"), "required": True}, findings={})
-    add(classify, embeddings=need, clf={"default": "forest", "choices": learning.CLASSIFIERS}, k={"type": int, "default": vectors.K}, tau={"type": float, "default": vectors.TAU}, seed={"type": int, "default": 42}, train_ratio={"type": float, "default": 0.9}, lopo={"action": "store_true"})
-    add(screen, diff=need, fail_on_fault={"action": "store_true"})
+    add(extract, candidates=need, contents=need, diffs=need, max_tokens={"type": int, "default": extraction.MAX_TOKENS})
+    add(validate, finalize_annotations={}, series=need, kind={"choices": ("lock", "memory", "resource"), "required": True}, findings={})
+    add(classify, embeddings=need, clf={"default": "forest", "choices": learning.CLASSIFIERS}, k={"type": int, "default": vectors.K}, tau={"type": float, "default": vectors.TAU}, seed={"type": int, "default": 42}, train_ratio={"type": float, "default": 0.9}, lopo={"action": "store_true"}, compare={"action": "store_true"}, model_out={})
+    add(baselines, embeddings=need, extra_embeddings={"nargs": "*"}, code={}, findings={}, k={"type": int, "default": vectors.K}, seed={"type": int, "default": 42}, train_ratio={"type": float, "default": 0.9})
+    add(screen, diff=need, fail_on_fault={"action": "store_true"}, model={}, vectors={}, k={"type": int, "default": vectors.K}, tau={"type": float, "default": vectors.TAU})
     return p
 
 

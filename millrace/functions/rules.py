@@ -236,3 +236,10 @@ def sql_combined_rules(before: str, after: str) -> list[tuple[str, str]]:
         parts += [f"len(regexp_extract_all({before}, '{w}')) >= {n}" for w, n in r.least.items()]
         out.append((r.id, " AND ".join(parts)))
     return out
+
+# Keys of an analyser's rules and their labels.
+RULE_KEYS = {
+    "java:S2095": 2, "java:S6437": 2,
+    "java:S3077": 1, "java:S2160": 1,
+    "java:S2142": 0, "java:S3046": 0,
+}

@@ -157,6 +157,13 @@ def windows(items: Column, size: int = 512, step: int = 128) -> Column:
     return F.transform(starts, lambda i: F.slice(items, i * step + 1, F.lit(size)))
 
 
+def window_heads(items: Column, size: int = 512, step: int = 128) -> Column:
+    """struct(size, head) of each of ``windows``, without the windows themselves."""
+    n = F.size(items)
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(n - size, F.lit(0)) + step - 1) / step).cast("int"))
+    return F.transform(starts, lambda i: F.struct(F.greatest(F.least(n - i * step, F.lit(size)), F.lit(0)).alias("size"), F.get(items, i * step).alias("head")))
+
+
 def code_tokens(text: Column, signs: bool = False) -> Column:
     """Identifiers of code for sequence models, with brackets and semicolons if ``signs``."""
     return F.regexp_extract_all(text, F.lit(r"[A-Za-z_]\w*" + (r"|[{}();]" if signs else "")), F.lit(0))

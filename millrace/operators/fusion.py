@@ -79,6 +79,22 @@ def report(fused: DataFrame) -> DataFrame:
     return d.withColumn("rate", F.concat(F.round(100.0 * F.col("multi") / F.greatest("total", F.lit(1)), 1).cast("string"), F.lit("%")))
 
 
+def chains(fused: DataFrame, key: str) -> DataFrame:
+    """key, all_parents, all_categories, dependency_label of rows of three parents or more."""
+    return fused.filter(F.size("all_parents") >= 3).select(key, "all_parents", "all_categories", "dependency_label")
+
+
+def by_confidence(fused: DataFrame) -> DataFrame:
+    """confidence, n over multi-fault rows, zeros included."""
+    row = fused.filter("is_multi_fault").agg(*[F.count_if(F.col("confidence") == c).alias(c) for c in ("low", "medium", "high")])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("confidence"), F.col(c).alias("n")) for c in ("low", "medium", "high")])).alias("x")).select("x.*")
+
+
+def finding_label(rule: Column) -> Column:
+    """The label of an analyser's rule key; safe for other keys."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in R.RULE_KEYS.items() for x in kv]), rule), F.lit(R.SAFE))
+
+
 def expected_ranges(fused: DataFrame, expected: DataFrame) -> DataFrame:
     """alias, found, in_range for each (alias, categories, lo, hi): rows whose label holds the alias, '+' aside, or that
     share a category with it. The few expectations are the small side."""

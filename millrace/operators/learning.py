@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from . import vectors
 
 CLASSIFIERS = ("forest", "logistic", "mlp")
@@ -31,22 +33,39 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", F.coalesce(*[F.when(F.col("label4") == k, total / (len(counts) * n)) for k, n in counts.items()], F.lit(1.0)))
 
 
-def predict(name: str, train: DataFrame, test: DataFrame, tau: float = vectors.TAU, **how) -> DataFrame:
-    """vec_id, label4, probability (array), predicted: class by threshold. Columns: vec_id, label4, features (array)."""
+def fit(name: str, train: DataFrame, **how) -> PipelineModel:
+    """A model of vec_id, label4, features (array); rows of other labels than 0 to 3 are left out."""
     train = balanced(train.filter(F.col("label4").between(0, 3)))
-    first = train.select(F.size("features").alias("w")).first()
-    rows = train.count()
-    model = Pipeline(stages=[estimator(name, first["w"] if first else 0, rows, **how)]).fit(train.withColumn("features", array_to_vector("features")))
-    out = model.transform(test.withColumn("features", array_to_vector("features")))
+    rows, width = train.agg(F.count("*"), F.max(F.size("features"))).first()
+    return Pipeline(stages=[estimator(name, width or 0, rows, **how)]).fit(train.withColumn("features", array_to_vector("features")))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Writes a model in the library's own format; what is at the path is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def apply(model: PipelineModel, rows: DataFrame, tau: float = vectors.TAU) -> DataFrame:
+    """rows with probability (array of four) and predicted: class by threshold."""
     p = vector_to_array("probability")
     # a class that training lacks has no column: pad to four
     padded = F.concat(p, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), 4 - F.size(p))))
-    return out.select("vec_id", "label4", padded.alias("probability")).withColumn("predicted", vectors.threshold("probability", tau))
+    out = model.transform(rows.withColumn("features", array_to_vector("features")))
+    return out.select(*[c for c in rows.columns if c != "features"], padded.alias("probability")).withColumn("predicted", vectors.threshold("probability", tau))
+
+
+def predict(name: str, train: DataFrame, test: DataFrame, tau: float = vectors.TAU, **how) -> DataFrame:
+    """vec_id, label4, probability (array), predicted: class by threshold. Columns: vec_id, label4, features (array)."""
+    return apply(fit(name, train, **how), test, tau).select("vec_id", "label4", "probability", "predicted")
 
 
 def compare(train: DataFrame, test: DataFrame, names=CLASSIFIERS, **how) -> DataFrame:
     """Metrics of several classifiers on one split, best f1 first; the features are computed once."""
-    train, test = train.cache(), test.cache()
+    train, test = train.persist(), test.persist()
     rows = [vectors.detection_metrics(predict(n, train, test, **how), "label4", "predicted").withColumn("classifier", F.lit(n)) for n in names]
     out = rows[0]
     for r in rows[1:]:
@@ -56,6 +75,34 @@ def compare(train: DataFrame, test: DataFrame, names=CLASSIFIERS, **how) -> Data
 
 def leave_one_out(vecs: DataFrame, k: int = vectors.K) -> DataFrame:
     """Retrieval alone, all folds in one plan: each vector votes among neighbours of other projects; metrics by project."""
-    near = vectors.top_k(vecs, vecs, k, F.col("project") != F.col("p_"))
+    near = vectors.top_k(vecs, vecs, k, apart=True)
     votes = vectors.majority(near, "vec_id", "neighbour_label", "rank")
     return vectors.detection_metrics(vecs.join(votes, "vec_id"), "label4", "predicted", ["project"])
+
+
+def leave_one_project_out(vecs: DataFrame, name: str = "forest", k: int = vectors.K, tau: float = vectors.TAU, **how) -> DataFrame:
+    """project, metrics, macro_auc, n_train, n_test: for each project a model of the others, whose neighbours are
+    among the others too. The neighbours in each project are found once and serve all folds; models are fitted one by one,
+    and projects are few."""
+    vecs = vecs.persist()
+    near = vectors.top_k(vecs, vecs, k, by_project=True).drop("rank").persist()
+    sizes = {r["project"]: r["n"] for r in vecs.groupBy("project").agg(F.count("*").alias("n")).collect()}  # a row for each project
+    best = W.partitionBy("vec_id").orderBy(F.desc("sim"), "neighbour")
+    out = None
+    for project in sorted(sizes):
+        other = near.filter(F.col("p_") != project).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        rows = vectors.feature_vector(vecs, vectors.retrieval_features(other)).persist()
+        done = predict(name, rows.filter(F.col("project") != project), rows.filter(F.col("project") == project), tau, **how)
+        long = done.select(F.col("label4").alias("label"), F.posexplode("probability").alias("klass", "score"))
+        m = vectors.detection_metrics(done, "label4", "predicted").join(stats.macro_auc(long).select("macro_auc"))
+        m = m.withColumns({"n_train": F.lit(sum(sizes.values()) - sizes[project]), "n_test": F.lit(sizes[project])})
+        m = m.select(F.lit(project).alias("project"), "*")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def average(folds: DataFrame) -> DataFrame:
+    """One row: mean f1 and mean area under the curve (folds without one aside) to three decimals, and the bootstrap interval of the first."""
+    folds = folds.select("project", "f1", "macro_auc").persist()
+    ci = vectors.bootstrap_mean(folds.withColumn("ordinal", F.row_number().over(W.orderBy("project")) - 1), "f1", "ordinal")
+    return folds.agg(F.round(F.avg("f1"), 3).alias("f1"), F.round(F.avg("macro_auc"), 3).alias("auc")).join(ci.select(F.round("lo", 3).alias("f1_lo"), F.round("hi", 3).alias("f1_hi")))

@@ -6,6 +6,8 @@ shuffle by commit.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,6 +145,17 @@ def repo_summary(df: DataFrame, repo: str = "repo") -> DataFrame:
     return df.groupBy(repo).agg(F.count("*").alias("total"), F.count_if("is_multi_fault").alias("multi"), *[F.count_if(F.col("confidence") == c).alias(c) for c in CONFIDENCES])
 
 
+def repo_breakdown(df: DataFrame, repo: str = "repo") -> DataFrame:
+    """repo, kind (parent, category, combo), name, n: candidates of each parent and category, and multi-fault ones by their parents joined."""
+
+    def kind(name: str, items: Column) -> Column:
+        return F.transform(items, lambda x: F.struct(F.lit(name).alias("kind"), x.alias("name")))
+
+    combo = F.when(F.col("is_multi_fault"), F.array(F.array_join("parents", "+"))).otherwise(F.array().cast("array<string>"))
+    rows = df.select(repo, F.explode(F.concat(kind("parent", F.col("parents")), kind("category", F.col("categories")), kind("combo", combo))).alias("x"))
+    return rows.groupBy(repo, "x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
 def with_issues(df: DataFrame, key: str, text: Column, issues: DataFrame) -> DataFrame:
     """key, n_ids and the labels of the issues that a message names, duplicates kept; ids that aren't known add none."""
     ids = df.select(key, F.explode_outer(issue_ids(text)).alias("issue_id"))
@@ -184,5 +197,7 @@ def overlay(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def allowed(df: DataFrame, projects: list[str], column: str = "project") -> DataFrame:
-    """Rows of the named projects; no names, all rows."""
+    """Rows of the named projects; no names, all rows. A warning names projects that no row has."""
+    for unknown in sorted(set(projects).difference(r[0] for r in df.filter(F.col(column).isin(*projects)).select(column).distinct().collect())) if projects else ():
+        warnings.warn(f"no project {unknown}", stacklevel=2)
     return df.filter(F.col(column).isin(*projects)) if projects else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import SAFE
 from ..functions.text import SCREEN_SKIPS, declared, lines, method_body
+from . import learning, vectors
 
 NAMES = ("LOCK_CONTENTION", "MEMORY_LEAK", "RESOURCE_LEAK", "SAFE")
 _HUNKS = "struct<file:string,code:string>"
@@ -51,6 +52,17 @@ def verdicts(methods: DataFrame, label: str = "label", confidence: str = "confid
     return methods.withColumn("verdict", v).withColumn("label_name", F.element_at(F.array(*[F.lit(n) for n in NAMES]), F.when(F.col("verdict") == "SAFE", SAFE + 1).otherwise(F.col(label) + 1)))
 
 
+def by_model(methods: DataFrame, encoded: DataFrame, index: DataFrame, model, k: int = vectors.K, tau: float = vectors.TAU) -> DataFrame:
+    """methods with label and confidence by a stored model: ``encoded`` (code, embedding) holds the methods' vectors,
+    ``index`` the labelled ones. A method without a vector is safe with confidence 0."""
+    known = encoded.select(F.xxhash64("code").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.lit(SAFE).alias("label4"), F.lit(-1).alias("project"), F.lit(False).alias("in_train")).dropDuplicates(["vec_id"])
+    asked = known.join(methods.select(F.xxhash64("code").alias("vec_id")).distinct(), "vec_id").persist()
+    rows = vectors.feature_vector(asked, vectors.retrieval_features(vectors.top_k(asked, index, k)))
+    told = learning.apply(model, rows, tau).select(F.col("vec_id").alias("v_"), F.col("predicted").alias("p_"), F.array_max("probability").alias("c_"))
+    out = methods.join(told, F.xxhash64("code") == F.col("v_"), "left")
+    return out.select(*[methods[c] for c in methods.columns], F.coalesce("p_", F.lit(SAFE)).alias("label"), F.coalesce("c_", F.lit(0.0)).alias("confidence"))
+
+
 def screen_report(screened: DataFrame) -> DataFrame:
     """One row: methods, faults, and faults of each kind."""
     fault = F.col("verdict") == "FAULT"

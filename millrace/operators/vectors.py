@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import stats
-
 K = 5
+#: Bytes of vectors in a block.
+BLOCK_BYTES = 32 << 20
 TAU = 0.4
 SAFE = 3
 
@@ -27,10 +27,6 @@ def labelled(embeddings: DataFrame, seed: int = 42, ratio: float = 0.9) -> DataF
     return embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("label") % 4).cast("int").alias("label4"), (F.col("vec_id") % 6).cast("int").alias("project"), (unit_hash(F.lit(seed), F.col("vec_id")) < ratio).alias("in_train"))
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def norm(v: str | Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
@@ -39,38 +35,55 @@ def normalised(v: str) -> Column:
     return F.transform(v, lambda x: x / F.greatest(norm(F.col(v)), F.lit(1e-9)))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = K, on: Column | None = None) -> DataFrame:
-    """vec_id, rank, neighbour, sim, neighbour_label: the k items of largest inner product for each query, ties by id.
-    Exact: blocks of both sides meet once; the group limit keeps k rows for each query and task before the shuffle."""
-    q = queries.select("vec_id", "embedding", "project")
-    n = items.select(F.col("vec_id").alias("neighbour"), F.col("embedding").alias("e_"), F.col("label4").alias("neighbour_label"), F.col("project").alias("p_"))
-    pairs = q.join(n, on if on is not None else F.lit(True)).select("vec_id", "neighbour", "neighbour_label", dot("embedding", "e_").alias("sim"))
-    w = W.partitionBy("vec_id").orderBy(F.desc("sim"), "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest values of each row, ties by id; -inf is never one."""
+    least = np.partition(s, max(s.shape[1] - k, 0), axis=1)[:, max(s.shape[1] - k, 0)]
+    rows, cols = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    order = np.lexsort((ids[cols], -s[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], cols[keep]
 
 
-def top_k_blocks(queries: DataFrame, items: DataFrame, k: int = K, blocks: int = 8) -> DataFrame:
-    """vec_id, rank, neighbour, sim by matrix products: items are dealt into blocks, queries go to every block in batches,
-    each block keeps its k best for a query, and the best of these are taken. Scales with blocks, not with memory."""
-    q = queries.select("vec_id", "embedding", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    n = items.select("vec_id", "embedding", F.lit(1).alias("side"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+def top_k(queries: DataFrame, items: DataFrame, k: int = K, apart: bool = False, by_project: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """vec_id, rank, neighbour, sim, neighbour_label, p_: the k items of largest inner product for each query, ties by id.
+    apart: only items of other projects than the query's. by_project: the k best among the items of each project (p_).
+
+    Exact. Both sides are dealt into blocks of at most ``block_bytes`` of vectors; two blocks meet in one task as a matrix
+    product and leave k rows for each query, and the best of these are taken. A task holds two blocks, whatever the input."""
+    width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
+    rows = max(1, block_bytes // (8 * width))
+
+    def dealt(d: DataFrame, side: int) -> tuple[DataFrame, int]:
+        n = max(1, -(-d.count() // rows))
+        block = F.pmod(F.xxhash64("vec_id", F.lit(side)), F.lit(n)).cast("int")
+        return d.select("vec_id", "embedding", "label4", "project", F.lit(side).alias("side"), block.alias("block")), n
+
+    (q, nq), (t, nt) = dealt(queries, 0), dealt(items, 1)
+    q = q.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nt - 1)), lambda i: F.col("block") * nt + i)))
+    t = t.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda i: i * nt + F.col("block"))))
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(group))
-        if not t.num_rows:
+        table = pa.Table.from_batches(list(group)).combine_chunks()
+        ids, side, label, project = (table[c].to_numpy() for c in ("vec_id", "side", "label4", "project"))
+        flat = table["embedding"].combine_chunks().flatten().to_numpy()
+        m = flat.reshape(len(ids), -1)
+        have, ask = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        if not len(have):
             return
-        ids, side = t["vec_id"].to_numpy(), t["side"].to_numpy()
-        m = np.array(t["embedding"].to_pylist(), np.float64)
-        have = np.flatnonzero(side == 1)
-        for i in np.array_split(np.flatnonzero(side == 0), max(1, int((side == 0).sum()) // 1024)):
-            if len(i) and len(have):
-                s = m[i] @ m[have].T
-                for a, row in zip(ids[i], s):
-                    best = np.lexsort((ids[have], -row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), a)), pa.array(ids[have][best]), pa.array(row[best])], ["vec_id", "neighbour", "sim"])
-
-    pairs = q.unionByName(n).groupBy("block").applyInArrow(run, "vec_id long, neighbour long, sim double")
-    w = W.partitionBy("vec_id").orderBy(F.desc("sim"), "neighbour")
+        vectors, found, kinds = m[have].T, ids[have], project[have]
+        step = max(1, (4 << 20) // len(have))
+        for i in (ask[j : j + step] for j in range(0, len(ask), step)):
+            s = m[i] @ vectors
+            if apart:
+                s[project[i][:, None] == kinds[None, :]] = -np.inf
+            for chosen in [np.flatnonzero(kinds == x) for x in np.unique(kinds)] if by_project else [np.arange(len(have))]:
+                r, c = _best(s[:, chosen], found[chosen], k)
+                c = chosen[c]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i][r], found[c], s[r, c], label[have][c], kinds[c])], ["vec_id", "neighbour", "sim", "neighbour_label", "p_"])
+
+    pairs = q.unionByName(t).drop("block").groupBy("cell").applyInArrow(run, "vec_id long, neighbour long, sim double, neighbour_label int, p_ int")
+    w = W.partitionBy("vec_id", *(["p_"] if by_project else [])).orderBy(F.desc("sim"), "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -128,6 +141,3 @@ def bootstrap_mean(folds: DataFrame, value: str, ordinal: str, resamples: int =
     ci = means.agg(F.round(F.expr("percentile(m, 0.025)"), 6).alias("lo"), F.round(F.expr("percentile(m, 0.975)"), 6).alias("hi"))
     return folds.agg(F.round(F.avg(value), 6).alias("mean")).join(ci)
 
-
-def auc(scores: DataFrame) -> DataFrame:
-    return stats.macro_auc(scores)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import flow, stats
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import fusion, learning, mining, screening, validation, vectors
+from ..operators import extraction, fusion, learning, mining, screening, validation, vectors
+from ..sources import readers
 from ..sources.readers import flat, table
 from ..streaming.screen import event_windows
 from . import corpus
@@ -95,7 +96,8 @@ def knn_top5(spark, sf_dir):
 @query(f"WITH {VEC}, {NEAR} SELECT vec_id, rank::INT AS rank, neighbour, round(sim, 6) AS sim FROM k")
 def knn_top5_blocks(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return vectors.top_k_blocks(v.filter("NOT in_train"), v.filter("in_train")).select("vec_id", "rank", "neighbour", F.round("sim", 6).alias("sim"))
+    near = vectors.top_k(v.filter("NOT in_train"), v.filter("in_train"), block_bytes=1 << 14)  # many blocks on both sides
+    return near.select("vec_id", "rank", "neighbour", F.round("sim", 6).alias("sim"))
 
 
 @query(f"WITH {VEC}, {NEAR}, {VOTE} SELECT vec_id, label4, predicted FROM vote")
@@ -179,14 +181,16 @@ def train_split_counts(spark, sf_dir):
     return _vectors(spark, sf_dir).groupBy("project").agg(F.count_if("in_train").alias("n_train"), F.count_if(~F.col("in_train")).alias("n_test"))
 
 
+def _features(spark, sf_dir) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    near = vectors.top_k(v, v.filter("in_train"))  # a training vector finds itself, as the flag of the engine's default says
+    return vectors.feature_vector(v, vectors.retrieval_features(near)).persist()
+
+
 def _evaluate(name: str, **how) -> Query:
     def run(spark, sf_dir):
-        v = _vectors(spark, sf_dir)
-        train, test = v.filter("in_train"), v.filter("NOT in_train")
-        near = vectors.top_k(v, train)  # a training vector finds itself, as the flag of the engine's default says
-        m = vectors.feature_vector(v, vectors.retrieval_features(near))
-        out = learning.predict(name, m.filter("in_train"), m.filter("NOT in_train"), **how)
-        return vectors.detection_metrics(out, "label4", "predicted")
+        m = _features(spark, sf_dir)
+        return vectors.detection_metrics(learning.predict(name, m.filter("in_train"), m.filter("NOT in_train"), **how), "label4", "predicted")
 
     return run
 
@@ -195,6 +199,38 @@ QUERIES["forest_eval"] = _evaluate("forest")
 QUERIES["logreg_eval"] = _evaluate("logistic")
 QUERIES["mlp_eval"] = _evaluate("mlp")
 
+
+@query()
+def forest_raw_eval(spark, sf_dir):
+    """A forest on the vectors alone, without retrieval."""
+    v = _vectors(spark, sf_dir).withColumnRenamed("embedding", "features").persist()
+    return vectors.detection_metrics(learning.predict("forest", v.filter("in_train"), v.filter("NOT in_train")), "label4", "predicted")
+
+
+@query()
+def classifier_comparison(spark, sf_dir):
+    m = _features(spark, sf_dir)
+    return learning.compare(m.filter("in_train"), m.filter("NOT in_train"), ("forest", "logistic"))
+
+
+@query()
+def lopo_refit_metrics(spark, sf_dir):
+    return learning.leave_one_project_out(_vectors(spark, sf_dir), "logistic")
+
+
+@query(f"WITH {VEC} SELECT vec_id, label4, project, in_train FROM v")
+def vector_meta(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("vec_id", "label4", "project", "in_train")
+
+
+@query("""WITH w AS (SELECT vec_id, list_transform(range(1, 33), lambda i: (embedding[i]::DOUBLE + embedding[i + 8]::DOUBLE + embedding[i + 16]::DOUBLE + embedding[i + 24]::DOUBLE + embedding[i + 32]::DOUBLE) / 5) AS m FROM embeddings)
+SELECT vec_id, len(m)::INT AS width, round(list_sum(m), 5) AS total, round(sqrt(list_sum(list_transform(m, lambda x: x * x))), 5) AS norm FROM w""")
+def window_mean_pool(spark, sf_dir):
+    """Windows of 32 numbers, 8 apart, and their element-wise mean."""
+    v = _vectors(spark, sf_dir).select("vec_id", T.mean_of(T.windows(F.col("embedding"), 32, 8), 32).alias("m"))
+    return v.select("vec_id", F.size("m").alias("width"), F.round(F.aggregate("m", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(vectors.norm("m"), 5).alias("norm"))
+
+
 # ---- agreement and intervals ---------------------------------------------------------------------------------------
 
 
@@ -230,8 +266,8 @@ def long_text_share(spark, sf_dir):
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tok FROM documents), w AS (SELECT doc_id, tok, unnest(range(0, ((greatest(len(tok) - 512, 0) + 127) // 128)::BIGINT + 1)) AS i FROM t)
 SELECT doc_id, i::INT AS number, len(tok[i * 128 + 1:i * 128 + 512])::INT AS size, tok[i * 128 + 1] AS head FROM w""")
 def token_windows(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.windows(T.tokens(F.coalesce("text", F.lit(""))))).alias("number", "w"))
-    return d.select("doc_id", "number", F.size("w").alias("size"), F.get("w", 0).alias("head"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return d.select("doc_id", F.posexplode(T.window_heads(F.col("t"))).alias("number", "w")).select("doc_id", "number", "w.size", "w.head")
 
 
 LOWERED = "lower(subject || ' ' || body)"
@@ -638,6 +674,136 @@ def prompt_build(spark, sf_dir):
     return n.select("vec_id", screening.majority_prompt(F.concat(F.lit("m"), F.col("vec_id").cast("string")), F.col("n")).alias("prompt"))
 
 
+ASK = "'Classify the Java method as LOCK_CONTENTION, MEMORY_LEAK, RESOURCE_LEAK or SAFE.' || chr(10) || 'm' || vec_id::VARCHAR"
+
+
+@query(f"SELECT vec_id, 'zero_shot' AS mode, {ASK} AS prompt FROM embeddings UNION ALL SELECT vec_id, 'chain', {ASK} || chr(10) || 'Think step by step, then answer with one name.' FROM embeddings")
+def prompt_modes(spark, sf_dir):
+    v, name = table(spark, sf_dir, "embeddings"), F.concat(F.lit("m"), F.col("vec_id").cast("string"))
+    return readers.union_all([v.select("vec_id", F.lit(m).alias("mode"), screening.majority_prompt(name, F.lit(None), m).alias("prompt")) for m in ("zero_shot", "chain")])
+
+
+KEYS = ("java:S2095", "java:S6437", "java:S3077", "java:S2160", "java:S2142", "java:S3046", "java:S1", "")
+
+
+@query(f"SELECT p_partkey, CASE {list(KEYS)}[p_partkey % {len(KEYS)} + 1] {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in R.RULE_KEYS.items())} ELSE {R.SAFE} END AS label FROM part")
+def finding_labels(spark, sf_dir):
+    key = F.get(F.array(*[F.lit(k) for k in KEYS]), (F.col("p_partkey") % len(KEYS)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", fusion.finding_label(key).alias("label"))
+
+
+# ---- extraction ----------------------------------------------------------------------------------------------------
+
+
+def _extracted(spark, sf_dir):
+    """Commits, contents of both revisions (some of the old ones are missing) and diffs to method pairs."""
+    c = view(spark, sf_dir, "v_code")
+    old = F.concat(F.lit("p"), F.col("pair_key").cast("string"))
+    none = F.array().cast("array<string>")
+    found = c.select("repo", "commit_hash", old.alias("parent_hash"), F.array("file_path").alias("changed_java_files"), none.alias("all_categories"), none.alias("all_parents"), (F.col("pair_key") % 5 == 0).alias("is_multi_fault"), F.lit("low").alias("confidence"), F.lit(None).cast("string").alias("pr_number"), F.lit("").alias("pr_url"), F.lit("").alias("pr_title"))
+    contents = c.filter("pair_key % 13 != 0").select("repo", old.alias("revision"), "file_path", F.col("before_source").alias("content")).union(c.select("repo", "commit_hash", "file_path", "after_source"))
+    return extraction.method_pairs(found, contents, view(spark, sf_dir, "v_diff"))
+
+
+XT = _with("v_code", "v_diff") + RULED.removeprefix(_with("v_code")) + f", {HUNKS}, " + _methods_sql("before_source", "mb") + ", " + _methods_sql("after_source", "ma") + f""", xt AS (SELECT det.*, mb.signature, mb.name, mb.start_line AS bs, mb.end_line AS be, ma.start_line AS sa, ma.end_line AS ea, len(mf) > 0 OR det.pair_key % 5 = 0 AS multi
+  FROM mb JOIN ma USING (pair_key, signature) JOIN det USING (pair_key) WHERE det.pair_key % 13 <> 0 AND trim(before_source) <> trim(after_source)
+  AND EXISTS (SELECT 1 FROM hunk h WHERE h.pair_key = mb.pair_key AND ((mb.start_line <= h.old_start + h.old_count - 1 AND mb.end_line >= h.old_start) OR (ma.start_line <= h.new_start + h.new_count - 1 AND ma.end_line >= h.new_start))))"""
+XL = f", pl AS (SELECT *, {PAPER} AS l FROM xt)"
+
+
+@query(XT + XL + """ SELECT substr(sha256(repo || ':' || commit_hash || ':' || file_path || ':' || signature), 1, 16) AS pair_id, commit_hash, file_path, name AS method_name, bs AS before_line_start, be AS before_line_end, sa AS after_line_start, ea AS after_line_end, multi AS is_multi_fault,
+CASE WHEN len(l) > 0 THEN array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '+') ELSE coalesce(detected[1], 'UNKNOWN') END AS fault_category, 'Commit: https://github.com/' || repo || '/commit/' || commit_hash AS pr_details FROM pl""")
+def extract_pairs(spark, sf_dir):
+    return _extracted(spark, sf_dir).select("pair_id", "commit_hash", "file_path", "method_name", "before_line_start", "before_line_end", "after_line_start", "after_line_end", "is_multi_fault", "fault_category", "pr_details")
+
+
+@query(XT + f", tk AS (SELECT *, {NTOK.replace('text', 'before_source')} > 20 OR {NTOK.replace('text', 'after_source')} > 20 AS long FROM xt) SELECT count(*)::BIGINT AS total_pairs, count_if(multi)::BIGINT AS multi_fault_pairs, count_if(long)::BIGINT AS truncated FROM tk")
+def extract_report(spark, sf_dir):
+    return extraction.report(_extracted(spark, sf_dir), 20)
+
+
+@query(XT + """, x AS (SELECT 'category' AS kind, unnest(detected) AS name FROM xt UNION ALL SELECT 'parent', string_split(c, '.')[1] FROM (SELECT unnest(detected) AS c FROM xt) UNION ALL SELECT 'signal', unnest(mf) FROM xt) SELECT kind, name, count(*)::BIGINT AS n FROM x GROUP BY ALL""")
+def extract_counts(spark, sf_dir):
+    return extraction.counts(_extracted(spark, sf_dir))
+
+
+@query(_with("v_diff") + "SELECT pair_key, CASE WHEN pair_key % 4 = 1 THEN '' ELSE file_path END AS files FROM v_diff")
+def changed_file_scan(spark, sf_dir):
+    d = view(spark, sf_dir, "v_diff").withColumn("parent_hash", F.when(F.col("pair_key") % 4 != 1, "p"))
+    return extraction.changed_files(d).select("pair_key", _join("changed_java_files").alias("files"))
+
+
+@query(FUSED + " SELECT pair_key, array_to_string(ps, '|') AS parents, array_to_string(cs, '|') AS categories, dependency_label FROM fus WHERE len(ps) >= 3")
+def triple_chains(spark, sf_dir):
+    return fusion.chains(_fused(spark, sf_dir), "pair_key").select("pair_key", _join("all_parents").alias("parents"), _join("all_categories").alias("categories"), "dependency_label")
+
+
+@query(FUSED + ", c AS (SELECT CASE WHEN layers >= 3 THEN 'high' WHEN layers >= 2 THEN 'medium' ELSE 'low' END AS c FROM fus WHERE multi) SELECT confidence, count(c)::BIGINT AS n FROM (VALUES ('low'), ('medium'), ('high')) t(confidence) LEFT JOIN c ON c = confidence GROUP BY ALL")
+def multi_by_confidence(spark, sf_dir):
+    return fusion.by_confidence(_fused(spark, sf_dir))
+
+
+@query(KW + KD + ST + BEST + CAND + """, j AS (SELECT repo, cand.* FROM cand JOIN v_msg USING (commit_hash)), x AS (SELECT repo, 'parent' AS kind, unnest(parents) AS name FROM j UNION ALL SELECT repo, 'category', unnest(categories) FROM j UNION ALL SELECT repo, 'combo', array_to_string(parents, '+') FROM j WHERE is_multi_fault) SELECT repo, kind, name, count(*)::BIGINT AS n FROM x GROUP BY ALL""")
+def repo_breakdown(spark, sf_dir):
+    return mining.repo_breakdown(_candidates(spark, sf_dir).join(view(spark, sf_dir, "v_msg").select("commit_hash", "repo"), "commit_hash"))
+
+
+@query(_with("v_code") + "SELECT pair_key FROM v_code WHERE repo IN ('Brand#11', 'Brand#23')")
+def allowed_projects(spark, sf_dir):
+    return mining.allowed(view(spark, sf_dir, "v_code"), ["Brand#11", "Brand#23"], "repo").select("pair_key")
+
+
+# ---- files ---------------------------------------------------------------------------------------------------------
+
+
+@query(_with("v_msg") + "SELECT commit_hash, 'a' || repo AS author, subject AS message, 'p' || doc_id::VARCHAR AS parent FROM v_msg")
+def commit_log_file(spark, sf_dir):
+    m = view(spark, sf_dir, "v_msg")
+    path = readers.scratch(spark, "log")
+    m.select(F.concat_ws("|||", "commit_hash", F.concat(F.lit("a"), "repo"), F.lit("2024-01-01"), "subject", F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(" q")))).write.text(path)
+    return readers.commit_log(spark, path).select("commit_hash", "author", "message", "parent")
+
+
+@query(_with("v_msg") + "SELECT commit_hash, subject, sha256(rtrim(body, ' ')) AS body FROM v_msg")
+def commit_record_file(spark, sf_dir):
+    m = view(spark, sf_dir, "v_msg")
+    path = readers.scratch(spark, "records")
+    m.select(F.concat_ws("\x1f", "commit_hash", "subject", "body")).write.option("lineSep", "<<<END>>>").text(path)
+    return readers.commit_records(spark, path).select("commit_hash", "subject", F.sha2("body", 256).alias("body"))
+
+
+@query(_with("v_bench") + "SELECT floor(value) AS value, count(*)::BIGINT AS n FROM v_bench GROUP BY ALL")
+def heap_log_file(spark, sf_dir):
+    path = readers.scratch(spark, "heap")
+    view(spark, sf_dir, "v_bench").select(F.concat(F.lit("t=1 heapMB="), F.floor("value").cast("string"), F.lit(" heapMB=0"))).write.text(path)
+    return readers.heap_log(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query(_with("v_bench") + "SELECT floor(value) AS value, count(*)::BIGINT AS n FROM v_bench WHERE threads > 1 GROUP BY ALL")
+def descriptor_file(spark, sf_dir):
+    path = readers.scratch(spark, "descriptors")
+    line = F.when(F.col("threads") > 1, F.concat(F.lit("12:00, "), F.floor("value").cast("string"))).otherwise("a,b,1")
+    view(spark, sf_dir, "v_bench").select(line).write.text(path)
+    return readers.descriptor_counts(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query(_with("v_code") + "SELECT pair_key, repo, sha256(before_source) AS source FROM v_code")
+def code_csv_file(spark, sf_dir):
+    c = view(spark, sf_dir, "v_code")
+    path = readers.scratch(spark, "csv")
+    readers.write_csv(c, path, ["pair_key", "repo", "before_source"])
+    back = readers.code_csv(spark, path, "pair_key long, repo string, before_source string")
+    return back.select("pair_key", "repo", F.sha2(F.coalesce("before_source", F.lit("")), 256).alias("source"))
+
+
+@query("SELECT vec_id, label::INT AS label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def vector_bundle_file(spark, sf_dir):
+    path = readers.scratch(spark, "vectors")
+    readers.write_vectors(table(spark, sf_dir, "embeddings"), path)
+    back = readers.vectors(spark, path)
+    return back.select("vec_id", F.col("label").cast("int").alias("label"), F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
 # ---- series --------------------------------------------------------------------------------------------------------
 
 # entries whose series are compared; the finding of entry e is static if e is even

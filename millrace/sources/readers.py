@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; where that is unset on one machine, in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{base.rstrip('/')}/millrace/{tag}-{uuid.uuid4().hex}"
+
+
 def commit_log(spark: SparkSession, path: str, separator: str = "|||") -> DataFrame:
     """An exported log, one commit a line; lines of fewer than five fields are dropped, the first parent is kept."""
     parts = F.split("value", "[" + separator[0] + "]{" + str(len(separator)) + "}", -1)
@@ -129,5 +142,13 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+VECTOR = "vec_id long, embedding array<float>, label int"
+
+
+def vectors(spark: SparkSession, path: str, schema: str = VECTOR) -> DataFrame:
+    """Vectors with their ids and labels."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
