@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
@@ -206,6 +206,31 @@ def text_words(batch: pa.RecordBatch, **how) -> Words:
     return Words(*utf8(batch.column(batch.schema.get_field_index("text"))), **how)
 
 
+def bisect_left(items: Column, value: Column) -> Column:
+    """How many of a sorted array's items are below ``value``, by halving."""
+    kind = "struct<lo:int,hi:int>"
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        less = F.get(items, mid) < value
+        half = F.struct(F.when(less, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(less, a["hi"]).otherwise(mid).alias("hi")).cast(kind)
+        return F.when(a["lo"] >= a["hi"], a).otherwise(half)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(items) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi")).cast(kind), step, lambda a: a["lo"])
+
+
+#: Bytes of a range of documents that is sorted in one task.
+RANGE_BYTES = 16 << 20
+
+
+def apart(spark: SparkSession, part: Column, n: int) -> Column:
+    """A key for each of the parts 0 to n-1 that ``repartition(n, key)`` places by itself: hashed numbers share tasks."""
+    found = spark.range(32 * n).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("slot")).groupBy("slot").agg(F.min("id").cast("int").alias("id"))
+    keys = dict(found.collect())  # a row for each part
+    return F.get(F.array(*[F.lit(keys.get(i, i)) for i in range(n)]), part)
+
+
 def crc_mod(n: int, doc_id: str = "doc_id"):
     """crc32 of doc_id as text, modulo n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, column, mix, of_columns, table, through
+from .common import CHUNK_BYTES, RANGE_BYTES, Words, apart, bisect_left, column, mix, of_columns, table, through
 
 SAMPLES = 64
 PAIRS_AT_ONCE = 1 << 15
@@ -111,19 +111,21 @@ def consecutive(docs: DataFrame, work, schema: str, shards: int | None = None) -
     """``work(texts, ids) -> RecordBatch`` over runs of rows in descending doc_id; texts has one more, the next one's."""
     spark = docs.sparkSession
     d = of_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(1, -(-(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     low = F.lit(-(1 << 63))
     key = F.coalesce("doc_id", low)
     bounds = d.agg(F.percentile_approx(key, [i / shards for i in range(1, shards)] or [0.5], 20 * shards)).first()[0]
-    bounds = sorted(set(bounds or []))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= key)) if bounds else F.lit(0)
+    bounds = sorted(set(bounds or [])) if shards > 1 else []
+    part = (len(bounds) - bisect_left(F.array(*[F.lit(b) for b in bounds]), key)).cast("int") if bounds else F.lit(0)
     heads = dict(d.groupBy(part.alias("part")).agg(F.max(key)).collect())  # a row for each range
     order = sorted(heads)
-    before = [(order[i - 1], heads[p]) for i, p in enumerate(order)]
-    copies = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(h).alias("head")) for p, h in before]) if before else F.array(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("head")))
-    goes = F.concat(F.array(F.struct(part.cast("int").alias("part"), F.lit(0).alias("kind"))), F.transform(F.filter(copies, lambda c: c["head"] == key), lambda c: F.struct(c["part"].cast("int").alias("part"), F.lit(1).alias("kind"))))
+    before = {p: order[i - 1] for i, p in enumerate(order)}
+    n = len(bounds) + 1
+    head, to = (F.get(F.array(*[F.lit(x.get(p)).cast("long") for p in range(n)]), part) for x in (heads, before))
+    own = F.struct(part.alias("part"), F.lit(0).alias("kind"))
+    goes = F.when(head == key, F.array(own, F.struct(to.cast("int").alias("part"), F.lit(1).alias("kind")))).otherwise(F.array(own))
     rows = d.select("doc_id", "text", F.explode(goes).alias("x")).select("x.part", "x.kind", "doc_id", "text")
-    rows = rows.repartition(shards, "part").sortWithinPartitions("part", "kind", F.col("doc_id").desc_nulls_last(), "text")
+    rows = rows.repartition(n, apart(spark, F.col("part"), n)).sortWithinPartitions("part", "kind", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []

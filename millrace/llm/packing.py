@@ -6,8 +6,8 @@ bin that has room and no conflict: a bin holds one document of a source and one
 and clusters; from the first residual that is large enough the search goes on through its successors until a
 compatible bin is found, and skips a residual all of whose bins hold the document's source or cluster.
 
-Scale: rows without text are dealt by a hash of doc_id into shards of about ``SHARD`` documents, packed one by one,
-so a hot source or cluster is spread evenly and a shard's memory is bounded.
+Scale: rows without text are dealt by a hash of doc_id, cluster and place into shards of about ``SHARD`` documents, packed
+one by one, so a hot source or cluster, or one row many times, is spread evenly and a shard's memory is bounded.
 
 Null or blank text: one piece of length 0. Null doc_id and null source: packed; null is a source of its own.
 Repeated rows: packed one by one, apart as one cluster. Ties: by doc_id, then cluster. Empty table: no rows.
@@ -107,10 +107,10 @@ def pack(docs: DataFrame, cluster: str | None = None, capacity: int = CAPACITY,
     d = of_columns(docs, *dict.fromkeys(["doc_id", "source", "text", *([cluster] if cluster else [])]))
     group = F.xxhash64(F.col(cluster)) if cluster else _by_text()
     shards = max(1, -(-docs.count() // shard))
-    light = d.select("doc_id", "source", size_of().alias("size"), group.alias("cluster"))
+    light = d.select("doc_id", "source", size_of().alias("size"), group.alias("cluster"), F.monotonically_increasing_id().alias("row"))
     if copies is not None:
         light = light.join(copies, light.cluster == copies.same, "left").withColumn("cluster", F.coalesce("near", "cluster"))
-    light = light.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
+    light = light.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "row"), F.lit(shards)))
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in group for r in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)], strict=True)]

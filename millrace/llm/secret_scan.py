@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import of_columns, table
+from .common import bisect_left, of_columns, table
 
 RANDOM, RATE = 0.001, 0.01
 
@@ -152,7 +152,17 @@ def find_secrets(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     spans = [_spans(F.col(f"m{i}"), F.col(f"s{i}"), i) for i in range(4)]
     spans[0] = F.filter(spans[0], lambda x, i: F.length(F.get(F.col("v0"), i)) >= 6)
     d = d.select(*keep, "text", "m3", "s3", F.array_sort(F.concat(*[s.cast(_SPAN) for s in spans[:3]])).alias("base"))
-    free = F.filter(F.zip_with("m3", "s3", lambda m, s: F.struct(s.alias("start"), m.alias("token"))), lambda c: ~F.exists("base", lambda b: (b["start"] < c["start"] + F.length(c["token"])) & (c["start"] < b["end"])))
+    ends = F.transform("base", lambda b: b["end"])
+    reach = F.when((F.size("base") > 0) & (F.size("m3") > 0), F.zip_with(scan(ends, _most, F.lit(0)), ends, _most)).otherwise(F.array().cast("array<int>"))
+    d = d.select(*keep, "text", "m3", "s3", "base", reach.alias("reach"), F.transform("base", lambda b: b["start"]).alias("from"))
+
+    def clear(c: Column) -> Column:
+        """Whether no base span touches a candidate: of those that start before its end, the farthest ends before it."""
+        before = bisect_left(F.col("from"), c["start"] + F.length(c["token"]))
+        return F.coalesce(F.get("reach", before - 1) <= c["start"], F.lit(True))
+
+    found = F.zip_with("m3", "s3", lambda m, s: F.struct(s.alias("start"), m.alias("token")))
+    free = F.when(F.size("base") > 0, F.filter(found, clear)).otherwise(found)
     d = d.select(*keep, "text", "base", F.when(F.size("m3") > 0, free).otherwise(F.array().cast("array<struct<start:int,token:string>>")).alias("free"))
     measured = F.transform("free", lambda c: F.struct(c["start"].alias("start"), (c["start"] + F.length(c["token"])).alias("end"), F.length(c["token"]).cast("double").alias("n"), _measure(c["token"]).alias("m")))
     d = d.select(*keep, "text", "base", F.when(F.size("free") > 0, measured).otherwise(F.array().cast("array<struct<start:int,end:int,n:double,m:struct<p:double,fit:double>>>")).alias("tried"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, drop, new_path, of_columns, pieces, save, spans_hash, table, through, utf8
+from .common import RANGE_BYTES, apart, column, drop, new_path, of_columns, pieces, save, spans_hash, table, through, utf8
 
 END_ID = 2
 MAX_BITS = 18
@@ -312,11 +312,12 @@ def write(tokens: DataFrame, path: str, vocabulary: int, dtype: str = "<u2", lim
     spark = tokens.sparkSession
     lengths = code_lengths(counts_of(tokens, vocabulary, dtype), limit)
     codes = canonical(lengths)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(1, -(-(tokens.agg(F.sum("n_tokens")).first()[0] or 0) * np.dtype(dtype).itemsize // RANGE_BYTES))
     low = -(1 << 63)
     grid = [i / shards for i in range(1, shards)] or [0.5]
     bounds = tokens.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(low)), grid, 20 * shards)).first()[0]
-    bounds = np.unique(np.array(bounds or [], np.int64))
+    bounds = np.unique(np.array(bounds or [], np.int64)) if shards > 1 else np.zeros(0, np.int64)
+    parts = len(bounds) + 1
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _ENCODERS.clear()  # a worker that has encoded gives that memory back
@@ -366,7 +367,7 @@ def write(tokens: DataFrame, path: str, vocabulary: int, dtype: str = "<u2", lim
             yield flush()
 
     coded = through(tokens, code, "doc_id long, n_tokens long, part int, bits binary, spots binary")
-    rows = coded.repartition(shards, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "bits")
+    rows = coded.repartition(parts, apart(spark, F.col("part"), parts)).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "bits")
     blocks = through(rows, block, "part int, before long, doc_ids array<long>, n_tokens array<long>, marks binary, payload binary")
     blocks.write.partitionBy("part").parquet(f"{path}/blocks")
     spark.createDataFrame([(limit, bytearray(lengths.tobytes()))], "bits int, lengths binary").coalesce(1).write.parquet(f"{path}/code")

@@ -1,11 +1,12 @@
 """Shared ids, hot buckets and mass copies."""
 
 import collections
+import hashlib
 
 import numpy as np
 import pytest
 
-from millrace.llm import common, context_tree, language_id, media, minhash, mixing, packing, secret_scan, toxicity
+from millrace.llm import common, context_tree, fingerprint, language_id, media, minhash, mixing, packing, secret_scan, toxicity
 
 
 def groups(rows):
@@ -121,3 +122,51 @@ def test_columns_that_differ_by_case(spark):
     assert len(secret_scan.find_secrets(df).collect()) == len(media.write_media(df).collect()) == 8
     assert len(toxicity.score(df, (np.zeros(toxicity.BUCKETS), -9.0)).collect()) == 8
     assert len(context_tree.score(df, context_tree.train(context_tree.of_columns(df, "doc_id", "text"))).collect()) == 8
+
+
+def test_op4_one_row_very_often(spark):
+    """Equal rows without an id or text don't gather in one shard."""
+    row = spark.createDataFrame([(None, None, "s")], "doc_id long, text string, source string")
+    docs = row.crossJoin(spark.range(100_000).select("id")).drop("id")
+    got = packing.pack(docs).groupBy("bin").count().agg({"count": "max", "bin": "count"}).first()
+    assert got["max(count)"] == 1 and got["count(bin)"] == 100_000
+    per = packing.pack(docs).selectExpr("shiftright(bin, 32) AS shard").groupBy("shard").count().collect()
+    assert len(per) == 25 and max(r["count"] for r in per) < 1.2 * packing.SHARD
+
+
+def test_op3_ranges(spark, monkeypatch):
+    """Any number of ranges gives the same rows: ties, nulls and repeated ids included."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), " ".join(words(rng, int(rng.integers(0, 30)), "w"))) for i in rng.integers(-20, 60, 200)]
+    rows += [(None, "no id"), (None, "no id either"), (3, None), (3, ""), (-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = []
+    for n in (1, 2, 7, 40):
+        out.append(sorted(map(repr, fingerprint.consecutive(docs, fingerprint._edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", n).collect())))
+    assert len(out[0]) == len(rows)
+    # rows of one id are ordered by text, so each has one next document
+    low = -(1 << 63)
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (-(low if r[0] is None else r[0]), r[0] is None, r[1]))
+    want = collections.Counter()
+    for (i, x), (_, y) in zip(order, order[1:] + order[:1]):
+        want[(i, len(x), hashlib.sha256((x[: len(x) - len(x) // 3] + y[: len(x) // 3]).encode()).hexdigest())] += 1
+    got = fingerprint.consecutive(docs, fingerprint._edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", 7).collect()
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    assert all(x == out[0] for x in out)
+
+
+def test_parts_are_placed_apart(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 5, 64):
+        d = spark.range(n * 10).select((F.col("id") % n).cast("int").alias("part"))
+        d = d.repartition(n, common.apart(spark, F.col("part"), n))
+        assert d.select("part", F.spark_partition_id().alias("at")).distinct().groupBy("at").count().filter("count > 1").count() == 0
+
+
+def test_halving(spark):
+    from pyspark.sql import functions as F
+
+    for items in ([], [5], [1, 1, 4, 9], list(range(0, 100, 3))):
+        d = spark.range(-2, 105).select("id", common.bisect_left(F.array(*[F.lit(x) for x in items]).cast("array<long>"), F.col("id")).alias("n"))
+        assert all(r.n == sum(x < r.id for x in items) for r in d.collect())
