@@ -55,7 +55,8 @@ def invert(share: Column, knots) -> Column:
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """source, source_size, klass, target. A row for each source: the windows run over that small table."""
+    """source, source_size, klass, target. A row for each source: the windows run over that table in one task, which holds
+    millions of sources; documents don't come there."""
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     s = s.withColumn("klass", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights))
     s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("klass") + 1).cast("int")))

@@ -51,18 +51,18 @@ _MARK[[ord(c) for c in ".,!?;:"]] = True
 
 
 class _Pool:
-    """Ids of pieces of text by the pieces' hashes: sorted keys over one run of ids."""
+    """Ids of pieces of text by the pieces' hashes: sorted keys over one run of ids, and a mark that a piece has to have too."""
 
     def __init__(self, dtype: str):
-        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.start, self.length, self.mark = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, dtype), 0
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         return at, (self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool))
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
-        """New keys, ascending, with a run of ids and where in it those of each key are."""
+    def add(self, keys: np.ndarray, mark: np.ndarray, ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        """New keys, ascending, with their marks, a run of ids and where in it those of each key are."""
         if self.used + len(ids) > len(self.ids):
             grown = np.zeros(max(2 * len(self.ids), self.used + len(ids)), self.ids.dtype)
             grown[: self.used] = self.ids[: self.used]
@@ -70,11 +70,13 @@ class _Pool:
         self.ids[self.used : self.used + len(ids)] = ids
         to = np.searchsorted(self.keys, keys)
         self.keys, self.start, self.length = np.insert(self.keys, to, keys), np.insert(self.start, to, self.used + begin), np.insert(self.length, to, length)
+        self.mark = np.insert(self.mark, to, mark)
         self.used += len(ids)
 
 
 class Encoder:
-    """Whole texts to ids; equal to the tokenizer's own result on each text. Pieces are keyed by 64-bit hashes."""
+    """Whole texts to ids; equal to the tokenizer's own result on each text. Pieces are keyed by 64-bit hashes; one whose length, first
+    or last byte isn't that of the piece with its hash has its text encoded whole."""
 
     def __init__(self, path: str, end_id: int, dtype: str = "<u2"):
         from tokenizers import Tokenizer
@@ -137,6 +139,7 @@ class Encoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)[: len(start)]
         keys = spans_hash(data, start, end)
+        mark = (end - start) << 16 | data[start].astype(np.int64) << 8 | data[end - 1]
         order = np.argsort(keys)
         ordered = keys[order]
         change = np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
@@ -151,13 +154,15 @@ class Encoder:
                 keep = spot[hit]
                 a, b = pool.start[keep], pool.length[keep].astype(np.int64)
                 gather = np.repeat(a - np.cumsum(b) + b, b) + np.arange(int(b.sum()))
-                side.add(distinct[hit], pool.ids[gather], np.cumsum(b) - b, b)
+                side.add(distinct[hit], pool.mark[keep], pool.ids[gather], np.cumsum(b) - b, b)
                 pool = side
-            pool.add(distinct[new], *learnt)
+            pool.add(distinct[new], mark[first[new]], *learnt)
             spot, _ = pool.find(distinct)
         whole = np.empty(len(keys), np.int64)
         whole[order] = spot[np.cumsum(change) - 1]
         spot = whole
+        other = np.flatnonzero(pool.mark[spot] != mark)  # another piece of this hash
+        odd = sorted({*odd, *(np.searchsorted(at, start[other], "right") - 1).tolist()})
         piece = np.searchsorted(start, at)  # of each text's first piece
         begin, length = pool.start[spot], pool.length[spot].astype(np.int64)
         ends = pool.used

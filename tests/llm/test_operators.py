@@ -99,6 +99,19 @@ def test_op1_encoder_equals_whole_texts():
             assert want.tolist() == ids[a:b].tolist()
 
 
+def test_op1_pieces_of_one_hash(monkeypatch):
+    """Where hashes collide, texts are still encoded right: a hash of few values makes most pieces collide."""
+    import public_tokenizers
+
+    whole = token_store.spans_hash
+    monkeypatch.setattr(token_store, "spans_hash", lambda *a: whole(*a) % np.uint64(7))
+    texts = ["some words of different lengths here", "and others, with other ends!", "", "x", "a b c d e f g"]
+    raw = [t.encode() for t in texts]
+    e = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    ids, at = e.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])][:3] == [x.tolist() for x in reference_ids(texts)][:3]
+
+
 def test_op1_codes():
     rng = np.random.default_rng(1)
     for n, limit in ((1, 4), (2, 4), (40, 6), (300, 9), (5000, 14)):
