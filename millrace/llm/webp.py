@@ -90,6 +90,39 @@ class Prefix:
         return hit >> 4
 
 
+_OWN: dict[bytes, Prefix] = {}
+
+
+def _code_lengths(bits: Bits, code: Prefix, size: int, left: int) -> list[int]:
+    """Code lengths of ``size`` symbols, written as at most ``left`` numbers and runs."""
+    quick, mask = code.table.tolist(), (1 << code.width) - 1
+    single = code.only >= 0
+    out: list[int] = []
+    last, word, held = 8, 0, 0
+    while len(out) < size and left:
+        left -= 1
+        if held < 32:  # a number and its extra bits take 22 at most
+            word, held = bits.peek(1024), 1024
+        if single:
+            s = code.only
+        else:
+            hit = quick[word & mask]
+            n = hit & 15
+            s, word, held = hit >> 4, word >> n, held - n
+            bits.at += n
+        if s < 16:
+            out.append(s)
+            last = s or last
+            continue
+        n, least, v = (2, 3, last) if s == 16 else (3, 3, 0) if s == 17 else (7, 11, 0)
+        out += [v] * (least + (word & ((1 << n) - 1)))
+        word, held = word >> n, held - n
+        bits.at += n
+    if len(out) > size:
+        raise ValueError("code lengths beyond the alphabet")
+    return out + [0] * (size - len(out))
+
+
 def _read_prefix(bits: Bits, size: int, seen: dict) -> Prefix:
     start = bits.at
     for n, value, code in seen.get((size, bits.peek(64)), ()):
@@ -103,25 +136,16 @@ def _read_prefix(bits: Bits, size: int, seen: dict) -> Prefix:
         if two:
             lengths[bits.read(8)] = 1
     else:
-        own = np.zeros(19, np.uint8)
+        own = bytearray(19)
         for k in range(4 + bits.read(4)):
             own[LENGTH_ORDER[k]] = bits.read(3)
-        code = Prefix(own)
+        code = _OWN.get(bytes(own))
+        if code is None:
+            if len(_OWN) >= 1024:
+                _OWN.clear()
+            code = _OWN[bytes(own)] = Prefix(np.frombuffer(bytes(own), np.uint8))
         left = size if not bits.read(1) else 2 + bits.read(2 + 2 * bits.read(3))
-        i, last = 0, 8
-        while i < size and left:
-            left -= 1
-            s = code.read(bits)
-            if s < 16:
-                lengths[i] = s
-                last = s or last
-                i += 1
-            else:
-                n, v = (3 + bits.read(2), last) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-                if i + n > size:
-                    raise ValueError("code lengths beyond the alphabet")
-                lengths[i : i + n] = v
-                i += n
+        lengths = np.array(_code_lengths(bits, code, size, left), np.uint8)
     out = Prefix(lengths)
     n, bits.at = bits.at - start, start
     if n <= 64 and len(seen) < 4096:  # short ones recur
@@ -138,7 +162,7 @@ def _value(prefix: int, bits: Bits) -> int:
 
 
 #: Bits of a stream that are looked at together.
-WINDOW = 1 << 20
+WINDOW = 1 << 17
 
 
 def _numbers(raw: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -686,8 +710,8 @@ def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int
 LEAST, MOST, LIMIT, REACH = 5, 4096, 13, (1 << 20) - 121
 #: A fixed code for code lengths 0 to LIMIT and runs of zeros: four bits each.
 _LENGTHS = (*range(LIMIT + 1), 17, 18)
-#: Samples that are searched for repeats together.
-SPAN = 1 << 20
+#: Samples that are searched for repeats together, and whose symbols are kept between counting and writing.
+SPAN, KEPT = 1 << 17, 4 << 20
 
 
 def _split_values(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -884,7 +908,7 @@ def encode_samples(runs: list[np.ndarray], widths: list[int], more: list[bytes])
             t.doc = np.array([k for k, _ in span])[t.doc]
             yield t
 
-    few = sum(map(len, samples)) <= 4 * SPAN
+    few = sum(map(len, samples)) <= KEPT
     greens, fars, kept = np.zeros((count, 280), np.int64), np.zeros((count, 40), np.int64), []
     for t in tokens():
         greens += np.bincount(t.doc * 280 + t.sym, minlength=count * 280).reshape(count, 280)
