@@ -126,7 +126,7 @@ def test_verdicts(spark):
 def test_top_k_forms_agree(spark):
     v = catalog._vectors(spark, "/root/testdata/sf0.001").limit(120)
     a = vectors.top_k(v, v).select("vec_id", "rank", "neighbour").collect()
-    b = vectors.top_k_blocks(v, v, blocks=3).select("vec_id", "rank", "neighbour").collect()
+    b = vectors.top_k(v, v, block_bytes=1 << 14).select("vec_id", "rank", "neighbour").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
