@@ -753,6 +753,27 @@ def allowed_projects(spark, sf_dir):
     return mining.allowed(view(spark, sf_dir, "v_code"), ["Brand#11", "Brand#23"], "repo").select("pair_key")
 
 
+@query(_with("v_code") + "SELECT pair_key, summary, CASE WHEN pair_key % 3 = 0 AND pair_key % 2 = 0 THEN 'c' || pair_key ELSE repo END AS repo, CASE WHEN pair_key % 3 = 0 THEN template END AS template FROM (SELECT *, upper(method_name) AS summary FROM v_code)")
+def overlay_columns(spark, sf_dir):
+    c = view(spark, sf_dir, "v_code")
+    new = c.filter("pair_key % 3 = 0").select("pair_key", F.when(F.col("pair_key") % 2 == 0, F.concat(F.lit("c"), F.col("pair_key").cast("string"))).alias("repo"), "template")
+    return mining.overlay(c.select("pair_key", F.upper("method_name").alias("summary"), "repo"), new, "pair_key")
+
+
+@query(_with("v_code") + "SELECT pair_key, CASE WHEN repo = 'Brand#11' THEN 'first' ELSE 'Brand#' || substr(repo, 7) END AS project FROM v_code")
+def project_names(spark, sf_dir):
+    c = view(spark, sf_dir, "v_code").withColumn("path", F.concat(F.lit("/work/repos/"), "repo"))
+    known = spark.sql("SELECT '/work/repos/Brand#11' AS path, 'first' AS project")
+    return mining.with_project(c, known, "path").select("pair_key", "project")
+
+
+@query(_with("v_code") + r""", x AS (SELECT pair_key, regexp_extract_all(before_source, '[A-Za-z_]\w*|[{}();]') AS t FROM v_code)
+SELECT pair_key, len(t)::INT AS n, array_to_string(list_resize(t[1:24], 24, '<pad>'), ' ') AS padded FROM x""")
+def code_token_pad(spark, sf_dir):
+    t = T.code_tokens(F.col("before_source"), signs=True)
+    return view(spark, sf_dir, "v_code").select("pair_key", F.size(t).alias("n"), _join(T.padded(t, 24, F.lit("<pad>")), " ").alias("padded"))
+
+
 # ---- files ---------------------------------------------------------------------------------------------------------
 
 
@@ -804,6 +825,25 @@ def vector_bundle_file(spark, sf_dir):
     return back.select("vec_id", F.col("label").cast("int").alias("label"), F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+@query(_with("v_code") + "SELECT 'repo' AS section, repo AS name, count(*)::BIGINT AS n FROM v_code GROUP BY repo UNION ALL SELECT 'file', file_path, count(*)::BIGINT FROM v_code GROUP BY file_path")
+def report_file(spark, sf_dir):
+    c = view(spark, sf_dir, "v_code")
+    path = readers.scratch(spark, "report")
+    sections = {"repo": c.groupBy(F.col("repo").alias("name")), "file": c.groupBy(F.col("file_path").alias("name"))}
+    readers.write_report({k: g.agg(F.count("*").alias("n")) for k, g in sections.items()}, path)
+    back = [spark.read.schema("name string, n long").json(f"{path}/{k}").select(F.lit(k).alias("section"), "name", "n") for k in sections]
+    return readers.union_all(back)
+
+
+@query(_with("v_code") + "SELECT pair_key, CASE WHEN pair_key % 2 = 0 THEN repo END AS repo, CASE WHEN pair_key % 2 = 1 THEN template END AS template FROM v_code")
+def union_schema_file(spark, sf_dir):
+    c = view(spark, sf_dir, "v_code")
+    even, odd = readers.scratch(spark, "even"), readers.scratch(spark, "odd")
+    readers.write_csv(c.filter("pair_key % 2 = 0"), even, ["pair_key", "repo"])
+    readers.write_csv(c.filter("pair_key % 2 = 1"), odd, ["pair_key", "template"])
+    return readers.union_all([readers.code_csv(spark, even, "pair_key long, repo string"), readers.code_csv(spark, odd, "pair_key long, template int")])
+
+
 # ---- series --------------------------------------------------------------------------------------------------------
 
 # entries whose series are compared; the finding of entry e is static if e is even
