@@ -10,31 +10,52 @@ from pyspark.sql import functions as F
 
 from .functions import rules as R
 from .functions import stats
+from .functions import text as T
 from .operators import extraction, fusion, learning, mining, screening, validation, vectors
 from .sources import readers
 
 
 def mine(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Commits (commit_hash, repo, message, diff, files) to candidates."""
+    """Commits (commit_hash, repo, message, diff, files; parent_hash, author, date if known) to candidates.
+
+    Pull requests and issues are looked up by repository too where they name one. Labels of issues are carried; they are
+    a layer of signals only if asked for."""
+    key = ("repo", "commit_hash")
     commits = spark.read.parquet(a.commits).filter(F.size("files") > 0)
     commits = mining.allowed(commits, a.projects or [], "repo")
-    if a.pull_requests and not a.no_merge_filter:
-        commits = mining.merged_only(commits, spark.read.parquet(a.pull_requests))
+    commits = commits.withColumns({c: F.lit("") for c in ("parent_hash", "author", "date") if c not in commits.columns})
+    prs = spark.read.parquet(a.pull_requests) if a.pull_requests else None
+    pr_key = key if prs is not None and "repo" in prs.columns else "commit_hash"
+    if prs is not None and not a.no_merge_filter:
+        commits = mining.merged_only(commits, prs, key=pr_key)
     keywords, patterns = mining.rules_of(readers.taxonomy(spark, a.config)) if a.config else (R.KEYWORDS, R.DIFF_PATTERNS)
-    layers = [mining.keyword_signals(commits, "commit_hash", F.col("message"), 1, keywords), mining.keyword_signals(commits, "commit_hash", F.substring("diff", 1, 5000), 2, keywords), mining.diff_signals(commits, "commit_hash", patterns=patterns)]
-    found = mining.candidates(mining.strongest(readers.union_all(layers), "commit_hash"), "commit_hash")
-    found = mining.at_least(mining.class_filter(found, a.fault_filter), a.min_confidence).join(commits.select("commit_hash", "repo"), "commit_hash")
-    readers.write_report({"candidates": found, "summary": mining.repo_summary(found), "classes": mining.class_breakdown(found)}, a.output)
+    layers = [mining.keyword_signals(commits, key, F.col("message"), 1, keywords), mining.keyword_signals(commits, key, F.substring("diff", 1, 5000), 2, keywords), mining.diff_signals(commits, key, patterns=patterns)]
+    about = commits.select(*key, "parent_hash", "message", "author", "date", F.col("files").alias("changed_java_files"), mining.commit_link(F.col("repo"), F.col("commit_hash")).alias("commit_url"), T.issue_ids(F.col("message")).alias("issue_ids"))
+    if a.issues:
+        about = about.join(mining.with_issues(commits, key, F.col("message"), spark.read.parquet(a.issues)).select(*key, F.coalesce("labels", F.array().cast("array<string>")).alias("github_labels")), list(key))
+        if a.label_signals:
+            layers.append(mining.label_signals(about, key, keywords=keywords))
+    if prs is not None:
+        about = mining.with_pull_request(about, prs.filter("merged").drop("merged"), pr_key)
+    found = mining.candidates(mining.strongest(readers.union_all(layers), key), key)
+    found = mining.at_least(mining.class_filter(found, a.fault_filter), a.min_confidence)
+    found = found.withColumnsRenamed({"categories": "all_categories"}).withColumn("all_parents", F.col("parents")).join(about, list(key)).persist()
+    try:
+        readers.write_report({"candidates": found.drop("parents"), "summary": mining.repo_summary(found), "classes": mining.class_breakdown(found)}, a.output)
+    finally:
+        found.unpersist()
     return 0
 
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> int:
     """Candidates (JSON), contents (repo, revision, file_path, content) and diffs (repo, commit_hash, file_path, diff) to method pairs."""
     found = readers.json_rows(spark, a.candidates, "candidates", readers.CANDIDATE)
-    missing = {c: F.lit("") for c in ("pr_url", "pr_title") if c not in found.columns}
-    pairs = extraction.method_pairs(found.withColumns(missing) if missing else found, spark.read.parquet(a.contents), spark.read.parquet(a.diffs)).persist()
-    readers.write_report({"pairs": pairs, "metadata": extraction.report(pairs, a.max_tokens), "counts": extraction.counts(pairs)}, a.output)
-    readers.write_csv(pairs, f"{a.output}/csv", ["pair_id", "repo", "commit_hash", "file_path", "class_name", "method_name", "fault_category", "candidate_parents", "confidence", "before_source", "after_source", "pr_details", "pr_number", "pr_url"])
+    pairs = extraction.method_pairs(found, spark.read.parquet(a.contents), spark.read.parquet(a.diffs), scopes=not a.by_line).persist()
+    try:
+        readers.write_report({"pairs": pairs, "metadata": extraction.report(pairs, a.max_tokens), "counts": extraction.counts(pairs)}, a.output)
+        readers.write_csv(pairs, f"{a.output}/csv", ["pair_id", "repo", "commit_hash", "file_path", "class_name", "method_name", "fault_category", "candidate_parents", "confidence", "before_source", "after_source", "pr_details", "pr_number", "pr_url", "commit_url", "pr_title"])
+    finally:
+        pairs.unpersist()
     return 0
 
 
@@ -128,9 +149,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--output", required=True)
 
     need = {"required": True}
-    add(mine, commits=need, config={}, pull_requests={}, projects={"nargs": "*"}, min_confidence={"default": "low", "choices": mining.CONFIDENCES}, fault_filter={"default": "all"}, no_merge_filter={"action": "store_true"})
+    add(mine, commits=need, config={}, pull_requests={}, issues={}, label_signals={"action": "store_true"}, projects={"nargs": "*"}, min_confidence={"default": "low", "choices": mining.CONFIDENCES}, fault_filter={"default": "all"}, no_merge_filter={"action": "store_true"})
     add(detect, method_pairs=need)
-    add(extract, candidates=need, contents=need, diffs=need, max_tokens={"type": int, "default": extraction.MAX_TOKENS})
+    add(extract, candidates=need, contents=need, diffs=need, by_line={"action": "store_true"}, max_tokens={"type": int, "default": extraction.MAX_TOKENS})
     add(validate, finalize_annotations={}, series=need, kind={"choices": ("lock", "memory", "resource"), "required": True}, findings={})
     add(classify, embeddings=need, clf={"default": "forest", "choices": learning.CLASSIFIERS}, k={"type": int, "default": vectors.K}, tau={"type": float, "default": vectors.TAU}, seed={"type": int, "default": 42}, train_ratio={"type": float, "default": 0.9}, lopo={"action": "store_true"}, compare={"action": "store_true"}, model_out={})
     add(baselines, embeddings=need, extra_embeddings={"nargs": "*"}, code={}, findings={}, k={"type": int, "default": vectors.K}, seed={"type": int, "default": 42}, train_ratio={"type": float, "default": 0.9})

@@ -28,28 +28,31 @@ def at_revision(files: DataFrame, contents: DataFrame, revision: str, name: str)
     return out.select(*[files[x] for x in files.columns], F.coalesce("c_", F.lit("")).alias(name))
 
 
-def method_pairs(candidates: DataFrame, contents: DataFrame, diffs: DataFrame) -> DataFrame:
+def method_pairs(candidates: DataFrame, contents: DataFrame, diffs: DataFrame, scopes: bool = False) -> DataFrame:
     """The pairs of a method before and after a commit. candidates: repo, commit_hash, parent_hash, changed_java_files,
-    all_categories, all_parents, is_multi_fault, confidence, pr_number, pr_url, pr_title; contents: repo, revision, file_path,
+    all_categories, all_parents, is_multi_fault, confidence, pr_number, pr_url, pr_title, commit_url (if there is one); contents: repo, revision, file_path,
     content; diffs: repo, commit_hash, file_path, diff.
 
-    A file without content on either side, or without hunks, has no pairs. Contents are read by two joins; what
+    A file without content on either side, or without hunks, has no pairs. Methods are split by the scopes that braces
+    open (``scopes``), which tells their class, or by declaring lines, which leaves it Unknown. Contents are read by two joins; what
     follows stays with the file."""
+    split = T.scoped_methods if scopes else T.methods
     files = candidates.select("repo", "commit_hash", "parent_hash", F.explode("changed_java_files").alias("file_path"))
     files = at_revision(at_revision(files, contents, "parent_hash", "old"), contents, "commit_hash", "new").filter("old != '' AND new != ''")
-    hunks = diffs.select("commit_hash", "file_path", F.explode(T.hunks(F.col("diff"))).alias("h")).select("commit_hash", "file_path", "h.*")
+    hunks = diffs.select("repo", "commit_hash", "file_path", F.explode(T.hunks(F.col("diff"))).alias("h")).select("repo", "commit_hash", "file_path", "h.*")
 
     def side(column: str) -> DataFrame:
-        return files.select("repo", "commit_hash", "file_path", F.explode(T.methods(F.col(column))).alias("m")).select("repo", "commit_hash", "file_path", "m.*")
+        return files.select("repo", "commit_hash", "file_path", F.explode(split(F.col(column))).alias("m")).select("repo", "commit_hash", "file_path", "m.*")
 
     m = fusion.matched_methods(side("old"), side("new"), hunks)
-    m = m.select(T.pair_id(F.col("repo"), F.col("commit_hash"), F.col("file_path"), F.col("signature")).alias("pair_id"), "repo", "commit_hash", "file_path", F.col("name").alias("method_name"), F.lit("Unknown").alias("class_name"), "before_source", "after_source",
+    m = m.select(T.pair_id(F.col("repo"), F.col("commit_hash"), F.col("file_path"), F.col("signature")).alias("pair_id"), "repo", "commit_hash", "file_path", F.col("name").alias("method_name"), "class_name", "before_source", "after_source",
                  F.col("start_line").alias("before_line_start"), F.col("end_line").alias("before_line_end"), F.col("after_start").alias("after_line_start"), F.col("after_end").alias("after_line_end"))
     m = m.withColumn("before_token_count", T.token_count(F.col("before_source"))).withColumn("after_token_count", T.token_count(F.col("after_source")))
-    c = candidates.select("repo", "commit_hash", F.col("all_categories").alias("candidate_categories"), F.col("all_parents").alias("candidate_parents"), F.col("is_multi_fault").alias("m_"), "confidence", "pr_number", *[F.coalesce(x, F.lit("")).alias(x) for x in ("pr_url", "pr_title")])
+    c = candidates.select("repo", "commit_hash", F.col("all_categories").alias("candidate_categories"), F.col("all_parents").alias("candidate_parents"), F.col("is_multi_fault").alias("m_"), F.coalesce("confidence", F.lit("low")).alias("confidence"), F.coalesce(F.col("pr_number").cast("string"), F.lit("")).alias("pr_number"), *[F.coalesce(x, F.lit("")).alias(x) for x in ("pr_url", "pr_title")],
+                          mining.commit_link(F.col("repo"), F.col("commit_hash"), F.col("commit_url") if "commit_url" in candidates.columns else None).alias("commit_url"))
     out = fusion.rule_hits(m.join(c, ["repo", "commit_hash"]))
     out = out.withColumn("is_multi_fault", F.coalesce("m_", F.lit(False)) | (F.size("multi_fault_signals") > 0)).drop("m_").withColumnRenamed("detected", "detected_fault_categories")
-    return out.withColumn("fault_category", fusion.paper_label("detected_fault_categories")).withColumn("pr_details", mining.traceability(F.col("repo"), F.col("commit_hash")))
+    return out.withColumn("fault_category", fusion.paper_label("detected_fault_categories")).withColumn("pr_details", mining.traceability(F.col("repo"), F.col("commit_hash"), given=F.col("commit_url")))
 
 
 def report(pairs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:

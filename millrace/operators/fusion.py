@@ -106,23 +106,29 @@ def expected_ranges(fused: DataFrame, expected: DataFrame) -> DataFrame:
     return e.join(counts, "alias", "left").select("alias", found.alias("found"), found.between(F.col("lo"), F.col("hi")).alias("in_range"))
 
 
-def matched_methods(before: DataFrame, after: DataFrame, hunks: DataFrame) -> DataFrame:
+#: What tells a file of a commit; a fork has the hashes of its origin.
+FILE = ("repo", "commit_hash", "file_path")
+
+
+def matched_methods(before: DataFrame, after: DataFrame, hunks: DataFrame, file: tuple[str, ...] = FILE) -> DataFrame:
     """Methods of both sides with one signature (the last of several wins) whose text changed and that a hunk touches.
 
-    before, after: commit_hash, file_path, signature, start_line, end_line, source; hunks: commit_hash, file_path,
-    old_start, old_count, new_start, new_count."""
+    before, after: the columns of ``file``, signature, start_line, end_line, source; hunks: the columns of ``file``,
+    old_start, old_count, new_start, new_count. Other columns are those of the side before."""
+    keys = [*file, "signature"]
 
     def last(d: DataFrame) -> DataFrame:
-        w = W.partitionBy("commit_hash", "file_path", "signature").orderBy(F.desc("start_line"))
+        w = W.partitionBy(*keys).orderBy(F.desc("start_line"))
         return d.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
     def touched(d: DataFrame, start: str, count: str) -> DataFrame:
-        h = hunks.select(F.col("commit_hash").alias("c_"), F.col("file_path").alias("f_"), F.col(start).alias("s_"), (F.col(start) + F.col(count) - 1).alias("e_"))
-        on = (d.commit_hash == h.c_) & (d.file_path == h.f_) & (d.start_line <= h.e_) & (d.end_line >= h.s_)
-        return d.join(h, on, "left_semi").select("commit_hash", "file_path", "signature")
+        h = hunks.select(*[F.col(c).alias(f"{c}_") for c in file], F.col(start).alias("s_"), (F.col(start) + F.col(count) - 1).alias("e_"))
+        on = (d.start_line <= h.e_) & (d.end_line >= h.s_)
+        for c in file:
+            on = on & (d[c] == h[f"{c}_"])
+        return d.join(h, on, "left_semi").select(*keys)
 
     b, a = last(before), last(after)
-    keys = ["commit_hash", "file_path", "signature"]
     hit = touched(b, "old_start", "old_count").union(touched(a, "new_start", "new_count")).distinct()
     right = a.select(*keys, F.col("source").alias("after_source"), F.col("start_line").alias("after_start"), F.col("end_line").alias("after_end"))
     both = b.withColumnRenamed("source", "before_source").join(right, keys).join(hit, keys, "left_semi")

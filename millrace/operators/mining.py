@@ -37,14 +37,29 @@ def plausible(both: Column, category: Column) -> Column:
     return F.coalesce(*[F.when(category == c, R.any_of(F.contains(both, F.lit(w)) for w in ws)) for c, ws in R.PLAUSIBLE.items()], F.lit(False))
 
 
-def keyword_signals(df: DataFrame, key: str, text: Column, layer: int, keywords=R.KEYWORDS) -> DataFrame:
-    """key, category, source, layer, evidence: a row for each category of which keywords occur (case is ignored)."""
+def keys_of(key: str | tuple[str, ...]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def keyword_hits(text: Column, keywords=R.KEYWORDS) -> Column:
+    """struct(category, evidence) of each category of which keywords occur (case is ignored)."""
     groups: dict[str, list[str]] = {}
     for c, _, p in keywords:
         groups.setdefault(c, []).append(p)
     found = [F.struct(F.lit(c).alias("category"), F.filter(F.array(*[F.when(R.has(text, p, "i"), F.lit(p)) for p in ps]), lambda x: x.isNotNull()).alias("evidence")) for c, ps in groups.items()]
-    rows = df.select(key, F.explode(F.filter(F.array(*found), lambda x: F.size(x["evidence"]) > 0)).alias("x"))
-    return rows.select(key, "x.category", F.lit("keyword").alias("source"), F.lit(layer).alias("layer"), F.array_join("x.evidence", "|").alias("evidence"))
+    return F.filter(F.array(*found), lambda x: F.size(x["evidence"]) > 0)
+
+
+def keyword_signals(df: DataFrame, key: str | tuple[str, ...], text: Column, layer: int, keywords=R.KEYWORDS, source: str = "keyword") -> DataFrame:
+    """key, category, source, layer, evidence: a row for each category of which keywords occur (case is ignored)."""
+    key = keys_of(key)
+    rows = df.select(*key, F.explode(keyword_hits(text, keywords)).alias("x"))
+    return rows.select(*key, "x.category", F.lit(source).alias("source"), F.lit(layer).alias("layer"), F.array_join("x.evidence", "|").alias("evidence"))
+
+
+def label_signals(df: DataFrame, key: str | tuple[str, ...], labels: str = "github_labels", layer: int = 4, keywords=R.KEYWORDS) -> DataFrame:
+    """Signals of the labels of issues that a commit names: keywords in any of them."""
+    return keyword_signals(df, key, F.array_join(labels, "\n"), layer, keywords, "github")
 
 
 def rules_of(taxonomy: DataFrame) -> tuple[list[tuple], list[tuple]]:
@@ -64,33 +79,36 @@ def rules_of(taxonomy: DataFrame) -> tuple[list[tuple], list[tuple]]:
     return keywords, patterns
 
 
-def diff_signals(df: DataFrame, key: str, diff: str = "diff", layer: int = 3, patterns=R.DIFF_PATTERNS) -> DataFrame:
+def diff_signals(df: DataFrame, key: str | tuple[str, ...], diff: str = "diff", layer: int = 3, patterns=R.DIFF_PATTERNS) -> DataFrame:
     """Structural signals: patterns on both sides of a diff, or two or more on one side (partial)."""
-    d = df.select(key, F.array_join(side(F.col(diff), "-"), "\n").alias("gone"), F.array_join(side(F.col(diff), "+"), "\n").alias("come"))
+    key = keys_of(key)
+    d = df.select(*key, F.array_join(side(F.col(diff), "-"), "\n").alias("gone"), F.array_join(side(F.col(diff), "+"), "\n").alias("come"))
     groups: dict[str, list[tuple[str, str, str]]] = {}
     for c, _, s, p, *flags in patterns:
         groups.setdefault(c, []).append((s, p, flags[0] if flags else "ms"))
     found = [F.struct(F.lit(c).alias("category"), F.filter(F.array(*[F.when(R.has("gone" if s == "before" else "come", p, f), F.lit(f"{s}:{p}")) for s, p, f in ps]), lambda x: x.isNotNull()).alias("evidence")) for c, ps in groups.items()]
-    rows = d.select(key, F.explode(F.array(*found)).alias("x")).select(key, "x.category", "x.evidence")
+    rows = d.select(*key, F.explode(F.array(*found)).alias("x")).select(*key, "x.category", "x.evidence")
     both = F.exists("evidence", lambda e: e.startswith("before:")) & F.exists("evidence", lambda e: e.startswith("after:"))
     kind = F.when(both, "structural").when(F.size("evidence") >= 2, "structural_partial")
-    return rows.select(key, "category", kind.alias("source"), F.lit(layer).alias("layer"), F.array_join("evidence", "|").alias("evidence")).filter("source IS NOT NULL")
+    return rows.select(*key, "category", kind.alias("source"), F.lit(layer).alias("layer"), F.array_join("evidence", "|").alias("evidence")).filter("source IS NOT NULL")
 
 
-def strongest(signals: DataFrame, key: str) -> DataFrame:
+def strongest(signals: DataFrame, key: str | tuple[str, ...]) -> DataFrame:
     """One signal for each commit and category: by priority, then the earliest layer."""
     rank = F.coalesce(*[F.when(F.col("source") == s, p) for s, p in PRIORITY.items()], F.lit(0))
-    w = W.partitionBy(key, "category").orderBy(rank.desc(), F.col("layer"))
+    w = W.partitionBy(*keys_of(key), "category").orderBy(rank.desc(), F.col("layer"))
     return signals.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
-def candidates(signals: DataFrame, key: str) -> DataFrame:
-    """A row for each commit with its categories, parents and confidence."""
+def candidates(signals: DataFrame, key: str | tuple[str, ...]) -> DataFrame:
+    """A row for each commit with its categories, parents and confidence. Forks share hashes, so that over several repositories
+    the key is (repo, commit_hash)."""
+    key = keys_of(key)
 
     def any_source(s: str) -> Column:
         return F.bool_or(F.col("source") == s)
 
-    g = signals.groupBy(key).agg(
+    g = signals.groupBy(*key).agg(
         F.array_sort(F.collect_set("category")).alias("categories"),
         F.array_sort(F.collect_set(F.substring_index("category", ".", 1))).alias("parents"),
         F.count("*").cast("int").alias("signal_count"),
@@ -100,7 +118,7 @@ def candidates(signals: DataFrame, key: str) -> DataFrame:
     )
     high = F.col("st") & F.col("kw") & (F.col("gh") | (F.col("signal_count") >= 4))
     medium = F.col("kw") & (F.col("st") | F.col("gh"))
-    return g.select(key, "categories", "parents", (F.size("parents") >= 2).alias("is_multi_fault"), F.size("categories").alias("fault_count"), "signal_count", F.when(high, "high").when(medium, "medium").otherwise("low").alias("confidence"))
+    return g.select(*key, "categories", "parents", (F.size("parents") >= 2).alias("is_multi_fault"), F.size("categories").alias("fault_count"), "signal_count", F.when(high, "high").when(medium, "medium").otherwise("low").alias("confidence"))
 
 
 def parse_class_filter(raw: str) -> tuple[tuple[str, ...], bool]:
@@ -156,29 +174,42 @@ def repo_breakdown(df: DataFrame, repo: str = "repo") -> DataFrame:
     return rows.groupBy(repo, "x.kind", "x.name").agg(F.count("*").alias("n"))
 
 
-def with_issues(df: DataFrame, key: str, text: Column, issues: DataFrame) -> DataFrame:
+def with_issues(df: DataFrame, key: str | tuple[str, ...], text: Column, issues: DataFrame) -> DataFrame:
     """key, n_ids and the labels of the issues that a message names, duplicates kept; ids that aren't known add none."""
-    ids = df.select(key, F.explode_outer(issue_ids(text)).alias("issue_id"))
+    key = keys_of(key)
+    ids = df.select(*key, F.explode_outer(issue_ids(text)).alias("issue_id"))
     hit = ids.join(issues, "issue_id", "left")
-    return hit.groupBy(key).agg(F.count("issue_id").cast("int").alias("n_ids"), F.array_sort(F.flatten(F.collect_list("labels"))).alias("labels"))
+    return hit.groupBy(*key).agg(F.count("issue_id").cast("int").alias("n_ids"), F.array_sort(F.flatten(F.collect_list("labels"))).alias("labels"))
 
 
-def with_pull_request(df: DataFrame, prs: DataFrame, key: str = "commit_hash") -> DataFrame:
-    """Left lookup; absent gives a null number and empty texts."""
-    out = df.join(prs, key, "left")
-    return out.select(*df.columns, "pr_number", *[F.coalesce(c, F.lit("")).alias(c) for c in ("pr_url", "pr_title")])
+def with_pull_request(df: DataFrame, prs: DataFrame, key: str | tuple[str, ...] = "commit_hash") -> DataFrame:
+    """Left lookup; absent gives a null number and empty texts. The body, if there is one, is cut to its first 300 characters."""
+    out = df.join(prs, keys_of(key), "left")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("pr_url", "pr_title")]
+    if "pr_body" in prs.columns:
+        texts.append(F.substring(F.coalesce("pr_body", F.lit("")), 1, 300).alias("pr_body_snippet"))
+    return out.select(*df.columns, "pr_number", *texts)
 
 
-def merged_only(df: DataFrame, prs: DataFrame, active: bool = True, key: str = "commit_hash") -> DataFrame:
+def merged_only(df: DataFrame, prs: DataFrame, active: bool = True, key: str | tuple[str, ...] = "commit_hash") -> DataFrame:
     """Commits of merged pull requests; all of them if the filter is off or no pull request is merged."""
-    merged = prs.filter("merged").select(key).distinct()
-    return df if not active or merged.isEmpty() else df.join(merged, key, "left_semi")
+    merged = prs.filter("merged").select(*keys_of(key)).distinct()
+    return df if not active or merged.isEmpty() else df.join(merged, keys_of(key), "left_semi")
+
+
+def commit_link(repo: Column, commit: Column, given: Column | None = None) -> Column:
+    """The address of a commit: the given one, else made from the names."""
+    made = F.concat(F.lit("https://github.com/"), repo, F.lit("/commit/"), commit)
+    return made if given is None else F.coalesce(F.nullif(given, F.lit("")), made)
 
 
-def traceability(repo: Column, commit: Column, number: str = "pr_number", title: str = "pr_title", url: str = "pr_url") -> Column:
-    link = F.concat(F.lit("https://github.com/"), repo, F.lit("/commit/"), commit)
-    pr = F.concat(F.lit("PR #"), F.col(number).cast("string"), F.lit(" · "), F.substring(title, 1, 80), F.lit(" | PR: "), F.col(url), F.lit(" | Commit: "), link)
-    return F.when(F.col(number).isNotNull(), pr).otherwise(F.concat(F.lit("Commit: "), link))
+def traceability(repo: Column, commit: Column, number: str = "pr_number", title: str = "pr_title", url: str = "pr_url", given: Column | None = None) -> Column:
+    """What leads from a pair to its pull request and commit; without a number or an address of the request, to the commit alone."""
+    link = commit_link(repo, commit, given)
+    n, u = F.coalesce(F.col(number).cast("string"), F.lit("")), F.coalesce(F.col(url), F.lit(""))
+    head = F.substring(F.coalesce(F.col(title), F.lit("")), 1, 80)
+    pr = F.concat(F.lit("PR #"), n, F.when(head != "", F.concat(F.lit(" · "), head)).otherwise(""), F.lit(" | PR: "), u, F.lit(" | Commit: "), link)
+    return F.when((n != "") & (u != ""), pr).otherwise(F.concat(F.lit("Commit: "), link))
 
 
 def with_project(df: DataFrame, projects: DataFrame, path: str = "repo") -> DataFrame:

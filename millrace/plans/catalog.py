@@ -339,11 +339,16 @@ def merged_only(spark, sf_dir):
     return mining.merged_only(view(spark, sf_dir, "v_msg"), _prs(spark, sf_dir)).select("doc_id")
 
 
-@query(_with("v_msg") + f"""SELECT doc_id, CASE WHEN pr_number IS NOT NULL THEN 'PR #' || pr_number::VARCHAR || ' · ' || substr(pr_title, 1, 80) || ' | PR: ' || pr_url || ' | Commit: ' ELSE 'Commit: ' END || 'https://github.com/' || repo || '/commit/' || commit_hash AS details
+@query(_with("v_msg") + f"""SELECT doc_id, CASE WHEN pr_number % 7 <> 0 THEN 'PR #' || pr_number::VARCHAR || CASE WHEN pr_number % 5 = 0 THEN '' ELSE ' · ' || substr(pr_title, 1, 80) END || ' | PR: ' || pr_url || ' | Commit: ' ELSE 'Commit: ' END
+  || CASE WHEN doc_id % 4 = 1 THEN 'https://example.org/c/' || commit_hash ELSE 'https://github.com/' || repo || '/commit/' || commit_hash END AS details
 FROM v_msg LEFT JOIN ({PRS}) p USING (commit_hash)""")
 def pr_details(spark, sf_dir):
-    d = mining.with_pull_request(view(spark, sf_dir, "v_msg"), _prs(spark, sf_dir))
-    return d.select("doc_id", mining.traceability(F.col("repo"), F.col("commit_hash")).alias("details"))
+    """Some requests have no title, some no address, and some commits a link of their own."""
+    prs = _prs(spark, sf_dir)
+    prs = prs.withColumns({"pr_title": F.when(F.col("pr_number") % 5 != 0, F.col("pr_title")), "pr_url": F.when(F.col("pr_number") % 7 != 0, F.col("pr_url"))})
+    d = mining.with_pull_request(view(spark, sf_dir, "v_msg"), prs)
+    link = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("https://example.org/c/"), "commit_hash")).otherwise("")
+    return d.select("doc_id", mining.traceability(F.col("repo"), F.col("commit_hash"), given=link).alias("details"))
 
 
 # ---- signals and candidates ----------------------------------------------------------------------------------------
@@ -520,7 +525,7 @@ def method_match_overlap(spark, sf_dir):
     c = view(spark, sf_dir, "v_code")
     start = (F.col("pair_key") % 3 + 1).cast("int")
     h = c.select("commit_hash", "file_path", start.alias("old_start"), F.lit(2).alias("old_count"), start.alias("new_start"), F.lit(2).alias("new_count"))
-    m = fusion.matched_methods(_methods(spark, sf_dir, "before_source"), _methods(spark, sf_dir, "after_source"), h)
+    m = fusion.matched_methods(_methods(spark, sf_dir, "before_source"), _methods(spark, sf_dir, "after_source"), h, ("commit_hash", "file_path"))
     return m.select("commit_hash", "signature", F.col("start_line").alias("before_start"), "after_start")
 
 
@@ -696,23 +701,34 @@ def finding_labels(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir):
-    """Commits, contents of both revisions (some of the old ones are missing) and diffs to method pairs."""
-    c = view(spark, sf_dir, "v_code")
+    """Commits, contents of both revisions (some of the old ones are missing) and diffs to method pairs. Some repositories have a fork, which
+    shares their hashes; some pull requests lack a title or an address, and some commits have a link of their own."""
+
+    def forked(d: DataFrame) -> DataFrame:
+        fork = d.filter("pair_key % 6 = 0").withColumn("repo", F.concat("repo", F.lit("-fork")))
+        return d.unionByName(fork)
+
+    c = forked(view(spark, sf_dir, "v_code"))
+    key = F.col("pair_key")
+    number, link = F.when(key % 2 == 0, key.cast("string")), F.when(key % 4 == 1, F.concat(F.lit("https://example.org/c/"), "commit_hash"))
+    request = (number.alias("pr_number"), F.when(key % 7 != 0, F.concat(F.lit("u"), number)).alias("pr_url"), F.when(key % 5 == 0, "").otherwise("t").alias("pr_title"), link.alias("commit_url"))
     old = F.concat(F.lit("p"), F.col("pair_key").cast("string"))
     none = F.array().cast("array<string>")
-    found = c.select("repo", "commit_hash", old.alias("parent_hash"), F.array("file_path").alias("changed_java_files"), none.alias("all_categories"), none.alias("all_parents"), (F.col("pair_key") % 5 == 0).alias("is_multi_fault"), F.lit("low").alias("confidence"), F.lit(None).cast("string").alias("pr_number"), F.lit("").alias("pr_url"), F.lit("").alias("pr_title"))
+    found = c.select("repo", "commit_hash", old.alias("parent_hash"), F.array("file_path").alias("changed_java_files"), none.alias("all_categories"), none.alias("all_parents"), (F.col("pair_key") % 5 == 0).alias("is_multi_fault"), F.lit("low").alias("confidence"), *request)
     contents = c.filter("pair_key % 13 != 0").select("repo", old.alias("revision"), "file_path", F.col("before_source").alias("content")).union(c.select("repo", "commit_hash", "file_path", "after_source"))
-    return extraction.method_pairs(found, contents, view(spark, sf_dir, "v_diff"))
+    return extraction.method_pairs(found, contents, forked(view(spark, sf_dir, "v_diff")))
 
 
-XT = _with("v_code", "v_diff") + RULED.removeprefix(_with("v_code")) + f", {HUNKS}, " + _methods_sql("before_source", "mb") + ", " + _methods_sql("after_source", "ma") + f""", xt AS (SELECT det.*, mb.signature, mb.name, mb.start_line AS bs, mb.end_line AS be, ma.start_line AS sa, ma.end_line AS ea, len(mf) > 0 OR det.pair_key % 5 = 0 AS multi
+XT0 = _with("v_code", "v_diff") + RULED.removeprefix(_with("v_code")) + f", {HUNKS}, " + _methods_sql("before_source", "mb") + ", " + _methods_sql("after_source", "ma") + f""", xt0 AS (SELECT det.*, mb.signature, mb.name, mb.start_line AS bs, mb.end_line AS be, ma.start_line AS sa, ma.end_line AS ea, len(mf) > 0 OR det.pair_key % 5 = 0 AS multi
   FROM mb JOIN ma USING (pair_key, signature) JOIN det USING (pair_key) WHERE det.pair_key % 13 <> 0 AND trim(before_source) <> trim(after_source)
   AND EXISTS (SELECT 1 FROM hunk h WHERE h.pair_key = mb.pair_key AND ((mb.start_line <= h.old_start + h.old_count - 1 AND mb.end_line >= h.old_start) OR (ma.start_line <= h.new_start + h.new_count - 1 AND ma.end_line >= h.new_start))))"""
+XT = XT0 + ", xt AS (SELECT * FROM xt0 UNION ALL SELECT * REPLACE (repo || '-fork' AS repo) FROM xt0 WHERE pair_key % 6 = 0)"
 XL = f", pl AS (SELECT *, {PAPER} AS l FROM xt)"
 
 
 @query(XT + XL + """ SELECT substr(sha256(repo || ':' || commit_hash || ':' || file_path || ':' || signature), 1, 16) AS pair_id, commit_hash, file_path, name AS method_name, bs AS before_line_start, be AS before_line_end, sa AS after_line_start, ea AS after_line_end, multi AS is_multi_fault,
-CASE WHEN len(l) > 0 THEN array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '+') ELSE coalesce(detected[1], 'UNKNOWN') END AS fault_category, 'Commit: https://github.com/' || repo || '/commit/' || commit_hash AS pr_details FROM pl""")
+CASE WHEN len(l) > 0 THEN array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '+') ELSE coalesce(detected[1], 'UNKNOWN') END AS fault_category, CASE WHEN pair_key % 2 = 0 AND pair_key % 7 <> 0 THEN 'PR #' || pair_key || CASE WHEN pair_key % 5 = 0 THEN '' ELSE ' · t' END || ' | PR: u' || pair_key || ' | Commit: ' ELSE 'Commit: ' END
+  || CASE WHEN pair_key % 4 = 1 THEN 'https://example.org/c/' || commit_hash ELSE 'https://github.com/' || repo || '/commit/' || commit_hash END AS pr_details FROM pl""")
 def extract_pairs(spark, sf_dir):
     return _extracted(spark, sf_dir).select("pair_id", "commit_hash", "file_path", "method_name", "before_line_start", "before_line_end", "after_line_start", "after_line_end", "is_multi_fault", "fault_category", "pr_details")
 
@@ -785,7 +801,7 @@ def commit_log_file(spark, sf_dir):
     return readers.commit_log(spark, path).select("commit_hash", "author", "message", "parent")
 
 
-@query(_with("v_msg") + "SELECT commit_hash, subject, sha256(rtrim(body, ' ')) AS body FROM v_msg")
+@query(_with("v_msg") + "SELECT commit_hash, subject, sha256(regexp_replace(body, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+\\z', '', 'g')) AS body FROM v_msg")
 def commit_record_file(spark, sf_dir):
     m = view(spark, sf_dir, "v_msg")
     path = readers.scratch(spark, "records")

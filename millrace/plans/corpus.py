@@ -56,7 +56,7 @@ CODE = f"""SELECT p_partkey AS pair_key, p_brand AS repo, 'c' || CAST(p_partkey
 MSG = f"""SELECT doc_id, 'c' || CAST(doc_id AS STRING) AS commit_hash, source AS repo, s || ' ' || CAST(doc_id AS STRING) AS subject, coalesce(text, '') AS body
   FROM documents JOIN (VALUES {_values(enumerate(MESSAGES))}) AS t(i, s) ON doc_id % {len(MESSAGES)} = i"""
 
-DIFF = f"""SELECT pair_key, commit_hash, file_path, '--- a/' || file_path || chr(10) || '+++ b/' || file_path || chr(10) || '@@ -' || CAST(pair_key % 90 + 1 AS STRING) || ',3 +' || CAST(pair_key % 90 + 1 AS STRING)
+DIFF = f"""SELECT pair_key, repo, commit_hash, file_path, '--- a/' || file_path || chr(10) || '+++ b/' || file_path || chr(10) || '@@ -' || CAST(pair_key % 90 + 1 AS STRING) || ',3 +' || CAST(pair_key % 90 + 1 AS STRING)
   || CASE WHEN pair_key % 3 = 0 THEN '' ELSE ',4' END || ' @@ class A ' || method_name || '(int x) {{' || chr(10) || '-' || replace(before_source, chr(10), chr(10) || '-') || chr(10) || '+' || replace(after_source, chr(10), chr(10) || '+')
   || CASE WHEN pair_key % 4 = 0 THEN chr(10) || '+++ b/README.md' || chr(10) || '@@ -1 +1 @@' || chr(10) || '+text' ELSE '' END AS diff FROM ({CODE}) AS code"""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 COMMIT = ("commit_hash", "author", "date", "message", "parents")
 PAIR = "pair_id string, repo string, commit_hash string, file_path string, method_name string, class_name string, before_source string, after_source string, before_line_start int, before_line_end int, after_line_start int, after_line_end int, structural_changes array<string>, detected_fault_categories array<string>, multi_fault_signals array<string>, pr_number string, pr_url string, commit_url string, pr_title string"
-CANDIDATE = "repo string, commit_hash string, parent_hash string, message string, author string, date string, changed_java_files array<string>, all_categories array<string>, all_parents array<string>, is_multi_fault boolean, confidence string, pr_number string"
+CANDIDATE = "repo string, commit_hash string, parent_hash string, message string, author string, date string, changed_java_files array<string>, all_categories array<string>, all_parents array<string>, is_multi_fault boolean, confidence string, github_labels array<string>, issue_ids array<string>, pr_number string, pr_url string, commit_url string, pr_title string"
 SUB = "struct<label:string,description:string,commit_keywords:array<string>,structural_patterns_before:array<string>,structural_patterns_after:array<string>,sub_patterns:map<string,struct<patterns_before:array<string>,patterns_after:array<string>>>>"
 
 
@@ -37,8 +37,9 @@ def commit_log(spark: SparkSession, path: str, separator: str = "|||") -> DataFr
 
 def commit_records(spark: SparkSession, path: str, end: str = "<<<END>>>", separator: str = "\x1f") -> DataFrame:
     """hash, subject, body of records closed by an end marker; a body may hold line ends."""
-    p = F.split(F.trim(F.regexp_replace("value", "^\\n+", "")), separator, 3)
-    return spark.read.option("lineSep", end).text(path).select(p.alias("p")).filter(F.size("p") >= 2).select(F.get("p", 0).alias("commit_hash"), F.get("p", 1).alias("subject"), F.coalesce(F.get("p", 2), F.lit("")).alias("body"))
+    p = F.split("value", separator, 3)
+    part = lambda i: F.regexp_replace(F.coalesce(F.get("p", i), F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "")
+    return spark.read.option("lineSep", end).text(path).select(p.alias("p")).filter(F.size("p") >= 2).select(part(0).alias("commit_hash"), part(1).alias("subject"), part(2).alias("body"))
 
 
 def taxonomy(spark: SparkSession, path: str) -> DataFrame:
@@ -57,8 +58,16 @@ def taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_rows(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
-    """The structs of an array field of a JSON document: 'candidates' or 'pairs'."""
-    return spark.read.schema(f"{field} array<struct<{', '.join(f'{a}:{b}' for a, b in (x.strip().split(' ', 1) for x in _fields(schema)))}>>").json(path, multiLine=True).select(F.inline(field))
+    """The structs of an array field of JSON documents ('candidates' or 'pairs'), or of JSON lines that hold one each, as
+    ``write_report`` writes them. Other input is an error; no lines at all are no rows."""
+    fields = [x.strip().split(" ", 1) for x in _fields(schema)]
+    head = spark.read.text(path).filter("trim(value) != ''").select(F.json_object_keys("value").alias("k")).head()
+    if head is None or field not in (head.k or ()) and {a for a, _ in fields} & set(head.k or ()):
+        return spark.read.schema(schema).json(path)
+    found = spark.read.schema(f"{field} array<struct<{', '.join(f'{a}:{b}' for a, b in fields)}>>").json(path, multiLine=True)
+    if found.filter(F.col(field).isNotNull()).isEmpty():
+        raise ValueError(f"{path} holds neither {field} nor lines with any of {', '.join(a for a, _ in fields)}")
+    return found.select(F.inline(field))
 
 
 def _fields(ddl: str) -> list[str]:

@@ -39,7 +39,7 @@ def test_hunks_of_no_lines_and_without_counts(spark):
     n = m.withColumn("source", F.lit("b"))
     for old, count, hit in ((2, 0, 0), (2, 1, 1), (1, 2, 1), (3, 1, 0)):
         h = spark.createDataFrame([("c", "f", old, count, 90, 1)], "commit_hash string, file_path string, old_start int, old_count int, new_start int, new_count int")
-        assert fusion.matched_methods(m, n, h).count() == hit
+        assert fusion.matched_methods(m, n, h, ("commit_hash", "file_path")).count() == hit
 
 
 def test_modified_files_only(spark):
