@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import rules as R
 from .functions import stats
 from .functions import text as T
-from .operators import extraction, fusion, learning, mining, screening, validation, vectors
+from .operators import extraction, fusion, learning, mining, rule_data, screening, validation, vectors
 from .sources import readers
 
 
@@ -28,8 +28,14 @@ def mine(spark: SparkSession, a: argparse.Namespace) -> int:
     pr_key = key if prs is not None and "repo" in prs.columns else "commit_hash"
     if prs is not None and not a.no_merge_filter:
         commits = mining.merged_only(commits, prs, key=pr_key)
-    keywords, patterns = mining.rules_of(readers.taxonomy(spark, a.config)) if a.config else (R.KEYWORDS, R.DIFF_PATTERNS)
-    layers = [mining.keyword_signals(commits, key, F.col("message"), 1, keywords), mining.keyword_signals(commits, key, F.substring("diff", 1, 5000), 2, keywords), mining.diff_signals(commits, key, patterns=patterns)]
+    head = F.substring("diff", 1, 5000)
+    if a.config and a.rules_as_data:
+        rules = rule_data.numbered(readers.taxonomy(spark, a.config))
+        layers = [rule_data.keyword_signals(commits, key, F.col("message"), 1, rules), rule_data.keyword_signals(commits, key, head, 2, rules), rule_data.diff_signals(commits, key, rules)]
+        keywords = R.KEYWORDS
+    else:
+        keywords, patterns = mining.rules_of(readers.taxonomy(spark, a.config)) if a.config else (R.KEYWORDS, R.DIFF_PATTERNS)
+        layers = [mining.keyword_signals(commits, key, F.col("message"), 1, keywords), mining.keyword_signals(commits, key, head, 2, keywords), mining.diff_signals(commits, key, patterns=patterns)]
     about = commits.select(*key, "parent_hash", "message", "author", "date", F.col("files").alias("changed_java_files"), mining.commit_link(F.col("repo"), F.col("commit_hash")).alias("commit_url"), T.issue_ids(F.col("message")).alias("issue_ids"))
     if a.issues:
         about = about.join(mining.with_issues(commits, key, F.col("message"), spark.read.parquet(a.issues)).select(*key, F.coalesce("labels", F.array().cast("array<string>")).alias("github_labels")), list(key))
@@ -47,6 +53,14 @@ def mine(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def repositories(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Commits (repo, commit_hash, parent_hash, subject, body, diff) and contents (repo, revision, file_path, content) to the methods that fixes changed."""
+    commits = mining.allowed(spark.read.parquet(a.commits), a.projects or [], "repo")
+    found = extraction.repository_pairs(commits, spark.read.parquet(a.contents))
+    readers.write_csv(found, a.output, list(extraction.MINED))
+    return 0
+
+
 def extract(spark: SparkSession, a: argparse.Namespace) -> int:
     """Candidates (JSON), contents (repo, revision, file_path, content) and diffs (repo, commit_hash, file_path, diff) to method pairs."""
     found = readers.json_rows(spark, a.candidates, "candidates", readers.CANDIDATE)
@@ -149,7 +163,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--output", required=True)
 
     need = {"required": True}
-    add(mine, commits=need, config={}, pull_requests={}, issues={}, label_signals={"action": "store_true"}, projects={"nargs": "*"}, min_confidence={"default": "low", "choices": mining.CONFIDENCES}, fault_filter={"default": "all"}, no_merge_filter={"action": "store_true"})
+    add(mine, commits=need, config={}, rules_as_data={"action": "store_true"}, pull_requests={}, issues={}, label_signals={"action": "store_true"}, projects={"nargs": "*"}, min_confidence={"default": "low", "choices": mining.CONFIDENCES}, fault_filter={"default": "all"}, no_merge_filter={"action": "store_true"})
+    add(repositories, commits=need, contents=need, projects={"nargs": "*"})
     add(detect, method_pairs=need)
     add(extract, candidates=need, contents=need, diffs=need, by_line={"action": "store_true"}, max_tokens={"type": int, "default": extraction.MAX_TOKENS})
     add(validate, finalize_annotations={}, series=need, kind={"choices": ("lock", "memory", "resource"), "required": True}, findings={})

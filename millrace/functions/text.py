@@ -195,8 +195,8 @@ def method_bodies(source: Column, names: Column) -> Column:
 
 
 # Words of a method's head that are no type or no name of one.
-_NO_TYPE = "public private protected static final abstract synchronized native strictfp default transient volatile sealed new return throw else case assert do yield instanceof package import".split()
-_NO_NAME = "if for while switch catch synchronized try return super this new throw assert".split()
+NO_TYPE = "public private protected static final abstract synchronized native strictfp default transient volatile sealed new return throw else case assert do yield instanceof package import".split()
+NO_NAME = "if for while switch catch synchronized try return super this new throw assert".split()
 #: Parts of a source: strings, characters and comments, arguments of annotations, and what stands between them. ``*+`` and ``++`` give nothing back.
 LEXEMES = (
     r'(?s)"""(?:[^"\\]++|\\.|"{1,2}(?!"))*+"""|"(?:[^"\\\n]++|\\.)*+"|'
@@ -267,7 +267,7 @@ def scoped_methods(source: Column) -> Column:
             kind, name = F.regexp_extract(before, TYPED_NAME, 1), F.regexp_extract(before, TYPED_NAME, 2)
             return F.struct(
                 F.right(x, F.lit(1)).alias("end"), _extent(x).alias("all"), _extent(F.regexp_extract(head, r"(?s)\A\s*", 0)).alias("lead"),
-                F.when(~kind.isin(*_NO_TYPE) & ~name.isin(*_NO_NAME), name).otherwise("").alias("name"), _extent(before).alias("before"), _extent(F.regexp_extract(head, METHOD_HEAD, 2)).alias("params"),
+                F.when(~kind.isin(*NO_TYPE) & ~name.isin(*NO_NAME), name).otherwise("").alias("name"), _extent(before).alias("before"), _extent(F.regexp_extract(head, METHOD_HEAD, 2)).alias("params"),
                 F.regexp_extract(head, CLASS_HEAD, 1).alias("kind"), F.regexp_extract(head, CLASS_HEAD, 2).alias("class"), head.rlike(OBJECT_HEAD).alias("object"), head.rlike(CONSTANT_HEAD).alias("constant"),
             )
 

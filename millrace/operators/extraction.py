@@ -55,6 +55,30 @@ def method_pairs(candidates: DataFrame, contents: DataFrame, diffs: DataFrame, s
     return out.withColumn("fault_category", fusion.paper_label("detected_fault_categories")).withColumn("pr_details", mining.traceability(F.col("repo"), F.col("commit_hash"), given=F.col("commit_url")))
 
 
+MINED = ("project", "commit_hash", "fault_category", "file_path", "method_name", "buggy_code", "fixed_code", "commit_message", "pr_labels")
+
+
+def repository_pairs(commits: DataFrame, contents: DataFrame) -> DataFrame:
+    """Methods that fixes of a fault class changed, as ``MINED``. commits: repo, commit_hash, parent_hash, subject, body, diff; contents: repo,
+    revision, file_path, content.
+
+    A commit counts if its message names a class and is not ruled out, and if it has a parent and a diff; a file, if both revisions have it and
+    hold one of the class's words; a method, if the diff names it and both revisions have a body of it, which differ. Messages are judged before
+    contents are joined; each content is folded once for all names."""
+    text = mining.message()
+    c = commits.select("repo", "commit_hash", "parent_hash", "subject", "diff", mining.stage1_category(text).alias("category"), mining.rejected(text).alias("rejected"))
+    c = c.filter("category IS NOT NULL AND NOT rejected AND coalesce(diff, '') != '' AND coalesce(parent_hash, '') != ''")
+    files = c.select("repo", "commit_hash", "parent_hash", F.coalesce("subject", F.lit("")).alias("subject"), "category", T.changed_methods(F.col("diff")).alias("names"), F.array_distinct(T.changed_files(F.col("diff"))).alias("paths"))
+    files = files.select("*", F.explode("paths").alias("file_path")).drop("paths")
+    files = at_revision(at_revision(files, contents, "parent_hash", "old"), contents, "commit_hash", "new")
+    files = files.filter((F.col("old") != "") & (F.col("new") != "") & mining.plausible(F.concat("old", "new"), F.col("category")))
+    bodies = files.select("*", T.method_bodies(F.col("old"), F.col("names")).alias("before"), T.method_bodies(F.col("new"), F.col("names")).alias("after"))
+    both = F.transform("before", lambda x: F.struct(x["name"].alias("name"), x["body"].alias("old"), F.get(F.filter("after", lambda y: y["name"] == x["name"]), F.lit(0))["body"].alias("new")))
+    bodies = bodies.select("repo", "commit_hash", "category", "file_path", "subject", F.filter(both, lambda x: x["old"] != x["new"]).alias("both"))
+    m = bodies.select("repo", "commit_hash", "category", "file_path", "subject", F.explode("both").alias("m"))
+    return m.select(F.col("repo").alias("project"), "commit_hash", F.col("category").alias("fault_category"), "file_path", F.col("m.name").alias("method_name"), F.col("m.old").alias("buggy_code"), F.col("m.new").alias("fixed_code"), F.col("subject").alias("commit_message"), F.lit("").alias("pr_labels"))
+
+
 def report(pairs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """One row: total_pairs, multi_fault_pairs, and how many have a side of more than ``max_tokens`` tokens; none is dropped."""
     long = (F.col("before_token_count") > max_tokens) | (F.col("after_token_count") > max_tokens)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import flow, stats
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import extraction, fusion, learning, mining, screening, validation, vectors
+from ..operators import extraction, fusion, learning, mining, rule_data, screening, validation, vectors
 from ..sources import readers
 from ..sources.readers import flat, table
 from ..streaming.screen import event_windows
@@ -407,6 +407,19 @@ def diff_signals(spark, sf_dir):
     return _signals(spark, sf_dir)[2]
 
 
+RULE_ROWS = r"""SELECT 'b.' || CAST(item_id % 7 AS STRING) AS category, 'keyword' AS kind, '' AS side, CAST(item_id AS INT) AS ordinal, regexp_extract(text, '[A-Za-z]{{3,}} [A-Za-z]{{3,}}', 0) || '[a-z]*( |$)' AS pattern
+  FROM {b} WHERE regexp_extract(text, '[A-Za-z]{{3,}} [A-Za-z]{{3,}}', 0) <> ''"""
+
+
+@query("WITH rules AS (" + RULE_ROWS.replace("{b}", "benchmark").replace("{{", "{").replace("}}", "}") + " UNION ALL SELECT category, 'keyword', '', ordinal, pattern FROM (VALUES " + ", ".join(f"('{c}', {i}, '{p}')" for c, i, p in R.KEYWORDS) + """) t(category, ordinal, pattern))
+SELECT doc_id, category, 'keyword' AS source, 1::INT AS layer, string_agg(pattern, '|' ORDER BY ordinal, pattern) AS evidence FROM documents, rules WHERE regexp_matches(text, '(?i)' || pattern) GROUP BY doc_id, category""")
+def rule_table_signals(spark, sf_dir):
+    """Rules that are rows: the built-in keywords and a phrase of every benchmark item."""
+    own = spark.createDataFrame(list(R.KEYWORDS), "category string, ordinal int, pattern string").selectExpr("category", "'keyword' AS kind", "'' AS side", "ordinal", "pattern")
+    rules = rule_data.numbered(own.unionByName(spark.sql(RULE_ROWS, b=table(spark, sf_dir, "benchmark"))))
+    return rule_data.keyword_signals(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 1, rules)
+
+
 @query(KW + KD + ST + BEST + " SELECT commit_hash, category, source, layer FROM best")
 def signal_dedupe(spark, sf_dir):
     a, b, c = _signals(spark, sf_dir)
@@ -489,8 +502,11 @@ def _names_sql(x: str, most: str) -> str:
     return f"list_transform(list_filter({found}, lambda y: y.n <> '' AND {most}), lambda y: y.n)"
 
 
-@query(_with("v_diff") + rf"""SELECT pair_key, array_to_string(list_sort(list_distinct(list_filter(list_concat(list_transform(list_filter({LINES}, lambda x: starts_with(x, '@@')), lambda x: regexp_extract_all(x, '{T.NAMED_BRACKET}', 1)[-1]),
-  list_filter(list_transform(list_filter({LINES}, lambda x: (starts_with(x, '+') AND NOT starts_with(x, '+++')) OR (starts_with(x, '-') AND NOT starts_with(x, '---'))), lambda x: {_names_sql('x', f"regexp_matches(y.r, '{T.MODIFIED}')")}[1]), lambda n: n NOT IN ('if', 'for', 'while', 'switch', 'catch'))), lambda n: n IS NOT NULL))), '|') AS methods FROM v_diff""")
+CHANGED = rf"""list_sort(list_distinct(list_filter(list_concat(list_transform(list_filter({LINES}, lambda x: starts_with(x, '@@')), lambda x: regexp_extract_all(x, '{T.NAMED_BRACKET}', 1)[-1]),
+  list_filter(list_transform(list_filter({LINES}, lambda x: (starts_with(x, '+') AND NOT starts_with(x, '+++')) OR (starts_with(x, '-') AND NOT starts_with(x, '---'))), lambda x: {_names_sql('x', f"regexp_matches(y.r, '{T.MODIFIED}')")}[1]), lambda n: n NOT IN ('if', 'for', 'while', 'switch', 'catch'))), lambda n: n IS NOT NULL)))"""
+
+
+@query(_with("v_diff") + f"SELECT pair_key, array_to_string({CHANGED}, '|') AS methods FROM v_diff")
 def changed_methods(spark, sf_dir):
     return view(spark, sf_dir, "v_diff").select("pair_key", _join(T.changed_methods(F.col("diff"))).alias("methods"))
 
@@ -516,6 +532,37 @@ def method_split(spark, sf_dir):
     return _methods(spark, sf_dir, "before_source").select("pair_key", "name", "signature", "start_line", "end_line")
 
 
+_LEX = r"""(?s)"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|@[\p{L}\p{N}_$.]+\s*\((?:[^()"'']|"(?:[^"\\\n]|\\.)*"|\([^()]*\))*\)|[^"''/@]+|."""
+_RE2 = {n: getattr(T, n).replace("*+", "*").replace("++", "+") for n in ("CLASS_HEAD", "OBJECT_HEAD", "CONSTANT_HEAD", "METHOD_HEAD", "TYPED_NAME")}
+_NOT_TYPES, _NOT_NAMES = (", ".join(f"'{w}'" for w in ws) for ws in (T.NO_TYPE, T.NO_NAME))
+#: The same by joins: pieces with their depth, the pieces that they stand in, kinds from outside in, and the brace that closes each.
+SCOPES = (
+    "WITH RECURSIVE v_file AS ("
+    + corpus.VIEWS["v_file"]
+    + rf"""), bare AS (SELECT pair_key, source, array_to_string(list_transform(regexp_extract_all(source, '{_LEX}'), lambda x: CASE WHEN regexp_matches(x, '^(?:"|''|//|/\*)') THEN regexp_replace(x, '[^\n]', ' ', 'g')
+  WHEN starts_with(x, '@') AND length(x) > 1 THEN regexp_extract(x, '^@[\p{{L}}\p{{N}}_$.]+') || repeat(' ', length(x) - length(regexp_extract(x, '^@[\p{{L}}\p{{N}}_$.]+'))) ELSE x END), '') AS b FROM v_file),
+p0 AS (SELECT pair_key, unnest(regexp_extract_all(b, '[^{{}};]*[{{}};]')) AS x, generate_subscripts(regexp_extract_all(b, '[^{{}};]*[{{}};]'), 1) AS i FROM bare),
+p1 AS (SELECT *, x[-1] AS t, x[:-2] AS h, sum(length(x)) OVER w AS upto, sum(CASE x[-1] WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w AS after FROM p0 WINDOW w AS (PARTITION BY pair_key ORDER BY i)),
+p2 AS (SELECT *, upto - length(x) AS pos, after - CASE t WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END AS depth, regexp_extract(h, '{_RE2["METHOD_HEAD"]}', 1) AS head FROM p1),
+p3 AS (SELECT *, CASE WHEN regexp_extract(head, '{_RE2["TYPED_NAME"]}', 1) NOT IN ({_NOT_TYPES}) AND regexp_extract(head, '{_RE2["TYPED_NAME"]}', 2) NOT IN ({_NOT_NAMES}) THEN regexp_extract(head, '{_RE2["TYPED_NAME"]}', 2) ELSE '' END AS name,
+  regexp_extract(h, '{_RE2["CLASS_HEAD"]}', 1) AS ck, regexp_extract(h, '{_RE2["CLASS_HEAD"]}', 2) AS cn FROM p2),
+p4 AS (SELECT s.*, (SELECT max(o.i) FROM p3 o WHERE o.pair_key = s.pair_key AND o.i < s.i AND o.t = '{{' AND o.depth = s.depth - 1) AS up FROM p3 s),
+k AS (SELECT p4.*, CASE WHEN ck <> '' THEN ck WHEN regexp_matches(h, '{_RE2["OBJECT_HEAD"]}') THEN 'object' ELSE 'block' END AS kind, CASE WHEN ck IN ('class', 'interface', 'enum') THEN cn ELSE 'Unknown' END AS owner, false AS member, 'Unknown' AS around FROM p4 WHERE up IS NULL
+  UNION ALL SELECT p4.*, CASE WHEN p4.ck <> '' THEN p4.ck WHEN p4.name <> '' AND k.kind IN ('class', 'interface', 'enum', 'record', 'object') THEN 'method'
+    WHEN regexp_matches(p4.h, '{_RE2["OBJECT_HEAD"]}') OR k.kind = 'enum' AND regexp_matches(p4.h, '{_RE2["CONSTANT_HEAD"]}') THEN 'object' ELSE 'block' END,
+    CASE WHEN p4.ck IN ('class', 'interface', 'enum') THEN p4.cn ELSE k.owner END, k.kind IN ('class', 'interface', 'enum', 'record', 'object'), k.owner FROM p4 JOIN k ON k.pair_key = p4.pair_key AND k.i = p4.up AND k.t = '{{'),
+e AS (SELECT *, CASE t WHEN ';' THEN upto ELSE (SELECT min(c.upto) FROM p3 c WHERE c.pair_key = k.pair_key AND c.i > k.i AND c.t = '}}' AND c.after = k.depth) END AS stop, pos + length(regexp_extract(h, '^\s*')) AS start FROM k WHERE (t = '{{' AND kind = 'method') OR (t = ';' AND member AND name <> '')),
+sm AS (SELECT pair_key, name, around AS class_name, around || '.' || name || substr(source, (pos + length(head) + 1)::BIGINT, length(regexp_extract(h, '{_RE2["METHOD_HEAD"]}', 2))) AS signature,
+  (length(source[:start]) - length(replace(source[:start], chr(10), '')) + 1)::INT AS start_line, (length(source[:stop]) - length(replace(source[:stop], chr(10), '')) + 1)::INT AS end_line, substr(source, (start + 1)::BIGINT, (stop - start)::BIGINT) AS body FROM e JOIN v_file USING (pair_key) WHERE stop IS NOT NULL)"""
+)
+
+
+@query(SCOPES + " SELECT pair_key, name, class_name, signature, start_line, end_line, sha256(body) AS body FROM sm")
+def scoped_methods(spark, sf_dir):
+    d = view(spark, sf_dir, "v_file").select("pair_key", F.explode(T.scoped_methods(F.col("source"))).alias("m"))
+    return d.select("pair_key", "m.name", "m.class_name", "m.signature", "m.start_line", "m.end_line", F.sha2("m.source", 256).alias("body"))
+
+
 MATCH = _with("v_code") + ", " + _methods_sql("before_source", "mb") + ", " + _methods_sql("after_source", "ma") + """, h AS (SELECT pair_key AS k, pair_key % 3 + 1 AS s, 2 AS n FROM v_code), x AS (SELECT mb.pair_key, signature, mb.start_line AS before_start, ma.start_line AS after_start FROM mb JOIN ma USING (pair_key, signature) JOIN v_code USING (pair_key)
   WHERE trim(before_source) <> trim(after_source) AND EXISTS (SELECT 1 FROM h WHERE k = mb.pair_key AND ((mb.start_line <= s + n - 1 AND mb.end_line >= s) OR (ma.start_line <= s + n - 1 AND ma.end_line >= s))))"""
 
@@ -743,6 +790,27 @@ def extract_counts(spark, sf_dir):
     return extraction.counts(_extracted(spark, sf_dir))
 
 
+def _bodies_sql(side: str, name: str) -> str:
+    """The first body of each method of nm in one side of v_code."""
+    return f"""{name}0 AS (SELECT pair_key, l, i, {_names_sql("l", "y.r <> ''")} AS said FROM (SELECT pair_key, unnest(string_split({side}, chr(10))) AS l, generate_subscripts(string_split({side}, chr(10)), 1) AS i FROM v_code)),
+{name}1 AS (SELECT pair_key, method, l, i, length(l) - length(replace(l, '{{', '')) - length(l) + length(replace(l, '}}', '')) AS d, min(CASE WHEN list_contains(said, method) THEN i END) OVER (PARTITION BY pair_key, method) AS b FROM nm JOIN {name}0 USING (pair_key)),
+{name}2 AS (SELECT *, sum(d) OVER (PARTITION BY pair_key, method ORDER BY i) AS depth FROM {name}1 WHERE i >= b), {name}3 AS (SELECT *, min(CASE WHEN i > b AND depth <= 0 THEN i END) OVER (PARTITION BY pair_key, method) AS e FROM {name}2),
+{name} AS (SELECT pair_key, method, string_agg(l, chr(10) ORDER BY i) AS body FROM {name}3 WHERE e IS NULL OR i <= e GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+@query(_with("v_msg", "v_code", "v_diff") + f""", nm AS (SELECT pair_key, unnest({CHANGED}) AS method FROM v_diff), {_bodies_sql("before_source", "bb")}, {_bodies_sql("after_source", "ba")},
+cm AS (SELECT commit_hash, subject, {STAGE1} AS category FROM v_msg WHERE NOT {REJECTED} AND doc_id % 9 <> 0)
+SELECT v_code.repo AS project, commit_hash, category AS fault_category, file_path, method AS method_name, bb.body AS buggy_code, ba.body AS fixed_code, subject AS commit_message, '' AS pr_labels
+FROM cm JOIN v_code USING (commit_hash) JOIN bb USING (pair_key) JOIN ba USING (pair_key, method) WHERE before_source <> '' AND after_source <> '' AND bb.body <> ba.body AND CASE category {' '.join(f"WHEN '{c}' THEN {_plausible_sql(c)}" for c in R.PLAUSIBLE)} ELSE false END""")
+def repository_pairs(spark, sf_dir):
+    """Commits without a parent are left out: every ninth."""
+    code, key = view(spark, sf_dir, "v_code"), F.col("pair_key").cast("string")
+    text = view(spark, sf_dir, "v_msg").select("commit_hash", "doc_id", "subject", "body")
+    commits = view(spark, sf_dir, "v_diff").join(text, "commit_hash").withColumn("parent_hash", F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("p"), key)))
+    contents = code.select("repo", F.concat(F.lit("p"), key).alias("revision"), "file_path", F.col("before_source").alias("content")).union(code.select("repo", "commit_hash", "file_path", "after_source"))
+    return extraction.repository_pairs(commits, contents)
+
+
 @query(_with("v_diff") + "SELECT pair_key, CASE WHEN pair_key % 4 = 1 THEN '' ELSE file_path END AS files FROM v_diff")
 def changed_file_scan(spark, sf_dir):
     d = view(spark, sf_dir, "v_diff").withColumn("parent_hash", F.when(F.col("pair_key") % 4 != 1, "p"))

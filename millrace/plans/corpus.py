@@ -56,6 +56,15 @@ CODE = f"""SELECT p_partkey AS pair_key, p_brand AS repo, 'c' || CAST(p_partkey
 MSG = f"""SELECT doc_id, 'c' || CAST(doc_id AS STRING) AS commit_hash, source AS repo, s || ' ' || CAST(doc_id AS STRING) AS subject, coalesce(text, '') AS body
   FROM documents JOIN (VALUES {_values(enumerate(MESSAGES))}) AS t(i, s) ON doc_id % {len(MESSAGES)} = i"""
 
+#: Files of nested scopes around a method, with braces in strings, characters, comments and annotations.
+FILE = f"""SELECT pair_key, repo, commit_hash, file_path, 'package p; import java.util.*;' || chr(10) || '@Doc("}}") public class A' || CAST(pair_key % 5 AS STRING) || '<T extends B<T>> {{' || chr(10)
+  || '  String s = "}}{{ class X {{ void no() {{ }} }}"; // }} {{ int not() {{' || chr(10) || '  char c = ' || chr(39) || '}}' || chr(39) || '; int[] a = {{1, 2}}; /* }} void gone() {{' || chr(10) || ' */' || chr(10)
+  || '  public A' || CAST(pair_key % 5 AS STRING) || '(int x) {{ super(x); }}' || chr(10) || '  @Note({{"a", "b)"}})' || chr(10) || before_source || chr(10)
+  || CASE pair_key % 4 WHEN 0 THEN '  interface I {{ void q(int y) throws E; default int w() {{ return 1; }} }}' WHEN 1 THEN '  enum C {{ RED(1) {{ int tint() {{ return 2; }} }}, BLUE; C(int r) {{ }} int base() {{ return 0; }} }}'
+     WHEN 2 THEN '  Object late(@Named("(") Map<String, List<A>> in) {{ if (x) {{ go(in); }} return new Foo<A>(1) {{ public String name() {{ return "{{"; }} }}; }}'
+     ELSE '  static class N {{ class O {{ int deep()[] {{ return null; }} }} record P(int z) {{ <Q> int sum() {{ return z; }} }} @interface J {{ int v(); }} }}' END
+  || chr(10) || CASE WHEN pair_key % 7 = 0 THEN '  void open() {{' ELSE '}}' END AS source FROM ({CODE}) AS code"""
+
 DIFF = f"""SELECT pair_key, repo, commit_hash, file_path, '--- a/' || file_path || chr(10) || '+++ b/' || file_path || chr(10) || '@@ -' || CAST(pair_key % 90 + 1 AS STRING) || ',3 +' || CAST(pair_key % 90 + 1 AS STRING)
   || CASE WHEN pair_key % 3 = 0 THEN '' ELSE ',4' END || ' @@ class A ' || method_name || '(int x) {{' || chr(10) || '-' || replace(before_source, chr(10), chr(10) || '-') || chr(10) || '+' || replace(after_source, chr(10), chr(10) || '+')
   || CASE WHEN pair_key % 4 = 0 THEN chr(10) || '+++ b/README.md' || chr(10) || '@@ -1 +1 @@' || chr(10) || '+text' ELSE '' END AS diff FROM ({CODE}) AS code"""
@@ -71,4 +80,4 @@ BENCH = """SELECT l_partkey AS entry, CASE WHEN l_linenumber % 2 = 1 THEN 'buggy
   row_number() OVER (PARTITION BY l_partkey, l_linenumber % 2 ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS ordinal,
   l_quantity * CASE WHEN l_linenumber % 2 = 0 AND l_partkey % 3 = 0 THEN 3.0 ELSE 1.0 END AS value FROM lineitem"""
 
-VIEWS = {"v_code": CODE, "v_msg": MSG, "v_diff": DIFF, "v_series": SERIES, "v_bench": BENCH}
+VIEWS = {"v_code": CODE, "v_msg": MSG, "v_diff": DIFF, "v_file": FILE, "v_series": SERIES, "v_bench": BENCH}

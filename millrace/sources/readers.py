@@ -140,7 +140,7 @@ def flat(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    flat(df, columns).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    flat(df, columns).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
