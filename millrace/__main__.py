@@ -102,7 +102,7 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def classify(spark: SparkSession, a: argparse.Namespace) -> int:
     """Vectors (vec_id, embedding, label) to metrics on a held-out split, and by project if asked for."""
-    v = vectors.labelled(spark.read.parquet(a.embeddings), a.seed, a.train_ratio)
+    v = vectors.labelled(spark.read.parquet(a.embeddings), a.seed, a.train_ratio, exact=True)
     train = v.filter("in_train")
     m = vectors.feature_vector(v, vectors.retrieval_features(vectors.top_k(v, train, a.k))).persist()
     model = learning.fit(a.clf, m.filter("in_train"))
@@ -130,7 +130,11 @@ def baselines(spark: SparkSession, a: argparse.Namespace) -> int:
     votes = vectors.majority(vectors.top_k(v.filter("NOT in_train"), v.filter("in_train"), a.k), "vec_id", "neighbour_label", "rank")
     done["retrieval votes"] = v.select("vec_id", "label4").join(votes, "vec_id")
     if a.code:  # source, label
-        done["patterns"] = spark.read.parquet(a.code).select(F.col("label").alias("label4"), fusion.baseline_label(F.col("source")).alias("predicted"))
+        code = spark.read.parquet(a.code).select(F.xxhash64("source").alias("vec_id"), "source", F.col("label").cast("int").alias("label4"))
+        done["patterns"] = code.select("label4", fusion.baseline_label(F.col("source")).alias("predicted"))
+        words = vectors.exact_split(code.select("vec_id", "label4", T.code_tokens(F.coalesce("source", F.lit(""))).alias("tokens")), a.train_ratio, a.seed)
+        words = learning.word_vectors(words, seed=a.seed).drop("tokens").persist()
+        done["word vectors, forest"] = learning.predict("forest", words.filter("in_train"), words.filter("NOT in_train"), 0.0)
     if a.findings:  # rule, label
         done["analyser"] = spark.read.parquet(a.findings).select(F.col("label").alias("label4"), fusion.finding_label(F.col("rule")).alias("predicted"))
     ranked = readers.union_all([vectors.detection_metrics(d, "label4", "predicted").withColumn("baseline", F.lit(n)) for n, d in done.items()])
@@ -168,7 +172,7 @@ def parser() -> argparse.ArgumentParser:
     add(detect, method_pairs=need)
     add(extract, candidates=need, contents=need, diffs=need, by_line={"action": "store_true"}, max_tokens={"type": int, "default": extraction.MAX_TOKENS})
     add(validate, finalize_annotations={}, series=need, kind={"choices": ("lock", "memory", "resource"), "required": True}, findings={})
-    add(classify, embeddings=need, clf={"default": "forest", "choices": learning.CLASSIFIERS}, k={"type": int, "default": vectors.K}, tau={"type": float, "default": vectors.TAU}, seed={"type": int, "default": 42}, train_ratio={"type": float, "default": 0.9}, lopo={"action": "store_true"}, compare={"action": "store_true"}, model_out={})
+    add(classify, embeddings=need, clf={"default": "forest", "choices": sorted(learning.BUILDERS)}, k={"type": int, "default": vectors.K}, tau={"type": float, "default": vectors.TAU}, seed={"type": int, "default": 42}, train_ratio={"type": float, "default": 0.9}, lopo={"action": "store_true"}, compare={"action": "store_true"}, model_out={})
     add(baselines, embeddings=need, extra_embeddings={"nargs": "*"}, code={}, findings={}, k={"type": int, "default": vectors.K}, seed={"type": int, "default": 42}, train_ratio={"type": float, "default": 0.9})
     add(screen, diff=need, fail_on_fault={"action": "store_true"}, model={}, vectors={}, k={"type": int, "default": vectors.K}, tau={"type": float, "default": vectors.TAU})
     return p

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target, keyword_only
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,18 +21,94 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from . import vectors
 
-CLASSIFIERS = ("forest", "logistic", "mlp")
+#: Fits that run at a time; each is a chain of jobs of its own.
+PARALLEL = 4
+#: How a classifier is built: (train, width of the features, rows, seed, other settings) to an estimator on label4, features and weight.
+BUILDERS: dict[str, Callable[..., Estimator]] = {}
 
 
-def estimator(name: str, width: int, rows: int, trees: int = 300, seed: int = 42):
-    """forest: balanced trees; logistic: C = 1; mlp: hidden layers of 512 and 256."""
-    if name == "forest":
-        return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=12, seed=seed, weightCol="weight", labelCol="label4")
-    if name == "logistic":
-        return LogisticRegression(regParam=1.0 / max(rows, 1), maxIter=1000, labelCol="label4", family="multinomial")
-    if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[width, 512, 256, 4], maxIter=200, seed=seed, labelCol="label4")
-    raise ValueError(f"no classifier {name}; known are {CLASSIFIERS}")
+def classifier(name: str) -> Callable:
+    """Registers a builder of estimators under a name, which every command and function here then knows."""
+
+    def add(build: Callable[..., Estimator]) -> Callable[..., Estimator]:
+        BUILDERS[name] = build
+        return build
+
+    return add
+
+
+def together(run: Callable, items: list) -> list:
+    """``run`` of each item, several at a time."""
+    if len(items) < 2:
+        return [run(x) for x in items]
+    with ThreadPool(min(PARALLEL, len(items))) as pool:
+        return pool.map(inheritable_thread_target(run), items)
+
+
+@classifier("forest")
+def _forest(train: DataFrame, width: int, rows: int, seed: int, trees: int = 300, depth: int = 30) -> Estimator:
+    """Balanced trees. 30 is the library's greatest depth."""
+    return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed, weightCol="weight", labelCol="label4")
+
+
+@classifier("logistic")
+def _logistic(train: DataFrame, width: int, rows: int, seed: int) -> Estimator:
+    """C = 1."""
+    return LogisticRegression(regParam=1.0 / max(rows, 1), maxIter=1000, labelCol="label4", family="multinomial")
+
+
+@classifier("mlp")
+def _mlp(train: DataFrame, width: int, rows: int, seed: int) -> Estimator:
+    """Hidden layers of 512 and 256."""
+    return MultilayerPerceptronClassifier(layers=[width, 512, 256, 4], maxIter=200, seed=seed, labelCol="label4")
+
+
+@classifier("boosted")
+def _boosted(train: DataFrame, width: int, rows: int, seed: int, rounds: int = 100) -> Estimator:
+    """Boosted trees of depth 6, for each label one model against the rest."""
+    trees = GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed, weightCol="weight")
+    return OneVsRest(classifier=trees, labelCol="label4", weightCol="weight", parallelism=PARALLEL)
+
+
+class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """features become ``size`` cosines whose inner products near the Gaussian kernel of width ``gamma``."""
+
+    size = Param(Params._dummy(), "size", "number of cosines", TypeConverters.toInt)
+    gamma = Param(Params._dummy(), "gamma", "kernel exp(-gamma |x - y|^2)", TypeConverters.toFloat)
+    seed = Param(Params._dummy(), "seed", "of the directions", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, size: int = 1024, gamma: float = 1.0, seed: int = 42):
+        super().__init__()
+        self._setDefault(size=1024, gamma=1.0, seed=42)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        size, gamma, seed = (self.getOrDefault(p) for p in (self.size, self.gamma, self.seed))
+
+        @F.pandas_udf("array<double>")
+        def cosines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            directions = None
+            for x in batches:
+                if not len(x):
+                    yield x
+                    continue
+                m = np.stack(x.to_numpy())
+                if directions is None:
+                    rng = np.random.default_rng(seed)
+                    directions, shift = rng.normal(scale=np.sqrt(2 * gamma), size=(m.shape[1], size)), rng.uniform(0, 2 * np.pi, size)
+                yield pd.Series(list(np.sqrt(2 / size) * np.cos(m @ directions + shift)))
+
+        return dataset.withColumn("features", array_to_vector(cosines(vector_to_array("features"))))
+
+
+@classifier("kernel")
+def _kernel(train: DataFrame, width: int, rows: int, seed: int, size: int = 1024) -> Estimator:
+    """A support vector machine with a Gaussian kernel by random features, C = 1, for each label one against the rest. The kernel's width is 1 / (width *
+    variance of all features)."""
+    x = train.select(F.explode("features").alias("x")).agg(F.var_pop("x")).first()[0]
+    svc = LinearSVC(regParam=1.0 / max(rows, 1), maxIter=100)
+    return Pipeline(stages=[FourierFeatures(size=size, gamma=1.0 / (max(width, 1) * (x or 1.0)), seed=seed), OneVsRest(classifier=svc, labelCol="label4", parallelism=PARALLEL)])
 
 
 def balanced(train: DataFrame) -> DataFrame:
@@ -33,11 +118,14 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", F.coalesce(*[F.when(F.col("label4") == k, total / (len(counts) * n)) for k, n in counts.items()], F.lit(1.0)))
 
 
-def fit(name: str, train: DataFrame, **how) -> PipelineModel:
+def fit(name: str, train: DataFrame, seed: int = 42, **how) -> PipelineModel:
     """A model of vec_id, label4, features (array); rows of other labels than 0 to 3 are left out."""
+    if name not in BUILDERS:
+        raise ValueError(f"no classifier {name}; known are {sorted(BUILDERS)}")
     train = balanced(train.filter(F.col("label4").between(0, 3)))
     rows, width = train.agg(F.count("*"), F.max(F.size("features"))).first()
-    return Pipeline(stages=[estimator(name, width or 0, rows, **how)]).fit(train.withColumn("features", array_to_vector("features")))
+    stage = BUILDERS[name](train, width or 0, rows, seed, **how)
+    return Pipeline(stages=[stage]).fit(train.withColumn("features", array_to_vector("features")))
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -49,12 +137,24 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def _last(model):
+    return _last(model.stages[-1]) if isinstance(model, PipelineModel) else model
+
+
 def apply(model: PipelineModel, rows: DataFrame, tau: float = vectors.TAU) -> DataFrame:
-    """rows with probability (array of four) and predicted: class by threshold."""
-    p = vector_to_array("probability")
+    """rows with probability (array of four) and predicted: class by threshold. Models of one label against the rest give margins; their
+    logistic values, scaled to a sum of 1, count as probabilities. A boosted model's margin is half a log odds, a machine's is taken for one."""
+    last = _last(model)
+    out = model.transform(rows.withColumn("features", array_to_vector("features")).withColumn("weight", F.lit(1.0)))
+    if isinstance(last, OneVsRestModel):
+        slope = 2.0 if isinstance(last.models[0], GBTClassificationModel) else 1.0
+        each = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-slope * x)))
+        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        p = F.transform(each, lambda x: x / F.greatest(total, F.lit(1e-12)))
+    else:
+        p = vector_to_array("probability")
     # a class that training lacks has no column: pad to four
     padded = F.concat(p, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), 4 - F.size(p))))
-    out = model.transform(rows.withColumn("features", array_to_vector("features")))
     return out.select(*[c for c in rows.columns if c != "features"], padded.alias("probability")).withColumn("predicted", vectors.threshold("probability", tau))
 
 
@@ -63,14 +163,31 @@ def predict(name: str, train: DataFrame, test: DataFrame, tau: float = vectors.T
     return apply(fit(name, train, **how), test, tau).select("vec_id", "label4", "probability", "predicted")
 
 
-def compare(train: DataFrame, test: DataFrame, names=CLASSIFIERS, **how) -> DataFrame:
-    """Metrics of several classifiers on one split, best f1 first; the features are computed once."""
+METRICS = "tp long, fp long, fn long, precision double, recall double, f1 double"
+
+
+def compare(train: DataFrame, test: DataFrame, names=None, **how) -> DataFrame:
+    """Metrics of several classifiers, all if none is named, on one split, best f1 first; the features are computed once, several are fitted at a time."""
     train, test = train.persist(), test.persist()
-    rows = [vectors.detection_metrics(predict(n, train, test, **how), "label4", "predicted").withColumn("classifier", F.lit(n)) for n in names]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.orderBy(F.coalesce("f1", F.lit(0.0)).desc(), "classifier")
+    try:
+        train.count()
+
+        def one(name: str) -> tuple:
+            return (*vectors.detection_metrics(predict(name, train, test, **how), "label4", "predicted").first(), name)
+
+        rows = together(one, list(names or BUILDERS))
+    finally:
+        train.unpersist()
+        test.unpersist()
+    return train.sparkSession.createDataFrame(rows, f"{METRICS}, classifier string").orderBy(F.coalesce("f1", F.lit(0.0)).desc(), "classifier")
+
+
+def word_vectors(code: DataFrame, size: int = 200, rounds: int = 40, parts: int = 1, seed: int = 42, tokens: str = "tokens") -> DataFrame:
+    """code with features: the mean of its words' vectors, learnt by skip-gram from the rows that ``in_train`` names. Rows without words, or
+    without known ones, have zeros. The rows are learnt from in ``parts`` at a time; more of them are faster and less exact."""
+    learner = Word2Vec(vectorSize=size, windowSize=5, minCount=1, maxIter=rounds, numPartitions=parts, seed=seed, inputCol=tokens, outputCol="_v")
+    model = learner.fit(code.filter("in_train").select(tokens))
+    return model.transform(code).withColumn("features", vector_to_array("_v")).drop("_v")
 
 
 def leave_one_out(vecs: DataFrame, k: int = vectors.K) -> DataFrame:
@@ -82,27 +199,37 @@ def leave_one_out(vecs: DataFrame, k: int = vectors.K) -> DataFrame:
 
 def leave_one_project_out(vecs: DataFrame, name: str = "forest", k: int = vectors.K, tau: float = vectors.TAU, **how) -> DataFrame:
     """project, metrics, macro_auc, n_train, n_test: for each project a model of the others, whose neighbours are
-    among the others too. The neighbours in each project are found once and serve all folds; models are fitted one by one,
-    and projects are few."""
+    among the others too. The neighbours in each project are found once and serve all folds; several folds are fitted at a time,
+    and what comes back is a row for each."""
     vecs = vecs.persist()
     near = vectors.top_k(vecs, vecs, k, by_project=True).drop("rank").persist()
-    sizes = {r["project"]: r["n"] for r in vecs.groupBy("project").agg(F.count("*").alias("n")).collect()}  # a row for each project
     best = W.partitionBy("vec_id").orderBy(F.desc("sim"), "neighbour")
-    out = None
-    for project in sorted(sizes):
-        other = near.filter(F.col("p_") != project).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        rows = vectors.feature_vector(vecs, vectors.retrieval_features(other)).persist()
-        done = predict(name, rows.filter(F.col("project") != project), rows.filter(F.col("project") == project), tau, **how)
-        long = done.select(F.col("label4").alias("label"), F.posexplode("probability").alias("klass", "score"))
-        m = vectors.detection_metrics(done, "label4", "predicted").join(stats.macro_auc(long).select("macro_auc"))
-        m = m.withColumns({"n_train": F.lit(sum(sizes.values()) - sizes[project]), "n_test": F.lit(sizes[project])})
-        m = m.select(F.lit(project).alias("project"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+    try:
+        sizes = {r["project"]: r["n"] for r in vecs.groupBy("project").agg(F.count("*").alias("n")).collect()}  # a row for each project
+        near.count()
+
+        def fold(project: int) -> tuple:
+            other = near.filter(F.col("p_") != project).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+            rows = vectors.feature_vector(vecs, vectors.retrieval_features(other)).persist()
+            try:
+                done = predict(name, rows.filter(F.col("project") != project), rows.filter(F.col("project") == project), tau, **how).persist()
+                long = done.select(F.col("label4").alias("label"), F.posexplode("probability").alias("klass", "score"))
+                auc = stats.macro_auc(long).first()["macro_auc"]
+                m = vectors.detection_metrics(done, "label4", "predicted").first()
+                done.unpersist()
+            finally:
+                rows.unpersist()
+            return (project, *m, auc, sum(sizes.values()) - sizes[project], sizes[project])
+
+        found = together(fold, sorted(sizes))
+    finally:
+        near.unpersist()
+        vecs.unpersist()
+    return vecs.sparkSession.createDataFrame(found, f"project int, {METRICS}, macro_auc double, n_train long, n_test long")
 
 
 def average(folds: DataFrame) -> DataFrame:
     """One row: mean f1 and mean area under the curve (folds without one aside) to three decimals, and the bootstrap interval of the first."""
-    folds = folds.select("project", "f1", "macro_auc").persist()
+    folds = folds.select("project", "f1", "macro_auc")
     ci = vectors.bootstrap_mean(folds.withColumn("ordinal", F.row_number().over(W.orderBy("project")) - 1), "f1", "ordinal")
     return folds.agg(F.round(F.avg("f1"), 3).alias("f1"), F.round(F.avg("macro_auc"), 3).alias("auc")).join(ci.select(F.round("lo", 3).alias("f1_lo"), F.round("hi", 3).alias("f1_hi")))

@@ -22,9 +22,42 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
 
 
-def labelled(embeddings: DataFrame, seed: int = 42, ratio: float = 0.9) -> DataFrame:
-    """vec_id, embedding (doubles), label4, project, in_train: a split by hash needs no order of the rows."""
-    return embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("label") % 4).cast("int").alias("label4"), (F.col("vec_id") % 6).cast("int").alias("project"), (unit_hash(F.lit(seed), F.col("vec_id")) < ratio).alias("in_train"))
+def labelled(embeddings: DataFrame, seed: int = 42, ratio: float = 0.9, exact: bool = False) -> DataFrame:
+    """vec_id, embedding (doubles), label4, project, in_train: by the hash itself, which gives the share on average, or by its rank (``exact``)."""
+    rows = embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("label") % 4).cast("int").alias("label4"), (F.col("vec_id") % 6).cast("int").alias("project"), (unit_hash(F.lit(seed), F.col("vec_id")) < ratio).alias("in_train"))
+    return exact_split(rows.drop("in_train"), ratio, seed) if exact else rows
+
+
+#: Rows of a slice of hashes that come to the driver to find the last one of a share.
+FEW = 10_000
+
+
+def exact_split(d: DataFrame, ratio: float = 0.9, seed: int = 42, key: str = "vec_id") -> DataFrame:
+    """``d`` with in_train: true for exactly floor(ratio * n) rows, those of least hash of seed and key, ties by key. Rows of one key go together.
+
+    No order of all rows: counts by the hash's leading digits tell the slice in which the share ends, and that slice is divided again until
+    it has ``FEW`` rows. What follows is a comparison for each row."""
+    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    hashed = d.select(h.alias("h"), F.col(key).alias("k"))
+    left = int(hashed.count() * ratio)
+    prefix, digits = "", 3
+    while True:
+        inside = hashed.filter(F.col("h").startswith(prefix))
+        part = F.substring("h", 1, len(prefix) + digits)
+        counts = inside.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # 4,096 rows at most
+        if sum(r["n"] for r in counts) <= FEW or len(prefix) >= 60:
+            break
+        for r in counts:
+            if r["n"] > left:
+                prefix = r["p"]
+                break
+            left -= r["n"]
+        else:
+            return d.withColumn("in_train", F.lit(True))
+    last = inside.orderBy("h", "k").limit(FEW).collect()[:left]
+    if not last:
+        return d.withColumn("in_train", h < prefix)
+    return d.withColumn("in_train", (h < last[-1]["h"]) | ((h == last[-1]["h"]) & (F.col(key) <= last[-1]["k"])))
 
 
 def norm(v: str | Column) -> Column:

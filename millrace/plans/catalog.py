@@ -181,6 +181,11 @@ def train_split_counts(spark, sf_dir):
     return _vectors(spark, sf_dir).groupBy("project").agg(F.count_if("in_train").alias("n_train"), F.count_if(~F.col("in_train")).alias("n_test"))
 
 
+@query("SELECT vec_id, row_number() OVER (ORDER BY sha256('42:' || vec_id::VARCHAR), vec_id) <= floor(count(*) OVER () * 0.9) AS in_train FROM embeddings")
+def exact_split(spark, sf_dir):
+    return vectors.labelled(table(spark, sf_dir, "embeddings"), exact=True).select("vec_id", "in_train")
+
+
 def _features(spark, sf_dir) -> DataFrame:
     v = _vectors(spark, sf_dir)
     near = vectors.top_k(v, v.filter("in_train"))  # a training vector finds itself, as the flag of the engine's default says
@@ -198,6 +203,8 @@ def _evaluate(name: str, **how) -> Query:
 QUERIES["forest_eval"] = _evaluate("forest")
 QUERIES["logreg_eval"] = _evaluate("logistic")
 QUERIES["mlp_eval"] = _evaluate("mlp")
+QUERIES["boosted_eval"] = _evaluate("boosted")
+QUERIES["kernel_eval"] = _evaluate("kernel")
 
 
 @query()
@@ -210,7 +217,7 @@ def forest_raw_eval(spark, sf_dir):
 @query()
 def classifier_comparison(spark, sf_dir):
     m = _features(spark, sf_dir)
-    return learning.compare(m.filter("in_train"), m.filter("NOT in_train"), ("forest", "logistic"))
+    return learning.compare(m.filter("in_train"), m.filter("NOT in_train"))
 
 
 @query()
@@ -218,6 +225,19 @@ def lopo_refit_metrics(spark, sf_dir):
     return learning.leave_one_project_out(_vectors(spark, sf_dir), "logistic")
 
 
+@query()
+def lopo_forest_metrics(spark, sf_dir):
+    return learning.leave_one_project_out(_vectors(spark, sf_dir), "forest")
+
+
+@query()
+def word_vectors_eval(spark, sf_dir):
+    """A forest on means of word vectors of methods; a fault is what the patterns say of them."""
+    c = view(spark, sf_dir, "v_code").select(F.col("pair_key").alias("vec_id"), T.code_tokens(F.col("before_source")).alias("tokens"), fusion.baseline_label(F.col("before_source")).alias("label4"))
+    c = learning.word_vectors(vectors.exact_split(c)).drop("tokens").persist()
+    return vectors.detection_metrics(learning.predict("forest", c.filter("in_train"), c.filter("NOT in_train")), "label4", "predicted")
+
+
 @query(f"WITH {VEC} SELECT vec_id, label4, project, in_train FROM v")
 def vector_meta(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", "label4", "project", "in_train")
