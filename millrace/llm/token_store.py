@@ -22,6 +22,7 @@ length and content. A very long text: one block. Empty table: empty files. Other
 from __future__ import annotations
 
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RANGE_BYTES, apart, column, drop, new_path, of_columns, pieces, save, spans_hash, table, through, utf8
+from .common import RANGE_BYTES, apart, column, drop, new_path, of_columns, pieces, release, save, spans_hash, table, through, utf8
 
 END_ID = 2
 MAX_BITS = 18
@@ -180,6 +181,14 @@ class Encoder:
 
 
 _ENCODERS: dict = {}
+#: Seconds after which a worker without a next task gives its encoder back: an executor can have more workers than cores.
+IDLE_S = 2
+_IDLE: list[threading.Timer] = []
+
+
+def _rest() -> None:
+    _ENCODERS.clear()
+    release()
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:
@@ -189,6 +198,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, dtype: str = "<u2
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        while _IDLE:
+            _IDLE.pop().cancel()
         key = path, end_id, dtype
         encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(*key))
         for batch in batches:
@@ -196,6 +207,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, dtype: str = "<u2
                 ids, at = encoder.encode(*utf8(column(p, "text")))
                 binary = pa.Array.from_buffers(pa.binary(), p.num_rows, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([column(p, "doc_id"), pa.array(np.diff(at)), binary], ["doc_id", "n_tokens", "ids"])
+        _IDLE.append(threading.Timer(IDLE_S, _rest))
+        _IDLE[-1].daemon = True
+        _IDLE[-1].start()
 
     return through(of_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids binary")
 
