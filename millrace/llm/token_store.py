@@ -22,7 +22,6 @@ length and content. A very long text: one block. Empty table: empty files. Other
 from __future__ import annotations
 
 import re
-import threading
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RANGE_BYTES, apart, column, drop, new_path, of_columns, pieces, release, save, spans_hash, table, through, utf8
+from .common import RANGE_BYTES, apart, column, drop, new_path, of_columns, pieces, save, spans_hash, table, through, utf8
 
 END_ID = 2
 MAX_BITS = 18
@@ -180,17 +179,6 @@ class Encoder:
         return out, own
 
 
-_ENCODERS: dict = {}
-#: Seconds after which a worker without a next task gives its encoder back: an executor can have more workers than cores.
-IDLE_S = 2
-_IDLE: list[threading.Timer] = []
-
-
-def _rest() -> None:
-    _ENCODERS.clear()
-    release()
-
-
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:
     """doc_id, n_tokens, ids (binary, ``dtype``) of each document; ids end with ``end_id``."""
 
@@ -198,18 +186,12 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, dtype: str = "<u2
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        while _IDLE:
-            _IDLE.pop().cancel()
-        key = path, end_id, dtype
-        encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(*key))
+        encoder = Encoder(path, end_id, dtype)  # of this task alone: nothing of it is left in an idle worker
         for batch in batches:
             for p in pieces(batch, limit=ENCODE_BYTES):
                 ids, at = encoder.encode(*utf8(column(p, "text")))
                 binary = pa.Array.from_buffers(pa.binary(), p.num_rows, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([column(p, "doc_id"), pa.array(np.diff(at)), binary], ["doc_id", "n_tokens", "ids"])
-        _IDLE.append(threading.Timer(IDLE_S, _rest))
-        _IDLE[-1].daemon = True
-        _IDLE[-1].start()
 
     return through(of_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids binary")
 
@@ -218,7 +200,6 @@ def counts_of(tokens: DataFrame, vocabulary: int, dtype: str = "<u2") -> np.ndar
     """How often each id occurs in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _ENCODERS.clear()  # a worker that has encoded gives that memory back
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
             total += np.bincount(np.frombuffer(b"".join(column(b, "ids").to_pylist()), dtype), minlength=vocabulary)
@@ -339,7 +320,6 @@ def write(tokens: DataFrame, path: str, vocabulary: int, dtype: str = "<u2", lim
     parts = len(bounds) + 1
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _ENCODERS.clear()  # a worker that has encoded gives that memory back
         for batch in batches:
             for p in pieces(batch, "ids"):
                 n = column(p, "n_tokens").to_numpy()
@@ -357,7 +337,6 @@ def write(tokens: DataFrame, path: str, vocabulary: int, dtype: str = "<u2", lim
                 )
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _ENCODERS.clear()  # a worker that has encoded gives that memory back
         held: list[tuple] = []
         state = {"part": None, "before": 0, "ids": 0}
 
@@ -410,7 +389,6 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     starts = {r.part: r.start for r in spark.read.schema("part int, docs long, ids long, start long").parquet(f"{path}/index").collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _ENCODERS.clear()  # a worker that has encoded gives that memory back
         lookup = prefix_table(lengths, limit)
         for b in batches:
             for part, before, doc, n, marks, payload in zip(*[column(b, c).to_pylist() for c in ("part", "before", "doc_ids", "n_tokens", "marks", "payload")], strict=True):
