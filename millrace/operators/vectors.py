@@ -78,23 +78,8 @@ def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return rows[keep], cols[keep]
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = K, apart: bool = False, by_project: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """vec_id, rank, neighbour, sim, neighbour_label, p_: the k items of largest inner product for each query, ties by id.
-    apart: only items of other projects than the query's. by_project: the k best among the items of each project (p_).
-
-    Exact. Both sides are dealt into blocks of at most ``block_bytes`` of vectors; two blocks meet in one task as a matrix
-    product and leave k rows for each query, and the best of these are taken. A task holds two blocks, whatever the input."""
-    width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
-    rows = max(1, block_bytes // (8 * width))
-
-    def dealt(d: DataFrame, side: int) -> tuple[DataFrame, int]:
-        n = max(1, -(-d.count() // rows))
-        block = F.pmod(F.xxhash64("vec_id", F.lit(side)), F.lit(n)).cast("int")
-        return d.select("vec_id", "embedding", "label4", "project", F.lit(side).alias("side"), block.alias("block")), n
-
-    (q, nq), (t, nt) = dealt(queries, 0), dealt(items, 1)
-    q = q.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nt - 1)), lambda i: F.col("block") * nt + i)))
-    t = t.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda i: i * nt + F.col("block"))))
+def _met(rows: DataFrame, cell: list[str], k: int, apart: bool = False, by_project: bool = False) -> DataFrame:
+    """The k best items of each query of a cell. rows: vec_id, embedding, label4, project, side (0 for queries, 1 for items), and the columns of ``cell``."""
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(group)).combine_chunks()
@@ -115,11 +100,118 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = K, apart: bool = False,
                 c = chosen[c]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i][r], found[c], s[r, c], label[have][c], kinds[c])], ["vec_id", "neighbour", "sim", "neighbour_label", "p_"])
 
-    pairs = q.unionByName(t).drop("block").groupBy("cell").applyInArrow(run, "vec_id long, neighbour long, sim double, neighbour_label int, p_ int")
+    return rows.groupBy(*cell).applyInArrow(run, "vec_id long, neighbour long, sim double, neighbour_label int, p_ int")
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int = K, apart: bool = False, by_project: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """vec_id, rank, neighbour, sim, neighbour_label, p_: the k items of largest inner product for each query, ties by id.
+    apart: only items of other projects than the query's. by_project: the k best among the items of each project (p_).
+
+    Exact. Both sides are dealt into blocks of at most ``block_bytes`` of vectors; two blocks meet in one task as a matrix
+    product and leave k rows for each query, and the best of these are taken. A task holds two blocks, whatever the input."""
+    width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
+    rows = max(1, block_bytes // (8 * width))
+
+    def dealt(d: DataFrame, side: int) -> tuple[DataFrame, int]:
+        n = max(1, -(-d.count() // rows))
+        block = F.pmod(F.xxhash64("vec_id", F.lit(side)), F.lit(n)).cast("int")
+        return d.select("vec_id", "embedding", "label4", "project", F.lit(side).alias("side"), block.alias("block")), n
+
+    (q, nq), (t, nt) = dealt(queries, 0), dealt(items, 1)
+    q = q.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nt - 1)), lambda i: F.col("block") * nt + i)))
+    t = t.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda i: i * nt + F.col("block"))))
+
+    pairs = _met(q.unionByName(t).drop("block"), ["cell"], k, apart, by_project)
     w = W.partitionBy("vec_id", *(["p_"] if by_project else [])).orderBy(F.desc("sim"), "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Pivots of an index at most; their pairs are weighed on the driver and broadcast, some 16 MB.
+PIVOTS = 1024
+
+
+def pivots_of(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> np.ndarray:
+    """Some of the items, one for each block that they would fill but ``PIVOTS`` at most, by a hash of their ids."""
+    n, width = items.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    count = min(PIVOTS, max(1, -(-n * 8 * (width or 1) // block_bytes)))
+    picked = items.select(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding").orderBy("h", "vec_id").limit(count).collect()
+    return np.array([r["embedding"] for r in picked], float).reshape(len(picked), width or 0)
+
+
+def by_pivot(d: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``d`` with near, the nearest pivot, and away, the distance from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square = (pivots**2).sum(1)
+        for b in batches:
+            flat = b.column(b.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False)
+            m = flat.reshape(b.num_rows, -1)
+            near = np.argmin(square[None, :] - 2 * (m @ pivots.T), axis=1) if b.num_rows else np.zeros(0, int)
+            away = np.sqrt(((m - pivots[near]) ** 2).sum(1)) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(away)], [*b.schema.names, "near", "away"])
+
+    return d.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in d.dtypes) + ", near int, away double")
+
+
+def write_index(items: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> None:
+    """Vectors (vec_id, embedding, label4, project, in_train) with the pivot that each is nearest to, and the pivots."""
+    pivots = pivots_of(items, block_bytes)
+    by_pivot(items, pivots).write.mode("overwrite").parquet(f"{path}/items")
+    rows = [(i, x.tolist()) for i, x in enumerate(pivots)]
+    items.sparkSession.createDataFrame(rows, "near int, embedding array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots")
+
+
+def search(queries: DataFrame, path: str, k: int = K, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, dict[str, int]]:
+    """What ``top_k`` gives, from an index, without meeting every block: the neighbours, and how many of the pairs of groups there are and were met.
+
+    Queries and items are grouped by their nearest pivot. An inner product is at most the pivots' own plus what the groups' radii allow, so that a
+    group of items can be passed over if that is below the k-th best that each query of a group has. The first round meets the groups of highest
+    bounds, the second those that the first can't rule out. Groups are dealt into blocks as in ``top_k``."""
+    spark = queries.sparkSession
+    items = spark.read.parquet(f"{path}/items")
+    stored = spark.read.parquet(f"{path}/pivots").orderBy("near").collect()  # PIVOTS rows at most
+    if not stored:
+        return top_k(queries, items, k), {"pairs": 0, "met": 0}
+    pivots = np.array([r["embedding"] for r in stored], float)
+    columns = ["vec_id", "embedding", "label4", "project"]
+    asked = by_pivot(queries.select(*columns), pivots)
+    rows = max(1, block_bytes // (8 * pivots.shape[1]))
+
+    def groups(d: DataFrame) -> dict[int, tuple[int, float]]:
+        return {r["near"]: (r["n"], r["away"]) for r in d.groupBy("near").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()}
+
+    q, t = groups(asked), groups(items)
+    own, other = sorted(q), sorted(t)
+    r, big = np.array([q[h][1] for h in own]), np.array([t[g][1] for g in other])
+    size = np.linalg.norm(pivots, axis=1)
+    bound = pivots[own] @ pivots[other].T + size[own][:, None] * big[None, :] + size[other][None, :] * r[:, None] + r[:, None] * big[None, :] if own and other else np.zeros((len(own), len(other)))
+    counts = np.array([t[g][0] for g in other])
+
+    def met(visits: np.ndarray) -> DataFrame:
+        pairs = spark.createDataFrame([(own[i], other[j]) for i, j in zip(*np.nonzero(visits))], "h int, g int")
+        parts = spark.createDataFrame([(h, max(1, -(-q[h][0] // rows))) for h in own], "h int, hs int"), spark.createDataFrame([(g, max(1, -(-t[g][0] // rows))) for g in other], "g int, gs int")
+        pairs = F.broadcast(pairs.join(F.broadcast(parts[0]), "h").join(F.broadcast(parts[1]), "g"))
+        left = asked.join(pairs, F.col("near") == F.col("h")).withColumn("a", F.pmod(F.xxhash64("vec_id", F.lit(0)), F.col("hs")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("gs") - 1)))
+        right = items.select(*columns, "near").join(pairs, F.col("near") == F.col("g")).withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("gs")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("hs") - 1)))
+        cell = ["h", "g", "a", "b"]
+        return _met(left.select(*columns, *cell, F.lit(0).alias("side")).unionByName(right.select(*columns, *cell, F.lit(1).alias("side"))), cell, k)
+
+    order = np.argsort(-bound, axis=1, kind="stable")
+    first = np.zeros(bound.shape, bool)
+    for i in range(len(own)):
+        enough = int(np.searchsorted(np.cumsum(counts[order[i]]), k)) + 1
+        first[i, order[i, : max(enough, 1)]] = True
+    best = W.partitionBy("vec_id").orderBy(F.desc("sim"), "neighbour")
+    one = met(first).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).persist()
+    reached = one.groupBy("vec_id").agg(F.min("sim").alias("least"), F.count("*").alias("n"))
+    least = asked.select("vec_id", "near").join(reached, "vec_id", "left").groupBy("near").agg(F.min(F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf"))).alias("least"))
+    floor = {x["near"]: x["least"] for x in least.collect()}
+    second = ~first & (bound * (1 + 1e-9) + 1e-9 >= np.array([floor[h] for h in own])[:, None])
+    told = {"pairs": int(bound.size), "met": int(first.sum() + second.sum())}
+    both = one.drop("rank").unionByName(met(second)) if second.any() else one.drop("rank")
+    return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), told
+
+
 def retrieval_features(neighbours: DataFrame) -> DataFrame:
     """vec_id, share of each label among the neighbours, mean and maximum similarity; neighbours of no label don't count."""
     ok = neighbours.filter(F.col("neighbour_label").between(0, 3))

@@ -100,6 +100,15 @@ def knn_top5_blocks(spark, sf_dir):
     return near.select("vec_id", "rank", "neighbour", F.round("sim", 6).alias("sim"))
 
 
+@query(f"WITH {VEC}, {NEAR} SELECT vec_id, rank::INT AS rank, neighbour, round(sim, 6) AS sim FROM k")
+def knn_top5_index(spark, sf_dir):
+    """From an index with pivots; groups that can't hold a neighbour are passed over."""
+    v, path = _vectors(spark, sf_dir), readers.scratch(spark, "index")
+    vectors.write_index(v.filter("in_train"), path, block_bytes=1 << 14)
+    near, _ = vectors.search(v.filter("NOT in_train"), path, block_bytes=1 << 14)
+    return near.select("vec_id", "rank", "neighbour", F.round("sim", 6).alias("sim"))
+
+
 @query(f"WITH {VEC}, {NEAR}, {VOTE} SELECT vec_id, label4, predicted FROM vote")
 def knn_majority_vote(spark, sf_dir):
     return _votes(spark, sf_dir)

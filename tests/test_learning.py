@@ -140,3 +140,25 @@ def test_baselines_take_other_vectors_and_code(spark, tmp_path):
     assert set(got) == {"vectors, forest without retrieval", "other, forest without retrieval", "retrieval votes", "patterns", "word vectors, forest"}
     assert got["other, forest without retrieval"].f1 == got["vectors, forest without retrieval"].f1 == 1.0 and got["word vectors, forest"].f1 > 0.5
     assert T.MODIFIERS[0] == "public"
+
+
+def test_search_passes_over_groups_and_equals_all_pairs(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(12, 6)) * 8
+    rows = [(i, [float(x) for x in middles[i % 12] + rng.normal(scale=0.2, size=6)], i % 4, 0) for i in range(900)]
+    rows += [(2000 + i, rows[i][1], 1, 0) for i in range(30)]  # ties
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label4 int, project int")
+    items, asked = v.filter("vec_id % 10 != 0"), v.filter("vec_id % 10 = 0")
+    vectors.write_index(items, f"{tmp_path}/index", block_bytes=2400)
+    near, told = vectors.search(asked, f"{tmp_path}/index", 7, block_bytes=1200)
+    want = sorted((r.vec_id, r["rank"], r.neighbour) for r in vectors.top_k(asked, items, 7).collect())
+    assert sorted((r.vec_id, r["rank"], r.neighbour) for r in near.collect()) == want
+    assert told["met"] < 0.6 * told["pairs"], told
+
+
+@pytest.mark.parametrize("n_items,n_asked", [(0, 3), (3, 0), (3, 3)])
+def test_search_of_few(spark, tmp_path, n_items, n_asked):
+    v = spark.createDataFrame([(i, [float(i), 1.0], 0, 0) for i in range(10)], "vec_id long, embedding array<double>, label4 int, project int")
+    vectors.write_index(v.filter(F.col("vec_id") < n_items), f"{tmp_path}/index")
+    near, _ = vectors.search(v.filter(F.col("vec_id") >= 10 - n_asked), f"{tmp_path}/index", 5)
+    assert near.count() == n_items * n_asked
