@@ -11,6 +11,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-_MADE: list[str] = []
+#: The folders that the run at hand has made; a run that begins its own list sees no other's.
+_RUN: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def tables_of_run() -> Iterator[list[str]]:
+    """A list of the folders that are made within, in this thread."""
+    mine: list[str] = []
+    before = _RUN.set(mine)
+    try:
+        yield mine
+    finally:
+        _RUN.reset(before)
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    _MADE.append(f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    path = f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
+    mine = _RUN.get()
+    if mine is not None:
+        mine.append(path)
+    return path
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
@@ -60,7 +77,9 @@ def save(df: DataFrame, tag: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _MADE[:] = [x for x in _MADE if x.rsplit("/", 1)[1] != path.rstrip("/").rsplit("/", 1)[1]]
+    mine = _RUN.get()
+    if mine is not None:
+        mine[:] = [x for x in mine if x.rsplit("/", 1)[1] != path.rstrip("/").rsplit("/", 1)[1]]
 
 
 def drop(df: DataFrame) -> None:
@@ -69,11 +88,6 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def made() -> list[str]:
-    """The folders under the shared one that this process made and that are still there."""
-    return list(_MADE)
-
-
 def forget(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders that nothing reads any more."""
     for path in paths:
@@ -224,13 +238,6 @@ def bisect_left(items: Column, value: Column) -> Column:
 RANGE_BYTES = 16 << 20
 
 
-def apart(spark: SparkSession, part: Column, n: int) -> Column:
-    """A key for each of the parts 0 to n-1 that ``repartition(n, key)`` places by itself: hashed numbers share tasks."""
-    found = spark.range(32 * n).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("slot")).groupBy("slot").agg(F.min("id").cast("int").alias("id"))
-    keys = dict(found.collect())  # a row for each part
-    return F.get(F.array(*[F.lit(keys.get(i, i)) for i in range(n)]), part)
-
-
 def crc_mod(n: int, doc_id: str = "doc_id"):
     """crc32 of doc_id as text, modulo n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n

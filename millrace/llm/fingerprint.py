@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, RANGE_BYTES, Words, apart, bisect_left, column, mix, of_columns, table, through
+from .common import CHUNK_BYTES, RANGE_BYTES, Words, bisect_left, column, mix, of_columns, table, through
 
 SAMPLES = 64
 PAIRS_AT_ONCE = 1 << 15
@@ -109,7 +109,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def consecutive(docs: DataFrame, work, schema: str, shards: int | None = None) -> DataFrame:
     """``work(texts, ids) -> RecordBatch`` over runs of rows in descending doc_id; texts has one more, the next one's."""
-    spark = docs.sparkSession
     d = of_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     shards = shards or max(1, -(-(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     low = F.lit(-(1 << 63))
@@ -125,7 +124,7 @@ def consecutive(docs: DataFrame, work, schema: str, shards: int | None = None) -
     own = F.struct(part.alias("part"), F.lit(0).alias("kind"))
     goes = F.when(head == key, F.array(own, F.struct(to.cast("int").alias("part"), F.lit(1).alias("kind")))).otherwise(F.array(own))
     rows = d.select("doc_id", "text", F.explode(goes).alias("x")).select("x.part", "x.kind", "doc_id", "text")
-    rows = rows.repartition(n, apart(spark, F.col("part"), n)).sortWithinPartitions("part", "kind", F.col("doc_id").desc_nulls_last(), "text")
+    rows = rows.repartitionById(n, "part").sortWithinPartitions("part", "kind", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []

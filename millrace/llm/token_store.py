@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RANGE_BYTES, apart, column, drop, new_path, of_columns, pieces, save, spans_hash, table, through, utf8
+from .common import RANGE_BYTES, column, drop, new_path, of_columns, pieces, save, spans_hash, table, through, utf8
 
 END_ID = 2
 MAX_BITS = 18
@@ -365,7 +365,7 @@ def write(tokens: DataFrame, path: str, vocabulary: int, dtype: str = "<u2", lim
             yield flush()
 
     coded = through(tokens, code, "doc_id long, n_tokens long, part int, bits binary, spots binary")
-    rows = coded.repartition(parts, apart(spark, F.col("part"), parts)).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "bits")
+    rows = coded.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "bits")
     blocks = through(rows, block, "part int, before long, doc_ids array<long>, n_tokens array<long>, marks binary, payload binary")
     blocks.write.partitionBy("part").parquet(f"{path}/blocks")
     spark.createDataFrame([(limit, bytearray(lengths.tobytes()))], "bits int, lengths binary").coalesce(1).write.parquet(f"{path}/code")

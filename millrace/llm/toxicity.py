@@ -4,7 +4,7 @@ A sentence's probability is a logistic function of its hashed words and of the b
 document's is the noisy-or of its sentences. The weights are fitted to document labels alone, by proximal gradient steps with an L1
 penalty, so a few telling words remain and the offending sentences can be located.
 
-Fit: on a sample of at most about ``MAX_DOCS`` labelled documents, chosen by a hash of doc_id; the model has
+Fit: on a sample of at most about ``MAX_DOCS`` labelled documents and ``MAX_BYTES`` of text, chosen by a hash of doc_id; the model has
 2**20 weights whatever the corpus. Scoring reads each text once, whole, without a shuffle.
 
 Null or empty text: one empty sentence, which has the bias alone. Null doc_id: scored like any other. Repeated rows:
@@ -25,6 +25,8 @@ from .common import Words, column, crc_mod, mix, of_columns, pieces, spans_hash,
 
 BUCKETS = 1 << 20
 MAX_DOCS = 4_000
+#: Bytes of their texts that come to the fit at most; a single longer text still does.
+MAX_BYTES = 64 << 20
 #: Features that a pass over the sample holds at once.
 RUN = 1 << 21
 STEPS = 150
@@ -132,15 +134,22 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, float]:
-    """The model from documents and labels whose crc32(doc_id) mod 5 is not 0."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float]:
+    """The model from documents and labels whose crc32(doc_id) mod 5 is not 0. Of several rows with one id the longest text counts."""
     labels = of_columns(labels, "doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(5) != 0))
     there = labels.count()
     share = min(1.0, max_docs / there) if there else 0.0
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    picked = order < int(share * (1 << 30)) + 1
     labels = labels.filter(picked).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = of_columns(docs, "doc_id", "text").filter(picked & (crc_mod(5) != 0))
-    rows = through(texts.join(labels, "doc_id").select("doc_id", "text", "toxic"), _featurize, "toxic int, n int, feature binary, per binary").toArrow()  # bounded by max_docs
+    bytes_of = F.octet_length(F.coalesce("text", F.lit("")))
+    size = texts.join(labels, "doc_id", "left_semi").groupBy("doc_id", order.alias("at")).agg(F.max(bytes_of).alias("size")).orderBy("at", "doc_id").collect()  # a row for each picked id
+    fits = int(np.searchsorted(np.cumsum([r["size"] for r in size]), max_bytes, "right"))
+    if 1 < len(size) and fits < len(size):  # long texts: fewer of them, the rest in the order of the hash
+        texts = texts.filter(order < size[max(fits, 1)]["at"])
+    one = texts.join(labels, "doc_id").groupBy("doc_id").agg(F.max(F.struct(bytes_of.alias("size"), F.coalesce("text", F.lit("")).alias("text"), "toxic")).alias("x")).select("doc_id", "x.text", "x.toxic")
+    rows = through(one, _featurize, "toxic int, n int, feature binary, per binary").toArrow()  # a row an id, bounded by max_docs and max_bytes
     if not rows.num_rows:
         return np.zeros(BUCKETS), BIAS
     raw = [x.as_py() for x in rows["feature"]]

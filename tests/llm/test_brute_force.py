@@ -162,3 +162,18 @@ def test_op8_false_discovery_step(spark):
         assert [(s.start, s.end) for s in got[k].spans if s.kind == 3] == want
         some += len(want)
     assert some > 50
+
+
+def test_op6_sample_is_a_row_an_id_and_bounded_by_bytes(spark, monkeypatch):
+    rows = [(i, f"good words {i} here" if i % 2 else f"vile words {i} here", i % 2 == 0) for i in range(400)]
+    schema = "doc_id long, text string, toxic int"
+    once = spark.createDataFrame([(i, t, int(x)) for i, t, x in rows], schema)
+    often = once.unionByName(spark.createDataFrame([(rows[7][0], "good", 0)], schema).crossJoin(spark.range(50_000)).drop("id"))
+    a, b = (toxicity.train(d.select("doc_id", "text"), once.select("doc_id", "toxic")) for d in (once, often))
+    assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda feature, owner, at, label, *more: seen.append(len(label)) or fit(feature, owner, at, label, *more))
+    for most, least in ((1 << 30, 250), (2000, 50), (1, 1)):
+        toxicity.train(once.select("doc_id", "text"), once.select("doc_id", "toxic"), max_bytes=most)
+        assert least <= seen[-1] <= max(most // 18, 1) and seen[-1] < 400

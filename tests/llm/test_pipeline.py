@@ -54,5 +54,14 @@ def test_run_equals_the_stages(spark, small_dir):
     assert sorted(map(repr, P.run(spark, small_dir).collect())) == sorted(map(repr, last.collect()))
 
 
+def test_two_runs_at_once(spark, small_dir):
+    """Each deletes what it made itself."""
+    from multiprocessing.pool import ThreadPool
+
+    with ThreadPool(2) as pool:
+        one, two = pool.map(lambda _: sorted(map(repr, P.run(spark, small_dir).collect())), range(2))
+    assert one == two and one
+
+
 def test_empty(spark, empty_dir):
     assert P.run(spark, empty_dir).collect() == []

@@ -160,7 +160,7 @@ def test_parts_are_placed_apart(spark):
 
     for n in (1, 5, 64):
         d = spark.range(n * 10).select((F.col("id") % n).cast("int").alias("part"))
-        d = d.repartition(n, common.apart(spark, F.col("part"), n))
+        d = d.repartitionById(n, "part")
         assert d.select("part", F.spark_partition_id().alias("at")).distinct().groupBy("at").count().filter("count > 1").count() == 0
 
 
