@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import minhash, mixing, packing, secret_scan, toxicity
-from millrace.llm.common import forget, made, placed, save, table
+from millrace.llm.common import forget, placed, save, table, tables_of_run
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,10 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, first = table(spark, sf_dir, "documents"), len(made())
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = save(docs, name)
-            forget(spark, made()[first:-1])  # what the stage read is read no more
+    docs = table(spark, sf_dir, "documents")
+    with tables_of_run() as mine:
+        for i, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = save(docs, name)
+                forget(spark, mine[:-1])  # what the stage read is read no more
     return docs
