@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,11 +113,13 @@ def classify(spark: SparkSession, a: argparse.Namespace) -> int:
         readers.write_vectors(train, f"{a.model_out}-index")
     sections = {"predictions": out, "metrics": vectors.detection_metrics(out, "label4", "predicted"), "categories": vectors.per_category(out, "label4", "predicted")}
     if a.lopo:
-        folds = learning.leave_one_project_out(v, a.clf, a.k, a.tau).persist()
+        folds = learning.leave_one_project_out(v, a.clf, a.k, a.tau)
         sections |= {"projects": folds, "average": learning.average(folds), "retrieval": learning.leave_one_out(v, a.k)}
     if a.compare:
         sections["comparison"] = learning.compare(m.filter("in_train"), m.filter("NOT in_train"), tau=a.tau)
     readers.write_report(sections, a.output)
+    out.unpersist()
+    m.unpersist()
     return 0
 
 
@@ -144,15 +147,20 @@ def baselines(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def screen(spark: SparkSession, a: argparse.Namespace) -> int:
     """Diff files to verdicts: by a stored model, its index and vectors of the methods (code, embedding), else by patterns."""
+    began = time.perf_counter()
     m = screening.screened_methods(readers.diffs(spark, a.diff).withColumnRenamed("file", "diff_file"), "diff_file")
     if a.model:
         v = screening.by_model(m, spark.read.parquet(a.vectors), spark.read.parquet(f"{a.model}-index"), learning.load(a.model), a.k, a.tau)
     else:
         v = m.withColumn("label", fusion.baseline_label(F.col("code"))).withColumn("confidence", F.lit(1.0))
     v = screening.verdicts(v, tau=a.tau).persist()
-    report = screening.screen_report(v)
-    readers.write_report({"methods": v, "summary": report}, a.output)
-    return screening.exit_code(report, a.fail_on_fault)
+    try:
+        n = v.count()
+        report = screening.screen_report(v).withColumn("avg_latency_ms", F.lit(1000 * (time.perf_counter() - began) / max(n, 1)))
+        readers.write_report({"methods": v, "summary": report}, a.output)
+        return screening.exit_code(report, a.fail_on_fault)
+    finally:
+        v.unpersist()
 
 
 def parser() -> argparse.ArgumentParser:

@@ -56,7 +56,7 @@ def by_model(methods: DataFrame, encoded: DataFrame, index: DataFrame, model, k:
     """methods with label and confidence by a stored model: ``encoded`` (code, embedding) holds the methods' vectors,
     ``index`` the labelled ones. A method without a vector is safe with confidence 0."""
     known = encoded.select(F.xxhash64("code").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.lit(SAFE).alias("label4"), F.lit(-1).alias("project"), F.lit(False).alias("in_train")).dropDuplicates(["vec_id"])
-    asked = known.join(methods.select(F.xxhash64("code").alias("vec_id")).distinct(), "vec_id").persist()
+    asked = known.join(methods.select(F.xxhash64("code").alias("vec_id")).distinct(), "vec_id")
     rows = vectors.feature_vector(asked, vectors.retrieval_features(vectors.top_k(asked, index, k)))
     told = learning.apply(model, rows, tau).select(F.col("vec_id").alias("v_"), F.col("predicted").alias("p_"), F.array_max("probability").alias("c_"))
     out = methods.join(told, F.xxhash64("code") == F.col("v_"), "left")
