@@ -14,7 +14,7 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ def together(run: Callable, items: list) -> list:
     if len(items) < 2:
         return [run(x) for x in items]
     with ThreadPool(min(PARALLEL, len(items))) as pool:
-        return pool.map(inheritable_thread_target(run), items)
+        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(run), items)
 
 
 @classifier("forest")
@@ -103,14 +103,21 @@ class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable)
 
 
 @classifier("kernel")
-def _kernel(train: DataFrame, width: int, rows: int, seed: int, size: int = 1024) -> Estimator:
+def _kernel(train: DataFrame, width: int, rows: int, seed: int, size: int = 1024, rounds: int = 100) -> Estimator:
     """A support vector machine with a Gaussian kernel by random features, C = 1, for each label one against the rest. The kernel's width is 1 / (width *
     variance of all features)."""
     x = train.select(F.explode("features").alias("x")).agg(F.var_pop("x")).first()[0]
-    svc = LinearSVC(regParam=1.0 / max(rows, 1), maxIter=100)
+    svc = LinearSVC(regParam=1.0 / max(rows, 1), maxIter=rounds)
     return Pipeline(stages=[FourierFeatures(size=size, gamma=1.0 / (max(width, 1) * (x or 1.0)), seed=seed), OneVsRest(classifier=svc, labelCol="label4", parallelism=PARALLEL)])
 
 
+def estimator(name: str, width: int, rows: int, train: DataFrame | None = None, seed: int = 42, **how) -> Estimator:
+    """The estimator of a registered name; a kernel machine asks for the rows that it will be fitted to."""
+    if name not in BUILDERS:
+        raise ValueError(f"no classifier {name}; known are {sorted(BUILDERS)}")
+    return BUILDERS[name](train, width, rows, seed, **how)
+
+
 def balanced(train: DataFrame) -> DataFrame:
     """A weight n / (classes * n_class) for each row, so that classes count alike; the counts are a row a class."""
     counts = {r["label4"]: r["n"] for r in train.groupBy("label4").agg(F.count("*").alias("n")).collect()}
@@ -120,11 +127,9 @@ def balanced(train: DataFrame) -> DataFrame:
 
 def fit(name: str, train: DataFrame, seed: int = 42, **how) -> PipelineModel:
     """A model of vec_id, label4, features (array); rows of other labels than 0 to 3 are left out."""
-    if name not in BUILDERS:
-        raise ValueError(f"no classifier {name}; known are {sorted(BUILDERS)}")
     train = balanced(train.filter(F.col("label4").between(0, 3)))
     rows, width = train.agg(F.count("*"), F.max(F.size("features"))).first()
-    stage = BUILDERS[name](train, width or 0, rows, seed, **how)
+    stage = estimator(name, width or 0, rows, train, seed, **how)
     return Pipeline(stages=[stage]).fit(train.withColumn("features", array_to_vector("features")))
 
 

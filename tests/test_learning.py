@@ -26,7 +26,7 @@ def rings(spark):
     return spark.createDataFrame(rows, "vec_id long, features array<double>, label4 int").persist()
 
 
-@pytest.mark.parametrize("name,how", [("forest", {"trees": 30}), ("boosted", {"rounds": 8}), ("kernel", {"size": 300}), ("mlp", {})])
+@pytest.mark.parametrize("name,how", [("forest", {"trees": 30}), ("boosted", {"rounds": 8}), ("kernel", {"size": 200, "rounds": 25}), ("mlp", {})])
 def test_classifiers_part_rings_that_planes_cannot(rings, tmp_path, name, how):
     train, test = rings.filter("vec_id >= 80"), rings.filter("vec_id < 80")
     model = learning.fit(name, train, **how)

@@ -38,7 +38,7 @@ def test_label_far_into_an_answer(spark, where):
 
 
 def test_models_of_full_size(spark, monkeypatch):
-    assert learning.estimator("forest", 70, 10).getNumTrees() == 300
+    assert (learning.estimator("forest", 70, 10).getNumTrees(), learning.estimator("forest", 70, 10).getMaxDepth()) == (300, 30)
     assert (learning.estimator("logistic", 70, 10).getMaxIter(), learning.estimator("mlp", 70, 10).getMaxIter()) == (1000, 200)
     used = {}
     monkeypatch.setattr(learning, "predict", lambda *a, **how: used.update(how) or (_ for _ in ()).throw(KeyError))
