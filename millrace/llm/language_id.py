@@ -7,12 +7,12 @@ the script in training are its candidates. Its score for a language is the log-l
 words of a text, and runs of one label are its spans. A text's language is the one that holds most bytes.
 
 Fit: n-gram counts of at most about ``MAX_DOCS`` labelled documents, chosen by a hash of doc_id, in a table of fixed
-size. Languages share them evenly, so each keeps about ``MAX_DOCS`` / languages documents, or all if it has less, however
-large the others are. Scoring reads each text once, whole, without a shuffle; texts of a batch step through Viterbi side by side.
+size; at most ``MAX_LANGUAGES`` languages. Languages share them evenly, so each keeps about ``MAX_DOCS`` / languages documents, or all if it has less, however
+large the others are. Rows of one doc_id, or without one, are learnt from together or not at all; a language of such rows alone can be missed. Scoring reads each text once, whole, without a shuffle; texts of a batch step through Viterbi side by side.
 
 Null text or one without a letter: ``und``, score 0, no spans. Words without a letter take no side. Null lang: not
 learnt from. No labels at all: ``und`` everywhere. Ties: the label that sorts first. Repeated rows: one by one.
-Null doc_id: like any other. Empty table: no rows. Other columns are left out.
+Null doc_id: labelled like any other. Empty table: no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -34,7 +34,12 @@ SWITCH = 12.0
 WORST = -8.0
 #: A language uses a script if at least this share of its words do.
 USES = 0.01
-BATCH_WORDS = 1 << 20
+#: Words, and bytes of their scores, that wait for Viterbi at most, beside the last piece.
+BATCH_WORDS, BATCH_BYTES = 1 << 20, 64 << 20
+#: Weights that are gathered at a time, and bytes of the weights of candidates that a task keeps.
+CHUNK_FLOATS, KEPT_BYTES = 4 << 20, 64 << 20
+#: The model has BUCKETS numbers of four bytes for each language, on the driver and in each worker: 128 MB at most.
+MAX_LANGUAGES = 256
 
 #: First code point of each range and its script; fixed by Unicode's blocks. 0: letters of all other scripts.
 RANGES = ((0x0, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xC0, 1), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 0), (0x900, 7), (0x980, 8), (0xE00, 9), (0xE80, 0), (0x10A0, 10), (0x1100, 11), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 12), (0x3100, 0), (0x3400, 13), (0xA000, 0), (0xAC00, 11), (0xD7B0, 0), (0xF900, 13), (0xFB00, 0))
@@ -111,6 +116,24 @@ class Model:
         self.weights = np.log(smooth / smooth.sum(0)).astype(np.float32) if names else np.zeros((BUCKETS, 0), np.float32)
         self.uses = scripts >= USES * np.maximum(scripts.sum(1, keepdims=True), 1)
 
+    def candidates(self, mask: int) -> np.ndarray:
+        """The languages that use a script of a mask; all if none does."""
+        on = [s for s in range(SCRIPTS) if mask >> s & 1]
+        found = np.flatnonzero(self.uses[:, on].any(1))
+        return found if len(found) else np.arange(len(self.names))
+
+    def of(self, cand: np.ndarray) -> np.ndarray:
+        """The weights of some languages; the last few sets are kept."""
+        if len(cand) == len(self.names):
+            return self.weights
+        kept = self.__dict__.setdefault("kept", {})
+        key = cand.tobytes()
+        if key not in kept:
+            while kept and sum(x.nbytes for x in kept.values()) + BUCKETS * 4 * len(cand) > KEPT_BYTES:
+                del kept[next(iter(kept))]
+            kept[key] = np.ascontiguousarray(self.weights[:, cand])
+        return kept[key]
+
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """The model from documents whose crc32(doc_id) mod 5 is not 0."""
@@ -119,6 +142,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     names = sorted(sizes)
     number = {x: i for i, x in enumerate(names)}
     width = len(names)
+    if width > MAX_LANGUAGES:
+        raise ValueError(f"{width} languages; the model's size is bound to {MAX_LANGUAGES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,27 +164,47 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     return Model(names, flat[: width * BUCKETS].reshape(width, BUCKETS).T if width else np.zeros((BUCKETS, 0)), flat[width * BUCKETS :].reshape(width, SCRIPTS))
 
 
+def _sums(model: Model, cand: np.ndarray, word: np.ndarray, bucket: np.ndarray, total: np.ndarray) -> None:
+    """Adds to each word's row of ``total`` the weights of its n-grams for the candidates, some n-grams at a time."""
+    weights, step = model.of(cand), max(1, CHUNK_FLOATS // max(len(cand), 1))
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    cut, i = np.concatenate([[0], edge]), 0
+    while i < len(cut):
+        j = max(i + 1, int(np.searchsorted(cut, cut[i] + step, "right")) - 1) if cut[-1] - cut[i] > step else len(cut)
+        stop = cut[j] if j < len(cut) else len(word)
+        total[word[cut[i:j]]] += np.add.reduceat(weights[bucket[cut[i] : stop]], cut[i:j] - cut[i], axis=0)
+        i = j
+
+
 def word_scores(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Scores (words x languages) relative to the best candidate, and whether a word has a letter."""
+    """Scores (words x languages) relative to the best candidate, and whether a word has a letter. Words of one script are scored
+    together, for the languages that use it alone; words without a letter are not scored."""
     g = Grams(w)
     d, width = len(w.start), len(model.names)
-    total = np.zeros((d, width), np.float32)
-    for word, bucket in g.parts:
-        if len(word):  # short words have no long n-grams
-            cut = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
-            total[word[cut]] += np.add.reduceat(model.weights[bucket], cut, axis=0)
     seen = g.mask != 0
-    allowed = np.zeros((d, width), bool)
-    for s in range(SCRIPTS):
-        on = (g.mask >> s & 1) == 1
-        if on.any():
-            allowed[on] |= model.uses[:, s]
-    allowed[~allowed.any(1)] = True
-    total[~allowed] = -np.inf
-    total -= total.max(1, keepdims=True) if width else 0
-    total = np.maximum(total * 0.5, WORST) + np.where(allowed, 0, 2 * WORST).astype(np.float32)
-    total[~seen] = 0
-    return total, seen
+    out = np.zeros((d, width), np.float32)
+    if not width:
+        return out, seen
+    masks, which = np.unique(g.mask, return_inverse=True)
+    for k, mask in enumerate(masks.tolist()):
+        if not mask:
+            continue
+        cand = model.candidates(mask)
+        here = np.flatnonzero(which == k)
+        place = np.zeros(d, np.int64)
+        place[here] = np.arange(len(here))
+        total = np.zeros((len(here), len(cand)), np.float32)
+        for word, bucket in g.parts:
+            if len(here) < d:
+                on = which[word] == k
+                word, bucket = place[word[on]], bucket[on]
+            if len(word):  # short words have no long n-grams
+                _sums(model, cand, word, bucket, total)
+        total -= total.max(1, keepdims=True)
+        row = np.full((len(here), width), np.float32(WORST + 2 * WORST))
+        row[:, cand] = np.maximum(total * 0.5, WORST)
+        out[here] = row
+    return out, seen
 
 
 def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -242,7 +287,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
                 base = np.repeat(chars[utf8(column(p, "text"))[1][:-1]], count)
                 letters = np.bincount(np.repeat(np.arange(p.num_rows), count), seen, p.num_rows) > 0
                 waiting.append((column(p, "doc_id"), score, seen, chars[w.start] - base, chars[w.end] - base, w.end - w.start, count, letters))
-                if sum(len(x[1]) for x in waiting) >= BATCH_WORDS:
+                if sum(len(x[1]) for x in waiting) >= min(BATCH_WORDS, BATCH_BYTES // (4 * max(width, 1))):
                     yield flush()
             if sum(len(x[6]) for x in waiting) >= 20_000:
                 yield flush()
