@@ -39,8 +39,9 @@ SETTINGS = {"select": "SELECT * FROM {input}", "pull_requests": "SELECT * FROM {
 def triage(commits: DataFrame, prs: DataFrame | None = None, fault_filter: str = "all", merged_only: bool = False, keywords=R.KEYWORDS) -> DataFrame:
     """Candidates of commits (repo, commit_hash, subject, body), one row each, with ``fault_class``, their classes joined. Each message is
     scanned once; what is shuffled has no texts. Of repeated commits the least row counts; a null in the key counts as empty."""
-    text = mining.message()
-    light = commits.select(*[F.coalesce(c, F.lit("")).alias(c) for c in KEY], mining.stage1_category(text).alias("category"), mining.rejected(text).alias("rejected"), T.issue_ids(F.coalesce("subject", F.lit(""))).alias("issue_ids"), mining.keyword_hits(text, keywords).alias("hits"))
+    commits = commits.select(*[F.coalesce(c, F.lit("")).alias(c) for c in KEY], "subject", mining.message().alias("text"))
+    text = F.col("text")
+    light = commits.select(*KEY, mining.stage1_category(text).alias("category"), mining.rejected(text).alias("rejected"), T.issue_ids(F.coalesce("subject", F.lit(""))).alias("issue_ids"), mining.keyword_hits(text, keywords).alias("hits"))
     about = [c for c in light.columns if c not in KEY]
     light = light.groupBy(*KEY).agg(F.min(F.struct(*about)).alias("x")).select(*KEY, "x.*").filter("NOT rejected AND size(hits) > 0")
     signals = light.select(*KEY, F.inline("hits")).select(*KEY, "category", F.lit("keyword").alias("source"), F.lit(1).alias("layer"))

@@ -5,6 +5,7 @@ Patterns are searched with ``.`` matching line ends where a rule set says so.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -167,6 +168,75 @@ def has(column: str | Column, pattern: str, flags: str = "") -> Column:
     return (F.col(column) if isinstance(column, str) else column).rlike(f"(?dU{flags})" + pattern)
 
 
+#: Fixed words of fewer characters say too little.
+LEAST = 2
+
+
+def fixed_words(pattern: str) -> list[str]:
+    """Case-folded words of which every match holds at least one; none if that can't be told. Reads what stands outside groups and classes."""
+    if re.search(r"\(\?[A-Za-z-]", pattern):  # flags of its own
+        return []
+    branches: list[list[str]] = [[""]]
+    i, n = 0, len(pattern)
+    while i < n:
+        c = pattern[i]
+        runs = branches[-1]
+        if c == "|":
+            branches.append([""])
+        elif c in "([":
+            depth, opened = 0, c
+            while i < n:  # over the group or the class, with what is nested in it
+                if pattern[i] == "\\":
+                    i += 1
+                elif pattern[i] == "[" or opened == "(" and pattern[i] == "(":
+                    depth += 1
+                elif pattern[i] == "]" and opened == "[" or pattern[i] == ")" and opened == "(":
+                    depth -= 1
+                    if not depth:
+                        break
+                i += 1
+                if opened == "(" and depth == 0:
+                    break
+            runs.append("")
+        elif c in "?*" or c == "{":
+            runs[-1] = runs[-1][:-1]  # what stands before may be absent
+            runs.append("")
+            if c == "{":
+                i = pattern.find("}", i)
+                if i < 0:
+                    return []
+        elif c == "+":
+            runs.append("")
+        elif c == "\\":
+            i += 1
+            if i >= n or pattern[i].isalnum():
+                if i < n and pattern[i] in "QExuckpPN0123456789":
+                    return []
+                runs.append("")
+            else:
+                runs[-1] += pattern[i]
+        elif c in ".^$" or c == ")":
+            runs.append("")
+        else:
+            runs[-1] += c
+        i += 1
+    best = [max((r.casefold() for r in runs), key=len) for runs in branches]
+    return best if all(len(b) >= LEAST for b in best) else []
+
+
+def folded(text: Column) -> Column:
+    """A text in which ``said`` looks: in lower case, with an s for the long one, which counts as equal."""
+    return F.translate(F.lower(text), "\u017f", "s")
+
+
+def said(text: Column, pattern: str) -> Column:
+    """``has`` whatever the case, in a text that ``folded`` made. The words that every match holds are looked for first, which is several times
+    faster where they are rare."""
+    words = fixed_words(pattern)
+    found = has(text, pattern, "i")
+    return any_of(F.contains(text, F.lit(w)) for w in words) & found if words else found
+
+
 def sql_has(column: str, pattern: str, flags: str = "") -> str:
     quoted = pattern.replace("'", "''")
     return f"regexp_matches({column}, '{f'(?{flags})' if flags else ''}{quoted}')"

@@ -65,7 +65,8 @@ def repository_pairs(commits: DataFrame, contents: DataFrame) -> DataFrame:
     A commit counts if its message names a class and is not ruled out, and if it has a parent and a diff; a file, if both revisions have it and
     hold one of the class's words; a method, if the diff names it and both revisions have a body of it, which differ. Messages are judged before
     contents are joined; each content is folded once for all names."""
-    text = mining.message()
+    commits = commits.select("repo", "commit_hash", "parent_hash", "subject", "diff", mining.message().alias("text"))
+    text = F.col("text")
     c = commits.select("repo", "commit_hash", "parent_hash", "subject", "diff", mining.stage1_category(text).alias("category"), mining.rejected(text).alias("rejected"))
     c = c.filter("category IS NOT NULL AND NOT rejected AND coalesce(diff, '') != '' AND coalesce(parent_hash, '') != ''")
     files = c.select("repo", "commit_hash", "parent_hash", F.coalesce("subject", F.lit("")).alias("subject"), "category", T.changed_methods(F.col("diff")).alias("names"), F.array_distinct(T.changed_files(F.col("diff"))).alias("paths"))

@@ -20,16 +20,17 @@ CONFIDENCES = ("low", "medium", "high")
 
 
 def message(subject: str = "subject", body: str = "body") -> Column:
-    return F.lower(F.concat(F.coalesce(F.col(subject), F.lit("")), F.lit(" "), F.coalesce(F.col(body), F.lit(""))))
+    """A commit's whole message, folded. Make it a column before rules look into it, else each makes it anew."""
+    return R.folded(F.concat(F.coalesce(F.col(subject), F.lit("")), F.lit(" "), F.coalesce(F.col(body), F.lit(""))))
 
 
 def stage1_category(text: Column) -> Column:
-    """The first class, in fixed order, one of whose patterns occurs; null if none."""
-    return F.coalesce(*[F.when(R.any_of(R.has(text, p, "i") for p in ps), F.lit(c)) for c, ps in R.STAGE1.items()])
+    """The first class, in fixed order, one of whose patterns occurs in a folded text; null if none."""
+    return F.coalesce(*[F.when(R.any_of(R.said(text, p) for p in ps), F.lit(c)) for c, ps in R.STAGE1.items()])
 
 
 def rejected(text: Column) -> Column:
-    return R.any_of(R.has(text, p, "i") for p in R.REJECT)
+    return R.any_of(R.said(text, p) for p in R.REJECT)
 
 
 def plausible(both: Column, category: Column) -> Column:
@@ -42,18 +43,18 @@ def keys_of(key: str | tuple[str, ...]) -> list[str]:
 
 
 def keyword_hits(text: Column, keywords=R.KEYWORDS) -> Column:
-    """struct(category, evidence) of each category of which keywords occur (case is ignored)."""
+    """struct(category, evidence) of each category of which keywords occur in a folded text."""
     groups: dict[str, list[str]] = {}
     for c, _, p in keywords:
         groups.setdefault(c, []).append(p)
-    found = [F.struct(F.lit(c).alias("category"), F.filter(F.array(*[F.when(R.has(text, p, "i"), F.lit(p)) for p in ps]), lambda x: x.isNotNull()).alias("evidence")) for c, ps in groups.items()]
+    found = [F.struct(F.lit(c).alias("category"), F.filter(F.array(*[F.when(R.said(text, p), F.lit(p)) for p in ps]), lambda x: x.isNotNull()).alias("evidence")) for c, ps in groups.items()]
     return F.filter(F.array(*found), lambda x: F.size(x["evidence"]) > 0)
 
 
 def keyword_signals(df: DataFrame, key: str | tuple[str, ...], text: Column, layer: int, keywords=R.KEYWORDS, source: str = "keyword") -> DataFrame:
     """key, category, source, layer, evidence: a row for each category of which keywords occur (case is ignored)."""
     key = keys_of(key)
-    rows = df.select(*key, F.explode(keyword_hits(text, keywords)).alias("x"))
+    rows = df.select(*key, R.folded(text).alias("_text")).select(*key, F.explode(keyword_hits(F.col("_text"), keywords)).alias("x"))
     return rows.select(*key, "x.category", F.lit(source).alias("source"), F.lit(layer).alias("layer"), F.array_join("x.evidence", "|").alias("evidence"))
 
 

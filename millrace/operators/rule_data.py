@@ -16,65 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import fixed_words
 from ..functions.text import side
 from .mining import keys_of
 
 PART_BYTES = 4 << 20
-#: Words of fewer characters say too little.
-LEAST = 2
 FLAGS = {"keyword": "i", "pattern": "ms", "sub": "m"}
 
 
-def fixed_words(pattern: str) -> list[str]:
-    """Case-folded words of which every match holds at least one; none if that can't be told. Reads what stands outside groups and classes."""
-    branches: list[list[str]] = [[""]]
-    i, n = 0, len(pattern)
-    while i < n:
-        c = pattern[i]
-        runs = branches[-1]
-        if c == "|":
-            branches.append([""])
-        elif c in "([":
-            depth, opened = 0, c
-            while i < n:  # over the group or the class, with what is nested in it
-                if pattern[i] == "\\":
-                    i += 1
-                elif pattern[i] == "[" or opened == "(" and pattern[i] == "(":
-                    depth += 1
-                elif pattern[i] == "]" and opened == "[" or pattern[i] == ")" and opened == "(":
-                    depth -= 1
-                    if not depth:
-                        break
-                i += 1
-                if opened == "(" and depth == 0:
-                    break
-            runs.append("")
-        elif c in "?*" or c == "{":
-            runs[-1] = runs[-1][:-1]  # what stands before may be absent
-            runs.append("")
-            if c == "{":
-                i = pattern.find("}", i)
-                if i < 0:
-                    return []
-        elif c == "+":
-            runs.append("")
-        elif c == "\\":
-            i += 1
-            if i >= n or pattern[i].isalnum():
-                if i < n and pattern[i] in "QExuckpPN0123456789":
-                    return []
-                runs.append("")
-            else:
-                runs[-1] += pattern[i]
-        elif c in ".^$" or c == ")":
-            runs.append("")
-        else:
-            runs[-1] += c
-        i += 1
-    best = [max((r.casefold() for r in runs), key=len) for runs in branches]
-    return best if all(len(b) >= LEAST for b in best) else []
-
-
 def _parts(rules: DataFrame) -> Iterator[list[tuple[list[str], int]]]:
     """(words, id) of the rules that compile, in parts of bounded size."""
     java, part, size = rules.sparkSession._jvm.java.util.regex.Pattern, [], 0
@@ -83,7 +32,7 @@ def _parts(rules: DataFrame) -> Iterator[list[tuple[list[str], int]]]:
             java.compile(f"(?dU{r['flags']})" + r["pattern"])
         except Exception:  # the engine's pattern syntax decides
             continue
-        words = [] if "(?" in r["pattern"] or "#" in r["pattern"] and "x" in r["flags"] else fixed_words(r["pattern"])
+        words = [] if "x" in r["flags"] else fixed_words(r["pattern"])
         if part and size + sum(map(len, words)) > PART_BYTES:
             yield part
             part, size = [], 0

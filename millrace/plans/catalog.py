@@ -304,14 +304,18 @@ STAGE1 = "CASE " + " ".join(f"WHEN {' OR '.join(R.sql_has(LOWERED, p, 'i') for p
 REJECTED = "(" + " OR ".join(R.sql_has(LOWERED, p, "i") for p in R.REJECT) + ")"
 
 
+def _messages(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "v_msg").select("doc_id", "commit_hash", mining.message().alias("text"))
+
+
 @query(_with("v_msg") + f"SELECT doc_id, {STAGE1} AS category FROM v_msg")
 def stage1_category(spark, sf_dir):
-    return view(spark, sf_dir, "v_msg").select("doc_id", mining.stage1_category(mining.message()).alias("category"))
+    return _messages(spark, sf_dir).select("doc_id", mining.stage1_category(F.col("text")).alias("category"))
 
 
 @query(_with("v_msg") + f"SELECT doc_id, {REJECTED} AS rejected FROM v_msg")
 def stage2_reject(spark, sf_dir):
-    return view(spark, sf_dir, "v_msg").select("doc_id", mining.rejected(mining.message()).alias("rejected"))
+    return _messages(spark, sf_dir).select("doc_id", mining.rejected(F.col("text")).alias("rejected"))
 
 
 def _plausible_sql(c: str) -> str:
@@ -327,7 +331,8 @@ def stage2_plausible(spark, sf_dir):
 @query(_with("v_msg", "v_code") + f"""SELECT pair_key, category, file_path FROM (SELECT commit_hash, {STAGE1} AS category FROM v_msg WHERE NOT {REJECTED}) m JOIN v_code USING (commit_hash)
 WHERE trim(before_source) <> '' AND trim(after_source) <> '' AND before_source <> after_source AND CASE category {' '.join(f"WHEN '{c}' THEN {_plausible_sql(c)}" for c in R.PLAUSIBLE)} ELSE false END""")
 def mined_pairs(spark, sf_dir):
-    m = view(spark, sf_dir, "v_msg").filter(~mining.rejected(mining.message())).select("commit_hash", mining.stage1_category(mining.message()).alias("category")).filter("category IS NOT NULL")
+    text = F.col("text")
+    m = _messages(spark, sf_dir).select("commit_hash", mining.rejected(text).alias("rejected"), mining.stage1_category(text).alias("category")).filter("NOT rejected AND category IS NOT NULL")
     c = view(spark, sf_dir, "v_code").filter("trim(before_source) != '' AND trim(after_source) != '' AND before_source != after_source")
     return c.join(m, "commit_hash").filter(mining.plausible(F.concat("before_source", "after_source"), F.col("category"))).select("pair_key", "category", "file_path")
 

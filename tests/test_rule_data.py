@@ -6,12 +6,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import rules as R
 from millrace.operators import mining, rule_data
 
 
 @pytest.mark.parametrize("pattern,words", [
     ("memory leak", ["memory leak"]), (r"leak(s|ed)? memory|heap growth", [" memory", "heap growth"]), (r"\bdeadlock\b", ["deadlock"]), (r"a+bc?d", []), (r"lock(?:ed)?s", ["lock"]),
-    (r"[a-z]+", []), (r"busy[- ]wait", ["busy"]), (r"\.put\(", [".put("]), (r"x{2,3}yz", ["yz"]), (r"(a|b)|cd", []), (r"Straße", ["strasse"]), (r"\Qa.b\E", []), ("", []), (r"ab(c[)]d)ef", ["ab"]), (r"ab*cde", ["cde"]),
+    (r"[a-z]+", []), (r"busy[- ]wait", ["busy"]), (r"\.put\(", [".put("]), (r"x{2,3}yz", ["yz"]), (r"(a|b)|cd", []), (r"Straße", ["strasse"]), (r"\Qa.b\E", []), ("", []), (r"ab(c[)]d)ef", ["ab"]), (r"(?x) a b c", []), (r"ab(?i:cd)", []), (r"ab*cde", ["cde"]),
 ])
 def test_fixed_words(pattern, words):
     assert rule_data.fixed_words(pattern) == words
@@ -86,3 +87,11 @@ def test_five_thousand_rules(spark, texts, tmp_path, monkeypatch):
 def test_no_rules(spark, texts):
     rules = rule_data.numbered(taxonomy(spark, 1).limit(0))
     assert rule_data.keyword_signals(texts, KEY, F.col("message"), 1, rules).count() == 0
+
+
+def test_said_is_has_whatever_the_case(spark):
+    texts = ["Memory LEAK", "leaſ loſt", "\u212aernel leak", "LEAKS memory heap growth", "", None, "STRASSE Straße", "dead lock", "Deadlock!", "ünlock ÜNLOCK"]
+    patterns = ["leak", "los(t|s)", "kernel", r"leak(s|ed)? memory|heap growth", r"\bdeadlock\b", "straße", "ünlock", "les"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("f", R.folded(F.col("t")))
+    for r in d.select("t", *[R.said(F.col("f"), p).alias(f"a{i}") for i, p in enumerate(patterns)], *[R.has("t", p, "i").alias(f"b{i}") for i, p in enumerate(patterns)]).collect():
+        assert [r[f"a{i}"] for i in range(len(patterns))] == [r[f"b{i}"] for i in range(len(patterns))], r.t
