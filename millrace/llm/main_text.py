@@ -8,7 +8,8 @@ The sums over ``WINDOW`` consecutive lines are the distribution. The text begins
 to where they dive to nothing; a page can have several such stretches. Where a page marks its article (``article``,
 ``main``, or an element named so that holds half of the text), the distribution is taken inside it and any text is a surge. Elsewhere the
 threshold is ``SURGE`` code points, or a quarter of the page's highest sum if that is less; the short lines at both ends of a stretch go, except
-headings at its start, and so does what stands before a page's only ``h1``, after a heading of comments or after a copyright sign.
+headings at its start, and so does what stands before a page's only ``h1``, after a heading about comments or after a copyright sign. A heading
+that says no more than that comments follow ends the text on every page.
 
 Character references are decoded after markup is read. White space is what Unicode says, so that no-break spaces count too.
 
@@ -58,6 +59,12 @@ BARRED_NAMES = set(
 )
 #: The same for what an article is.
 NAMED = set("article story entry post content main".split())
+#: Those that also count at an end of a name written as one word.
+_ENDS = tuple(n for n in sorted(BARRED_NAMES) if len(n) > 5) + ("nav", "menu")
+_NAMED_ENDS = ("article", "story", "content", "entry")
+_LABELS = BARRED_NAMES - {"bar", "form", "forms", "links", "notice", "notices", "popular", "legal", "rail", "toc", "foot", "respond", "response"}
+#: A heading that says nothing else than that comments follow.
+_COMMENTS_FOLLOW = re.compile(r"(?:\d+\s+)?(?:(?:reader|readers'|user|all|latest)\s+)?(?:comments?|replies|responses|discussion|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?|commenti)\s*(?:\(?\d+\)?)?\s*:?", re.I)
 _COMMENTS = re.compile(r"\b(?:comments?|repl(?:y|ies)|kommentare?|commentaires?|comentarios?|commenti)\b", re.I)
 _COPYRIGHT = re.compile(r"(?:©|copyright\b)", re.I)
 #: Names that contain such a word and speak of what is not there or stands beside.
@@ -84,8 +91,12 @@ def barred(tag: str, attributes: str, inside: bool) -> bool:
                 words = [w.lower() for w in _WORD.findall(part)]
                 if not words or _BESIDE & set(words):
                     continue
-                if words[0] in BARRED_NAMES or words[-1] in BARRED_NAMES or words[-1] == "header" and not inside and words[0] not in ("article", "entry", "post"):
+                if words[0] in BARRED_NAMES or words[-1] in BARRED_NAMES or len(words) == 1 and (words[0].endswith(_ENDS) or words[0].startswith(_ENDS[:-2])):
                     return True
+                if words[-1].endswith("header") and not inside and not words[0].startswith(("article", "entry", "post", "story")):
+                    return True
+        if name == "aria-label" and _LABELS & set(value.lower().split()):
+            return True
     return False
 
 
@@ -100,7 +111,7 @@ def article_level(tag: str, attributes: str) -> int:
                 return 3
             if name == "role" and value.lower() in ("main", "article"):
                 return 2
-            if name in ("class", "id") and any(NAMED & {w[0], w[-1]} for part in value.split() if (w := [x.lower() for x in _WORD.findall(part)])):
+            if name in ("class", "id") and any(NAMED & {w[0], w[-1]} or len(w) == 1 and (w[0].startswith(_NAMED_ENDS) or w[0].endswith(_NAMED_ENDS)) for part in value.split() if (w := [x.lower() for x in _WORD.findall(part)])):
                 return 1
     return 0
 
@@ -253,6 +264,9 @@ def main_text(html: str | None) -> str:
     lines = lines_of(html)
     if not any(c for _, c, _, _ in lines):  # all was stripped by its names
         lines = lines_of(html, names=False)
+    follow = next((k for k, line in enumerate(lines) if line[2] and _COMMENTS_FOLLOW.fullmatch(line[0])), len(lines))
+    if any(c for _, c, _, _ in lines[:follow]):
+        lines = lines[:follow]
     held = [sum(c for _, c, _, at in lines if at >= level) for level in range(4)]
     inside = next((level for level in (3, 2, 1) if held[level] and 2 * held[level] >= held[1 if level > 1 else 0]), 0)
     counts = [c if at >= inside else 0 for _, c, _, at in lines]

@@ -78,3 +78,23 @@ def test_rows(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "'a' AS n_chars").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted((tuple(r) for r in m.op12_line_blocks(spark, str(tmp_path)).collect()), key=repr)
     assert got == sorted([(1, "u", "x", 1)] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=repr)
+
+
+@pytest.mark.parametrize("noise", ["<div class='usercomments'><p>{}</p></div>", "<div id=pagefooter><p>{}</p></div>", "<section aria-label='Reader comments'><p>{}</p></section>", "<div class='topnav'><p>{}</p></div>", "<div id='leftSidebar'><p>{}</p></div>", "<div class='content-footer'><p>{}</p></div>"])
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<div class='articlebody'>{}</div>", "<div>{}</div>"])
+def test_names_in_one_word(noise, shell):
+    said = "Somebody says something of the length of a paragraph here, and it is no article."
+    for page in (noise.format(said) + shell.format(BODY), shell.format(BODY) + noise.format(said), shell.format(BODY + noise.format(said))):
+        assert m.main_text(page) == " ".join(PLAIN)
+
+
+def test_names_that_only_look_like_it():
+    for name in ("content-sidebar-wrap", "has-sidebar", "download", "thread", "platform", "readable", "page with-comments"):
+        assert m.main_text(f"<div class='{name}'>{BODY}</div>") == " ".join(PLAIN)
+
+
+@pytest.mark.parametrize("heading", ["Comments", "3 comments", "Comments (12)", "Leave a reply", "Kommentare", "Reader comments:"])
+def test_a_heading_of_comments_ends_the_text(heading):
+    more = "<div><p>I read this article and I liked all that it says about the matter.</p></div>"
+    assert m.main_text(f"<main><h1>Head</h1>{BODY}<div><h2>{heading}</h2>{more}</div></main>") == " ".join(["Head", *PLAIN])
+    assert m.main_text(f"<main><h1>Head</h1>{BODY}<h2>Comments on the results</h2>{more}</main>").endswith("about the matter.")
