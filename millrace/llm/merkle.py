@@ -80,7 +80,7 @@ class Forest:
 
     def __init__(self, rows: DataFrame, group: str, order: tuple[str, ...], tag: str, fan: int = FAN, depth: int = DEPTH):
         self.fan, self.depth, size = fan, depth, fan**depth
-        nodes = in_order(rows, group, order, tag)
+        ordered = nodes = in_order(rows, group, order, tag)
         self.carry = [c for c in rows.columns if c not in (group, "h")]
         self.rounds: list[DataFrame] = []
         while True:
@@ -90,6 +90,8 @@ class Forest:
             found = nodes.groupBy("g", F.floor(F.col("pos") / size).alias("block")).agg(F.max("n").alias("n"), items.alias("items"))
             found = found.withColumn("levels", levels_of(F.transform("items", lambda x: x["h"]), F.col("n"), fan, depth))
             self.rounds.append(save(found, f"{tag}-blocks"))
+            if len(self.rounds) == 1:
+                drop(ordered)
             most = self.rounds[-1].agg(F.max("n")).first()[0]
             if most is None or most <= size:
                 break
