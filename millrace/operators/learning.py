@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import forest as deep
 from . import vectors
 
 #: Fits that run at a time; each is a chain of jobs of its own.
@@ -164,7 +165,12 @@ def apply(model: PipelineModel, rows: DataFrame, tau: float = vectors.TAU) -> Da
 
 
 def predict(name: str, train: DataFrame, test: DataFrame, tau: float = vectors.TAU, **how) -> DataFrame:
-    """vec_id, label4, probability (array), predicted: class by threshold. Columns: vec_id, label4, features (array)."""
+    """vec_id, label4, probability (array), predicted: class by threshold. Columns: vec_id, label4, features (array). A forest that is only asked is
+    never whole in one place (``forest.shares``)."""
+    if name == "forest":
+        train = balanced(train.filter(F.col("label4").between(0, 3))).select("vec_id", "label4", "features", "weight")
+        told = deep.shares(train, test.select("vec_id", "label4", "features"), **how)
+        return told.select("vec_id", "label4", "probability", vectors.threshold("probability", tau).alias("predicted"))
     return apply(fit(name, train, **how), test, tau).select("vec_id", "label4", "probability", "predicted")
 
 
