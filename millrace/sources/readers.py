@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task whose work is by row, however few bytes they have.
+SPREAD_ROWS = 10_000
+
+
+def spread(d: DataFrame) -> DataFrame:
+    """``d`` dealt out by the number of its rows, which files of few bytes don't do: as many parts as threads, more where a part would have over
+    ``SPREAD_ROWS`` rows. Few rows stay as they are."""
+    n = d.count()
+    if n <= SPREAD_ROWS // 10:
+        return d
+    return d.repartition(max(d.sparkSession.sparkContext.defaultParallelism, -(-n // SPREAD_ROWS)))
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``; where that is unset on one machine, in a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
