@@ -68,18 +68,37 @@ def normalised(v: str) -> Column:
     return F.transform(v, lambda x: x / F.greatest(norm(F.col(v)), F.lit(1e-9)))
 
 
-def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k largest values of each row, ties by id; -inf is never one."""
-    least = np.partition(s, max(s.shape[1] - k, 0), axis=1)[:, max(s.shape[1] - k, 0)]
-    rows, cols = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-    order = np.lexsort((ids[cols], -s[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return rows[keep], cols[keep]
+#: Blocks of a side that are made for the sake of more tasks, and rows that such a block has at least unless it is to be smaller.
+MANY, FEW_ROWS = 8, 2048
 
 
-def _met(rows: DataFrame, cell: list[str], k: int, apart: bool = False, by_project: bool = False) -> DataFrame:
-    """The k best items of each query of a cell. rows: vec_id, embedding, label4, project, side (0 for queries, 1 for items), and the columns of ``cell``."""
+def _blocks(n: int, width: int, block_bytes: int) -> int:
+    """Blocks of a side of ``n`` rows: of ``block_bytes`` each, but ``MANY`` at most unless more are needed to keep within BLOCK_BYTES. A row is sent to
+    every block of the other side, so that small blocks mustn't grow in number with the input."""
+    rows = lambda size: max(1, size // (8 * max(width, 1)))
+    return max(1, -(-n // rows(max(BLOCK_BYTES, block_bytes))), min(MANY, -(-n // min(FEW_ROWS, rows(block_bytes)))))
+
+
+def _near_best(s: np.ndarray, k: int, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns that may be among the k largest of their row, when values are off by half of ``margin`` at most. The k-th largest of maxima
+    of sets of columns is no more than the k-th largest value."""
+    n = s.shape[1]
+    sets = n // 32
+    tops = s[:, : sets * 32].reshape(len(s), 32, sets).max(axis=1) if sets > 4 * k else s
+    at = max(tops.shape[1] - k, 0)
+    least = np.partition(tops, at, axis=1)[:, at] if n > k else np.full(len(s), -np.inf, s.dtype)
+    rows, cols = np.nonzero(s >= (least - margin)[:, None])
+    finite = s[rows, cols] > -np.inf
+    return rows[finite], cols[finite]
+
+
+def _met(rows: DataFrame, cell: list[str], k: int, parts: int, apart: bool = False, by_project: bool = False, visits: np.ndarray | None = None) -> DataFrame:
+    """The k best items of each query of a cell. rows: vec_id, embedding, label4, project, side (0 for queries, 1 for items), and the columns of ``cell``;
+    with ``visits`` near too: which groups of items (columns) each group of queries (rows) meets.
+
+    Products are taken in single precision and those that may be among the best again in double, each by itself, so that equal vectors have equal products.
+    Of equal items of one project only the k of least id are met."""
+    visits = None if visits is None else np.packbits(visits, axis=1)
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(group)).combine_chunks()
@@ -87,33 +106,60 @@ def _met(rows: DataFrame, cell: list[str], k: int, apart: bool = False, by_proje
         flat = table["embedding"].combine_chunks().flatten().to_numpy()
         m = flat.reshape(len(ids), -1)
         have, ask = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-        if not len(have):
+        if not len(have) or not len(ask):
+            return
+        same = np.unique(np.ascontiguousarray(m[have]).view(f"V{m.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel() if m.shape[1] else np.zeros(len(have), int)
+        order = np.lexsort((ids[have], same, project[have]))
+        runs = np.flatnonzero(np.r_[True, (np.diff(same[order]) != 0) | (np.diff(project[have][order]) != 0)])
+        have = have[order[np.arange(len(order)) - np.repeat(runs, np.diff(np.r_[runs, len(order)])) < k]]
+        ask = ask[np.argsort(project[ask], kind="stable")]
+        size = np.sqrt((m * m).sum(1))
+        single = 1e-12 < size.max() < 1e15
+        kind, unit = (np.float32, 2.0**-23) if single else (np.float64, 2.0**-52)
+
+        def best(ask: np.ndarray, have: np.ndarray) -> Iterator[pa.RecordBatch]:
+            vectors, kinds, far = m[have].astype(kind).T, project[have], size[have].max()
+            step = max(1, (4 << 20) // len(have))
+            names = np.unique(kinds)
+            for i in (ask[j : j + step] for j in range(0, len(ask), step)):
+                s = m[i].astype(kind) @ vectors
+                margin = (2 * (m.shape[1] + 8) * unit * (size[i] * far + 1e-30)).astype(kind)
+                if apart:
+                    for x in np.unique(project[i]):
+                        s[slice(*np.searchsorted(project[i], [x, x + 1])), slice(*np.searchsorted(kinds, [x, x + 1]))] = -np.inf
+                for lo, hi in [np.searchsorted(kinds, [x, x + 1]) for x in names] if by_project else [(0, len(have))]:
+                    r, c = _near_best(s[:, lo:hi], k, margin)
+                    c = have[c + lo]
+                    exact = np.concatenate([np.einsum("ij,ij->i", m[i[r[j : j + 65536]]], m[c[j : j + 65536]]) for j in range(0, len(r), 65536)] or [np.zeros(0)])
+                    order = np.lexsort((ids[c], -exact, r))
+                    r, c, exact = r[order], c[order], exact[order]
+                    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    r, c, exact = r[keep], c[keep], exact[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i][r], ids[c], exact, label[c], project[c])], ["vec_id", "neighbour", "sim", "neighbour_label", "p_"])
+
+        if visits is None:
+            yield from best(ask, have)
             return
-        vectors, found, kinds = m[have].T, ids[have], project[have]
-        step = max(1, (4 << 20) // len(have))
-        for i in (ask[j : j + step] for j in range(0, len(ask), step)):
-            s = m[i] @ vectors
-            if apart:
-                s[project[i][:, None] == kinds[None, :]] = -np.inf
-            for chosen in [np.flatnonzero(kinds == x) for x in np.unique(kinds)] if by_project else [np.arange(len(have))]:
-                r, c = _best(s[:, chosen], found[chosen], k)
-                c = chosen[c]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i][r], found[c], s[r, c], label[have][c], kinds[c])], ["vec_id", "neighbour", "sim", "neighbour_label", "p_"])
+        near = table["near"].to_numpy()
+        for h in np.unique(near[ask]):
+            some = have[np.unpackbits(visits[h])[near[have]] == 1]
+            if len(some):
+                yield from best(ask[near[ask] == h], some)
 
-    return rows.groupBy(*cell).applyInArrow(run, "vec_id long, neighbour long, sim double, neighbour_label int, p_ int")
+    # told, since a cell is much work whatever its bytes; three a cell, so that few cells share one
+    return rows.repartition(max(1, 3 * parts), *cell).groupBy(*cell).applyInArrow(run, "vec_id long, neighbour long, sim double, neighbour_label int, p_ int")
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int = K, apart: bool = False, by_project: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """vec_id, rank, neighbour, sim, neighbour_label, p_: the k items of largest inner product for each query, ties by id.
     apart: only items of other projects than the query's. by_project: the k best among the items of each project (p_).
 
-    Exact. Both sides are dealt into blocks of at most ``block_bytes`` of vectors; two blocks meet in one task as a matrix
+    Exact. Both sides are dealt into blocks (``_blocks``); two blocks meet in one task as a matrix
     product and leave k rows for each query, and the best of these are taken. A task holds two blocks, whatever the input."""
     width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
-    rows = max(1, block_bytes // (8 * width))
 
     def dealt(d: DataFrame, side: int) -> tuple[DataFrame, int]:
-        n = max(1, -(-d.count() // rows))
+        n = _blocks(d.count(), width, block_bytes)
         block = F.pmod(F.xxhash64("vec_id", F.lit(side)), F.lit(n)).cast("int")
         return d.select("vec_id", "embedding", "label4", "project", F.lit(side).alias("side"), block.alias("block")), n
 
@@ -121,7 +167,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = K, apart: bool = False,
     q = q.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nt - 1)), lambda i: F.col("block") * nt + i)))
     t = t.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda i: i * nt + F.col("block"))))
 
-    pairs = _met(q.unionByName(t).drop("block"), ["cell"], k, apart, by_project)
+    pairs = _met(q.unionByName(t).drop("block"), ["cell"], k, nq * nt, apart, by_project)
     w = W.partitionBy("vec_id", *(["p_"] if by_project else [])).orderBy(F.desc("sim"), "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -166,7 +212,7 @@ def search(queries: DataFrame, path: str, k: int = K, block_bytes: int = BLOCK_B
 
     Queries and items are grouped by their nearest pivot. An inner product is at most the pivots' own plus what the groups' radii allow, so that a
     group of items can be passed over if that is below the k-th best that each query of a group has. The first round meets the groups of highest
-    bounds, the second those that the first can't rule out. Groups are dealt into blocks as in ``top_k``."""
+    bounds, the second those that the first can't rule out. Blocks are made of groups and meet as in ``top_k``."""
     spark = queries.sparkSession
     items = spark.read.parquet(f"{path}/items")
     stored = spark.read.parquet(f"{path}/pivots").orderBy("near").collect()  # PIVOTS rows at most
@@ -175,7 +221,6 @@ def search(queries: DataFrame, path: str, k: int = K, block_bytes: int = BLOCK_B
     pivots = np.array([r["embedding"] for r in stored], float)
     columns = ["vec_id", "embedding", "label4", "project"]
     asked = by_pivot(queries.select(*columns), pivots)
-    rows = max(1, block_bytes // (8 * pivots.shape[1]))
 
     def groups(d: DataFrame) -> dict[int, tuple[int, float]]:
         return {r["near"]: (r["n"], r["away"]) for r in d.groupBy("near").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()}
@@ -187,14 +232,34 @@ def search(queries: DataFrame, path: str, k: int = K, block_bytes: int = BLOCK_B
     bound = pivots[own] @ pivots[other].T + size[own][:, None] * big[None, :] + size[other][None, :] * r[:, None] + r[:, None] * big[None, :] if own and other else np.zeros((len(own), len(other)))
     counts = np.array([t[g][0] for g in other])
 
+    def blocks(groups: dict[int, tuple[int, float]]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+        """(group, first block, blocks) of each group: small ones share a block, large ones have several; and which blocks hold which groups."""
+        n = sum(x[0] for x in groups.values())
+        rows = -(-n // _blocks(n, pivots.shape[1], block_bytes))
+        placed, block, held = [], 0, 0
+        for g in sorted(groups):
+            parts = max(1, -(-groups[g][0] // rows))
+            if held and (held + groups[g][0] > rows or parts > 1):
+                block, held = block + 1, 0
+            placed.append((g, block, parts))
+            block, held = (block, held + groups[g][0]) if parts == 1 else (block + parts, 0)
+        return placed, np.array([[at <= b < at + parts for _, at, parts in placed] for b in range(block + 1)])
+
+    (left_at, left_in), (right_at, right_in) = blocks(q), blocks(t)
+
     def met(visits: np.ndarray) -> DataFrame:
-        pairs = spark.createDataFrame([(own[i], other[j]) for i, j in zip(*np.nonzero(visits))], "h int, g int")
-        parts = spark.createDataFrame([(h, max(1, -(-q[h][0] // rows))) for h in own], "h int, hs int"), spark.createDataFrame([(g, max(1, -(-t[g][0] // rows))) for g in other], "g int, gs int")
-        pairs = F.broadcast(pairs.join(F.broadcast(parts[0]), "h").join(F.broadcast(parts[1]), "g"))
-        left = asked.join(pairs, F.col("near") == F.col("h")).withColumn("a", F.pmod(F.xxhash64("vec_id", F.lit(0)), F.col("hs")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("gs") - 1)))
-        right = items.select(*columns, "near").join(pairs, F.col("near") == F.col("g")).withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("gs")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("hs") - 1)))
-        cell = ["h", "g", "a", "b"]
-        return _met(left.select(*columns, *cell, F.lit(0).alias("side")).unionByName(right.select(*columns, *cell, F.lit(1).alias("side"))), cell, k)
+        """Groups share blocks, and blocks of which any groups meet share a cell; what doesn't meet is passed over there."""
+        cells = [(int(a), int(b)) for a, b in zip(*np.nonzero(left_in.astype(int) @ visits.astype(int) @ right_in.T.astype(int)))] if visits.size else []
+        pairs = F.broadcast(spark.createDataFrame(cells, "a int, b int"))
+        whole = np.zeros((len(pivots), len(pivots)), bool)
+        whole[np.ix_(own, other)] = visits
+
+        def side(d: DataFrame, placed: list, number: int, mine: str) -> DataFrame:
+            at = F.broadcast(spark.createDataFrame(placed, "near int, at int, parts int"))
+            block = F.col("at") + F.pmod(F.xxhash64("vec_id", F.lit(number)), F.col("parts")).cast("int")
+            return d.select(*columns, "near").join(at, "near").withColumn(mine, block).join(pairs, mine).select(*columns, "near", "a", "b", F.lit(number).alias("side"))
+
+        return _met(side(asked, left_at, 0, "a").unionByName(side(items, right_at, 1, "b")), ["a", "b"], k, len(cells), visits=whole)
 
     order = np.argsort(-bound, axis=1, kind="stable")
     first = np.zeros(bound.shape, bool)
