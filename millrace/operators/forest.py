@@ -20,6 +20,9 @@ CLASSES = 4
 #: Shares of a Poisson law of mean 1 up to 0, 1, 2, ...: how often a tree takes a row.
 DRAWS = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941, 0.99992)
 
+#: Equal rows beyond which a tree draws for all of them at once, by the normal law that their sum nears.
+SUMMED = 30
+
 
 def _cuts(train: DataFrame, width: int) -> list[np.ndarray]:
     """At most BINS - 1 cuts of each feature, from its quantiles."""
@@ -99,22 +102,26 @@ def shares(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 300,
     """test (vec_id, label4, features) with probability instead of features: the mean over the trees of the class shares in a row's leaf. train has weight too.
 
     The upper levels part the rows until a leaf holds LEAF_ROWS of them on average; MLlib grows these for all trees, and their leaves are known by
-    ``leafCol``. Below, a task holds the rows of one leaf of one tree, a byte for each feature, and those that are asked. What comes of a tree are shares,
+    ``leafCol``. Equal rows are dealt out as one. Below, a task holds the rows of one leaf of one tree, a byte for each feature, and those that are asked. What comes of a tree are shares,
     so that no place holds the forest. Trees take rows by a hash below the upper levels, and by MLlib's own draws in these."""
     train, test = train.filter("vec_id IS NOT NULL"), test.filter("vec_id IS NOT NULL")
     rows, width = train.agg(F.count("*"), F.max(F.size("features"))).first()
     top = min(depth, max(0, math.ceil(math.log2(max(rows, 1) / LEAF_ROWS))))
     both = train.select("vec_id", F.col("label4").cast("int").alias("label4"), "weight", "features").unionByName(test.select("vec_id", F.lit(-1).alias("label4"), F.lit(0.0).alias("weight"), "features"))
+    both = both.groupBy("label4", "weight", "features").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))  # equal rows are one with a number
     if top:
         upper = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=top, seed=seed, weightCol="weight", labelCol="label4", leafCol="leaves")
         model = upper.fit(train.select("label4", "weight", array_to_vector("features").alias("features")))
-        at = model.transform(both.withColumn("raw", F.col("features")).withColumn("features", array_to_vector("features"))).select("vec_id", "label4", "weight", F.col("raw").alias("features"), F.transform(vector_to_array("leaves"), lambda v: v.cast("int")).alias("leaves"))
+        at = model.transform(both.withColumn("raw", F.col("features")).withColumn("features", array_to_vector("features"))).select("vec_id", "n", "label4", "weight", F.col("raw").alias("features"), F.transform(vector_to_array("leaves"), lambda v: v.cast("int")).alias("leaves"))
     else:
         at = both.withColumn("leaves", F.array_repeat(F.lit(0), trees))
-    u = F.pmod(F.xxhash64("vec_id", "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    times = sum(((u >= p).cast("int") for p in DRAWS), F.lit(0))
-    dealt = _binned(at, _cuts(train, width)).select("vec_id", "label4", "weight", "bins", F.posexplode("leaves").alias("tree", "leaf"))
-    dealt = dealt.withColumn("times", F.when(F.col("label4") < 0, 0).otherwise(times)).filter("label4 < 0 OR times > 0")
+    u, v = (F.pmod(F.xxhash64("vec_id", "tree", "copy", F.lit(seed + i)), F.lit(1 << 30)) / float(1 << 30) for i in range(2))
+    one_row = sum(((u >= p).cast("int") for p in DRAWS), F.lit(0))
+    many = F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)).cast("int"))
+    copies = F.when((F.col("n") > SUMMED) | (F.col("label4") < 0), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("n").cast("int")))
+    dealt = _binned(at, _cuts(train, width)).withColumn("copy", F.explode(copies)).select("vec_id", "n", "copy", "label4", "weight", "bins", F.posexplode("leaves").alias("tree", "leaf"))
+    times = F.when(F.col("label4") < 0, 0).when(F.col("copy") == 0, many).otherwise(one_row)
+    dealt = dealt.withColumn("times", times).filter("label4 < 0 OR times > 0").select("vec_id", "label4", "weight", "bins", "tree", "leaf", "times")
 
     def one(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(group)).combine_chunks()
@@ -136,4 +143,5 @@ def shares(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 300,
     said = dealt.repartition(parts, "tree", "leaf").groupBy("tree", "leaf").applyInArrow(one, f"vec_id {dict(test.dtypes)['vec_id']}, p array<double>")
     mean = said.groupBy("vec_id").agg(*[F.avg(F.get("p", i)).alias(f"p{i}") for i in range(CLASSES)])
     probability = F.array(*[F.coalesce(f"p{i}", F.lit(1.0 / CLASSES)) for i in range(CLASSES)])
-    return test.join(mean, "vec_id", "left").select(*[c for c in test.columns if c != "features"], probability.alias("probability"))
+    told = both.filter("label4 < 0").select("vec_id", "features").join(mean, "vec_id", "left").drop("vec_id")
+    return test.join(told, "features", "left").select(*[c for c in test.columns if c != "features"], probability.alias("probability"))

@@ -193,11 +193,18 @@ def compare(train: DataFrame, test: DataFrame, names=None, **how) -> DataFrame:
     return train.sparkSession.createDataFrame(rows, f"{METRICS}, classifier string").orderBy(F.coalesce("f1", F.lit(0.0)).desc(), "classifier")
 
 
+#: Rows that one task learns word vectors from; more rows are learnt from in more parts at a time.
+WORD_ROWS = 20_000
+
+
 def word_vectors(code: DataFrame, size: int = 200, rounds: int = 40, parts: int = 1, seed: int = 42, tokens: str = "tokens") -> DataFrame:
     """code with features: the mean of its words' vectors, learnt by skip-gram from the rows that ``in_train`` names. Rows without words, or
-    without known ones, have zeros. The rows are learnt from in ``parts`` at a time; more of them are faster and less exact."""
+    without known ones, have zeros. The rows are learnt from in ``parts`` at a time, or in as many as keep a part within ``WORD_ROWS``; more of
+    them are faster and less exact. All rows are learnt from in each round."""
+    said = code.filter("in_train").select(tokens)
+    parts = max(parts, -(-said.count() // WORD_ROWS))
     learner = Word2Vec(vectorSize=size, windowSize=5, minCount=1, maxIter=rounds, numPartitions=parts, seed=seed, inputCol=tokens, outputCol="_v")
-    model = learner.fit(code.filter("in_train").select(tokens))
+    model = learner.fit(said)
     return model.transform(code).withColumn("features", vector_to_array("_v")).drop("_v")
 
 

@@ -37,3 +37,13 @@ def test_reruns_agree(spark):
     d = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=5)], int(rng.integers(0, 4))) for i in range(200)], "vec_id long, features array<double>, label4 int")
     one, two = (sorted((r.vec_id, tuple(r.probability)) for r in learning.predict("forest", x.filter("vec_id >= 50"), x.filter("vec_id < 50"), trees=12).select("vec_id", F.transform("probability", lambda p: F.round(p, 9)).alias("probability")).collect()) for x in (d, d.repartition(7)))
     assert one == two
+
+
+def test_equal_rows_are_dealt_out_as_one(spark, monkeypatch):
+    dealt = []
+    real = forest._binned
+    monkeypatch.setattr(forest, "_binned", lambda d, cuts: dealt.append(d.count()) or real(d, cuts))
+    d = spark.range(4000).selectExpr("id AS vec_id", "array(CAST(id % 7 AS DOUBLE), CAST(id % 2 AS DOUBLE)) AS features", "CAST(id % 7 % 4 AS INT) AS label4")
+    told = learning.predict("forest", d.filter("vec_id >= 500"), d.filter("vec_id < 500"), 0.0, trees=10).collect()
+    assert dealt == [28] and len(told) == 500
+    assert all(r.predicted == r.label4 for r in told)
