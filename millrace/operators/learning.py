@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from . import forest as deep
 from . import vectors
+from .boosting import Boosted
 
 #: Fits that run at a time; each is a chain of jobs of its own.
 PARALLEL = 4
@@ -67,8 +68,7 @@ def _mlp(train: DataFrame, width: int, rows: int, seed: int) -> Estimator:
 @classifier("boosted")
 def _boosted(train: DataFrame, width: int, rows: int, seed: int, rounds: int = 100) -> Estimator:
     """Boosted trees of depth 6, for each label one model against the rest."""
-    trees = GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed, weightCol="weight", cacheNodeIds=True)
-    return OneVsRest(classifier=trees, labelCol="label4", weightCol="weight", parallelism=PARALLEL)
+    return Boosted(rounds=rounds, depth=6, step=0.3)
 
 
 class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
