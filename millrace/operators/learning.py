@@ -126,12 +126,23 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", F.coalesce(*[F.when(F.col("label4") == k, total / (len(counts) * n)) for k, n in counts.items()], F.lit(1.0)))
 
 
+#: Rows that a further part of a fit is worth, and rows of a part at most.
+FEW_ROWS, PART_ROWS = 2048, 65_536
+
+
 def fit(name: str, train: DataFrame, seed: int = 42, **how) -> PipelineModel:
-    """A model of vec_id, label4, features (array); rows of other labels than 0 to 3 are left out."""
+    """A model of vec_id, label4, features (array); rows of other labels than 0 to 3 are left out.
+
+    Each round of a fit sends what it adds up, as large as the model, from every part, so that parts are as many as threads and not as the input's."""
     train = balanced(train.filter(F.col("label4").between(0, 3)))
     rows, width = train.agg(F.count("*"), F.max(F.size("features"))).first()
     stage = estimator(name, width or 0, rows, train, seed, **how)
-    return Pipeline(stages=[stage]).fit(train.withColumn("features", array_to_vector("features")))
+    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism, -(-rows // FEW_ROWS)), -(-rows // PART_ROWS))
+    dealt = train.withColumn("features", array_to_vector("features")).repartition(parts).persist()
+    try:
+        return Pipeline(stages=[stage]).fit(dealt)
+    finally:
+        dealt.unpersist()
 
 
 def save(model: PipelineModel, path: str) -> None:
