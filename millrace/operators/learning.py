@@ -126,8 +126,8 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", F.coalesce(*[F.when(F.col("label4") == k, total / (len(counts) * n)) for k, n in counts.items()], F.lit(1.0)))
 
 
-#: Rows that a further part of a fit is worth, and rows of a part at most.
-FEW_ROWS, PART_ROWS = 2048, 65_536
+#: Rows that a further part of a fit is worth, where a row is much work also, and rows of a part at most.
+FEW_ROWS, WORK_ROWS, PART_ROWS = 16_384, {"mlp": 2048}, 65_536
 
 
 def fit(name: str, train: DataFrame, seed: int = 42, **how) -> PipelineModel:
@@ -137,7 +137,7 @@ def fit(name: str, train: DataFrame, seed: int = 42, **how) -> PipelineModel:
     train = balanced(train.filter(F.col("label4").between(0, 3)))
     rows, width = train.agg(F.count("*"), F.max(F.size("features"))).first()
     stage = estimator(name, width or 0, rows, train, seed, **how)
-    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism, -(-rows // FEW_ROWS)), -(-rows // PART_ROWS))
+    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism, -(-rows // WORK_ROWS.get(name, FEW_ROWS))), -(-rows // PART_ROWS))
     dealt = train.withColumn("features", array_to_vector("features")).repartition(parts).persist()
     try:
         return Pipeline(stages=[stage]).fit(dealt)
