@@ -84,16 +84,22 @@ def _near_best(s: np.ndarray, k: int, margin: np.ndarray) -> tuple[np.ndarray, n
     of sets of columns is no more than the k-th largest value."""
     n = s.shape[1]
     sets = n // 32
-    tops = s[:, : sets * 32].reshape(len(s), 32, sets).max(axis=1) if sets > 4 * k else s
-    at = max(tops.shape[1] - k, 0)
-    least = np.partition(tops, at, axis=1)[:, at] if n > k else np.full(len(s), -np.inf, s.dtype)
-    rows, cols = np.nonzero(s >= (least - margin)[:, None])
-    finite = s[rows, cols] > -np.inf
-    return rows[finite], cols[finite]
-
-
-def _met(rows: DataFrame, cell: list[str], k: int, parts: int, apart: bool = False, by_project: bool = False, visits: np.ndarray | None = None) -> DataFrame:
-    """The k best items of each query of a cell. rows: vec_id, embedding, label4, project, side (0 for queries, 1 for items), and the columns of ``cell``;
+    if sets <= 4 * k:
+        least = np.partition(s, n - k, axis=1)[:, n - k] if n > k else np.full(len(s), -np.inf, s.dtype)
+        rows, cols = np.nonzero((s >= (least - margin)[:, None]) & (s > -np.inf))
+        return rows, cols
+    tops = s[:, : sets * 32].reshape(len(s), 32, sets).max(axis=1)
+    floor = (np.partition(tops, sets - k, axis=1)[:, sets - k] - margin)[:, None]
+    r, c = np.nonzero((tops >= floor) & (tops > -np.inf))  # a set is looked into only if its maximum is among the best
+    held = s[r[:, None], c[:, None] + sets * np.arange(32)]
+    i, j = np.nonzero((held >= floor[r]) & (held > -np.inf))
+    rest = s[:, sets * 32 :]
+    over, at = np.nonzero((rest >= floor) & (rest > -np.inf))
+    return np.r_[r[i], over], np.r_[c[i] + sets * j, at + sets * 32]
+
+
+def _met(rows: DataFrame, cell: str, k: int, parts: int, apart: bool = False, by_project: bool = False, visits: np.ndarray | None = None) -> DataFrame:
+    """The k best items of each query of a cell. rows: vec_id, embedding, label4, project, side (0 for queries, 1 for items), and the number of the ``cell``;
     with ``visits`` near too: which groups of items (columns) each group of queries (rows) meets.
 
     Products are taken in single precision and those that may be among the best again in double, each by itself, so that equal vectors have equal products.
@@ -146,8 +152,8 @@ def _met(rows: DataFrame, cell: list[str], k: int, parts: int, apart: bool = Fal
             if len(some):
                 yield from best(ask[near[ask] == h], some)
 
-    # told, since a cell is much work whatever its bytes; three a cell, so that few cells share one
-    return rows.repartition(max(1, 3 * parts), *cell).groupBy(*cell).applyInArrow(run, "vec_id long, neighbour long, sim double, neighbour_label int, p_ int")
+    # a cell is much work whatever its bytes, so that each is a task of its own
+    return rows.repartitionById(max(1, parts), cell).groupBy(cell).applyInArrow(run, "vec_id long, neighbour long, sim double, neighbour_label int, p_ int")
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int = K, apart: bool = False, by_project: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -155,19 +161,29 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = K, apart: bool = False,
     apart: only items of other projects than the query's. by_project: the k best among the items of each project (p_).
 
     Exact. Both sides are dealt into blocks (``_blocks``); two blocks meet in one task as a matrix
-    product and leave k rows for each query, and the best of these are taken. A task holds two blocks, whatever the input."""
-    width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
+    product and leave k rows for each query, and the best of these are taken. A task holds two blocks, whatever the input. By project, a block
+    of items holds few projects, since a cell leaves k rows for each."""
+    spark, width = queries.sparkSession, queries.select(F.max(F.size("embedding"))).first()[0] or 1
 
     def dealt(d: DataFrame, side: int) -> tuple[DataFrame, int]:
-        n = _blocks(d.count(), width, block_bytes)
-        block = F.pmod(F.xxhash64("vec_id", F.lit(side)), F.lit(n)).cast("int")
+        if side and by_project:
+            each = [(r["project"], r["n"]) for r in d.groupBy("project").agg(F.count("*").alias("n")).collect()]  # a row for each project
+            starts = np.cumsum([0] + [n for _, n in each])
+            n = _blocks(int(starts[-1]), width, block_bytes)
+            at = F.broadcast(spark.createDataFrame([(p, int(s), c) for (p, c), s in zip(each, starts)], "project_ int, start_ long, n_ long"))
+            d = d.join(at, F.col("project").eqNullSafe(F.col("project_")))
+            place = F.col("start_") + F.pmod(F.xxhash64("vec_id", F.lit(side)), F.lit(1 << 30)) / float(1 << 30) * F.col("n_")
+            block = F.least(F.floor(place * n / max(int(starts[-1]), 1)), F.lit(n - 1)).cast("int")
+        else:
+            n = _blocks(d.count(), width, block_bytes)
+            block = F.pmod(F.xxhash64("vec_id", F.lit(side)), F.lit(n)).cast("int")
         return d.select("vec_id", "embedding", "label4", "project", F.lit(side).alias("side"), block.alias("block")), n
 
     (q, nq), (t, nt) = dealt(queries, 0), dealt(items, 1)
     q = q.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nt - 1)), lambda i: F.col("block") * nt + i)))
     t = t.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda i: i * nt + F.col("block"))))
 
-    pairs = _met(q.unionByName(t).drop("block"), ["cell"], k, nq * nt, apart, by_project)
+    pairs = _met(q.unionByName(t).drop("block"), "cell", k, nq * nt, apart, by_project)
     w = W.partitionBy("vec_id", *(["p_"] if by_project else [])).orderBy(F.desc("sim"), "neighbour")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -249,17 +265,17 @@ def search(queries: DataFrame, path: str, k: int = K, block_bytes: int = BLOCK_B
 
     def met(visits: np.ndarray) -> DataFrame:
         """Groups share blocks, and blocks of which any groups meet share a cell; what doesn't meet is passed over there."""
-        cells = [(int(a), int(b)) for a, b in zip(*np.nonzero(left_in.astype(int) @ visits.astype(int) @ right_in.T.astype(int)))] if visits.size else []
-        pairs = F.broadcast(spark.createDataFrame(cells, "a int, b int"))
+        cells = [(int(a), int(b), i) for i, (a, b) in enumerate(zip(*np.nonzero(left_in.astype(int) @ visits.astype(int) @ right_in.T.astype(int))))] if visits.size else []
+        pairs = F.broadcast(spark.createDataFrame(cells, "a int, b int, cell int"))
         whole = np.zeros((len(pivots), len(pivots)), bool)
         whole[np.ix_(own, other)] = visits
 
         def side(d: DataFrame, placed: list, number: int, mine: str) -> DataFrame:
             at = F.broadcast(spark.createDataFrame(placed, "near int, at int, parts int"))
             block = F.col("at") + F.pmod(F.xxhash64("vec_id", F.lit(number)), F.col("parts")).cast("int")
-            return d.select(*columns, "near").join(at, "near").withColumn(mine, block).join(pairs, mine).select(*columns, "near", "a", "b", F.lit(number).alias("side"))
+            return d.select(*columns, "near").join(at, "near").withColumn(mine, block).join(pairs, mine).select(*columns, "near", "cell", F.lit(number).alias("side"))
 
-        return _met(side(asked, left_at, 0, "a").unionByName(side(items, right_at, 1, "b")), ["a", "b"], k, len(cells), visits=whole)
+        return _met(side(asked, left_at, 0, "a").unionByName(side(items, right_at, 1, "b")), "cell", k, len(cells), visits=whole)
 
     order = np.argsort(-bound, axis=1, kind="stable")
     first = np.zeros(bound.shape, bool)
@@ -291,6 +307,31 @@ def feature_vector(vectors: DataFrame, features: DataFrame) -> DataFrame:
     return d.select("vec_id", "label4", "project", "in_train", F.concat("embedding", rest).alias("features"))
 
 
+def near_lists(neighbours: DataFrame) -> DataFrame:
+    """vec_id, near: the neighbours of each vector as one array, nearest first, ties by id."""
+    one = F.struct((-F.col("sim")).alias("away"), "neighbour", "neighbour_label", "p_")
+    return neighbours.groupBy("vec_id").agg(F.array_sort(F.collect_list(one)).alias("near"))
+
+
+def list_features(near: Column, k: int = K) -> Column:
+    """What ``retrieval_features`` gives, as an array, from the first ``k`` of a list of ``near_lists``; zeros where nothing was retrieved."""
+    ok = F.filter(F.slice(near, 1, k), lambda x: x["neighbour_label"].between(0, 3))
+    n = F.greatest(F.size(ok), F.lit(1))
+    labels = F.transform(ok, lambda x: x["neighbour_label"])
+    share = [(F.size(labels) - F.size(F.array_remove(labels, i))) / n for i in range(4)]
+    mean = F.aggregate(ok, F.lit(0.0), lambda a, x: a - x["away"]) / n
+    return F.array(*[F.coalesce(c, F.lit(0.0)) for c in (*share, mean, -F.get(ok, 0)["away"])])
+
+
+#: Rows of a part that is read again and again, where parts are more than twice the threads.
+PART_ROWS = 65_536
+
+
+def few_parts(d: DataFrame, rows: int) -> DataFrame:
+    """``d``, of so many rows, in parts that are worth a task each time it is read: after a shuffle there are as many parts for few rows as for many."""
+    return d.coalesce(max(2 * d.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
+
+
 def majority(votes: DataFrame, key: str, vote: str, order: str) -> DataFrame:
     """key, predicted: the most frequent vote; among equals the one seen first."""
     g = votes.groupBy(key, vote).agg(F.count("*").alias("n"), F.min(order).alias("first"))

@@ -198,7 +198,7 @@ def exact_split(spark, sf_dir):
 def _features(spark, sf_dir) -> DataFrame:
     v = _vectors(spark, sf_dir)
     near = vectors.top_k(v, v.filter("in_train"))  # a training vector finds itself, as the flag of the engine's default says
-    return vectors.feature_vector(v, vectors.retrieval_features(near)).persist()
+    return vectors.few_parts(vectors.feature_vector(v, vectors.retrieval_features(near)), v.count()).persist()
 
 
 def _evaluate(name: str, **how) -> Query:
