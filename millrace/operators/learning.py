@@ -228,18 +228,18 @@ def leave_one_out(vecs: DataFrame, k: int = vectors.K) -> DataFrame:
 
 def leave_one_project_out(vecs: DataFrame, name: str = "forest", k: int = vectors.K, tau: float = vectors.TAU, **how) -> DataFrame:
     """project, metrics, macro_auc, n_train, n_test: for each project a model of the others, whose neighbours are
-    among the others too. The neighbours in each project are found once and serve all folds; several folds are fitted at a time,
-    and what comes back is a row for each."""
+    among the others too. The neighbours in each project are found once, lie beside their vector and serve all folds, which shuffle nothing
+    for them; several folds are fitted at a time, and what comes back is a row for each."""
     vecs = vecs.persist()
-    near = vectors.top_k(vecs, vecs, k, by_project=True).drop("rank").persist()
-    best = W.partitionBy("vec_id").orderBy(F.desc("sim"), "neighbour")
+    sizes = {r["project"]: r["n"] for r in vecs.groupBy("project").agg(F.count("*").alias("n")).collect()}  # a row for each project
+    beside = vecs.join(vectors.near_lists(vectors.top_k(vecs, vecs, k, by_project=True)), "vec_id", "left")
+    beside = vectors.few_parts(beside.withColumn("near", F.coalesce("near", F.array())), sum(sizes.values())).persist()
     try:
-        sizes = {r["project"]: r["n"] for r in vecs.groupBy("project").agg(F.count("*").alias("n")).collect()}  # a row for each project
-        near.count()
+        beside.count()
 
         def fold(project: int) -> tuple:
-            other = near.filter(F.col("p_") != project).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            rows = vectors.feature_vector(vecs, vectors.retrieval_features(other)).persist()
+            other = F.filter("near", lambda x: x["p_"] != project)
+            rows = beside.select("vec_id", "label4", "project", "in_train", F.concat("embedding", vectors.list_features(other, k)).alias("features")).persist()
             try:
                 done = predict(name, rows.filter(F.col("project") != project), rows.filter(F.col("project") == project), tau, **how).persist()
                 long = done.select(F.col("label4").alias("label"), F.posexplode("probability").alias("klass", "score"))
@@ -252,7 +252,7 @@ def leave_one_project_out(vecs: DataFrame, name: str = "forest", k: int = vector
 
         found = together(fold, sorted(sizes))
     finally:
-        near.unpersist()
+        beside.unpersist()
         vecs.unpersist()
     return vecs.sparkSession.createDataFrame(found, f"project int, {METRICS}, macro_auc double, n_train long, n_test long")
 
