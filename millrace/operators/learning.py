@@ -39,12 +39,12 @@ def classifier(name: str) -> Callable:
     return add
 
 
-def together(run: Callable, items: list) -> list:
+def together(run: Callable, items: list, most: int = PARALLEL) -> list:
     """``run`` of each item, several at a time."""
     if len(items) < 2:
         return [run(x) for x in items]
-    with ThreadPool(min(PARALLEL, len(items))) as pool:
-        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(run), items)
+    with ThreadPool(min(most, len(items))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.getActiveSession())(run), items, 1)
 
 
 @classifier("forest")
@@ -241,7 +241,8 @@ def leave_one_project_out(vecs: DataFrame, name: str = "forest", k: int = vector
             other = F.filter("near", lambda x: x["p_"] != project)
             rows = beside.select("vec_id", "label4", "project", "in_train", F.concat("embedding", vectors.list_features(other, k)).alias("features")).persist()
             try:
-                done = predict(name, rows.filter(F.col("project") != project), rows.filter(F.col("project") == project), tau, **how).persist()
+                told = predict(name, rows.filter(F.col("project") != project), rows.filter(F.col("project") == project), tau, **how)
+                done = vectors.few_parts(told, sizes[project]).persist()
                 long = done.select(F.col("label4").alias("label"), F.posexplode("probability").alias("klass", "score"))
                 auc = stats.macro_auc(long).first()["macro_auc"]
                 m = vectors.detection_metrics(done, "label4", "predicted").first()

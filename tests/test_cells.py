@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import vectors
+from millrace.operators import learning, vectors
 
 
 def test_each_cell_is_a_task_of_its_own(spark):
@@ -60,3 +60,15 @@ def test_features_of_few_rows_have_few_parts(spark):
     d = spark.range(1000).repartition(64)
     assert vectors.few_parts(d, 1000).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     assert vectors.few_parts(d, 20 * vectors.PART_ROWS).rdd.getNumPartitions() == 20
+
+
+def test_predictions_of_a_fold_have_few_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=4) + i % 4], i % 4, i % 2, True) for i in range(80)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label4 int, project int, in_train boolean")
+    parts = []
+    metrics = vectors.detection_metrics
+    monkeypatch.setattr(vectors, "detection_metrics", lambda d, *a: parts.append(d.rdd.getNumPartitions()) or metrics(d, *a))
+    monkeypatch.setattr(learning, "predict", lambda name, train, test, tau: test.select("vec_id", "label4", F.array(*[F.lit(0.25)] * 4).alias("probability"), F.lit(0).alias("predicted")).repartition(64))
+    assert learning.leave_one_project_out(v).count() == 2
+    assert max(parts) <= 2 * spark.sparkContext.defaultParallelism
