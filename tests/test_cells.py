@@ -1,5 +1,7 @@
 """Retrieval: a cell is a task, sets of columns are looked into by their maxima, lists of neighbours serve folds, few parts for few rows."""
 
+import threading
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -72,3 +74,16 @@ def test_predictions_of_a_fold_have_few_parts(spark, monkeypatch):
     monkeypatch.setattr(learning, "predict", lambda name, train, test, tau: test.select("vec_id", "label4", F.array(*[F.lit(0.25)] * 4).alias("probability"), F.lit(0).alias("predicted")).repartition(64))
     assert learning.leave_one_project_out(v).count() == 2
     assert max(parts) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_all_classifiers_are_fitted_at_a_time(spark, monkeypatch):
+    d = spark.createDataFrame([(i, [float(i)], i % 4) for i in range(8)], "vec_id long, features array<double>, label4 int")
+    all_here, begun = threading.Barrier(len(learning.BUILDERS)), []
+
+    def told(name, train, test):
+        begun.append(name)
+        all_here.wait(20)
+        return test.select("label4", F.col("label4").alias("predicted"))
+
+    monkeypatch.setattr(learning, "predict", told)
+    assert sorted(r.classifier for r in learning.compare(d, d).collect()) == sorted(learning.BUILDERS) == sorted(begun)
