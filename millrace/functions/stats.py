@@ -40,16 +40,13 @@ def signed_rank(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -
     """keys, n (pairs), w (rank sum of positive x - y), p: one-sided Wilcoxon test that x is greater. Zero differences are
     dropped and ties share ranks; p is exact for at most EXACT differences without ties or zeros, else normal.
     Fewer than two pairs: p null. No difference but zeros: p 1."""
-    d = pairs.withColumn("d", F.col(x) - F.col(y))
-    size = W.partitionBy(*keys)
-    nz = d.withColumn("n", F.count("*").over(size)).withColumn("zeros", F.count_if(F.col("d") == 0).over(size))
-    by = W.partitionBy(*keys, F.abs("d"))
-    order = W.partitionBy(*keys).orderBy(F.abs("d"))
-    live = nz.filter("d != 0")
-    ranked = live.withColumn("same", F.count("*").over(by)).withColumn("rank", F.rank().over(order) + (F.col("same") - 1) / 2)
-    g = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.max("zeros").alias("zeros"), F.count("*").cast("int").alias("m"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w"), F.max("same").alias("tied"), F.sum(F.col("same") * F.col("same") - 1).cast("double").alias("ties"))
-    total = d.groupBy(*keys).agg(F.count("*").alias("n_"))
+    d = pairs.withColumn("d", F.col(x) - F.col(y)).withColumn("size", F.abs("d"))
+    # one shuffle and one order: zeros and unknown differences come first, so that they are taken off the ranks of the others afterwards
+    ranked = d.withColumn("same", F.count("*").over(W.partitionBy(*keys, "size"))).withColumn("rank", F.rank().over(W.partitionBy(*keys).orderBy("size")) + (F.col("same") - 1) / 2)
+    live, above, tie = F.col("d") != 0, F.col("d") > 0, F.col("same") * F.col("same") - 1
+    g = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("zeros"), F.count_if(live).cast("int").alias("m"), F.count_if(above).alias("up"), F.sum(F.when(above, F.col("rank")).otherwise(0.0)).alias("ranks"), F.max(F.when(live, F.col("same"))).alias("tied"), F.sum(F.when(live, tie)).cast("double").alias("ties"))
     m = F.col("m")
+    g = g.withColumn("w", F.col("ranks") - (F.col("n") - m) * F.col("up"))
     full = m * (m + 1) / 2
     start = F.transform(F.sequence(F.lit(0), full.cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
     # counts of subsets of 1..m by their sum
@@ -58,8 +55,7 @@ def signed_rank(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -
     sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
     z = F.when(sd > 0, (F.col("w") - full / 2) / sd).otherwise(0.0)
     p = F.when((m <= EXACT) & (F.col("tied") == 1) & (F.col("zeros") == 0), exact).otherwise(normal_above(z))
-    out = total.join(g.withColumn("p", p), keys, "left")
-    return out.select(*keys, F.col("n_").alias("n"), F.coalesce("w", F.lit(0.0)).alias("w"), F.when(F.col("n_") >= 2, F.coalesce("p", F.lit(1.0))).alias("p"))
+    return g.select(*keys, "n", "w", F.when(F.col("n") >= 2, F.when(m > 0, p).otherwise(1.0)).alias("p"))
 
 
 def normal_above(z: Column) -> Column:
