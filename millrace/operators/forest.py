@@ -20,6 +20,8 @@ CLASSES = 4
 #: Shares of a Poisson law of mean 1 up to 0, 1, 2, ...: how often a tree takes a row.
 DRAWS = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941, 0.99992)
 
+#: Different rows up to which cuts are told from these and their numbers.
+FEW_DIFFERENT = 4096
 #: Equal rows beyond which a tree draws for all of them at once, by the normal law that their sum nears.
 SUMMED = 30
 
@@ -31,6 +33,14 @@ def _cuts(train: DataFrame, width: int) -> list[np.ndarray]:
     return [np.unique(np.array(x, float)) for x in told]
 
 
+def _cuts_of_few(equal: DataFrame) -> list[np.ndarray]:
+    """What ``_cuts`` gives, exactly, of few different rows of which there are n each."""
+    told = equal.select("features", "n").toArrow()
+    m = np.array(told["features"].to_pylist(), float)
+    at = np.quantile(m, np.arange(1, BINS) / BINS, axis=0, method="inverted_cdf", weights=told["n"].to_numpy())
+    return [np.unique(x) for x in at.T]
+
+
 def _binned(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
     """rows with bins: a byte for each feature in place of features."""
     names, at = rows.columns, rows.columns.index("features")
@@ -101,14 +111,15 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, asked: np.ndarray, depth:
 def shares(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 300, depth: int = 30) -> DataFrame:
     """test (vec_id, label4, features) with probability instead of features: the mean over the trees of the class shares in a row's leaf. train has weight too.
 
-    The upper levels part the rows until a leaf holds LEAF_ROWS of them on average; MLlib grows these for all trees, and their leaves are known by
-    ``leafCol``. Equal rows are dealt out as one. Below, a task holds the rows of one leaf of one tree, a byte for each feature, and those that are asked. What comes of a tree are shares,
+    Equal rows are dealt out as one. The upper levels part the rows until a leaf holds LEAF_ROWS of those that are dealt out on average; MLlib grows
+    these for all trees, and their leaves are known by ``leafCol``. Below, a task holds the rows of one leaf of one tree, a byte for each feature, and those that are asked. What comes of a tree are shares,
     so that no place holds the forest. Trees take rows by a hash below the upper levels, and by MLlib's own draws in these."""
     train, test = train.filter("vec_id IS NOT NULL"), test.filter("vec_id IS NOT NULL")
-    rows, width = train.agg(F.count("*"), F.max(F.size("features"))).first()
-    top = min(depth, max(0, math.ceil(math.log2(max(rows, 1) / LEAF_ROWS))))
     both = train.select("vec_id", F.col("label4").cast("int").alias("label4"), "weight", "features").unionByName(test.select("vec_id", F.lit(-1).alias("label4"), F.lit(0.0).alias("weight"), "features"))
     both = both.groupBy("label4", "weight", "features").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))  # equal rows are one with a number
+    copied = F.when(F.col("n") > SUMMED, 1).otherwise(F.col("n"))
+    rows, different, width = both.filter("label4 >= 0").agg(F.coalesce(F.sum(copied), F.lit(0)), F.count("*"), F.max(F.size("features"))).first()
+    top = min(depth, max(0, math.ceil(math.log2(max(rows, 1) / LEAF_ROWS))))
     if top:
         upper = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=top, seed=seed, weightCol="weight", labelCol="label4", leafCol="leaves")
         model = upper.fit(train.select("label4", "weight", array_to_vector("features").alias("features")))
@@ -119,7 +130,8 @@ def shares(train: DataFrame, test: DataFrame, seed: int = 42, trees: int = 300,
     one_row = sum(((u >= p).cast("int") for p in DRAWS), F.lit(0))
     many = F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)).cast("int"))
     copies = F.when((F.col("n") > SUMMED) | (F.col("label4") < 0), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("n").cast("int")))
-    dealt = _binned(at, _cuts(train, width)).withColumn("copy", F.explode(copies)).select("vec_id", "n", "copy", "label4", "weight", "bins", F.posexplode("leaves").alias("tree", "leaf"))
+    cuts = _cuts_of_few(both.filter("label4 >= 0")) if 0 < different <= FEW_DIFFERENT else _cuts(train, width)
+    dealt = _binned(at, cuts).withColumn("copy", F.explode(copies)).select("vec_id", "n", "copy", "label4", "weight", "bins", F.posexplode("leaves").alias("tree", "leaf"))
     times = F.when(F.col("label4") < 0, 0).when(F.col("copy") == 0, many).otherwise(one_row)
     dealt = dealt.withColumn("times", times).filter("label4 < 0 OR times > 0").select("vec_id", "label4", "weight", "bins", "tree", "leaf", "times")
 
