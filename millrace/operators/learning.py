@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassificationModel, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -22,6 +22,7 @@ from ..functions import stats
 from . import forest as deep
 from . import vectors, words
 from .boosting import Boosted
+from .perceptron import Perceptron
 
 #: Fits that run at a time; each is a chain of jobs of its own.
 PARALLEL = 4
@@ -62,7 +63,7 @@ def _logistic(train: DataFrame, width: int, rows: int, seed: int) -> Estimator:
 @classifier("mlp")
 def _mlp(train: DataFrame, width: int, rows: int, seed: int) -> Estimator:
     """Hidden layers of 512 and 256."""
-    return MultilayerPerceptronClassifier(layers=[width, 512, 256, 4], maxIter=200, seed=seed, labelCol="label4")
+    return Perceptron(layers=[width, 512, 256, 4], maxIter=200, seed=seed)
 
 
 @classifier("boosted")
