@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
-from pyspark import inheritable_thread_target, keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassificationModel, LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegression, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +18,7 @@ from ..functions import stats
 from . import forest as deep
 from . import vectors, words
 from .boosting import Boosted
+from .kernel import KernelMachine
 from .perceptron import Perceptron
 
 #: Fits that run at a time; each is a chain of jobs of its own.
@@ -72,45 +69,12 @@ def _boosted(train: DataFrame, width: int, rows: int, seed: int, rounds: int = 1
     return Boosted(rounds=rounds, depth=6, step=0.3)
 
 
-class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """features become ``size`` cosines whose inner products near the Gaussian kernel of width ``gamma``."""
-
-    size = Param(Params._dummy(), "size", "number of cosines", TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "kernel exp(-gamma |x - y|^2)", TypeConverters.toFloat)
-    seed = Param(Params._dummy(), "seed", "of the directions", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, size: int = 1024, gamma: float = 1.0, seed: int = 42):
-        super().__init__()
-        self._setDefault(size=1024, gamma=1.0, seed=42)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        size, gamma, seed = (self.getOrDefault(p) for p in (self.size, self.gamma, self.seed))
-
-        @F.pandas_udf("array<double>")
-        def cosines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            directions = None
-            for x in batches:
-                if not len(x):
-                    yield x
-                    continue
-                m = np.stack(x.to_numpy())
-                if directions is None:
-                    rng = np.random.default_rng(seed)
-                    directions, shift = rng.normal(scale=np.sqrt(2 * gamma), size=(m.shape[1], size)), rng.uniform(0, 2 * np.pi, size)
-                yield pd.Series(list(np.sqrt(2 / size) * np.cos(m @ directions + shift)))
-
-        return dataset.withColumn("features", array_to_vector(cosines(vector_to_array("features"))))
-
-
 @classifier("kernel")
 def _kernel(train: DataFrame, width: int, rows: int, seed: int, size: int = 1024, rounds: int = 100) -> Estimator:
     """A support vector machine with a Gaussian kernel by random features, C = 1, for each label one against the rest. The kernel's width is 1 / (width *
     variance of all features)."""
     x = train.select(F.explode("features").alias("x")).agg(F.var_pop("x")).first()[0]
-    svc = LinearSVC(regParam=1.0 / max(rows, 1), maxIter=rounds)
-    return Pipeline(stages=[FourierFeatures(size=size, gamma=1.0 / (max(width, 1) * (x or 1.0)), seed=seed), OneVsRest(classifier=svc, labelCol="label4", parallelism=PARALLEL)])
+    return KernelMachine(size=size, gamma=1.0 / (max(width, 1) * (x or 1.0)), regParam=1.0 / max(rows, 1), maxIter=rounds, seed=seed)
 
 
 def estimator(name: str, width: int, rows: int, train: DataFrame | None = None, seed: int = 42, **how) -> Estimator:
@@ -128,7 +92,7 @@ def balanced(train: DataFrame) -> DataFrame:
 
 
 #: Rows that a further part of a fit is worth, where a row is much work also, and rows of a part at most.
-FEW_ROWS, WORK_ROWS, PART_ROWS = 16_384, {"mlp": 2048}, 65_536
+FEW_ROWS, WORK_ROWS, PART_ROWS = 16_384, {"mlp": 2048, "kernel": 2048}, 65_536
 
 
 def fit(name: str, train: DataFrame, seed: int = 42, **how) -> PipelineModel:
